@@ -6,7 +6,7 @@ from importlib import import_module
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _name in ("queries_jaccard",):
+for _name in ("queries_jaccard", "queries_suffix"):
     _module = import_module(f".{_name}", __package__)
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
