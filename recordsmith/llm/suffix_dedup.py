@@ -4,7 +4,7 @@
    same 20-gram at the same offset.  Selected 20-grams are few (about 1 in 41 bytes) and are shuffled, packed, to find
    those that occur more than once; texts that are equal as a whole count once.
 2. A repeated 20-gram takes with it the bytes of the windows that selected it.  Equal contexts are combined before and
-   in the shuffle; the distinct contexts of one 20-gram meet in one block.
+   after the shuffle; the distinct contexts of one 20-gram meet in one block.
 3. A block's contexts are concatenated and their suffixes sorted as far as ``length`` bytes.  On the transform, common
    prefixes are derived by increasing value, breadth first: a boundary with common prefix v gives, by one backward
    step, the boundaries with v + 1.  The expansion stops at ``length``; what is then open are the intervals of equal
@@ -19,6 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -54,6 +55,7 @@ def _selected(data: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.nda
 def _anchors(batches: Iterator[pa.RecordBatch], length: int, pieces: int) -> Iterator[pa.RecordBatch]:
     """Selected grams as (piece, keys, text hashes, positions), packed by piece."""
     held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    small = zstandard.ZstdCompressor(level=1).compress
 
     def packed() -> pa.RecordBatch:
         keys, texts, places = map(np.concatenate, zip(*held))
@@ -62,7 +64,7 @@ def _anchors(batches: Iterator[pa.RecordBatch], length: int, pieces: int) -> Ite
         ends = np.searchsorted(piece[order], np.arange(pieces + 1))
         cuts = [order[a:b] for a, b in zip(ends[:-1], ends[1:])]
         use = [i for i, c in enumerate(cuts) if len(c)]
-        return pa.RecordBatch.from_arrays([pa.array(use, pa.int64()), *[pa.array([x[cuts[i]].tobytes() for i in use], pa.binary()) for x in (keys, texts, places)]], ["piece", "keys", "texts", "places"])
+        return pa.RecordBatch.from_arrays([pa.array(use, pa.int64()), *[pa.array([small(x[cuts[i]].tobytes()) for i in use], pa.binary()) for x in (keys, texts, places)]], ["piece", "keys", "texts", "places"])
 
     size = 0
     for batch in slices(batches, "text"):
@@ -85,12 +87,13 @@ def _anchors(batches: Iterator[pa.RecordBatch], length: int, pieces: int) -> Ite
 
 
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    large = zstandard.ZstdDecompressor().decompress
     by_piece: dict[int, list[tuple[bytes, bytes, bytes]]] = {}
     for batch in batches:
         for piece, *blobs in zip(*(c.to_pylist() for c in batch.columns)):
             by_piece.setdefault(piece, []).append(blobs)
     for blobs in by_piece.values():
-        keys, texts, places = (np.concatenate([np.frombuffer(b[i], t) for b in blobs]) for i, t in enumerate((np.uint64, np.uint64, np.int32)))
+        keys, texts, places = (np.concatenate([np.frombuffer(large(b[i]), t) for b in blobs]) for i, t in enumerate((np.uint64, np.uint64, np.int32)))
         order = np.lexsort((places, texts, keys))
         keys, texts, places = keys[order], texts[order], places[order]
         new_key = np.concatenate([[True], keys[1:] != keys[:-1]])
@@ -102,34 +105,64 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(texts[more].view(np.int64)), pa.array(places[more])], ["text_hash", "place"])
 
 
-def _contexts(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Rows (key, context, doc_id, start, windows); a context that stands earlier in the same text has no bytes."""
-    names = ["key", "context", "doc_id", "start", "windows"]
+def _starts(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[tuple[int, int, bytes, list[tuple[int, int, int]]]]:
+    """Each text with its contexts of repeated grams: (gram, start, windows), by start."""
     for batch in slices(batches, "text", 1 << 19):
         data, starts = joined_bytes(batch.column("text"))
-        grams, at, chosen = _selected(data, starts, length)
-        if not len(at):
-            continue
         wanted = np.zeros(len(data), bool)
-        for base, places in zip(starts, batch.column("places")):
-            wanted[base + places.values.to_numpy()] = True
+        for base, places in zip(starts, batch.column("places").to_pylist()):
+            wanted[base + np.array(places)] = True
+        grams, at, chosen = _selected(data, starts, length)
         doc = np.searchsorted(starts, at, "right") - 1
         edge = np.flatnonzero(np.concatenate([[True], (chosen[1:] != chosen[:-1]) | (doc[1:] != doc[:-1])]))
         count = np.diff(np.append(edge, len(at)))
         use = wanted[chosen[edge]]
         edge, count = edge[use], count[use]
-        raw, seen, last, bytes_ = data.tobytes(), set(), -1, []
-        for d, a, n in zip(doc[edge].tolist(), at[edge].tolist(), count.tolist()):
-            if d != last:
-                seen, last = set(), d
-            context = raw[a : a + n - 1 + length]
-            bytes_.append(None if context in seen else context)
-            seen.add(context)
-        ids = batch.column("doc_id").to_numpy()[doc[edge]]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(grams[chosen[edge]].view(np.int64)), pa.array(bytes_, pa.binary()), pa.array(ids), pa.array((at[edge] - starts[doc[edge]]).astype(np.int32)), pa.array(count.astype(np.int32))],
-            names,
-        )
+        keys, place = grams[chosen[edge]].view(np.int64), at[edge] - starts[doc[edge]]
+        ends = np.searchsorted(doc[edge], np.arange(batch.num_rows + 1))
+        raw = data.tobytes()
+        for d, (doc_id, text_hash) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("text_hash").to_pylist())):
+            own = slice(ends[d], ends[d + 1])
+            yield doc_id, text_hash, raw[starts[d] : starts[d + 1] - 1], list(zip(keys[own].tolist(), place[own].tolist(), count[own].tolist()))
+
+
+_CONTEXT = ["key", "context", "doc_id", "text_hash", "start", "windows"]
+
+
+def _contexts(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """A row for each context.  Of equal contexts met in one task only the first in order goes on with its bytes; the
+    others are repeats already, and their key is no more than a place to go."""
+    held: dict[tuple[int, bytes], tuple[int, int, int, int]] = {}
+    known: list[tuple[int, int, int, int]] = []
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        rows = [(k, c, *place) for (k, c), place in held.items()] + [(p[0] * 31 + p[2], None, *p) for p in known]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32()))], _CONTEXT)
+        held.clear()
+        known.clear()
+
+    def repeat(place: tuple[int, int, int, int]) -> None:
+        if known and known[-1][:2] == place[:2] and sum(known[-1][2:]) == place[2]:  # the next windows of the same text
+            doc, text_hash, start, windows = known.pop()
+            place = (doc, text_hash, start, windows + place[3])
+        known.append(place)
+
+    size = 0
+    for doc, text_hash, raw, contexts in _starts(batches, length):
+        for key, start, windows in contexts:
+            what, place = (key, raw[start : start + windows - 1 + length]), (doc, text_hash, start, windows)
+            have = held.get(what)
+            if have is None:
+                held[what] = place
+                size += len(what[1]) + 100
+            elif place != have:
+                held[what] = min(place, have)
+                repeat(max(place, have))
+        if size + 100 * len(known) > 32 << 20:
+            yield from flush()
+            size = 0
+    yield from flush()
 
 
 def sorted_suffixes(data: np.ndarray, depth: int) -> np.ndarray:
@@ -211,26 +244,39 @@ def _ranges(flags: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    held: list[tuple[int, int, int, bytes]] = []
+    """Contexts sorted by key -> windows that are repeats."""
+    held: dict[tuple[int, bytes], tuple[int, int, int, int]] = {}
+    known: list[tuple[int, int, int, int]] = []
 
     def solved() -> Iterator[pa.RecordBatch]:
+        found = [known[:]] if known else []
         if len(held) > 1:
-            held.sort()
-            windows = np.array([w for _, _, w, _ in held])
-            which, offset, count = _ranges(repeated_windows([c for *_, c in held], windows, length), windows)
-            if len(which):
-                ids, begin = np.array([h[0] for h in held])[which], np.array([h[1] for h in held])[which] + offset
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(begin, pa.int32()), pa.array(count, pa.int32())], ["doc_id", "start", "windows"])
+            order = sorted((place, context) for (_, context), place in held.items())
+            windows = np.array([place[3] for place, _ in order])
+            which, offset, count = _ranges(repeated_windows([c for _, c in order], windows, length), windows)
+            found.append([(*order[w][0][:2], order[w][0][2] + o, n) for w, o, n in zip(which.tolist(), offset.tolist(), count.tolist())])
+        for rows in found:
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], _CONTEXT[2:])
+        held.clear()
+        known.clear()
 
     size, last = 0, None
     for batch in batches:
-        for key, context, doc, start, windows in zip(*(batch.column(c).to_pylist() for c in ("key", "context", "doc_id", "start", "windows"))):
+        for key, context, *place in zip(*(batch.column(c).to_pylist() for c in _CONTEXT)):
             if size >= BLOCK_BYTES and key != last:
                 yield from solved()
-                held, size = [], 0
-            held.append((doc, start, windows, context))
-            size += len(context) + 1
-            last = key
+                size = 0
+            last, place = key, tuple(place)
+            have = None if context is None else held.get((key, context))
+            if context is None:
+                known.append(place)
+            elif have is None:
+                held[key, context] = place
+                size += len(context) + 1
+            elif place != have:
+                held[key, context] = min(place, have)
+                known.append(max(place, have))
     yield from solved()
 
 
@@ -255,67 +301,54 @@ def _results(batches: Iterator[pa.RecordBatch], length: int, as_text: bool) -> I
     for batch in slices(batches, "text", 4 << 20):
         out = []
         for text, copy, spans in zip(*(batch.column(c).to_pylist() for c in ("text", "is_copy", "spans"))):
-            raw = (text or "").encode()
-            runs = [(0, len(raw))] if copy and len(raw) >= length else _cover([s["start"] for s in spans or ()], [s["windows"] for s in spans or ()], len(raw), length, raw if as_text else None)
+            raw = text.encode()
+            if copy:
+                runs = [(0, len(raw))] if len(raw) >= length else []
+            else:
+                runs = _cover([s["start"] for s in spans or ()], [s["windows"] for s in spans or ()], len(raw), length, raw if as_text else None)
             kept, at = [], 0
             for a, b in runs:
                 kept.append(raw[at:a])
                 at = b
             rest = b"".join(kept) + raw[at:]
-            out.append((len(raw), sum(b - a for a, b in runs), len(runs), hashlib.sha256(rest).hexdigest(), rest.decode() if as_text and text is not None else None))
-        n, removed, spans, digest, kept = zip(*out)
+            out.append((len(raw), sum(b - a for a, b in runs), len(runs), hashlib.sha256(rest).hexdigest(), rest.decode() if as_text else None))
+        n, removed, runs, digest, kept = zip(*out)
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(digest), pa.array(kept, pa.string())],
+            [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(digest), pa.array(kept, pa.string())],
             ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"],
         )
 
 
-def repeated_spans(docs: DataFrame, length: int = 100) -> DataFrame:
-    """(doc_id, text) -> (doc_id, spans array<struct<start, windows>>) of texts that repeat strings but are no copies.
+def remove_repeats(docs: DataFrame, length: int = 100, as_text: bool = False) -> DataFrame:
+    """(doc_id, text, ...) -> (doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept_text), a row for each input row.
 
-    ``windows`` windows of ``length`` bytes from byte ``start`` on also start earlier.  Texts are distinct as a whole.
+    A byte goes if a string of ``length`` bytes that covers it also starts earlier: in a row of smaller doc_id, or
+    earlier in the same text; strings are judged on the input.  With ``as_text``, kept_text has what is left, and
+    characters of several bytes go only as a whole.  Null texts count as empty; rows without doc_id are left out.  Rows
+    that repeat a doc_id with the same text are one document and each get its result; different texts under one doc_id
+    are taken in the order of their hashes.  Other columns are ignored.
     """
-    spark = docs.sparkSession
-    n = partitions(spark)
+    n = partitions(docs.sparkSession)
     pieces = n * PIECES_PER_PARTITION
+    docs = no_clash(docs, "doc_id", "text").where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     found = (
         docs.select("text").mapInArrow(lambda it: _anchors(it, length, pieces), "piece long, keys binary, texts binary, places binary")
         .repartition(n, "piece").mapInArrow(_repeated, "text_hash long, place int")
         .groupBy("text_hash").agg(F.collect_list("place").alias("places"))
     )
-    firsts = docs.groupBy(F.xxhash64("text").alias("text_hash"), F.md5("text").alias("digest")).agg(F.min("doc_id").alias("doc_id"))
-    wanted = firsts.join(found, "text_hash").select("doc_id", "digest", "places")
-    digested = docs.select("doc_id", "text", F.md5("text").alias("digest"))
-    contexts = cut(
-        digested.join(wanted, ["doc_id", "digest"]).dropDuplicates(["doc_id", "digest"]).select("doc_id", "text", "places")
-        .mapInArrow(lambda it: _contexts(it, length), "key long, context binary, doc_id long, start int, windows int")
+    base = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    ids = base.select("doc_id", "text_hash", F.md5("text").alias("digest"))
+    firsts = ids.groupBy("digest", "text_hash").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
+    wanted = cut(firsts.join(found, "text_hash").select(F.col("least").alias("doc_id"), "text_hash", "places").dropDuplicates(["doc_id", "text_hash"]))
+    spans = (
+        base.join(wanted, ["doc_id", "text_hash"], "left").where("places is not null").select("doc_id", "text_hash", "text", "places")
+        .mapInArrow(lambda it: _contexts(it, length), "key long, context binary, doc_id long, text_hash long, start int, windows int")
+        .repartition(n, "key").sortWithinPartitions("key").mapInArrow(lambda it: _blocks(it, length), "doc_id long, text_hash long, start int, windows int")
+        .groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "windows")).alias("spans"))
     )
-    first = F.min(F.struct("doc_id", "start")).alias("first")
-    distinct = contexts.where("context is not null").groupBy("key", "context", "windows").agg(first, F.count(F.lit(1)).alias("members"))
-    distinct = cut(distinct.select("key", "context", "first.doc_id", "first.start", "windows"))
-    own = distinct.repartition(n, "key").sortWithinPartitions("key").mapInArrow(lambda it: _blocks(it, length), "doc_id long, start int, windows int")
-    other = contexts.select("doc_id", "start", "windows").join(distinct.select("doc_id", "start"), ["doc_id", "start"], "left_anti")
-    return own.unionByName(other).groupBy("doc_id").agg(F.collect_list(F.struct("start", "windows")).alias("spans"))
-
-
-def remove_repeats(docs: DataFrame, length: int = 100, as_text: bool = False) -> DataFrame:
-    """(doc_id, text, ...) -> (doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept_text), a row for each input row.
-
-    A byte goes if a string of ``length`` bytes that covers it also starts earlier: in a row of smaller doc_id, or
-    earlier in the same text; strings are judged on the input.  With ``as_text``, kept_text has what is left, and
-    characters of several bytes go only as a whole.  Null texts count as empty; rows without doc_id are left out.
-    Rows that repeat a doc_id with the same text are one document and each get its result; with other texts under the
-    same doc_id, strings shared among those are left alone.  Other columns are ignored.
-    """
-    docs = no_clash(docs, "doc_id", "text").where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    spans = repeated_spans(docs, length)
-    digest = F.md5("text").alias("digest")
-    copies = docs.groupBy(digest).agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "least")
-    ids = docs.select("doc_id", digest)
-    copied = ids.join(copies, "digest").where("doc_id > least").select("doc_id", "digest", F.lit(True).alias("is_copy")).distinct()
-    known = spans.join(ids, "doc_id").join(copied, ["doc_id", "digest"], "left_anti").dropDuplicates(["doc_id", "digest"]).select("doc_id", "digest", F.lit(False).alias("is_copy"), "spans")
-    known = known.unionByName(copied.withColumn("spans", F.lit(None).cast("array<struct<start:int,windows:int>>")))
+    copied = ids.join(firsts.where("least < most"), ["digest", "text_hash"]).where("doc_id > least").select("doc_id", "text_hash").distinct()
+    gone = spans.withColumn("is_copy", F.lit(False)).unionByName(copied.withColumn("is_copy", F.lit(True)), allowMissingColumns=True)
     return (
-        docs.select("doc_id", "text", digest).join(known, ["doc_id", "digest"], "left").select("doc_id", "text", F.coalesce("is_copy", F.lit(False)).alias("is_copy"), "spans")
+        base.join(gone, ["doc_id", "text_hash"], "left").select("doc_id", "text", F.coalesce("is_copy", F.lit(False)).alias("is_copy"), "spans")
         .mapInArrow(lambda it: _results(it, length, as_text), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
     )
