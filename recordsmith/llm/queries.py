@@ -6,7 +6,10 @@ from importlib import import_module
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _name in ("queries_lm", "queries_jaccard", "queries_suffix", "queries_bpe", "queries_nearest", "queries_classifiers", "queries_fixity"):
+for _name in (
+    "queries_lm", "queries_jaccard", "queries_decontamination", "queries_bpe", "queries_suffix",
+    "queries_nearest", "queries_classifiers", "queries_fixity",
+):
     _module = import_module(f".{_name}", __package__)
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
