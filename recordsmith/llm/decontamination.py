@@ -19,7 +19,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import joined_bytes, mix, no_clash, slices, words
@@ -35,7 +36,7 @@ GRAM = 3
 TABLE_BITS = 20
 #: Text bytes of the items that one pass takes to its tasks.
 BLOCK_BYTES = 16 << 20
-CHUNK = 1 << 16
+CHUNK, STEP = 1 << 16, 4 << 20
 _PAD = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -229,6 +230,23 @@ def _matches(hashes: np.ndarray, bounds: np.ndarray, index_: tuple[list[Band], d
                     yield int(doc[w]), int(band.ids[i]), int(edits), int(first[w] - bounds[doc[w]]), size.n
 
 
+def _found(batches: Iterator[pa.RecordBatch], index_: tuple[list[Band], dict[int, np.ndarray]]) -> Iterator[tuple[pa.RecordBatch, list[tuple[int, int, int, int, int]]]]:
+    for batch in slices(batches, "text", STEP):
+        data, starts = joined_bytes(batch.column("text"))
+        hashes, _, _, bounds = words(data, starts, True)
+        yield batch, list(_matches(hashes, bounds, index_))
+
+
+def _blocks(spark: SparkSession, benchmark: DataFrame, percent: int) -> Iterator[Broadcast]:
+    """Indexes of the items, in blocks of about BLOCK_BYTES of text."""
+    items = no_clash(benchmark, "item_id", "text").where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
+    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = -(-size // BLOCK_BYTES)
+    for block in range(blocks):
+        own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).orderBy("item_id", "text").collect()
+        yield spark.sparkContext.broadcast(index([(r.item_id, r.text) for r in own], percent))
+
+
 _SCHEMA = "doc_id long, item_id long, edits int, start_word int, n_words int"
 
 
@@ -242,19 +260,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = EDITS_PER
     """
     spark = docs.sparkSession
     docs = no_clash(docs, "doc_id", "text").where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    items = no_clash(benchmark, "item_id", "text").where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = -(-size // BLOCK_BYTES)
     out = spark.createDataFrame([], _SCHEMA)
-    for block in range(blocks):
-        own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).orderBy("item_id", "text").collect()  # BLOCK_BYTES or so
-        sent = spark.sparkContext.broadcast(index([(r.item_id, r.text) for r in own], percent))
+    for sent in _blocks(spark, benchmark, percent):
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            for batch in slices(batches, "text", 4 << 20):
-                data, starts = joined_bytes(batch.column("text"))
-                hashes, _, _, bounds = words(data, starts, True)
-                rows = list(_matches(hashes, bounds, sent.value))
+            for batch, rows in _found(batches, sent.value):
                 if rows:
                     doc, item, edits, start, n = zip(*rows)
                     ids = batch.column("doc_id").to_numpy()[list(doc)]
@@ -263,3 +273,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = EDITS_PER
         out = out.unionByName(docs.mapInArrow(run, _SCHEMA))
     best = out.groupBy("doc_id", "item_id").agg(F.min(F.struct("edits", "start_word", "n_words")).alias("best"))
     return best.select("doc_id", "item_id", "best.*")
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, percent: int = EDITS_PERCENT) -> DataFrame:
+    """The rows, with all their columns, whose text matches no item; as contaminated() finds them."""
+    for sent in _blocks(docs.sparkSession, benchmark, percent):
+
+        def kept(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            for batch, rows in _found(batches, sent.value):
+                keep = np.ones(batch.num_rows, bool)
+                keep[[r[0] for r in rows]] = False
+                yield batch.filter(pa.array(keep))
+
+        docs = docs.mapInArrow(kept, docs.schema)
+    return docs
