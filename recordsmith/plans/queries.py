@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import evaluation
+from . import corpus, evaluation, figures, runs
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for _module in (evaluation,):
+for _module in (evaluation, corpus, figures, runs):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
