@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy step holds; a longer document is a step of its own.
@@ -133,3 +133,28 @@ def shingles(hashes: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarray
 def no_clash(docs: DataFrame, *need: str) -> DataFrame:
     """Only the columns that an operator uses, so that others with clashing names do no harm."""
     return docs.select(*[F.col(f"`{c}`") for c in need])
+
+
+def first_in_order(df: DataFrame, n: int, *order: Column) -> DataFrame:
+    """The first n rows of a total order, with no task or driver seeing n rows of every partition: rows are dealt by
+    range and sorted, and counts by partition tell which rows are first.  The result is materialised."""
+    parts = partitions(df.sparkSession)
+    placed = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    placed = cut(placed.select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("_place")))
+    counts = sorted((r["_part"], r["count"]) for r in placed.groupBy("_part").count().collect())
+    last, left = -1, n
+    for part, count in counts:
+        last = part
+        if count >= left:
+            break
+        left -= count
+    return placed.where((F.col("_part") < last) | ((F.col("_part") == last) & (F.col("_place") < left))).drop("_part", "_place")
+
+
+def hashed_sample(df: DataFrame, n: int, key: str) -> DataFrame:
+    """Up to n rows by the order of their hashed keys; the same rows for the same table.  Few more than n are sorted."""
+    count = df.count()
+    place = F.xxhash64(key).bitwiseAND((1 << 62) - 1)
+    if count > 4 * n:
+        df = df.where(place < int(2.0 * n / count * (1 << 62)))
+    return df.orderBy(place, key).limit(n)

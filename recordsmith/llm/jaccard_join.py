@@ -7,9 +7,10 @@ k = 1, in which light sets near the boundary also stand.  The boundary is the on
 statistics over all sets.  Any order is right; the frequency order comes from a count sketch of fixed size over all
 documents, so it needs no table of all shingles.
 
-Copies with equal sets are one node from the start.  A key's members are not paired with each other: each is compared
-with the key's pivot, a few times with other pivots, and only members that are still in different components are
-paired at last; so a group of near copies costs a multiple of its size, and no link between components is lost.
+Copies with equal sets are one node from the start.  A key's members are not paired with each other: each node is
+compared with the pivot that it shares most keys with, then with another, and only members that are still in different
+components are paired at last, if as many prefix elements are shared as a link needs; so a group of near copies costs a
+multiple of its size, and no link between components is lost.
 """
 
 from __future__ import annotations
@@ -18,7 +19,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, joined_bytes, mix, no_clash, shingles, slices, words
@@ -26,9 +28,11 @@ from .graph import components
 
 SKETCH_BITS = 18
 PIECES = 64
-#: Cost of looking at one partner on a list, in units of the cost of emitting and shuffling one key.
-PAIR_COST = 4.0
-ROUNDS = 3
+#: Cost of one more partner on a list, in units of the cost of emitting and shuffling one key; it is small because a
+#: member is compared with its list's pivot, not with every partner.
+PAIR_COST = 1 / 64
+#: Times that members are compared with a pivot before what is left is paired.
+ROUNDS = 2
 
 
 def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
@@ -126,9 +130,9 @@ def _keys(batches: Iterator[pa.RecordBatch], k: int, percent: int, sketch: np.nd
                 ordered, _ = _ordered(items, sketch)
                 if n <= boundary and n - spare >= 2:
                     i, j = np.triu_indices(spare + 2, 1)
-                    own.append(mix(ordered[i] * np.uint64(0x9E3779B97F4A7C15) + ordered[j]))
+                    own.append(mix(ordered[i] * np.uint64(0x9E3779B97F4A7C15) + ordered[j]) | np.uint64(1))
                 if n > boundary or 100 * n >= percent * (boundary + 1) or n - spare < 2:
-                    own.append(ordered[: spare + 1])
+                    own.append(ordered[: spare + 1] & ~np.uint64(1))
             keys.append(np.concatenate(own).view(np.int64) if own else np.zeros(0, np.int64))
         ends = np.cumsum([0, *map(len, keys)])
         lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(keys)))
@@ -138,25 +142,25 @@ def _keys(batches: Iterator[pa.RecordBatch], k: int, percent: int, sketch: np.nd
         )
 
 
-def _packed(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    for batch, sets in _sets(batches, k):
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "items"])
-
-
-def _similar(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+def _similar(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        keep = []
-        for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist()):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            keep.append(100 * both >= percent * (len(x) + len(y) - both))
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep))
+        for part in slices(iter([batch]), "x"):
+            y, at = pc.unique(part.column("y")), {}
+            for name, column in (("x", part.column("x")), ("y", y)):
+                at[name] = [s for _, sets in _sets(iter([pa.record_batch([column], ["text"])]), k) for s in sets]
+            which = pc.index_in(part.column("y"), y).to_pylist()
+            keep = []
+            for x, i in zip(at["x"], which):
+                both = len(np.intersect1d(x, at["y"][i], assume_unique=True))
+                keep.append(100 * both >= percent * (len(x) + len(at["y"][i]) - both))
+            yield part.select(["a", "b"]).filter(pa.array(keep))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    x = sets.select(F.col("node").alias("a"), F.col("items").alias("x"))
-    y = sets.select(F.col("node").alias("b"), F.col("items").alias("y"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(lambda it: _similar(it, percent), "a long, b long")
+def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Texts take half the room of their sets, so that the joins move texts."""
+    x = texts.select(F.col("node").alias("a"), F.col("text").alias("x"))
+    y = texts.select(F.col("node").alias("b"), F.col("text").alias("y"))
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(lambda it: _similar(it, k, percent), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
@@ -183,19 +187,24 @@ def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame
 
     postings = nodes.select("node", F.col("n_shingles").alias("size"), F.explode("keys").alias("key"))
     shared = postings.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("key")
-    postings = cut(postings.join(shared, "key").distinct())
-    members = postings.select(F.col("node").alias("doc_id")).distinct()
-    sets = cut(docs.join(members, "doc_id", "left_semi").mapInArrow(lambda it: _packed(it, k), "node long, items binary").dropDuplicates(["node"]))
+    postings = postings.join(shared, "key").distinct()
+    shares = postings.groupBy("node").agg(F.count_if(F.col("key") % 2 == 0).alias("single"), F.count_if(F.col("key") % 2 != 0).alias("double"))
+    members = shares.select(F.col("node").alias("doc_id"))
+    postings = cut(postings.join(shares, "node"))
+    texts = cut(docs.join(members, "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "text"))
 
     links, label = None, None
     at = postings.withColumn("component", F.col("node"))
     for turn in range(ROUNDS):
+        # first the member that shares the largest part of its prefix, most often the text that the others are copies of
+        order = (-(F.col("single") + F.sqrt("double")) / F.col("size"), F.col("node")) if turn == 0 else (F.xxhash64("node", F.lit(turn)), F.col("node"))
         pivot = at.groupBy("key").agg(
-            F.min(F.struct(F.xxhash64("node", F.lit(turn)), F.col("node").alias("pivot"), F.col("component").alias("of"))).alias("p"),
+            F.min(F.struct(*order, *[F.col(c).alias(f"b_{c}") for c in ("node", "size", "single", "double", "component")])).alias("p"),
             F.min("component").alias("low"), F.max("component").alias("high"),
-        ).where("low < high").select("key", "p.pivot", "p.of")
-        pairs = at.join(pivot, "key").where("component <> of").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
-        found = cut(_verified(pairs, sets, percent))
+        ).where("low < high").select("key", *[f"p.b_{c}" for c in ("node", "size", "single", "double", "component")])
+        near = at.join(pivot, "key").where((F.col("component") != F.col("b_component")) & _may_link(percent))
+        best = near.groupBy("node", "b_node").agg(F.count(F.lit(1)).alias("n")).groupBy("node").agg(F.max(F.struct("n", "b_node")).alias("best"))
+        found = cut(_verified(best.select(F.col("node").alias("a"), F.col("best.b_node").alias("b")), texts, k, percent))
         if turn and found.isEmpty():
             break
         links = found if links is None else links.unionByName(found)
@@ -203,12 +212,12 @@ def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame
         at = _labelled(postings, label)
     rest = at.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
     left = at.join(rest, "key")
-    right = left.select("key", F.col("node").alias("b"), F.col("size").alias("b_size"), F.col("component").alias("b_component"))
-    pairs = left.join(right, "key").where(
-        (F.col("node") < F.col("b")) & (F.col("component") != F.col("b_component"))
-        & (100 * F.least("size", "b_size") >= percent * F.greatest("size", "b_size"))
-    ).select(F.col("node").alias("a"), "b").distinct()
-    found = cut(_verified(pairs, sets, percent))
+    right = left.select("key", *[F.col(c).alias(f"b_{c}") for c in ("node", "size", "single", "double", "component")])
+    sharing = left.join(right, "key").where((F.col("node") < F.col("b_node")) & (F.col("component") != F.col("b_component")) & _may_link(percent))
+    sharing = sharing.groupBy("node", F.col("b_node").alias("b"), "size", "b_size").agg(*[F.count_if(F.col("key") % 2 == odd).alias(c) for odd, c in ((0, "single"), (1, "double"))])
+    sharing = sharing.select("*", F.col("single").alias("b_single"), F.col("double").alias("b_double"), F.when(F.col("single") > 0, 0).otherwise(1).alias("key"))
+    sharing = sharing.where(_may_link(percent) & ((F.col("double") == 0) | _may_link(percent, F.lit(1))))
+    found = cut(_verified(sharing.select(F.col("node").alias("a"), "b"), texts, k, percent))
     if not found.isEmpty():
         label = cut(components(links.unionByName(found)))
 
@@ -217,6 +226,21 @@ def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame
     return made.select("doc_id", *signature).join(nodes, signature).select("doc_id", "n_shingles", alone)
 
 
+def _may_link(percent: int, key: Column | None = None) -> Column:
+    """Whether sets that share a key can be similar, by their sizes and by how many keys they share, or share at most.
+
+    What two sets share beyond their shared prefix elements lies behind either prefix.  Even keys are prefix elements,
+    odd ones pairs of them; what follows a prefix is one less than the set's least overlap, or two less with pairs.
+    """
+    odd = (F.col("key") if key is None else key) % 2 != 0
+    least = lambda c: F.ceil(c * percent / F.lit(100.0) - F.lit(1e-9))
+    needed = least((F.col("size") + F.col("b_size")) * 100 / F.lit(100.0 + percent))
+    rest = F.greatest(least(F.col("size")), least(F.col("b_size")))
+    elements = (1 + F.sqrt(1 + 8 * F.least("double", "b_double"))) / 2
+    enough = F.when(odd, elements + rest - 2 >= needed).otherwise(F.least("single", "b_single") + rest - 1 >= needed)
+    return enough & (100 * F.least("size", "b_size") >= percent * F.greatest("size", "b_size"))
+
+
 def _labelled(df: DataFrame, label: DataFrame) -> DataFrame:
     return df.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
 

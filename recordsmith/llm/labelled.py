@@ -6,12 +6,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import no_clash
+from .common import hashed_sample, no_clash
 
 #: Labelled documents of each class that a classifier is fitted on, at most.
-SAMPLE_PER_CLASS = 2000
+SAMPLE_PER_CLASS = 1500
 #: Longer labelled texts take no part in fitting, so that the sample's bytes are bounded too.
-SAMPLE_TEXT_BYTES = 20_000
+SAMPLE_TEXT_BYTES = 12_000
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -26,7 +26,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     """
     known = no_clash(labels, "doc_id", label).where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
     known = known.groupBy("doc_id").agg(F.min(label).alias("y"), F.max(label).alias("z")).where("y = z").select("doc_id", "y")
-    picked = [known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for y in (0, 1)]
+    picked = [hashed_sample(known.where(F.col("y") == y), per_class, "doc_id") for y in (0, 1)]
     few = F.broadcast(picked[0].union(picked[1]))  # at most 2 * per_class pairs of numbers
     rows = (
         no_clash(docs, "doc_id", "text").where(F.octet_length("text").between(1, SAMPLE_TEXT_BYTES)).join(few, "doc_id")

@@ -20,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, mix, no_clash, slices
-from .packed import Packer, deal, unpacked
+from .common import cut, first_in_order, mix, partitions, no_clash, slices
+from .packed import PIECES_PER_PARTITION, Packer, deal, unpacked
 
 #: Words of the closed vocabulary, most frequent first, ties by their bytes.
 VOCABULARY = 50_000
@@ -93,7 +93,7 @@ def score(docs: DataFrame, target: Column, vocabulary: int = VOCABULARY) -> Data
     docs = no_clash(docs, "doc_id", "text", "_target").where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("_target").alias("target"))
     counted = cut(docs.select("text", "target").mapInArrow(_counted, "word binary, n long, t long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("t").alias("t")))
     # the vocabulary's bound is a parameter; totals tell what the unknown class has
-    top = counted.orderBy(F.desc("n"), "word").limit(vocabulary).collect()
+    top = sorted(first_in_order(counted, vocabulary, F.desc("n"), F.col("word")).collect(), key=lambda r: (-r.n, bytes(r.word)))
     texts = docs.agg(F.count(F.lit(1)), F.count_if("target")).first()
     total = counted.agg(F.sum("n"), F.sum("t")).first()
     counts = np.zeros((2, FIRST + len(top)))
@@ -135,24 +135,25 @@ def score(docs: DataFrame, target: Column, vocabulary: int = VOCABULARY) -> Data
             yield from packer.add((mix(pair.view(np.uint64)) % np.uint64(pieces)).astype(np.int64), pair, ids[doc], wanted[doc].astype(np.float64), np.zeros(len(pair)))
         yield from packer.flush()
 
+    n_pieces = partitions(spark) * PIECES_PER_PARTITION
+
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[str, list[np.ndarray]] = {"doc": [], "b": [], "t": [], "n": []}
+        packer = Packer(n_pieces, 4)
         for key, doc, x, y in unpacked(batches, [np.int64, np.int64, np.float64, np.float64]):
             own = key < 0
-            for name, part in zip(sums, (doc[own], x[own], y[own], -1 - key[own])):
-                sums[name].append(part)
+            yield from packer.add(doc[own] % n_pieces, doc[own], -1 - key[own], x[own], y[own])
             key, doc, wanted = key[~own], doc[~own], x[~own]
             pair, at = np.unique(key, return_inverse=True)
             loss = shared.value.loss(pair, width, np.stack([np.bincount(at, minlength=len(pair)), np.bincount(at, wanted, len(pair))]))
             some, to = np.unique(doc, return_inverse=True)
-            for name, part in zip(sums, (some, np.bincount(to, loss[0][at], len(some)), np.bincount(to, loss[1][at], len(some)), np.zeros(len(some), np.int64))):
-                sums[name].append(part)
-        if sums["doc"]:
-            doc, to = np.unique(np.concatenate(sums["doc"]), return_inverse=True)
-            b, t, n = (np.bincount(to, np.concatenate(sums[c])) for c in ("b", "t", "n"))
-            yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(n.astype(np.int64)), pa.array(t), pa.array(b)], ["doc_id", "n", "t", "b"])
+            yield from packer.add(some % n_pieces, some, np.zeros(len(some), np.int64), *[np.bincount(to, x[at], len(some)) for x in loss])
+        yield from packer.flush()
 
-    parts = deal(docs, sent, 4).mapInArrow(met, "doc_id long, n long, t double, b double")
-    n = F.sum("n")
-    return parts.groupBy("doc_id").agg(n.alias("n_tokens"), (F.sum("t") / n).alias("ce_target"), (F.sum("b") / n).alias("ce_background")).withColumn("score", F.col("ce_target") - F.col("ce_background"))
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for doc, n, b, t in unpacked(batches, [np.int64, np.int64, np.float64, np.float64]):
+            some, to = np.unique(doc, return_inverse=True)
+            n, b, t = (np.bincount(to, x, len(some)) for x in (n, b, t))
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n.astype(np.int64)), pa.array(t / n), pa.array(b / n), pa.array((t - b) / n)], ["doc_id", "n_tokens", "ce_target", "ce_background", "score"])
 
+    parts = deal(docs, sent, 4).mapInArrow(met, "piece long, c0 binary, c1 binary, c2 binary, c3 binary").repartition(partitions(spark), "piece")
+    return parts.mapInArrow(summed, "doc_id long, n_tokens long, ce_target double, ce_background double, score double")

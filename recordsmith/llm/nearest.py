@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, no_clash
+from .common import cut, hashed_sample, no_clash
 
 SAMPLE_ROWS = 20_000
 CALIBRATION_ROWS = 200
@@ -140,7 +140,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, recall: float = R
     if sizes is None:
         return spark.createDataFrame([], schema)
     rows = rows.where(F.size("embedding") == sizes.n)
-    sample = rows.select("vec_id", "embedding").orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE_ROWS).toArrow()
+    sample = hashed_sample(rows.select("vec_id", "embedding"), SAMPLE_ROWS, "vec_id").toArrow()
     points = _vectors(sample.column("embedding").combine_chunks())
     tree = spark.sparkContext.broadcast(fit(points))
 

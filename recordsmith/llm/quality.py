@@ -48,7 +48,9 @@ def passages(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarr
     out = np.zeros((n, FEATURES))
     out[:, :KINDS] = np.bincount(owner * KINDS + kind, minlength=n * KINDS).reshape(n, KINDS)
     pair = (data[:-1].astype(np.int64) * 257 + data[1:] * 31) % 4093 % PAIRS
-    out[:, KINDS:-5] = np.bincount(owner[:-1] * PAIRS + pair, minlength=n * PAIRS).reshape(n, PAIRS)
+    inside = np.ones(len(pair), bool)
+    inside[starts[1:-1] - 1] = False  # from one text to the next
+    out[:, KINDS:-5] = np.bincount((owner[:-1] * PAIRS + pair)[inside], minlength=n * PAIRS).reshape(n, PAIRS)
     out[:, :-5] = np.sqrt(out[:, :-5] / np.maximum(size, 1)[:, None])
     word = np.maximum(tail - head, 1)
 

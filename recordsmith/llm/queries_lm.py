@@ -45,7 +45,7 @@ WITH low AS (
   FROM bi b JOIN uni v ON v.id = b.v JOIN uni w ON w.id = b.w CROSS JOIN total CROSS JOIN size
 )
 SELECT p.doc_id, count(*) AS n_tokens, round(sum(lt) / count(*), 6) AS ce_target, round(sum(lb) / count(*), 6) AS ce_background,
-  round(sum(lt) / count(*) - sum(lb) / count(*), 6) AS score
+  round((sum(lt) - sum(lb)) / count(*), 6) AS score
 FROM pairs p JOIN loss l ON l.v = p.v AND l.w = p.w GROUP BY p.doc_id
 """
 

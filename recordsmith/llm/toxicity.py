@@ -43,9 +43,13 @@ class Model:
     bias: float
 
 
-def _read(data: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(places, buckets) of the words, then of the n-grams of each size; an n-gram has white space at its ends only."""
-    low = _LOWER[data]
+def _read(texts: pa.Array) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+    """(places, buckets) of the words, then of the n-grams of each size, and where each text's places start.
+
+    An n-gram has white space at its ends only; the white space before a text is the text's own.
+    """
+    data, starts = joined_bytes(texts)
+    low = np.concatenate([[np.uint8(10)], _LOWER[data]])
     apart = _APART[low]
     low = np.where(apart, np.uint8(32), low)
     edge = np.flatnonzero(apart[1:] != apart[:-1]) + 1
@@ -63,23 +67,22 @@ def _read(data: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
         at = np.flatnonzero(inner[size:] - inner[:-size] <= np.where(apart[: n - size + 1], 1, 0) + apart[size - 1 :])
         at = at[inner[at + size] - inner[at] < size - 1]
         kinds.append((at, mix(((sums[at + size] - sums[at]) * down[at]) ^ np.uint64(size << 8)) >> shift))
-    return [(places, buckets.astype(np.int64)) for places, buckets in kinds]
+    return [(places, buckets.astype(np.int64)) for places, buckets in kinds], starts
 
 
 def _bags(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sparse rows: bucket, its share of the text, text."""
     out, row = [], 0
     for piece in slices(iter([pa.record_batch([texts], ["text"])]), "text"):
-        data, starts = joined_bytes(piece.column(0))
-        kinds = _read(data)
+        kinds, starts = _read(piece.column(0))
         doc = np.concatenate([np.searchsorted(starts, places, "right") - 1 for places, _ in kinds])
         count = np.concatenate([np.full(len(places), 1 if i else WORD_COPIES) for i, (places, _) in enumerate(kinds)])
-        key, at = np.unique(doc << BUCKET_BITS | np.concatenate([b for _, b in kinds]), return_inverse=True)
-        out.append((key & ((1 << BUCKET_BITS) - 1), np.bincount(at, count), (key >> BUCKET_BITS) + row))
+        key, at = np.unique(doc.astype(np.int64) << BUCKET_BITS | np.concatenate([b for _, b in kinds]), return_inverse=True)
+        out.append(((key & ((1 << BUCKET_BITS) - 1)).astype(np.int32), np.bincount(at, count).astype(np.float32), ((key >> BUCKET_BITS) + row).astype(np.int32)))
         row += piece.num_rows
     bucket, count, doc = map(np.concatenate, zip(*out))
     share = (SCALE * count / np.bincount(doc, count)[doc]).astype(np.float32)
-    return bucket.astype(np.int32), share, doc.astype(np.int32)
+    return bucket, share, doc
 
 
 def fit(texts: pa.Array, labels: list[int], seed: int = 7) -> Model:
@@ -91,6 +94,7 @@ def fit(texts: pa.Array, labels: list[int], seed: int = 7) -> Model:
     bucket, share, doc = _bags(texts)
     use = np.bincount(bucket, minlength=size)[bucket] >= MIN_TEXTS
     bucket, share, doc = bucket[use], share[use], doc[use]
+    del use
     vectors, moving = rng.normal(0, 1e-3, (size, DIMENSION)), np.zeros((size, DIMENSION))
     columns = np.resize([0.5, -0.5], DIMENSION)  # the softmax's second column less its first
     bias = moving_bias = 0.0
@@ -111,9 +115,9 @@ def fit(texts: pa.Array, labels: list[int], seed: int = 7) -> Model:
 
 def score_texts(texts: pa.Array, model: Model) -> np.ndarray:
     """Scores of 0 to 1; a text without words is an average of nothing and scores by the bias alone."""
-    data, starts = joined_bytes(texts)
     total, count = np.zeros(len(texts)), np.zeros(len(texts))
-    for i, (places, buckets) in enumerate(_read(data)):
+    kinds, starts = _read(texts)
+    for i, (places, buckets) in enumerate(kinds):
         sums = np.concatenate([[0.0], np.cumsum(model.weight[buckets])])
         at, copies = np.searchsorted(places, starts), 1 if i else WORD_COPIES
         total += copies * (sums[at[1:]] - sums[at[:-1]])
