@@ -140,5 +140,5 @@ def score_documents(docs: DataFrame, model: dict[str, np.ndarray] | None) -> Dat
         for batch in slices(batches, "text"):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score_texts(batch.column("text"), sent.value))], ["doc_id", "score"])
 
-    out = no_clash(docs, "doc_id", "text").mapInArrow(scored, "doc_id long, score double")
+    out = no_clash(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text").mapInArrow(scored, "doc_id long, score double")
     return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -141,7 +141,7 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
     one; rows without doc_id stay and count as not held out.  Other columns are ignored.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    scored = no_clash(docs, "doc_id", "text").mapInArrow(lambda it: (b.select(["doc_id", "score"]) for b in _scored(it, sent.value)), "doc_id long, score double")
+    scored = no_clash(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text").mapInArrow(lambda it: (b.select(["doc_id", "score"]) for b in _scored(it, sent.value)), "doc_id long, score double")
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
