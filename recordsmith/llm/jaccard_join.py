@@ -31,6 +31,8 @@ PIECES = 64
 #: Cost of one more partner on a list, in units of the cost of emitting and shuffling one key; it is small because a
 #: member is compared with its list's pivot, not with every partner.
 PAIR_COST = 1 / 64
+#: Times that keys are left out on which no other member can be similar.
+PRUNED = 3
 #: Times that members are compared with a pivot before what is left is paired.
 ROUNDS = 2
 
@@ -185,12 +187,11 @@ def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame
     nodes = made.groupBy(*signature).agg(F.min(F.struct("doc_id", "keys")).alias("least"))
     nodes = cut(nodes.select(*signature, F.col("least.doc_id").alias("node"), F.col("least.keys").alias("keys")))
 
-    postings = nodes.select("node", F.col("n_shingles").alias("size"), F.explode("keys").alias("key"))
-    shared = postings.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("key")
-    postings = postings.join(shared, "key").distinct()
-    shares = postings.groupBy("node").agg(F.count_if(F.col("key") % 2 == 0).alias("single"), F.count_if(F.col("key") % 2 != 0).alias("double"))
-    members = shares.select(F.col("node").alias("doc_id"))
-    postings = cut(postings.join(shares, "node"))
+    postings = nodes.select("node", F.col("n_shingles").alias("size"), F.explode(F.array_distinct("keys")).alias("key"))
+    postings = postings.withColumn("single", F.lit(1 << 40)).withColumn("double", F.lit(1 << 40))
+    for _ in range(PRUNED):
+        postings = cut(_viable(postings, percent))
+    members = postings.select(F.col("node").alias("doc_id")).distinct()
     texts = cut(docs.join(members, "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "text"))
 
     links, label = None, None
@@ -226,19 +227,35 @@ def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame
     return made.select("doc_id", *signature).join(nodes, signature).select("doc_id", "n_shingles", alone)
 
 
-def _may_link(percent: int, key: Column | None = None) -> Column:
+def _viable(postings: DataFrame, percent: int) -> DataFrame:
+    """Keys of a node on which some other member can be similar to it; and how many of them the node has, by kind.
+
+    Of two members each is the other's only partner; of more, the sizes nearest to the limits are tried, where a link
+    needs least.  A similar pair keeps all keys that it shares.
+    """
+    keys = postings.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("size").alias("low"), F.max("size").alias("high")).where("n > 1")
+    size, other = F.col("size"), F.col("low") + F.col("high") - F.col("size")
+    most = F.when(F.col("n") == 2, other).otherwise(F.least("high", F.floor(size * 100 / F.lit(float(percent)) + F.lit(1e-9))))
+    least = F.when(F.col("n") == 2, other).otherwise(F.greatest("low", F.ceil(size * percent / F.lit(100.0) - F.lit(1e-9))))
+    kept = postings.join(keys, "key").where(_may_link(percent, b=(most, F.col("single"), F.col("double"))) | _may_link(percent, b=(least, F.col("single"), F.col("double")))).select("node", "size", "key")
+    shares = kept.groupBy("node").agg(F.count_if(F.col("key") % 2 == 0).alias("single"), F.count_if(F.col("key") % 2 != 0).alias("double"))
+    return kept.join(shares, "node")
+
+
+def _may_link(percent: int, key: Column | None = None, b: tuple[Column, Column, Column] | None = None) -> Column:
     """Whether sets that share a key can be similar, by their sizes and by how many keys they share, or share at most.
 
     What two sets share beyond their shared prefix elements lies behind either prefix.  Even keys are prefix elements,
     odd ones pairs of them; what follows a prefix is one less than the set's least overlap, or two less with pairs.
     """
     odd = (F.col("key") if key is None else key) % 2 != 0
+    b_size, b_single, b_double = b or (F.col("b_size"), F.col("b_single"), F.col("b_double"))
     least = lambda c: F.ceil(c * percent / F.lit(100.0) - F.lit(1e-9))
-    needed = least((F.col("size") + F.col("b_size")) * 100 / F.lit(100.0 + percent))
-    rest = F.greatest(least(F.col("size")), least(F.col("b_size")))
-    elements = (1 + F.sqrt(1 + 8 * F.least("double", "b_double"))) / 2
-    enough = F.when(odd, elements + rest - 2 >= needed).otherwise(F.least("single", "b_single") + rest - 1 >= needed)
-    return enough & (100 * F.least("size", "b_size") >= percent * F.greatest("size", "b_size"))
+    needed = least((F.col("size") + b_size) * 100 / F.lit(100.0 + percent))
+    rest = F.greatest(least(F.col("size")), least(b_size))
+    elements = (1 + F.sqrt(1 + 8 * F.least(F.col("double"), b_double))) / 2
+    enough = F.when(odd, elements + rest - 2 >= needed).otherwise(F.least(F.col("single"), b_single) + rest - 1 >= needed)
+    return enough & (100 * F.least(F.col("size"), b_size) >= percent * F.greatest(F.col("size"), b_size))
 
 
 def _labelled(df: DataFrame, label: DataFrame) -> DataFrame:
