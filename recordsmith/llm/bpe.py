@@ -21,9 +21,9 @@ from pyspark.sql import functions as F
 from .common import no_clash, slices
 
 #: Words that a Python worker keeps; beyond that the cache starts anew.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 200_000
 #: Words of one recursive query, and their bytes.
-QUERY_WORDS, QUERY_BYTES = 60_000, 1_200_000
+QUERY_WORDS, QUERY_BYTES = 16_000, 300_000
 
 #: A row's key is its word's number times PLACES plus its position; a pair's key is likewise made of two ids.
 PLACES = 1 << 28
@@ -130,7 +130,7 @@ def codec(ranks: bytes, pattern: str) -> Codec:
 
 def _encoded(batches: Iterator[pa.RecordBatch], ranks: bytes, pattern: str, full: bool) -> Iterator[pa.RecordBatch]:
     own = codec(ranks, pattern)
-    for batch in slices(batches, "text", 4 << 20):
+    for batch in slices(batches, "text"):
         texts = [own.split(t or "") for t in batch.column("text").to_pylist()]
         own.prepare(texts)
         joined = [" ".join(map(own.ids.__getitem__, words)) for words in texts]
