@@ -230,34 +230,52 @@ def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame
 def _viable(postings: DataFrame, percent: int) -> DataFrame:
     """Keys of a node on which some other member can be similar to it; and how many of them the node has, by kind.
 
-    Of two members each is the other's only partner; of more, the sizes nearest to the limits are tried, where a link
-    needs least.  A similar pair keeps all keys that it shares.
+    Of two members each is the other's only partner.  Of more, every size on the list's range might stand there: what
+    may be shared behind a prefix less what a link needs grows with the partner's size but for steps of one, by its two
+    ceilings, so that it is greatest at the largest size or a few below it, or at the least.  A similar pair keeps all
+    keys that it shares.
     """
     keys = postings.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("size").alias("low"), F.max("size").alias("high")).where("n > 1")
     size, other = F.col("size"), F.col("low") + F.col("high") - F.col("size")
     most = F.when(F.col("n") == 2, other).otherwise(F.least("high", F.floor(size * 100 / F.lit(float(percent)) + F.lit(1e-9))))
     least = F.when(F.col("n") == 2, other).otherwise(F.greatest("low", F.ceil(size * percent / F.lit(100.0) - F.lit(1e-9))))
-    kept = postings.join(keys, "key").where(_may_link(percent, b=(most, F.col("single"), F.col("double"))) | _may_link(percent, b=(least, F.col("single"), F.col("double")))).select("node", "size", "key")
+    near = postings.join(keys, "key").select("*", most.alias("most"), least.alias("least"))
+    slack = F.greatest(_slack(percent, size, F.col("least")), *[_slack(percent, size, F.greatest("least", F.col("most") - d)) for d in range(_steps(percent) + 1)])
+    fits = (100 * F.least("size", "most") >= percent * F.greatest("size", "most")) | (100 * F.least("size", "least") >= percent * F.greatest("size", "least"))
+    kept = near.where(fits & _enough(F.col("key") % 2 != 0, F.col("single"), F.col("double"), slack)).select("node", "size", "key")
     shares = kept.groupBy("node").agg(F.count_if(F.col("key") % 2 == 0).alias("single"), F.count_if(F.col("key") % 2 != 0).alias("double"))
     return kept.join(shares, "node")
 
 
-def _may_link(percent: int, key: Column | None = None, b: tuple[Column, Column, Column] | None = None) -> Column:
+def _may_link(percent: int, key: Column | None = None) -> Column:
     """Whether sets that share a key can be similar, by their sizes and by how many keys they share, or share at most.
 
     What two sets share beyond their shared prefix elements lies behind either prefix.  Even keys are prefix elements,
     odd ones pairs of them; what follows a prefix is one less than the set's least overlap, or two less with pairs.
     """
     odd = (F.col("key") if key is None else key) % 2 != 0
-    b_size, b_single, b_double = b or (F.col("b_size"), F.col("b_single"), F.col("b_double"))
-    least = lambda c: F.ceil(c * percent / F.lit(100.0) - F.lit(1e-9))
-    needed = least((F.col("size") + b_size) * 100 / F.lit(100.0 + percent))
-    rest = F.greatest(least(F.col("size")), least(b_size))
-    elements = (1 + F.sqrt(1 + 8 * F.least(F.col("double"), b_double))) / 2
-    enough = F.when(odd, elements + rest - 2 >= needed).otherwise(F.least(F.col("single"), b_single) + rest - 1 >= needed)
+    b_size = F.col("b_size")
+    enough = _enough(odd, F.least("single", "b_single"), F.least("double", "b_double"), _slack(percent, F.col("size"), b_size))
     return enough & (100 * F.least(F.col("size"), b_size) >= percent * F.greatest(F.col("size"), b_size))
 
 
+def _slack(percent: int, a: Column, b: Column) -> Column:
+    """The greater of two sets' least overlaps, less the elements that both must share to be similar."""
+    least = lambda c: F.ceil(c * percent / F.lit(100.0) - F.lit(1e-9))
+    return F.greatest(least(a), least(b)) - least((a + b) * 100 / F.lit(100.0 + percent))
+
+
+def _steps(percent: int) -> int:
+    """Sizes below the largest partner at which the slack can still be greater: it is within one of a line that rises by
+    t * t / (1 + t) a size, for a similarity t."""
+    return -(-2 * 100 * (100 + percent) // percent**2)
+
+
+def _enough(odd: Column, single: Column, double: Column, slack: Column) -> Column:
+    elements = (1 + F.sqrt(1 + 8 * double)) / 2
+    return F.when(odd, elements - 2 + slack >= 0).otherwise(single - 1 + slack >= 0)
+
+
 def _labelled(df: DataFrame, label: DataFrame) -> DataFrame:
     return df.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
 

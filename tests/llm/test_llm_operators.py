@@ -83,6 +83,21 @@ def test_jaccard_join_groups(spark, monkeypatch, boundary):
         assert got == brute_components(rows, k, percent)
 
 
+@pytest.mark.parametrize("boundary", [0, 1 << 40])
+def test_jaccard_join_sizes_between(spark, monkeypatch, boundary):
+    """Three sets on a list, of which two link only at a size between the limits."""
+    monkeypatch.setattr(jaccard_join, "cheapest_boundary", lambda rows: boundary)
+    for percent, sizes in ((90, range(20, 45)), (80, range(10, 30))):
+        rows = []
+        for g, shared in enumerate(sizes):
+            base, own = prose(3000 + g, shared + 2), iter(prose(4000 + g, 300).split())
+            for more in (1, 2, 3) if percent == 90 else (1, 4, 5):
+                rows.append((len(rows), " ".join([base, *[next(own) for _ in range(more)]])))
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.near_duplicates(df, 3, percent).collect()}
+        assert got == brute_components(rows, 3, percent)
+
+
 # 3 ---------------------------------------------------------------------------------------------------------------
 
 
