@@ -8,7 +8,9 @@ emitted positions are hash keys; several walks and samples, as many as reach the
 the candidates, and each candidate is verified by the exact edit distance.
 
 Before a window is walked, a count must hold that every match meets: an edit spoils GRAM runs of GRAM words at most, so
-that the window has all of the item's other runs.  Items go to the tasks in blocks of bounded size; a larger benchmark
+that the window has all of the item's other runs.  Where MOST_WALKS do not reach the recall for a number of words, as
+for long items, its items are not walked: all windows for which the count holds by the item's own runs are candidates,
+which misses none.  Items go to the tasks in blocks of bounded size; a larger benchmark
 takes several passes.
 """
 
@@ -28,6 +30,9 @@ from .common import joined_bytes, mix, no_clash, slices, words
 #: Allowed edits of an item, in hundredths of its words.
 EDITS_PERCENT = 20
 RECALL, MOST_WALKS = 0.97, 24
+#: Edited copies, at least, on which the recall of the items of one number of words is judged; fewer in bands of many
+#: long sizes.
+PROBES, PROBE_WORDS = 400, 1 << 24
 SAMPLES, SAMPLED, STEPS_PER_WORD = 4, 5, 2
 #: Items of one band differ by this factor at most.
 BAND = 1.5
@@ -48,6 +53,8 @@ class Size:
     edits: int
     gram: int
     has: np.ndarray
+    #: Where the walks miss the recall, the items' own runs: (rows of the band's items, run numbers, where each item's begin).
+    counted: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
 
 
 @dataclass
@@ -95,6 +102,11 @@ def _samples(least: int, seed: int) -> np.ndarray:
 
 def edit_distance(item: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """Least edits between an item [k, n] and any run of the words of its row [k, m]."""
+    return _edits_to(item, rows).min(1)
+
+
+def _edits_to(item: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Least edits [k, m + 1] between an item and a run that ends before each word of its row, or after the last."""
     column = np.arange(rows.shape[1] + 1)
     line = np.zeros((len(rows), rows.shape[1] + 1), np.int64)
     for i in range(item.shape[1]):
@@ -102,7 +114,7 @@ def edit_distance(item: np.ndarray, rows: np.ndarray) -> np.ndarray:
         new[:, 0] = i + 1
         new[:, 1:] = np.minimum(line[:, :-1] + (rows != item[:, i : i + 1]), line[:, 1:] + 1)
         line = np.minimum.accumulate(new - column, axis=1) + column
-    return line.min(1)
+    return line
 
 
 def _edited(item: np.ndarray, edits: int, rng: np.random.Generator) -> np.ndarray:
@@ -128,7 +140,7 @@ def index(texts: list[tuple[int, str]], percent: int = EDITS_PERCENT) -> tuple[l
     for i, n in enumerate(np.diff(bounds)):
         if n:
             by_band.setdefault(int(np.log(n) / np.log(BAND)), []).append(i)
-    bands = []
+    bands, walks = [], MOST_WALKS
     for _, own in sorted(by_band.items()):
         n = np.diff(bounds)[own]
         items = np.full((len(own), n.max()), _PAD)
@@ -140,22 +152,32 @@ def index(texts: list[tuple[int, str]], percent: int = EDITS_PERCENT) -> tuple[l
             gram = GRAM if size + 1 - GRAM - GRAM * edits > 0 else 1
             runs = np.concatenate([_runs(item[:size], gram)[: size + 1 - gram] for item in items[n == size]])
             sizes.append(Size(size, edits, gram, np.isin(known[gram], runs)))
-        rng, copies = np.random.default_rng(len(own)), max(1, 400 // len(items))
-        source = np.tile(np.arange(len(items)), copies)
+        # probes of each size, as longer items are harder to find; once a whole band was missed, longer ones are not tried
+        rng, probes = np.random.default_rng(len(own)), max(20, min(PROBES, PROBE_WORDS // (len(sizes) * items.shape[1])))
+        source = np.concatenate([np.tile(np.flatnonzero(n == s.n), -(-probes // (n == s.n).sum())) for s in sizes]) if walks else np.zeros(0, np.int64)
         probe = items[source]
         for row, i in enumerate(source):
             probe[row, : n[i]] = _edited(items[i, : n[i]], edits_allowed(int(n[i]), percent), rng)
-        hit, keys, samples = np.zeros(len(probe), bool), [], []
-        for seed in range(MOST_WALKS):
+        hit, keys, samples, reached = np.zeros(len(probe), bool), [], [], {}
+        for seed in range(MOST_WALKS if walks else 0):
             samples.append(_samples(int(n.min()), seed))
             mine, theirs = walk(items, n, seed, samples[-1]), walk(probe, n[source], seed, samples[-1])
             for k in range(SAMPLES):
                 order = np.argsort(mine[k], kind="stable")
                 keys.append((mine[k][order], order))
                 hit |= theirs[k] == mine[k][source]
-            if hit.mean() >= RECALL:
+            for s in sizes:
+                if s.n not in reached and hit[n[source] == s.n].mean() >= RECALL:
+                    reached[s.n] = seed + 1
+            if len(reached) == len(sizes):
                 break
-        bands.append(Band(sizes, items, n, np.array([texts[i][0] for i in own]), samples, keys))
+        walks = max(reached.values(), default=0)
+        for s in sizes:
+            if s.n not in reached:
+                rows = np.flatnonzero(n == s.n)
+                runs = [np.searchsorted(known[s.gram], np.unique(_runs(items[i, : s.n], s.gram)[: s.n + 1 - s.gram])) for i in rows]
+                s.counted = rows, np.concatenate(runs), np.cumsum([0, *map(len, runs)])
+        bands.append(Band(sizes, items, n, np.array([texts[i][0] for i in own]), samples[:walks], keys[: walks * SAMPLES]))
     return bands, known
 
 
@@ -177,29 +199,74 @@ def _hits(runs: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return some[fits], which[fits]
 
 
-def _windows(hashes: np.ndarray, bounds: np.ndarray, sizes: list[Size], known: dict[int, np.ndarray]) -> Iterator[tuple[Size, np.ndarray]]:
+def _enough(place: np.ndarray, bounds: np.ndarray, s: Size) -> np.ndarray:
+    """First words of the windows that have enough of the runs at these places."""
+    need, reach = s.n + 1 - s.gram - s.gram * s.edits, s.n - s.gram
+    k = np.flatnonzero(place[need - 1 :] - place[: len(place) - need + 1] <= reach) if len(place) >= need else np.zeros(0, np.int64)
+    low, high = place[k + need - 1] - reach, place[k]
+    first = np.unique(np.repeat(low - np.concatenate([[0], np.cumsum(high - low + 1)[:-1]]), high - low + 1) + np.arange((high - low + 1).sum())) if len(k) else k
+    first = first[first >= 0]
+    doc = np.searchsorted(bounds, first, "right") - 1
+    return first[first + s.n <= bounds[doc + 1]]
+
+
+def _windows(bounds: np.ndarray, sizes: list[Size], hits: dict[int, tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[Size, np.ndarray]]:
     """For each size the first words of the windows that have enough runs of its items; a text that is shorter, but not
     by more than the edits, is one window."""
     count = np.diff(bounds)
-    hits = {gram: _hits(_runs(hashes, gram), known[gram]) for gram in {s.gram for s in sizes}}
     for s in sizes:
         place, which = hits[s.gram]
-        place = place[s.has[which]]
-        need, reach = s.n + 1 - s.gram - s.gram * s.edits, s.n - s.gram
-        k = np.flatnonzero(place[need - 1 :] - place[: len(place) - need + 1] <= reach) if len(place) >= need else np.zeros(0, np.int64)
-        low, high = place[k + need - 1] - reach, place[k]
-        first = np.unique(np.repeat(low - np.concatenate([[0], np.cumsum(high - low + 1)[:-1]]), high - low + 1) + np.arange((high - low + 1).sum())) if len(k) else k
-        first = first[first >= 0]
-        doc = np.searchsorted(bounds, first, "right") - 1
-        first = first[first + s.n <= bounds[doc + 1]]
-        yield s, np.concatenate([first, bounds[:-1][(count < s.n) & (count >= s.n - s.edits)]])
+        yield s, np.concatenate([_enough(place[s.has[which]], bounds, s), bounds[:-1][(count < s.n) & (count >= s.n - s.edits)]])
+
+
+def _counted(hashes: np.ndarray, bounds: np.ndarray, band: Band, s: Size, hits: dict[int, tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[int, int, int, int, int]]:
+    """Matches, as _matches() gives them, of all windows that have enough of an item's own runs.
+
+    A row reaches as far as the edits beyond its window on both sides, so that of neighbouring windows each one after as
+    many steps, and the last, see every match; where it ends tells the first window that sees it.
+    """
+    place, which = hits[s.gram]
+    order = np.argsort(which, kind="stable")
+    place, which = place[order], which[order]
+    rows, runs, begin = s.counted
+    low, high = np.searchsorted(which, runs), np.searchsorted(which, runs, "right")
+    total = np.concatenate([[0], np.cumsum(high - low)])
+    need, count = s.n + 1 - s.gram - s.gram * s.edits, np.diff(bounds)
+    short = (count < s.n) & (count >= s.n - s.edits)
+    step = max(1, STEP // 8 // (s.n + 2 * s.edits))
+    for j in np.flatnonzero(total[begin[1:]] - total[begin[:-1]] >= need):
+        own = np.sort(np.concatenate([place[a:b] for a, b in zip(low[begin[j] : begin[j + 1]], high[begin[j] : begin[j + 1]])]))
+        full = _enough(own, bounds, s)
+        run = np.concatenate([[True], np.diff(full) > 1]) if len(full) else np.zeros(0, bool)
+        since = np.arange(len(full)) - np.maximum.accumulate(np.where(run, np.arange(len(full)), 0)) if len(full) else full
+        some = full[(since % (s.edits + 1) == 0) | np.concatenate([run[1:], [True]])] if len(full) else full
+        held = np.searchsorted(own, bounds[1:]) - np.searchsorted(own, bounds[:-1])
+        first = np.concatenate([some, bounds[:-1][short & (held >= need)]])
+        for part in range(0, len(first), step):
+            at = first[part : part + step]
+            doc = np.searchsorted(bounds, at, "right") - 1
+            around = at[:, None] + np.arange(-s.edits, s.n + s.edits)
+            inside = (around >= bounds[doc][:, None]) & (around < bounds[doc + 1][:, None])
+            near = np.where(inside, hashes[np.clip(around, 0, len(hashes) - 1)], _PAD - np.uint64(1))
+            line = _edits_to(np.repeat(band.items[rows[j] : rows[j] + 1, : s.n], len(at), 0), near)
+            far, end = line.min(1), at - s.edits + line.argmin(1)
+            for w in np.flatnonzero(far <= s.edits):
+                start = int(at[w])
+                if count[doc[w]] >= s.n:
+                    start = int(full[np.searchsorted(full, max(end[w] - s.n - s.edits, bounds[doc[w]]))])
+                yield int(doc[w]), int(band.ids[rows[j]]), int(far[w]), start - int(bounds[doc[w]]), s.n
 
 
 def _matches(hashes: np.ndarray, bounds: np.ndarray, index_: tuple[list[Band], dict[int, np.ndarray]]) -> Iterator[tuple[int, int, int, int, int]]:
     """(text, item_id, edits, first word, words) of verified windows."""
     bands, known = index_
+    hits = {gram: _hits(_runs(hashes, gram), known[gram]) for gram in {s.gram for band in bands for s in band.sizes}}
     for band in bands:
-        found_at = [(s, first) for s, first in _windows(hashes, bounds, band.sizes, known) if len(first)]
+        for s in band.sizes:
+            if s.counted:
+                yield from _counted(hashes, bounds, band, s, hits)
+        walked = [s for s in band.sizes if not s.counted]
+        found_at = [(s, first) for s, first in _windows(bounds, walked, hits) if len(first)]
         if not found_at:
             continue
         width = band.items.shape[1]
@@ -220,7 +287,7 @@ def _matches(hashes: np.ndarray, bounds: np.ndarray, index_: tuple[list[Band], d
                     for w in np.flatnonzero(high > low):
                         found.update((int(w), int(i)) for i in order[low[w] : high[w]] if band.n[i] == n[w])
             pairs = np.array(sorted(found), np.int64).reshape(-1, 2)
-            for size in band.sizes:
+            for size in walked:
                 own = pairs[n[pairs[:, 0]] == size.n]
                 around = first[own[:, 0]][:, None] + np.arange(-size.edits, size.n + size.edits)
                 near = doc[own[:, 0]][:, None]

@@ -124,6 +124,27 @@ def test_decontamination(spark, hard, none):
     assert decontamination.contaminated(hard, bench).count() == 0
 
 
+def test_decontamination_long_items(spark):
+    """Copies with as many edits as are allowed, of items for which the walks do not reach the recall."""
+    items = [(i, prose(8000 + i, n)) for i, n in enumerate((60, 80, 100, 200, 450))]
+    docs, rng = [], np.random.default_rng(5)
+    for i in range(100):
+        w = items[i % 5][1].split()
+        for p in sorted(rng.choice(len(w), len(w) // 5, replace=False).tolist(), reverse=True):
+            kind = rng.integers(3)
+            w[p : p + 1] = [[f"new{p}"], [], [w[p], f"more{p}"]][kind]
+        around = (prose(8100 + i, 300 if i % 4 else 0), prose(8300 + i, 300 if i % 3 else 0))
+        docs.append((i, f"{around[0]} {' '.join(w)} {around[1]}"))
+    # too far: every fourth word
+    docs += [(200 + i, edited(t, *range(0, len(t.split()), 4))) for i, t in items]
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r for r in decontamination.contaminated(df, bench).collect()}
+    assert set(got) == {(i, i % 5) for i in range(100)}
+    for (i, j), r in got.items():
+        assert r.edits <= len(items[j][1].split()) // 5 and r.n_words == len(items[j][1].split())
+    assert {r.doc_id for r in decontamination.clean(df, bench).collect()} == {200 + i for i in range(5)}
+
+
 def test_edit_distance():
     rng = np.random.default_rng(0)
     for _ in range(100):
