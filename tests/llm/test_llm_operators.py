@@ -316,6 +316,40 @@ def test_substring_dedup(spark, hard, none):
     assert {8, 9, 10, 12, 16} <= found and not found & {None, 1, 2, 3, 4, 7, 11, 17, 18, 20}
 
 
+def test_similar_passages_repeated_lines():
+    """The passage's opening, its closing or both stand elsewhere in the partner too."""
+    rng = np.random.default_rng(3)
+    fresh = lambda n: rng.integers(1 << 62, size=n).astype(np.uint64)
+    for n, opens, closes in ((56, 1, 0), (56, 0, 1), (56, 1, 1), (90, 3, 3)):
+        copied = fresh(n)
+        theirs = np.concatenate([copied[:opens], fresh(39), copied[n - closes :], fresh(5), copied, fresh(20), copied[:opens], fresh(9)])
+        found = list(substring_dedup.similar_passages(copied, theirs, 46, 80))
+        assert len(found) == 1 and found[0][:2] == (0, n)
+        for a, b, k, m, similar in found:
+            x, y = set(copied[a:b].tolist()), set(theirs[k:m].tolist())
+            assert m - k >= 46 and similar == len(x & y) / len(x | y) >= 0.9
+    # two copied passages in one stretch, in the other order and far from each other
+    one, two = fresh(60), fresh(60)
+    found = list(substring_dedup.similar_passages(np.concatenate([one, two]), np.concatenate([two, fresh(80), one]), 46, 80))
+    covered = np.zeros(120, bool)
+    for a, b, _, _, similar in found:
+        covered[a:b] = True
+        assert similar >= 0.8
+    assert covered.sum() >= 100
+    assert not list(substring_dedup.similar_passages(fresh(60), fresh(60), 46, 80))
+
+
+def test_best_partner():
+    rng = np.random.default_rng(4)
+    for _ in range(50):
+        theirs, own = rng.integers(0, 12, 40), rng.integers(0, 12, 10)
+        k, m, surplus = substring_dedup.best_partner(own, theirs, substring_dedup._before(theirs), 5, 80, {})
+        gain = lambda x, y: 180 * len(x & y) - 80 * (len(x) + len(y))
+        x, size = set(own.tolist()), len(set(own.tolist()))
+        lengths = {max(5, round(size * c / 100)) for c in (100, 90, 110, 80, 125)}
+        assert surplus == gain(x, set(theirs[k:m].tolist())) == max(gain(x, set(theirs[i : i + n].tolist())) for n in lengths for i in range(41 - n))
+
+
 # pipeline --------------------------------------------------------------------------------------------------------
 
 
