@@ -34,7 +34,7 @@ def leaves(records: DataFrame) -> DataFrame:
     each = no_clash(records, "page_id", "record").where("page_id is not null").select(
         F.col("page_id").cast("long").alias("page_id"), F.octet_length("record").cast("long").alias("n_bytes"), F.sha2("record", 256).alias("digest")
     )
-    one = each.groupBy("page_id").agg(F.sum("n_bytes").alias("n_bytes"), F.min("digest").alias("digest"), F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_set("digest")), "").alias("all"))
+    one = each.groupBy("page_id").agg(F.sum("n_bytes").alias("n_bytes"), F.min("digest").alias("digest"), F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_list("digest")), "").alias("all"))
     digest = F.when(F.col("n") == 1, F.col("digest")).otherwise(F.sha2(F.concat("all", F.col("n").cast("string")), 256))
     return one.select(F.col("page_id").alias("slot"), "page_id", "n_bytes", digest.alias("digest")).withColumn("hash", F.sha2(F.concat_ws(":", F.lit("leaf"), "slot", "n_bytes", "digest"), 256))
 

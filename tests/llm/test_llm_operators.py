@@ -295,6 +295,14 @@ def test_fixity(spark):
     assert lost.end_offset - lost.start_offset == len("record 300")
 
 
+def test_fixity_repeats(spark):
+    """Copies of one record that differ only in how often each stands there."""
+    a, b = ([(3, t) for t in copies] + [(4, "whole")] for copies in (["one", "one", "two"], ["two", "one", "two"]))
+    a, b = (spark.createDataFrame(rows, "page_id long, record string") for rows in (a, b))
+    assert [(r.page_id, r.status) for r in fixity.audit(a, b).collect()] == [(3, "changed")]
+    assert fixity.audit(a, a.orderBy(F.desc("record"))).count() == 0
+
+
 # 10 --------------------------------------------------------------------------------------------------------------
 
 
