@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,8 +9,6 @@ from .common import hashed_sample, no_clash
 
 #: Labelled documents of each class that a classifier is fitted on, at most.
 SAMPLE_PER_CLASS = 1500
-#: Longer labelled texts take no part in fitting, so that the sample's bytes are bounded too.
-SAMPLE_TEXT_BYTES = 12_000
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -19,17 +16,15 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 3 == 1, F.lit(False))
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int = SAMPLE_PER_CLASS) -> tuple[pa.Array, list[int]]:
-    """Texts and labels (0, 1) of up to ``per_class`` documents of each class, by the order of their hashed ids.
+def training_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int = SAMPLE_PER_CLASS) -> DataFrame:
+    """(doc_id, text, y) of up to ``per_class`` documents of each class, by the order of their hashed ids.
 
-    Held-out rows, rows without label, and ids in disagreement are not used.
+    Held-out rows, rows without label, and ids in disagreement are not used.  A null text is empty; of different texts
+    under one doc_id the least is taken.
     """
     known = no_clash(labels, "doc_id", label).where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
     known = known.groupBy("doc_id").agg(F.min(label).alias("y"), F.max(label).alias("z")).where("y = z").select("doc_id", "y")
     picked = [hashed_sample(known.where(F.col("y") == y), per_class, "doc_id") for y in (0, 1)]
     few = F.broadcast(picked[0].union(picked[1]))  # at most 2 * per_class pairs of numbers
-    rows = (
-        no_clash(docs, "doc_id", "text").where(F.octet_length("text").between(1, SAMPLE_TEXT_BYTES)).join(few, "doc_id")
-        .groupBy("doc_id").agg(F.min("text").alias("text"), F.min("y").alias("y")).toArrow().sort_by("doc_id")
-    )
-    return rows.column("text").combine_chunks(), rows.column("y").to_pylist()
+    rows = no_clash(docs, "doc_id", "text").join(few, "doc_id").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.col("y").cast("int").alias("y"))
+    return rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("y").alias("y"))

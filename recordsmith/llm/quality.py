@@ -2,7 +2,8 @@
 
 A document is a bag of passages.  Every passage is encoded from its bytes and words; gated attention weighs the encoded
 passages, their weighted sum is the document's representation, and a logistic unit scores it.  Encoder, attention and
-unit are trained together from document labels, in numpy, on a bounded sample.
+unit are trained together from document labels, in numpy, on a bounded sample, of whose very long texts FIT_PASSAGES evenly
+spread passages are used; scores are of all passages.  Tasks encode the sample, so that the driver holds no texts.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from .common import joined_bytes, no_clash, slices, words
 from .labelled import held_out, training_sample
 
 PASSAGE_WORDS = 64
+#: Passages of one text that take part in fitting, at most.
+FIT_PASSAGES = 512
 PAIRS = 64
 HIDDEN, GATES = 24, 16
 EPOCHS, BATCH, RATE, DECAY = 30, 32, 0.01, 1e-4
@@ -78,15 +81,11 @@ def _forward(x: np.ndarray, each: np.ndarray, p: dict[str, np.ndarray]) -> tuple
     return h, t, g, a, bag, np.clip(bag @ p["out"] + p["out_b"][0], -30, 30), at
 
 
-def fit(texts: pa.Array, labels: list[int], seed: int = 11) -> dict[str, np.ndarray] | None:
+def fit_bags(bags: list[np.ndarray], labels: list[int], seed: int = 11) -> dict[str, np.ndarray] | None:
     """Adam on minibatches of documents.  Without both classes there is no model."""
     if len(set(labels)) < 2:
         return None
     rng = np.random.default_rng(seed)
-    bags: list[np.ndarray] = []
-    for piece in slices(iter([pa.record_batch([texts], ["text"])]), "text"):
-        x, each = passages(*joined_bytes(piece.column(0)))
-        bags += np.split(x, np.cumsum(each)[:-1])
     stacked = np.concatenate(bags)
     mean, spread = stacked.mean(0), stacked.std(0) + 0.02
     bags = [(b - mean) / spread for b in bags]
@@ -117,6 +116,23 @@ def fit(texts: pa.Array, labels: list[int], seed: int = 11) -> dict[str, np.ndar
     return p | {"mean": mean, "spread": spread}
 
 
+def _bags(texts: pa.Array) -> list[np.ndarray]:
+    x, each = passages(*joined_bytes(texts))
+    own = np.split(x, np.cumsum(each)[:-1])
+    return [b if len(b) <= FIT_PASSAGES else b[np.linspace(0, len(b) - 1, FIT_PASSAGES).astype(np.int64)] for b in own]
+
+
+def fit(texts: pa.Array, labels: list[int], seed: int = 11) -> dict[str, np.ndarray] | None:
+    """As fit_bags(), of texts at hand."""
+    return fit_bags([bag for piece in slices(iter([pa.record_batch([texts], ["text"])]), "text") for bag in _bags(piece.column(0))], labels, seed)
+
+
+def _bagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches, "text"):
+        own = pa.array([b.astype(np.float32).tobytes() for b in _bags(batch.column("text"))], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), own], ["doc_id", "y", "bag"])
+
+
 def score_texts(texts: pa.Array, model: dict[str, np.ndarray] | None) -> np.ndarray:
     if model is None:
         return np.full(len(texts), 0.5)
@@ -125,7 +141,9 @@ def score_texts(texts: pa.Array, model: dict[str, np.ndarray] | None) -> np.ndar
 
 
 def train(docs: DataFrame, labels: DataFrame) -> dict[str, np.ndarray] | None:
-    return fit(*training_sample(docs, labels, "quality"))
+    """The driver gets the encoded passages of the sampled texts: FIT_PASSAGES of each at most."""
+    rows = training_sample(docs, labels, "quality").mapInArrow(_bagged, "doc_id long, y int, bag binary").toArrow().sort_by("doc_id")
+    return fit_bags([np.frombuffer(b, np.float32).reshape(-1, FEATURES).astype(float) for b in rows.column("bag").to_pylist()], rows.column("y").to_pylist())
 
 
 def score_documents(docs: DataFrame, model: dict[str, np.ndarray] | None) -> DataFrame:

@@ -2,8 +2,11 @@
 
 A text is the average of the vectors of its words and of their character n-grams (as bytes, with word ends), so that a
 misspelt word shares vectors with the word.  The average goes through a linear softmax.  Vectors and softmax are trained
-together, in numpy, by steps over a bounded sample; a vector's step is scaled by the curvature along its n-gram, so that
-common n-grams do not drown rare ones.  For scoring, vectors and softmax fold into one number for each n-gram.
+together, in numpy, by gradient steps on minibatches of a bounded sample of labelled texts; tasks turn those texts into
+bags first, so that the driver holds no texts.  A vector's step is scaled by the curvature along its n-gram, so that
+common n-grams do not drown rare ones.  Training is repeated without each fold of the sample in turn: the models'
+average is the model, and the folds that each has not seen tell what its scores mean.  For scoring, vectors and softmax
+fold into one number for each n-gram.
 """
 
 from __future__ import annotations
@@ -23,10 +26,12 @@ BUCKET_BITS = 18
 SIZES = (3, 4, 5)
 #: A word's own vector counts as so many n-grams.
 WORD_COPIES = 3
-#: An n-gram has a vector of its own if so many texts of the sample have it; others count as zero.
+#: An n-gram that fewer texts of the sample have counts as zero: it tells one text from the others, not a class.
 MIN_TEXTS = 5
 DIMENSION = 4
-STEPS, RATE, MOMENTUM, RIDGE = 50, 0.04, 0.9, 0.2
+#: Texts of a step; texts that training goes through, repeats included; the step's size, for vectors and softmax alike.
+BATCH, VISITS, RATE, RIDGE = 32, 6000, 4.0, 0.006
+FOLDS = 3
 #: How far classes of unequal size are balanced: 0 not at all, 1 fully.
 BALANCE = 0.7
 #: Shares of a text are taken in thousandths.
@@ -70,47 +75,103 @@ def _read(texts: pa.Array) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndar
     return [(places, buckets.astype(np.int64)) for places, buckets in kinds], starts
 
 
-def _bags(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sparse rows: bucket, its share of the text, text."""
-    out, row = [], 0
-    for piece in slices(iter([pa.record_batch([texts], ["text"])]), "text"):
-        kinds, starts = _read(piece.column(0))
-        doc = np.concatenate([np.searchsorted(starts, places, "right") - 1 for places, _ in kinds])
-        count = np.concatenate([np.full(len(places), 1 if i else WORD_COPIES) for i, (places, _) in enumerate(kinds)])
-        key, at = np.unique(doc.astype(np.int64) << BUCKET_BITS | np.concatenate([b for _, b in kinds]), return_inverse=True)
-        out.append(((key & ((1 << BUCKET_BITS) - 1)).astype(np.int32), np.bincount(at, count).astype(np.float32), ((key >> BUCKET_BITS) + row).astype(np.int32)))
-        row += piece.num_rows
-    bucket, count, doc = map(np.concatenate, zip(*out))
-    share = (SCALE * count / np.bincount(doc, count)[doc]).astype(np.float32)
-    return bucket, share, doc
+Bag = tuple[np.ndarray, np.ndarray]
 
 
-def fit(texts: pa.Array, labels: list[int], seed: int = 7) -> Model:
+def bags(texts: pa.Array) -> list[Bag]:
+    """The buckets of each text and their shares of it."""
+    kinds, starts = _read(texts)
+    doc = np.concatenate([np.searchsorted(starts, places, "right") - 1 for places, _ in kinds])
+    count = np.concatenate([np.full(len(places), 1 if i else WORD_COPIES) for i, (places, _) in enumerate(kinds)])
+    key, at = np.unique(doc.astype(np.int64) << BUCKET_BITS | np.concatenate([b for _, b in kinds]), return_inverse=True)
+    total = np.bincount(at, count)
+    row = key >> BUCKET_BITS
+    share = (SCALE * total / np.bincount(row, total, len(texts))[row]).astype(np.float32)
+    bucket, ends = (key & ((1 << BUCKET_BITS) - 1)).astype(np.int32), np.searchsorted(row, np.arange(len(texts) + 1))
+    return [(bucket[a:b], share[a:b]) for a, b in zip(ends[:-1], ends[1:])]
+
+
+def _bagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches, "text"):
+        own = bags(batch.column("text"))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), batch.column("y"), *[pa.array([x[i].tobytes() for x in own], pa.binary()) for i in (0, 1)]], ["doc_id", "y", "buckets", "shares"]
+        )
+
+
+def _trained(own: list[Bag], y: np.ndarray, size: int, seed: int) -> tuple[np.ndarray, float]:
+    """Weight of each n-gram and bias."""
+    rng, n = np.random.default_rng(seed), len(own)
+    square = sum(np.bincount(b, s.astype(float) ** 2, size) for b, s in own) / n
+    speed = 1 / (square + RIDGE)
+    speed *= RATE / max((square * speed).sum(), 1e-9)
+    weight = (1 - BALANCE) + BALANCE * np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
+    vectors, softmax, bias = rng.normal(0, 1e-3, (size, DIMENSION)), rng.normal(0, 0.5, (DIMENSION, 2)), np.zeros(2)
+    steps = -(-VISITS // BATCH)
+    order = np.concatenate([rng.permutation(n) for _ in range(-(-steps * BATCH // n))])
+    for step in range(steps):
+        some, left = order[step * BATCH : (step + 1) * BATCH], 1 - step / steps
+        bucket, share = (np.concatenate([own[i][k] for i in some]) for k in (0, 1))
+        row = np.repeat(np.arange(len(some)), [len(own[i][0]) for i in some])
+        mean = np.stack([np.bincount(row, share * vectors[bucket, d], len(some)) for d in range(DIMENSION)], axis=1)
+        z = mean @ softmax + bias
+        off = np.exp(z - z.max(1, keepdims=True))
+        off /= off.sum(1, keepdims=True)
+        off[np.arange(len(some)), y[some]] -= 1
+        off *= weight[some][:, None] / len(some)
+        back = off @ softmax.T
+        softmax = softmax - RATE * left * mean.T @ off / max(float((mean**2).sum(1).mean()), 1.0)
+        for d in range(DIMENSION):
+            vectors[:, d] -= left * speed * np.bincount(bucket, share * back[row, d], size)
+        bias -= left * off.sum(0)
+    return vectors @ (softmax[:, 1] - softmax[:, 0]), float(bias[1] - bias[0])
+
+
+def _meaning(z: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
+    """Factor and shift that make logits of unseen texts probabilities, by Newton steps."""
+    spread = float(z.std()) or 1.0
+    x, p = np.stack([z / spread, np.ones(len(z))], axis=1), np.array([1.0, 0.0])
+    for _ in range(30):
+        q = 1 / (1 + np.exp(-np.clip(x @ p, -30, 30)))
+        p = p - np.linalg.solve((x * (weight * q * (1 - q))[:, None]).T @ x + 1e-2 * np.eye(2), x.T @ (weight * (q - y)) + 1e-2 * p)
+    return max(p[0], 0.0) / spread, float(p[1])
+
+
+def fit_bags(own: list[Bag], labels: list[int], seed: int = 7) -> Model:
     """Train vectors and softmax together.  Without both classes: no opinion."""
     size = 1 << BUCKET_BITS
     if len(set(labels)) < 2:
         return Model(np.zeros(size), 0.0)
-    rng, y = np.random.default_rng(seed), np.array(labels)
-    bucket, share, doc = _bags(texts)
-    use = np.bincount(bucket, minlength=size)[bucket] >= MIN_TEXTS
-    bucket, share, doc = bucket[use], share[use], doc[use]
-    del use
-    vectors, moving = rng.normal(0, 1e-3, (size, DIMENSION)), np.zeros((size, DIMENSION))
-    columns = np.resize([0.5, -0.5], DIMENSION)  # the softmax's second column less its first
-    bias = moving_bias = 0.0
-    speed = RATE / (np.bincount(bucket, share**2, minlength=size) / len(y) + RIDGE)
-    weight = (1 - BALANCE) + BALANCE * np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
-    for _ in range(STEPS):
-        z = np.bincount(doc, share * (vectors @ columns)[bucket], minlength=len(y)) + bias
-        off = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * weight / len(y)
-        slope = np.bincount(bucket, share * off[doc], minlength=size)
-        moving = MOMENTUM * moving - speed[:, None] * slope[:, None] * columns
-        columns = columns - 1e-3 * RATE * (vectors.T @ slope)
-        vectors = vectors + moving
-        moving_bias = MOMENTUM * moving_bias - RATE * off.sum()
-        bias += moving_bias
-    vectors[np.bincount(bucket, minlength=size) == 0] = 0
-    return Model(vectors @ columns, float(bias))
+    y, texts = np.array(labels), np.zeros(size, np.int64)
+    for bucket, _ in own:
+        texts[bucket] += 1
+    known = np.flatnonzero(texts >= min(MIN_TEXTS, len(own)))
+    number = np.full(size, -1)
+    number[known] = np.arange(len(known))
+    own = [(number[b][number[b] >= 0], s[number[b] >= 0]) for b, s in own]
+    fold, rng = np.zeros(len(y), np.int64), np.random.default_rng(seed)
+    for c in (0, 1):
+        fold[rng.permutation(np.flatnonzero(y == c))] = np.arange((y == c).sum()) % FOLDS
+    weight, bias, z, seen = np.zeros(len(known)), 0.0, np.zeros(len(y)), []
+    for f in range(FOLDS):
+        use = np.flatnonzero(fold != f)
+        if len(set(y[use].tolist())) < 2:
+            continue
+        w, b = _trained([own[i] for i in use], y[use], len(known), seed + f)
+        weight, bias = weight + w, bias + b
+        for i in np.flatnonzero(fold == f):
+            z[i] = own[i][1] @ w[own[i][0]] + b
+        seen.append(f)
+    rest = np.isin(fold, seen)
+    factor, shift = _meaning(z[rest], y[rest], np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))[rest] ** BALANCE) if len(set(y[rest].tolist())) == 2 else (1.0, 0.0)
+    whole = np.zeros(size)
+    whole[known] = factor * weight / max(len(seen), 1)
+    return Model(whole, factor * bias / max(len(seen), 1) + shift)
+
+
+def fit(texts: pa.Array, labels: list[int], seed: int = 7) -> Model:
+    """As fit_bags(), of texts at hand."""
+    return fit_bags([bag for piece in slices(iter([pa.record_batch([texts], ["text"])]), "text") for bag in bags(piece.column(0))], labels, seed)
 
 
 def score_texts(texts: pa.Array, model: Model) -> np.ndarray:
@@ -131,7 +192,10 @@ def _scored(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.Reco
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
-    return fit(*training_sample(docs, labels, "toxic"))
+    """The driver gets the bags of the sampled texts: 2**BUCKET_BITS entries of eight bytes for each text at most."""
+    rows = training_sample(docs, labels, "toxic").mapInArrow(_bagged, "doc_id long, y int, buckets binary, shares binary").toArrow().sort_by("doc_id")
+    own = [(np.frombuffer(b, np.int32), np.frombuffer(s, np.float32)) for b, s in zip(rows.column("buckets").to_pylist(), rows.column("shares").to_pylist())]
+    return fit_bags(own, rows.column("y").to_pylist())
 
 
 def score_documents(docs: DataFrame, model: Model) -> DataFrame:

@@ -253,14 +253,25 @@ def held(rows):
     return np.array([zlib.crc32(str(r.doc_id).encode()) % 3 == 1 for r in rows])
 
 
-@pytest.mark.parametrize("module, label, floor", [(quality, "quality", 0.9), (toxicity, "toxic", 0.88)])
-def test_classifier_held_out(spark, sf_dir, module, label, floor):
+def held_out_rows(spark, sf_dir, module, label):
     folder = sf_dir.replace("sf0.001", "sf0.01")
     docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
     scored = module.score_documents(docs, module.train(docs, labels))
     rows = scored.join(labels, "doc_id").where("held_out").collect()
     assert held(rows).all()
-    assert np.mean([r.predicted == r[label] for r in rows]) >= floor
+    return np.array([r.score for r in rows]), np.array([r.predicted for r in rows]), np.array([r[label] for r in rows])
+
+
+def test_quality_held_out(spark, sf_dir):
+    _, predicted, y = held_out_rows(spark, sf_dir, quality, "quality")
+    assert (predicted == y).mean() >= 0.9
+
+
+def test_toxicity_held_out(spark, sf_dir):
+    """Two fifths of the labels of these tables are on texts without any rude word, so that recall cannot near 1."""
+    score, predicted, y = held_out_rows(spark, sf_dir, toxicity, "toxic")
+    assert (predicted == y).mean() >= 0.9 and predicted[y == 1].mean() >= 0.5 and predicted[y == 0].mean() <= 0.02
+    assert (score[y == 1][:, None] > score[y == 0][None]).mean() >= 0.9
 
 
 @pytest.mark.parametrize("module", [quality, toxicity])
