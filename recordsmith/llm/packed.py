@@ -53,11 +53,16 @@ def deal(df: DataFrame, pack: Callable[[Iterator[pa.RecordBatch], int], Iterator
 
 
 def unpacked(batches: Iterator[pa.RecordBatch], kinds: list[type]) -> Iterator[list[np.ndarray]]:
-    """The columns of one piece after the other."""
+    """The columns of one piece after the other; until its turn, a piece stays compressed."""
     large, by_piece = zstandard.ZstdDecompressor().decompress, {}
     for batch in batches:
         for piece, *blobs in zip(*(c.to_pylist() for c in batch.columns)):
             by_piece.setdefault(piece, []).append(blobs)
     while by_piece:
         blobs = by_piece.popitem()[1]
-        yield [np.concatenate([np.frombuffer(large(b[i]), kind) for b in blobs]) for i, kind in enumerate(kinds)]
+        columns = []
+        for i, kind in enumerate(kinds):
+            columns.append(np.frombuffer(b"".join(large(b[i]) for b in blobs), kind))
+            for b in blobs:
+                b[i] = b""
+        yield columns
