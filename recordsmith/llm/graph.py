@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, release
 
 
 def _hooked(edges: DataFrame, large: bool) -> DataFrame:
@@ -23,8 +23,8 @@ def _hooked(edges: DataFrame, large: bool) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(a, b) links of long ids, a <> b -> (node, component): the least id that each linked node reaches.
 
-    Nodes without links do not appear.  Every round is checkpointed; the number of rounds grows with the logarithm
-    of the longest path.  No edges: an empty result.
+    Nodes without links do not appear.  Every round is written to the shared folder, and the one before deleted; the number of rounds grows with the logarithm
+    of the longest path.  No edges: an empty result.  The result is a table of cut().
     """
     state = cut(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct())
     seen = None
@@ -33,6 +33,9 @@ def components(edges: DataFrame) -> DataFrame:
         if tuple(mark) == seen:
             break
         seen = tuple(mark)
-        state = cut(_hooked(_hooked(state, True), False))
+        before, state = state, cut(_hooked(_hooked(state, True), False))
+        release(before)
     roots = state.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct()
-    return state.select(F.col("b").alias("node"), F.col("a").alias("component")).union(roots)
+    out = cut(state.select(F.col("b").alias("node"), F.col("a").alias("component")).union(roots))
+    release(state)
+    return out

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, joined_bytes, mix, no_clash, shingles, slices, words
+from .common import cut, joined_bytes, mix, no_clash, release, shingles, slices, words
 from .graph import components
 
 SKETCH_BITS = 18
@@ -77,40 +77,11 @@ def _overlap(size: int, percent: int) -> int:
     return -(-size * percent // 100)
 
 
-def _ordered(items: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    freq = sketch[(items >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
-    order = np.lexsort((items, freq))
-    return items[order], freq[order]
-
-
-def _costs(batches: Iterator[pa.RecordBatch], k: int, percent: int, sketch: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """By size class (eighths of an octave): sets, 2-subsets, prefix elements, partners expected on their lists."""
-    usual = sketch.mean() + 3 * np.sqrt(sketch.mean())
-    total: dict[int, np.ndarray] = {}
-    for _, sets in _sets(batches, k):
-        for items in sets:
-            if _alone(len(items), percent):
-                continue
-            p = len(items) - _overlap(len(items), percent) + 1
-            freq = np.sort(sketch[(items >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)])[:p]
-            size = _size_class(len(items))
-            total[size] = total.get(size, 0) + np.array([1, (p + 1) * p / 2, p, np.maximum(freq - usual, 0).sum()])
-    if total:
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(list(total), pa.int64()), *[pa.array([float(v[i]) for v in total.values()]) for i in range(4)]],
-            ["size_class", "sets", "subsets", "postings", "partners"],
-        )
-
-
 def _alone(size: int, percent: int) -> bool:
     """Only an equal set can be so similar to a set of this size."""
     return size == 0 or 100 * size < percent * (size + 1)
 
 
-def _size_class(size: int) -> int:
-    return int(np.floor(8 * np.log2(size)))
-
-
 def cheapest_boundary(rows: list[tuple[int, float, float, float]]) -> int:
     """Largest light set size: (size class, subsets, postings, partners) -> the size with the least total cost."""
     rows = sorted(rows)
@@ -120,28 +91,55 @@ def cheapest_boundary(rows: list[tuple[int, float, float, float]]) -> int:
     return int(2 ** (rows[best][0] / 8)) if best < len(rows) else 1 << 62
 
 
-def _keys(batches: Iterator[pa.RecordBatch], k: int, percent: int, sketch: np.ndarray, boundary: int) -> Iterator[pa.RecordBatch]:
+def _prefixes(batches: Iterator[pa.RecordBatch], k: int, percent: int, sketch: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Each set's size, signature, first elements in order and how many partners are expected on the lists of these."""
+    usual = sketch.mean() + 3 * np.sqrt(sketch.mean())
     for batch, sets in _sets(batches, k):
-        one, two, keys = [], [], []
+        one, two, prefixes, partners = [], [], [], []
         for items in sets:
             one.append(int(items.sum(dtype=np.uint64).view(np.int64)) if len(items) else 0)
             two.append(int(mix(items ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64).view(np.int64)) if len(items) else 0)
-            own = []
-            if not _alone(n := len(items), percent):
-                spare = n - _overlap(n, percent)
-                ordered, _ = _ordered(items, sketch)
+            if _alone(n := len(items), percent):
+                prefixes.append(np.zeros(0, np.int64))
+                partners.append(0.0)
+                continue
+            spare = n - _overlap(n, percent)
+            freq = sketch[(items >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
+            if spare + 2 < n // 2:  # only the least frequent elements need be sorted
+                some = np.flatnonzero(freq <= np.partition(freq, spare + 1)[spare + 1])
+                items, freq = items[some], freq[some]
+            order = np.lexsort((items, freq))[: spare + 2]
+            prefixes.append(items[order].view(np.int64))
+            partners.append(float(np.maximum(freq[order[: spare + 1]] - usual, 0).sum()))
+        ends = np.cumsum([0, *map(len, prefixes)])
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(prefixes)))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), lists, pa.array(partners)],
+            ["doc_id", "n_shingles", "sig1", "sig2", "prefix", "partners"],
+        )
+
+
+def _keyed(batches: Iterator[pa.RecordBatch], percent: int, boundary: int) -> Iterator[pa.RecordBatch]:
+    """The keys of each set with a prefix: pairs of its elements (odd numbers) for a light one, the elements but the last
+    (even numbers) for a heavy one, and both near the boundary."""
+    for batch in batches:
+        column = batch.column("prefix")
+        flat = column.flatten().to_numpy().view(np.uint64)
+        ends = np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))])
+        keys = []
+        for n, first, end in zip(batch.column("size").to_pylist(), ends[:-1].tolist(), ends[1:].tolist()):
+            ordered, own = flat[first:end], []
+            spare = n - _overlap(n, percent)
+            if len(ordered):
                 if n <= boundary and n - spare >= 2:
                     i, j = np.triu_indices(spare + 2, 1)
                     own.append(mix(ordered[i] * np.uint64(0x9E3779B97F4A7C15) + ordered[j]) | np.uint64(1))
                 if n > boundary or 100 * n >= percent * (boundary + 1) or n - spare < 2:
                     own.append(ordered[: spare + 1] & ~np.uint64(1))
-            keys.append(np.concatenate(own).view(np.int64) if own else np.zeros(0, np.int64))
-        ends = np.cumsum([0, *map(len, keys)])
-        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(keys)))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), lists],
-            ["doc_id", "n_shingles", "sig1", "sig2", "keys"],
-        )
+            keys.append(np.unique(np.concatenate(own)).view(np.int64) if own else np.zeros(0, np.int64))
+        count = [len(x) for x in keys]
+        at = pa.array(np.repeat(np.arange(len(keys)), count))
+        yield pa.RecordBatch.from_arrays([batch.column("node").take(at), batch.column("size").take(at), pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))], ["node", "size", "key"])
 
 
 def _similar(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterator[pa.RecordBatch]:
@@ -176,21 +174,26 @@ def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame
     spark = docs.sparkSession
     docs = no_clash(docs, "doc_id", "text").where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketch = spark.sparkContext.broadcast(frequency_sketch(docs, k))
+    schema = "doc_id long, n_shingles long, sig1 long, sig2 long, prefix array<long>, partners double"
+    made = cut(docs.mapInArrow(lambda it: _prefixes(it, k, percent, sketch.value), schema))
+    postings = F.size("prefix") - 1
     stats = (
-        docs.mapInArrow(lambda it: _costs(it, k, percent, sketch.value), "size_class long, sets double, subsets double, postings double, partners double")
-        .groupBy("size_class").agg(*[F.sum(c).alias(c) for c in ("subsets", "postings", "partners")]).collect()
+        made.where(F.size("prefix") > 0).groupBy(F.floor(8 * F.log2("n_shingles")).alias("size_class"))
+        .agg(F.sum((postings + 1) * postings / 2), F.sum(postings), F.sum("partners")).collect()
     )
     boundary = cheapest_boundary([tuple(r) for r in stats]) if stats else 0
 
-    made = docs.mapInArrow(lambda it: _keys(it, k, percent, sketch.value, boundary), "doc_id long, n_shingles long, sig1 long, sig2 long, keys array<long>")
     signature = ["n_shingles", "sig1", "sig2"]
-    nodes = made.groupBy(*signature).agg(F.min(F.struct("doc_id", "keys")).alias("least"))
-    nodes = cut(nodes.select(*signature, F.col("least.doc_id").alias("node"), F.col("least.keys").alias("keys")))
+    nodes = made.where("n_shingles > 0").groupBy(*signature).agg(F.min(F.struct("doc_id", "prefix")).alias("least"))
+    nodes = cut(nodes.select(*signature, F.col("least.doc_id").alias("node"), F.col("least.prefix").alias("prefix")))
 
-    postings = nodes.select("node", F.col("n_shingles").alias("size"), F.explode(F.array_distinct("keys")).alias("key"))
+    postings = nodes.select("node", F.col("n_shingles").alias("size"), "prefix").mapInArrow(lambda it: _keyed(it, percent, boundary), "node long, size long, key long")
     postings = postings.withColumn("single", F.lit(1 << 40)).withColumn("double", F.lit(1 << 40))
+    old = None
     for _ in range(PRUNED):
         postings = cut(_viable(postings, percent))
+        release(old)
+        old = postings
     members = postings.select(F.col("node").alias("doc_id")).distinct()
     texts = cut(docs.join(members, "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "text"))
 
@@ -209,7 +212,8 @@ def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame
         if turn and found.isEmpty():
             break
         links = found if links is None else links.unionByName(found)
-        label = cut(components(links))
+        old, label = label, components(links)
+        release(old)
         at = _labelled(postings, label)
     rest = at.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
     left = at.join(rest, "key")
@@ -220,11 +224,13 @@ def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame
     sharing = sharing.where(_may_link(percent) & ((F.col("double") == 0) | _may_link(percent, F.lit(1))))
     found = cut(_verified(sharing.select(F.col("node").alias("a"), "b"), texts, k, percent))
     if not found.isEmpty():
-        label = cut(components(links.unionByName(found)))
-
+        old, label = label, components(links.unionByName(found))
+        release(old)
+    release(postings, texts)
     nodes = _labelled(nodes.select(*signature, "node"), label).select(*signature, F.col("component").alias("component_id"))
-    alone = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
-    return made.select("doc_id", *signature).join(nodes, signature).select("doc_id", "n_shingles", alone)
+    # sets without elements are left out of the join, so that they are no hot key
+    joined = made.where("n_shingles > 0").select("doc_id", *signature).join(nodes, signature).select("doc_id", "n_shingles", "component_id")
+    return joined.unionByName(made.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
 def _viable(postings: DataFrame, percent: int) -> DataFrame:
