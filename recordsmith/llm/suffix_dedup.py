@@ -4,7 +4,8 @@
    same 20-gram at the same offset.  Selected 20-grams are few (about 1 in 41 bytes) and are shuffled, packed, to find
    those that occur more than once; texts that are equal as a whole count once.
 2. A repeated 20-gram takes with it the bytes of the windows that selected it.  Equal contexts are combined before and
-   after the shuffle; the distinct contexts of one 20-gram meet in one block.
+   after the shuffle; the distinct contexts of one 20-gram meet in one block.  A 20-gram of very many places would make
+   too large a block: its windows are dealt one by one, by all their bytes.
 3. A block's contexts are concatenated and their suffixes sorted as far as ``length`` bytes.  On the transform, common
    prefixes are derived by increasing value, breadth first: a boundary with common prefix v gives, by one backward
    step, the boundaries with v + 1.  The expansion stops at ``length``; what is then open are the intervals of equal
@@ -14,6 +15,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +28,9 @@ from pyspark.sql import functions as F
 from .common import cut, joined_bytes, mix, no_clash, partitions, prefix_hash, slices
 
 GRAM = 20
-POSITION_BITS = 28
+POSITION_BITS = 31  # of a text that Spark can hold
+#: Places of a 20-gram, of texts that differ, beyond which its windows are dealt one by one.
+HOT = 2048
 EMIT_BYTES = 8 << 20
 BLOCK_BYTES = 1 << 20
 SENTINEL = 255  # not in UTF-8
@@ -100,27 +104,38 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         new = new_key | np.concatenate([[True], (texts[1:] != texts[:-1]) | (places[1:] != places[:-1])])
         keys, texts, places, new_key = keys[new], texts[new], places[new], new_key[new]
         group = np.cumsum(new_key) - 1
-        more = np.bincount(group)[group] > 1
+        count = np.bincount(group)[group]
+        more = count > 1
         if more.any():
-            yield pa.RecordBatch.from_arrays([pa.array(texts[more].view(np.int64)), pa.array(places[more])], ["text_hash", "place"])
+            marked = np.where(count > HOT, -1 - places, places)[more]  # below zero: hot
+            yield pa.RecordBatch.from_arrays([pa.array(texts[more].view(np.int64)), pa.array(marked.astype(np.int32))], ["text_hash", "place"])
 
 
 def _starts(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[tuple[int, int, bytes, list[tuple[int, int, int]]]]:
     """Each text with its contexts of repeated grams: (gram, start, windows), by start."""
     for batch in slices(batches, "text", 1 << 19):
         data, starts = joined_bytes(batch.column("text"))
-        wanted = np.zeros(len(data), bool)
+        wanted, hot = np.zeros(len(data), bool), np.zeros(len(data), bool)
         for base, places in zip(starts, batch.column("places").to_pylist()):
-            wanted[base + np.array(places)] = True
+            places = np.array(places)
+            wanted[base + np.where(places < 0, -1 - places, places)] = True
+            hot[base - 1 - places[places < 0]] = True
         grams, at, chosen = _selected(data, starts, length)
         doc = np.searchsorted(starts, at, "right") - 1
         edge = np.flatnonzero(np.concatenate([[True], (chosen[1:] != chosen[:-1]) | (doc[1:] != doc[:-1])]))
         count = np.diff(np.append(edge, len(at)))
         use = wanted[chosen[edge]]
         edge, count = edge[use], count[use]
+        if hot.any():  # a row for each window
+            each = np.where(hot[chosen[edge]], count, 1)
+            step = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+            edge, count = np.repeat(edge, each) + step, np.where(np.repeat(each > 1, each), 1, np.repeat(count, each))
         keys, place = grams[chosen[edge]].view(np.int64), at[edge] - starts[doc[edge]]
+        one = np.flatnonzero(hot[chosen[edge]])
         ends = np.searchsorted(doc[edge], np.arange(batch.num_rows + 1))
         raw = data.tobytes()
+        keys = keys.copy()
+        keys[one] = [xxhash.xxh64_intdigest(raw[x : x + length], 7) - (1 << 63) for x in at[edge[one]].tolist()]
         for d, (doc_id, text_hash) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("text_hash").to_pylist())):
             own = slice(ends[d], ends[d + 1])
             yield doc_id, text_hash, raw[starts[d] : starts[d + 1] - 1], list(zip(keys[own].tolist(), place[own].tolist(), count[own].tolist()))
@@ -136,7 +151,7 @@ def _contexts(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Rec
     known: list[tuple[int, int, int, int]] = []
 
     def flush() -> Iterator[pa.RecordBatch]:
-        rows = [(k, c, *place) for (k, c), place in held.items()] + [(p[0] * 31 + p[2], None, *p) for p in known]
+        rows = [(k, c, *place) for (k, c), place in held.items()] + [((p[0] * 31 + p[2]) % (1 << 63), None, *p) for p in known]
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32()))], _CONTEXT)
         held.clear()
@@ -250,8 +265,10 @@ def _blocks(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Recor
 
     def solved() -> Iterator[pa.RecordBatch]:
         found = [known[:]] if known else []
-        if len(held) > 1:
-            order = sorted((place, context) for (_, context), place in held.items())
+        # equal windows have the same key and stand at the same place of a context, so that a context alone has none
+        several = Counter(key for key, _ in held)
+        order = sorted((place, context) for (key, context), place in held.items() if several[key] > 1)
+        if order:
             windows = np.array([place[3] for place, _ in order])
             which, offset, count = _ranges(repeated_windows([c for _, c in order], windows, length), windows)
             found.append([(*order[w][0][:2], order[w][0][2] + o, n) for w, o, n in zip(which.tolist(), offset.tolist(), count.tolist())])
@@ -271,6 +288,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Recor
             have = None if context is None else held.get((key, context))
             if context is None:
                 known.append(place)
+                size += 40
             elif have is None:
                 held[key, context] = place
                 size += len(context) + 1

@@ -211,6 +211,14 @@ def test_suffix_dedup_brute_force(hard, none):
         r.kept_text.encode()
 
 
+def test_suffix_dedup_hot_line(spark):
+    """A line between two others that more texts hold than one block takes."""
+    line = prose(9000, 30)
+    rows = [(i, f"{prose(20000 + i % 1700, 12)}\n{line}\n{prose(30000 + i % 1900, 12)}") for i in range(2 * suffix_dedup.HOT)] + [(1 << 62, line)]
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == brute_repeats(rows, 100)
+
+
 def test_open_intervals():
     rng = np.random.default_rng(2)
     for _ in range(20):
