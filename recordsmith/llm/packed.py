@@ -52,17 +52,22 @@ def deal(df: DataFrame, pack: Callable[[Iterator[pa.RecordBatch], int], Iterator
     return df.mapInArrow(lambda it: pack(it, pieces), schema).repartition(n, "piece")
 
 
-def unpacked(batches: Iterator[pa.RecordBatch], kinds: list[type]) -> Iterator[list[np.ndarray]]:
-    """The columns of one piece after the other; until its turn, a piece stays compressed."""
+def unpacked_by(batches: Iterator[pa.RecordBatch], kinds: Callable[[int], list[type]]) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """One piece after the other with its columns, of kinds that depend on the piece; until its turn, it stays compressed."""
     large, by_piece = zstandard.ZstdDecompressor().decompress, {}
     for batch in batches:
         for piece, *blobs in zip(*(c.to_pylist() for c in batch.columns)):
             by_piece.setdefault(piece, []).append(blobs)
     while by_piece:
-        blobs = by_piece.popitem()[1]
+        piece, blobs = by_piece.popitem()
         columns = []
-        for i, kind in enumerate(kinds):
+        for i, kind in enumerate(kinds(piece)):
             columns.append(np.frombuffer(b"".join(large(b[i]) for b in blobs), kind))
             for b in blobs:
                 b[i] = b""
-        yield columns
+        yield piece, columns
+
+
+def unpacked(batches: Iterator[pa.RecordBatch], kinds: list[type]) -> Iterator[list[np.ndarray]]:
+    """The columns of one piece after the other."""
+    return (columns for _, columns in unpacked_by(batches, lambda _: kinds))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
-from .lm_scoring import BIGRAM_PRIOR, UNIGRAM_PRIOR, VOCABULARY, score
+from .lm_scoring import BIGRAM_PRIOR, UNIGRAM_PRIOR, score
 
 TARGET_SOURCES = ("src1", "src2", "src3")
 
@@ -23,17 +23,15 @@ WITH low AS (
   FROM documents WHERE doc_id IS NOT NULL
 ), flat AS (
   SELECT doc_id, target, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM low
-), vocabulary AS (
-  SELECT word, 2 + row_number() OVER (ORDER BY count(*) DESC, word) AS id FROM flat GROUP BY word ORDER BY count(*) DESC, word LIMIT {VOCABULARY}
 ), seq AS (
-  SELECT f.doc_id, f.target, f.i, coalesce(v.id, 0) AS id FROM flat f LEFT JOIN vocabulary v USING (word)
-  UNION ALL SELECT doc_id, target, 0, 1 FROM low UNION ALL SELECT doc_id, target, len(w) + 1, 2 FROM low
+  SELECT doc_id, target, i, 'w' || word AS id FROM flat
+  UNION ALL SELECT doc_id, target, 0, 'begin' FROM low UNION ALL SELECT doc_id, target, len(w) + 1, 'end' FROM low
 ), uni AS (
   SELECT id, count(*) AS n, count(*) FILTER (target) AS t FROM seq GROUP BY id
 ), total AS (
-  SELECT sum(n) AS n, sum(t) AS t FROM uni WHERE id <> 1
+  SELECT sum(n) AS n, sum(t) AS t FROM uni WHERE id <> 'begin'
 ), size AS (
-  SELECT 2 + (SELECT count(*) FROM vocabulary) AS k
+  SELECT count(*) AS k FROM uni WHERE id <> 'begin'
 ), pairs AS (
   SELECT doc_id, target, id AS w, lag(id) OVER (PARTITION BY doc_id ORDER BY i) AS v FROM seq
 ), bi AS (
