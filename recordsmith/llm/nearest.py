@@ -2,9 +2,10 @@
 
 The tree is fitted on a bounded sample and sent to all tasks; every row is then put into its leaf.  A query walks the
 tree with a priority queue of nodes by the distance of their centres, which gives an order of leaves.  How many leaves
-a query visits is calibrated: for some bounded number of rows the exact neighbours among all rows are found by brute
-force, and the visits widen until the leaves seen hold the wished share of those neighbours.  Large leaves are dealt in
-blocks over tasks; a query goes to each block of a leaf.
+a query visits is calibrated: for some bounded number of rows, which the tree was not fitted on, the exact neighbours
+among all rows are found by brute force, and the visits widen until the leaves seen hold the wished share of those
+neighbours.  A query goes on to as many leaves as hold k rows; if most of these are its own, it visits all leaves.  Rows
+and queries of large leaves are dealt in blocks over tasks; each block of queries meets each block of rows.
 """
 
 from __future__ import annotations
@@ -21,7 +22,8 @@ from pyspark.sql import functions as F
 
 from .common import cut, hashed_sample, no_clash
 
-SAMPLE_ROWS = 20_000
+#: Rows that the tree is fitted on: a fiftieth of the table, within these bounds, so that leaves grow late.
+SAMPLE_SHARE, SAMPLE_ROWS, MOST_SAMPLE_ROWS = 50, 20_000, 200_000
 CALIBRATION_ROWS = 200
 BRANCHES, LEAF_SAMPLE, ITERATIONS = 8, 64, 8
 RECALL = 0.97
@@ -37,13 +39,14 @@ class Tree:
     leaf: list[int] = field(default_factory=list)
     leaves: int = 0
 
-    def order(self, query: np.ndarray, limit: int) -> list[int]:
-        """Leaves, best bin first."""
-        queue, out = [(0.0, 0)], []
-        while queue and len(out) < limit:
+    def order(self, query: np.ndarray, limit: int, sizes: np.ndarray | None = None, rows: int = 0) -> list[int]:
+        """Leaves, best bin first: ``limit`` of them, or as many as have ``rows`` rows."""
+        queue, out, seen = [(0.0, 0)], [], 0
+        while queue and (len(out) < limit or seen < rows):
             _, node = heapq.heappop(queue)
             if self.leaf[node] >= 0:
                 out.append(self.leaf[node])
+                seen += 0 if sizes is None else int(sizes[self.leaf[node]])
                 continue
             kids = self.children[node]
             for kid, far in zip(kids, ((np.stack([self.centres[k] for k in kids]) - query) ** 2).sum(1)):
@@ -128,8 +131,9 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, recall: float = R
 
     Score is the Euclidean distance in double precision on the original vectors; equal distances go to the smaller
     vec_id.  A row is no neighbour of its own vec_id.  Rows without vec_id, and vectors that are null, zero, of another
-    size than most, or hold null or non-finite components take no part.  Rows that repeat a vec_id are each a row.
-    No usable vector: no rows.  Other columns are ignored.
+    size than most, or hold null or non-finite components take no part.  Rows that repeat a vec_id are each a candidate; as
+    queries, each different vector under a vec_id has its own answer, and equal ones one together.  No usable vector: no
+    rows.  Other columns are ignored.
     """
     spark = vectors.sparkSession
     rows = vectors.withColumn("_query", F.coalesce(is_query, F.lit(False)))
@@ -140,9 +144,11 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, recall: float = R
     if sizes is None:
         return spark.createDataFrame([], schema)
     rows = rows.where(F.size("embedding") == sizes.n)
-    sample = hashed_sample(rows.select("vec_id", "embedding"), SAMPLE_ROWS, "vec_id").toArrow()
-    points = _vectors(sample.column("embedding").combine_chunks())
-    tree = spark.sparkContext.broadcast(fit(points))
+    share = min(max(sizes["count"] // SAMPLE_SHARE, SAMPLE_ROWS), MOST_SAMPLE_ROWS) + CALIBRATION_ROWS
+    sample = hashed_sample(rows.select("vec_id", "embedding"), share, "vec_id").toArrow()
+    points, n = _vectors(sample.column("embedding").combine_chunks()), CALIBRATION_ROWS
+    fitted, probes = (points[:-n], slice(len(points) - n, None)) if len(points) > 4 * n else (points, slice(0, n))
+    tree = spark.sparkContext.broadcast(fit(fitted))
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -150,36 +156,48 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, recall: float = R
             yield pa.RecordBatch.from_arrays([*batch.columns, leaf], [*batch.schema.names, "leaf"])
 
     indexed = cut(rows.mapInArrow(put, "vec_id long, embedding array<double>, _query boolean, leaf long"))
-    n = min(CALIBRATION_ROWS, len(points))
-    visits = _calibrated(indexed, sample.column("vec_id").to_numpy()[:n], points[:n], tree, k, recall)
+    visits = _calibrated(indexed, sample.column("vec_id").to_numpy()[probes], points[probes], tree, k, recall)
+    held = np.zeros(tree.value.leaves, np.int64)
+    for r in indexed.groupBy("leaf").count().collect():  # leaves of the tree
+        held[r.leaf] = r["count"]
 
-    size = indexed.groupBy("leaf").count().select("leaf", F.ceil(F.col("count") / BLOCK_ROWS).cast("int").alias("blocks"))
-    block = lambda at: F.pmod(F.xxhash64(at), F.col("blocks"))
-    index = indexed.select("leaf", "vec_id", "embedding").join(size, "leaf").withColumn("block", block("vec_id").cast("int")).drop("blocks")
-
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def ask(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, v in enumerate(_vectors(batch.column("embedding"))):
-                seen = tree.value.order(v, visits)
+                seen = tree.value.order(v, limit, held, k + 1)
                 one = batch.slice(i, 1)
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(one.column("vec_id").to_numpy(), len(seen))), pa.array([v] * len(seen), pa.list_(pa.float64())), pa.array(seen, pa.int64())], ["query_id", "query", "leaf"])
 
-    asked = indexed.where("_query").select("vec_id", "embedding").mapInArrow(ask, "query_id long, query array<double>, leaf long")
-    asked = asked.join(size, "leaf").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
-
     def found(mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(mine) and len(theirs):
             matrix, ids = np.stack(theirs["embedding"].to_list()), theirs["vec_id"].to_numpy()
-            for query, v in zip(mine["query_id"], mine["query"]):
+            for query, key, v in zip(mine["query_id"], mine["query_key"], mine["query"]):
                 far = np.where(ids == query, np.inf, _distances(matrix, v))
                 use = [i for i in _best(ids, far, k) if np.isfinite(far[i])]
-                out += [(query, ids[i], far[i]) for i in use]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
-
-    near = asked.groupBy("leaf", "block").cogroup(index.groupBy("leaf", "block")).applyInPandas(found, "query_id long, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
-    return near.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+                out += [(query, key, ids[i], far[i]) for i in use]
+        return pd.DataFrame(out, columns=["query_id", "query_key", "vec_id", "score"]).astype({"query_id": "int64", "query_key": "int64", "vec_id": "int64", "score": "float64"})
+
+    def answered(queries: DataFrame, limit: int) -> DataFrame:
+        asked = queries.mapInArrow(lambda it: ask(it, limit), "query_id long, query array<double>, leaf long")
+        asked = cut(asked.withColumn("query_key", F.xxhash64("query")))
+        size = indexed.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("blocks"))
+        size = size.join(asked.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("parts")), "leaf")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        theirs = indexed.select("leaf", "vec_id", "embedding").join(size, "leaf").withColumn("block", F.pmod(F.xxhash64("vec_id"), "blocks").cast("int")).withColumn("part", every("parts"))
+        mine = asked.join(size, "leaf").withColumn("part", F.pmod(F.xxhash64("query_id", "query_key"), "parts").cast("int")).withColumn("block", every("blocks"))
+        keys = ["leaf", "block", "part"]
+        near = mine.drop("blocks", "parts").groupBy(*keys).cogroup(theirs.drop("blocks", "parts").groupBy(*keys)).applyInPandas(found, "query_id long, query_key long, vec_id long, score double")
+        rank = F.row_number().over(Window.partitionBy("query_id", "query_key").orderBy("score", "vec_id"))
+        return cut(near.withColumn("rank", rank).where(F.col("rank") <= k))
+
+    queries = indexed.where("_query").select("vec_id", "embedding").distinct()
+    near = answered(queries, visits)
+    met = near.groupBy("query_id", "query_key").count().where(F.col("count") >= k).select(F.col("query_id").alias("vec_id"), "query_key")
+    lacking = queries.withColumn("query_key", F.xxhash64("embedding")).join(met, ["vec_id", "query_key"], "left_anti").drop("query_key")
+    if visits < tree.value.leaves and sizes["count"] > k and not lacking.isEmpty():
+        near = near.join(met.withColumnRenamed("vec_id", "query_id"), ["query_id", "query_key"], "left_semi").unionByName(answered(lacking, tree.value.leaves))
+    return near.select("query_id", "rank", "vec_id", "score")
 
 
 def _calibrated(indexed: DataFrame, ids: np.ndarray, points: np.ndarray, tree, k: int, recall: float) -> int:
