@@ -49,6 +49,8 @@ def tree(leaf: DataFrame, depth: int) -> list[DataFrame]:
             F.min("first").alias("first"), F.max("last").alias("last"), F.sum("n_bytes").alias("n_bytes"), children.alias("children")
         )
         level = level.select("slot", "first", "last", "n_bytes", F.sha2(F.concat_ws(":", F.lit("node"), "first", "last", "n_bytes", "children"), 256).alias("hash"))
+        if len(out) == 1:  # the levels above are a fraction of this one
+            level = cut(level)
         out.append(level)
     return out
 
@@ -73,10 +75,10 @@ def audit(primary: DataFrame, replica: DataFrame) -> DataFrame:
     mine, theirs = tree(a, depth), tree(b, depth)
     bad = None
     for x, y in zip(mine[::-1], theirs[::-1]):
+        if bad is not None:  # of either replica, only the children of nodes that differ are looked at
+            x, y = (side.join(bad.select(F.col("slot").alias("parent")), F.floor(side["slot"] / FANOUT) == F.col("parent"), "left_semi") for side in (x, y))
         both = x.select("slot", F.col("hash").alias("expected")).join(y.select("slot", F.col("hash").alias("found")), "slot", "full")
-        if bad is not None:  # only children of nodes that differ
-            both = both.withColumn("parent", F.floor(F.col("slot") / FANOUT)).join(bad.select(F.col("slot").alias("parent")), "parent", "left_semi").drop("parent")
-        bad = both.where(~F.col("expected").eqNullSafe(F.col("found"))).select("slot")
+        bad = cut(both.where(~F.col("expected").eqNullSafe(F.col("found"))).select("slot"))
     file_id = F.floor(F.col("page_id") / FILE_RECORDS)
     ends = F.sum("n_bytes").over(Window.partitionBy("file_id").orderBy("page_id"))
     placed = a.withColumn("file_id", file_id).withColumn("end_offset", ends).select("slot", (F.col("end_offset") - F.col("n_bytes")).alias("start_offset"), "end_offset", F.col("digest").alias("expected_sha256"))
