@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import toxicity
@@ -18,39 +18,48 @@ WORDS, PERCENT = 5, 80
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that the toxicity model, fitted on the corpus's labels, rejects go."""
+    """Rows that the toxicity model, fitted on the corpus's labels, rejects go.
+
+    Null and empty texts score by the model's bias; repeated rows go or stay together; without labels of both classes
+    every row stays.
+    """
     model = toxicity.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return toxicity.drop_toxic(docs, model)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that links connect, the one of least doc_id stays.  Rows without doc_id stay; of rows that repeat a
-    doc_id, one stays."""
+    """Of documents that links connect, the one of least doc_id stays.
+
+    Rows without doc_id stay, and so do null and empty texts, which link with nothing.  Of rows that repeat a doc_id the one
+    of least text stays, and of equal texts the one that the other columns put first.
+    """
     groups = near_duplicates(docs, WORDS, PERCENT)
     gone = groups.where("component_id <> doc_id").select("doc_id").distinct()
     kept = docs.where("doc_id is not null").join(gone, "doc_id", "left_anti").select(*docs.columns)
     if not docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
-        kept = kept.dropDuplicates(["doc_id"])
+        order = Window.partitionBy("doc_id").orderBy("text", *[c for c in docs.columns if c not in ("doc_id", "text")])
+        kept = kept.withColumn("_place", F.row_number().over(order)).where("_place = 1").drop("_place")
     return kept.unionByName(docs.where("doc_id is null"))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the bytes that stand earlier (whole characters only); n_chars is counted anew.
 
-    Rows without doc_id, null texts, and texts that lose nothing are as they were.
+    Rows without doc_id, null texts, and texts that lose nothing are as they were.  Different texts under one doc_id each
+    lose their own bytes.
     """
-    cut_texts = remove_repeats(docs, as_text=True).where("n_removed > 0").select("doc_id", "kept_text").dropDuplicates(["doc_id"])
-    joined = docs.join(cut_texts, "doc_id", "left")
+    cut_texts = remove_repeats(docs, as_text=True).where("n_removed > 0").select("doc_id", "text_hash", "kept_text").dropDuplicates(["doc_id", "text_hash"])
+    joined = docs.withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit("")))).join(cut_texts, ["doc_id", "text_hash"], "left")
     text = F.coalesce("kept_text", "text")
     new = {"text": text, "n_chars": F.when(F.col("kept_text").isNotNull(), F.length("kept_text").cast("long")).otherwise(F.col("n_chars"))}
     return joined.select(*[new.get(c, F.col(c)).alias(c) for c in docs.columns])
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that hold a passage near a benchmark item go."""
+    """Rows that hold a passage near a benchmark item go.  Null and empty texts stay; repeated rows go or stay together."""
     return clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256, ids) of each row."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256, ids) of each row; null and empty texts have no tokens."""
     return encode(docs, *vocabulary(), full=True).drop("decoded")

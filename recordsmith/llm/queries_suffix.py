@@ -9,7 +9,7 @@ from .suffix_dedup import remove_repeats
 
 
 def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(table(spark, sf_dir, "documents")).drop("kept_text")
+    return remove_repeats(table(spark, sf_dir, "documents")).drop("text_hash", "kept_text")
 
 
 QUERIES = {"op5_suffix_array_dedup": op5_suffix_array_dedup}

@@ -332,19 +332,19 @@ def _results(batches: Iterator[pa.RecordBatch], length: int, as_text: bool) -> I
             out.append((len(raw), sum(b - a for a, b in runs), len(runs), hashlib.sha256(rest).hexdigest(), rest.decode() if as_text else None))
         n, removed, runs, digest, kept = zip(*out)
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(digest), pa.array(kept, pa.string())],
-            ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"],
+            [batch.column("doc_id"), batch.column("text_hash"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(digest), pa.array(kept, pa.string())],
+            ["doc_id", "text_hash", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"],
         )
 
 
 def remove_repeats(docs: DataFrame, length: int = 100, as_text: bool = False) -> DataFrame:
-    """(doc_id, text, ...) -> (doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept_text), a row for each input row.
+    """(doc_id, text, ...) -> (doc_id, text_hash, n_bytes, n_removed, n_spans, kept_sha256, kept_text), a row for each row.
 
     A byte goes if a string of ``length`` bytes that covers it also starts earlier: in a row of smaller doc_id, or
     earlier in the same text; strings are judged on the input.  With ``as_text``, kept_text has what is left, and
     characters of several bytes go only as a whole.  Null texts count as empty; rows without doc_id are left out.  Rows
     that repeat a doc_id with the same text are one document and each get its result; different texts under one doc_id
-    are taken in the order of their hashes.  Other columns are ignored.
+    are taken in the order of their hashes (text_hash, Spark's xxhash64).  Other columns are ignored.
     """
     n = partitions(docs.sparkSession)
     pieces = n * PIECES_PER_PARTITION
@@ -367,6 +367,6 @@ def remove_repeats(docs: DataFrame, length: int = 100, as_text: bool = False) ->
     copied = ids.join(firsts.where("least < most"), ["digest", "text_hash"]).where("doc_id > least").select("doc_id", "text_hash").distinct()
     gone = spans.withColumn("is_copy", F.lit(False)).unionByName(copied.withColumn("is_copy", F.lit(True)), allowMissingColumns=True)
     return (
-        base.join(gone, ["doc_id", "text_hash"], "left").select("doc_id", "text", F.coalesce("is_copy", F.lit(False)).alias("is_copy"), "spans")
-        .mapInArrow(lambda it: _results(it, length, as_text), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
+        base.join(gone, ["doc_id", "text_hash"], "left").select("doc_id", "text_hash", "text", F.coalesce("is_copy", F.lit(False)).alias("is_copy"), "spans")
+        .mapInArrow(lambda it: _results(it, length, as_text), "doc_id long, text_hash long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
     )

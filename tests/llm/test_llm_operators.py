@@ -33,7 +33,7 @@ def split(text):
 
 
 def test_lm_scoring_cases(hard, none):
-    got = {r.doc_id: r for r in lm_scoring.score(hard, F.col("source") == "src3", vocabulary=9000).collect()}
+    got = {r.doc_id: r for r in lm_scoring.score(hard, F.col("source") == "src3").collect()}
     assert set(got) == {d for d, _ in HARD if d is not None}
     assert got[1].n_tokens == got[2].n_tokens == 1 and got[7].n_tokens == 121 and got[18].n_tokens == 82
     assert got[7].score < got[12].score and all(np.isfinite(r.score) for r in got.values())
@@ -254,6 +254,32 @@ def test_nearest_recall(spark, sf_dir):
     assert nearest.nearest(table.limit(0), F.lit(True)).count() == 0
 
 
+def test_nearest_cases(spark):
+    """Ties, repeated rows, a clashing column, queries among small leaves and one whose id most rows share."""
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.normal(0, 0.01, 8).tolist(), "x") for i in range(3000)] + [(5000 + i, (rng.normal(0, 1, 8) * 100).tolist(), "x") for i in range(40)]
+    rows += [(6000, [9000.0] * 8, "a"), (6001, [9001.0] * 8, "a"), (6002, [9001.0] * 8, "a"), (100, rng.normal(0, 1, 8).tolist(), "again"), (200, rows[200][1], "again")]
+    rows += [(7000, [500.0 + i] * 8, "own") for i in range(50)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score string").withColumn("rank", F.lit("clash"))
+    got: dict = {}
+    for r in nearest.nearest(df, F.col("vec_id") % 100 == 0).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.score, r.vec_id))
+    ids, points = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
+    hits = total = 0
+    for q in np.unique(ids[ids % 100 == 0]):
+        vectors = np.unique(points[ids == q], axis=0)
+        assert len(got[q]) == 10 * len(vectors) and {rank for rank, _, _ in got[q]} == set(range(1, 11))
+        for v in vectors:
+            far = np.sqrt(((points - v) ** 2).sum(1))
+            far[ids == q] = np.inf
+            best = sorted(zip(far, ids))[:10]
+            hits, total = hits + len({(round(s, 9), i) for _, s, i in got[q]} & {(round(s, 9), i) for s, i in best}), total + len({(round(s, 9), i) for s, i in best})
+    assert hits / total >= 0.9
+    assert [i for _, _, i in sorted(got[6000])[:2]] == [6001, 6002]
+    few = nearest.nearest(df.where("vec_id >= 6000 and vec_id < 7000"), F.col("vec_id") % 100 == 0).collect()
+    assert sorted((r.query_id, r["rank"], r.vec_id) for r in few) == [(6000, 1, 6001), (6000, 2, 6002)]
+
+
 # 7, 9 ------------------------------------------------------------------------------------------------------------
 
 
@@ -343,6 +369,34 @@ def test_substring_dedup(spark, hard, none):
     assert {8, 9, 10, 12, 16} <= found and not found & {None, 1, 2, 3, 4, 7, 11, 17, 18, 20}
 
 
+def test_substring_dedup_recall(spark):
+    """Planted passages, copied with up to a tenth of their words edited, in pairs and groups, some beside a line that all
+    hold; held to the brute-force similarity of each plant."""
+    rng, rows, plants = np.random.default_rng(8), [], []
+    line = prose(77, 40)
+    for g in range(60):
+        passage = prose(50_000 + g, int(rng.integers(60, 160)))
+        for c in range(12 if g % 10 == 0 else 2):
+            w = passage.split()
+            for p in rng.choice(len(w), int(len(w) * 0.03 * (g % 4 if c else 0) / 3), replace=False):
+                w[p] = f"own{g}x{c}x{p}"
+            before = prose(60_000 + len(rows), int(rng.integers(0, 80))).split() + (line.split() if g % 3 == 0 else [])
+            rows.append((len(rows), " ".join([*before, *w, *prose(70_000 + len(rows), int(rng.integers(0, 80))).split()])))
+            if c:
+                plants.append((len(rows) - 1, len(before), len(before) + len(w)))
+    clean = len(rows)
+    rows += [(clean + i, prose(80_000 + i, 120)) for i in range(60)]
+    got = substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    docs, cover = {d: t.split() for d, t in rows}, {d: np.zeros(len(t.split()), bool) for d, t in rows}
+    shingled = lambda w: set(zip(*[w[i:] for i in range(5)]))
+    for r in got:
+        x, y = shingled(docs[r.doc_id][r.start_word : r.end_word]), shingled(docs[r.partner_id][r.partner_start : r.partner_end])
+        assert r.partner_id < r.doc_id and r.end_word - r.start_word >= 50 and abs(r.similarity - len(x & y) / len(x | y)) < 1e-9 and r.similarity >= 0.8
+        cover[r.doc_id][r.start_word : r.end_word] = True
+    found = [cover[d][a:b].mean() >= 0.8 for d, a, b in plants]
+    assert np.mean(found) >= 0.95 and not any(cover[clean + i].any() for i in range(60))
+
+
 def test_similar_passages_repeated_lines():
     """The passage's opening, its closing or both stand elsewhere in the partner too."""
     rng = np.random.default_rng(3)
