@@ -10,7 +10,8 @@ documents, so it needs no table of all shingles.
 Copies with equal sets are one node from the start.  A key's members are not paired with each other: each node is
 compared with the pivot that it shares most keys with, then with another, and only members that are still in different
 components are paired at last, if as many prefix elements are shared as a link needs; so a group of near copies costs a
-multiple of its size, and no link between components is lost.
+multiple of its size, and no link between components is lost.  These last pairs are found by the keys of the shortest
+lists, of which a link must share one.
 """
 
 from __future__ import annotations
@@ -215,14 +216,8 @@ def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame
         old, label = label, components(links)
         release(old)
         at = _labelled(postings, label)
-    rest = at.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    left = at.join(rest, "key")
-    right = left.select("key", *[F.col(c).alias(f"b_{c}") for c in ("node", "size", "single", "double", "component")])
-    sharing = left.join(right, "key").where((F.col("node") < F.col("b_node")) & (F.col("component") != F.col("b_component")) & _may_link(percent))
-    sharing = sharing.groupBy("node", F.col("b_node").alias("b"), "size", "b_size").agg(*[F.count_if(F.col("key") % 2 == odd).alias(c) for odd, c in ((0, "single"), (1, "double"))])
-    sharing = sharing.select("*", F.col("single").alias("b_single"), F.col("double").alias("b_double"), F.when(F.col("single") > 0, 0).otherwise(1).alias("key"))
-    sharing = sharing.where(_may_link(percent) & ((F.col("double") == 0) | _may_link(percent, F.lit(1))))
-    found = cut(_verified(sharing.select(F.col("node").alias("a"), "b"), texts, k, percent))
+    sharing = _still_apart(at, percent)
+    found = cut(_verified(sharing, texts, k, percent))
     if not found.isEmpty():
         old, label = label, components(links.unionByName(found))
         release(old)
@@ -233,6 +228,31 @@ def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame
     return joined.unionByName(made.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
+def _still_apart(at: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of members of different components that share as many keys as a link needs.
+
+    A link needs a number of shared keys by the set's size, so that one of a node's first keys, all but that number less
+    one, is shared; keys of the shortest lists come first, and a long list is left out by most of its members.  Whether a
+    pair shares enough is decided from both lists of keys where they meet; only such pairs are rows.
+    """
+    lists = at.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("low"), F.max("component").alias("high"))
+    apart = at.join(lists, "key").withColumn("odd", F.col("key") % 2 != 0)
+    own = apart.groupBy("node", "size", "component", "odd").agg(F.array_sort(F.collect_list(F.struct("n", "key", F.expr("low < high").alias("apart")))).alias("keys"))
+    least = F.ceil(F.col("size") * percent / F.lit(100.0) - F.lit(1e-9))
+    most = F.floor(F.col("size") * 100 / F.lit(float(percent)) + F.lit(1e-9))
+    slack = F.greatest(_slack(percent, F.col("size"), least), *[_slack(percent, F.col("size"), F.greatest(least, most - d)) for d in range(_steps(percent) + 1)])
+    shared = F.when(F.col("odd"), F.greatest(2 - slack, F.lit(2)) * (F.greatest(2 - slack, F.lit(2)) - 1) / 2).otherwise(F.greatest(1 - slack, F.lit(1))).cast("int")
+    first = own.withColumn("shared", shared).where(F.size("keys") >= F.col("shared")).where(F.exists("keys", lambda x: x["apart"]))
+    first = first.select("node", "size", "component", "odd", F.col("keys.key").alias("keys"), F.explode(F.slice("keys", 1, F.size("keys") - F.col("shared") + 1)).alias("one")).where("one.apart")
+    left = first.withColumn("key", F.col("one.key")).drop("one")
+    right = left.select("key", *[F.col(c).alias(f"b_{c}") for c in ("node", "size", "component", "keys")])
+    both = F.size(F.array_intersect("keys", "b_keys"))
+    fits = 100 * F.least("size", "b_size") >= percent * F.greatest("size", "b_size")
+    enough = _enough(F.col("odd"), both, both, _slack(percent, F.col("size"), F.col("b_size")))
+    pairs = left.join(right, "key").where((F.col("node") < F.col("b_node")) & (F.col("component") != F.col("b_component")) & fits & enough)
+    return pairs.select(F.col("node").alias("a"), F.col("b_node").alias("b")).distinct()
+
+
 def _viable(postings: DataFrame, percent: int) -> DataFrame:
     """Keys of a node on which some other member can be similar to it; and how many of them the node has, by kind.
 
