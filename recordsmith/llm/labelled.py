@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,3 +29,18 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     few = F.broadcast(picked[0].union(picked[1]))  # at most 2 * per_class pairs of numbers
     rows = no_clash(docs, "doc_id", "text").join(few, "doc_id").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.col("y").cast("int").alias("y"))
     return rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("y").alias("y"))
+
+
+def collected(rows: DataFrame, *columns: str) -> tuple[list[int], *tuple[list[np.ndarray], ...]]:
+    """Labels, and bytes of each column, of few rows (doc_id, y, columns...) in the order of their ids, without copies."""
+    table = rows.toArrow()
+    order, out = np.argsort(table.column("doc_id").to_numpy()), []
+    for name in columns:
+        views: list[np.ndarray] = []
+        for chunk in table.column(name).chunks:
+            _, offsets, data = chunk.buffers()
+            ends = np.frombuffer(offsets, np.int32, len(chunk) + 1, chunk.offset * 4)
+            raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+            views += [raw[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
+        out.append([views[i] for i in order])
+    return table.column("y").to_numpy()[order].tolist(), *out

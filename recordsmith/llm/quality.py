@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import joined_bytes, no_clash, slices, words
-from .labelled import held_out, training_sample
+from .labelled import collected, held_out, training_sample
 
 PASSAGE_WORDS = 64
 #: Passages of one text that take part in fitting, at most.
@@ -142,8 +142,8 @@ def score_texts(texts: pa.Array, model: dict[str, np.ndarray] | None) -> np.ndar
 
 def train(docs: DataFrame, labels: DataFrame) -> dict[str, np.ndarray] | None:
     """The driver gets the encoded passages of the sampled texts: FIT_PASSAGES of each at most."""
-    rows = training_sample(docs, labels, "quality").mapInArrow(_bagged, "doc_id long, y int, bag binary").toArrow().sort_by("doc_id")
-    return fit_bags([np.frombuffer(b, np.float32).reshape(-1, FEATURES).astype(float) for b in rows.column("bag").to_pylist()], rows.column("y").to_pylist())
+    y, bags = collected(training_sample(docs, labels, "quality").mapInArrow(_bagged, "doc_id long, y int, bag binary"), "bag")
+    return fit_bags([b.view(np.float32).reshape(-1, FEATURES).astype(float) for b in bags], y)
 
 
 def score_documents(docs: DataFrame, model: dict[str, np.ndarray] | None) -> DataFrame:

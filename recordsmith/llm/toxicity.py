@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import _LOWER, joined_bytes, mix, no_clash, prefix_hash, slices
-from .labelled import held_out, training_sample
+from .labelled import collected, held_out, training_sample
 
 BUCKET_BITS = 18
 SIZES = (3, 4, 5)
@@ -146,7 +146,7 @@ def fit_bags(own: list[Bag], labels: list[int], seed: int = 7) -> Model:
     for bucket, _ in own:
         texts[bucket] += 1
     known = np.flatnonzero(texts >= min(MIN_TEXTS, len(own)))
-    number = np.full(size, -1)
+    number = np.full(size, -1, np.int32)
     number[known] = np.arange(len(known))
     own = [(number[b][number[b] >= 0], s[number[b] >= 0]) for b, s in own]
     fold, rng = np.zeros(len(y), np.int64), np.random.default_rng(seed)
@@ -193,9 +193,9 @@ def _scored(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.Reco
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     """The driver gets the bags of the sampled texts: 2**BUCKET_BITS entries of eight bytes for each text at most."""
-    rows = training_sample(docs, labels, "toxic").mapInArrow(_bagged, "doc_id long, y int, buckets binary, shares binary").toArrow().sort_by("doc_id")
-    own = [(np.frombuffer(b, np.int32), np.frombuffer(s, np.float32)) for b, s in zip(rows.column("buckets").to_pylist(), rows.column("shares").to_pylist())]
-    return fit_bags(own, rows.column("y").to_pylist())
+    rows = training_sample(docs, labels, "toxic").mapInArrow(_bagged, "doc_id long, y int, buckets binary, shares binary")
+    y, buckets, shares = collected(rows, "buckets", "shares")
+    return fit_bags([(b.view(np.int32), s.view(np.float32)) for b, s in zip(buckets, shares)], y)
 
 
 def score_documents(docs: DataFrame, model: Model) -> DataFrame:
