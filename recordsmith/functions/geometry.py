@@ -38,3 +38,20 @@ def area_warnings(box: Column) -> Column:
 def image_tokens(width: Column, height: Column) -> Column:
     tiles = F.ceil(width / TILE) * F.ceil(height / TILE) * TILE_TOKENS
     return F.when((width <= SMALL) & (height <= SMALL), F.lit(TILE_TOKENS)).otherwise(tiles).cast("long")
+
+
+def to_shares(box: Column, width: Column, height: Column) -> Column:
+    return F.transform(box, lambda x, i: x / F.when(i % 2 == 0, width).otherwise(height))
+
+
+def clipped_pixels(box: Column, width: Column, height: Column) -> Column:
+    """(box, clipped): pixels cut at the image, and whether that changed them."""
+    own = F.array(F.greatest(box[0], F.lit(0)), F.greatest(box[1], F.lit(0)), F.least(box[2], width), F.least(box[3], height))
+    return F.struct(own.alias("box"), (own != box).alias("clipped"))
+
+
+def grown_pixels(box: Column, width: Column, height: Column, margin: float) -> Column:
+    """As clipped_pixels(), of a box in shares grown on each side by a share of the image's width or height."""
+    px = to_pixels(box, width, height)
+    grown = F.transform(px, lambda x, i: (x + F.when(i < 2, -1).otherwise(1) * F.bround(F.when(i % 2 == 0, width).otherwise(height) * margin)).cast("int"))
+    return clipped_pixels(grown, width.cast("int"), height.cast("int"))

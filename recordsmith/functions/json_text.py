@@ -11,39 +11,45 @@ from pyspark.sql import functions as F
 
 
 def _balanced(text: str, opens: str = "{") -> str | None:
-    """The first balanced object (or array), with brackets in strings left alone."""
+    """The first balanced object (or array), with brackets in strings left alone; of an object that never closes, the
+    first one without others inside."""
     pairs = {"{": "}", "[": "]"}
-    for begin, sign in enumerate(text):
-        if sign not in opens:
-            continue
-        depth, quoted, escaped = 0, False, False
-        for at in range(begin, len(text)):
-            c = text[at]
-            if quoted:
-                quoted, escaped = (escaped or c != '"'), (c == "\\" and not escaped)
-            elif c == '"':
-                quoted = True
-            elif c == sign:
-                depth += 1
-            elif c == pairs[sign]:
-                depth -= 1
-                if not depth:
-                    return text[begin : at + 1]
+    begin = min((i for i in map(text.find, opens) if i >= 0), default=-1)
+    if begin < 0:
         return None
-    return None
+    sign, depth, quoted, escaped = text[begin], 0, False, False
+    for at in range(begin, len(text)):
+        c = text[at]
+        if escaped or c == "\\":
+            escaped = not escaped
+        elif c == '"':
+            quoted = not quoted
+        elif not quoted and c in (sign, pairs[sign]):
+            depth += 1 if c == sign else -1
+            if not depth:
+                return text[begin : at + 1]
+    flat = re.search(r"\{[^{}]*\}", text) if "{" in opens else None
+    return flat[0] if flat else None
+
+
+def _outermost(text: str) -> str | None:
+    """From the first opening bracket to the last closing one."""
+    begin, end = min((i for i in map(text.find, "{[") if i >= 0), default=-1), max(map(text.rfind, "}]"))
+    return text[begin : end + 1] if 0 <= begin < end else None
 
 
 def _parsed(text: str | None) -> str | None:
-    """As is, with missing commas put in, from a fenced block, or from the first balanced object or array."""
+    """As is, with up to eight missing commas put in; else so from a fenced block, or else from the first opening bracket
+    to the last closing one."""
     if text is None:
         return None
-    fenced = re.search(r"```(?:json)?\s*(.*?)```", text, re.DOTALL)
-    for part in (text, fenced[1] if fenced else None, _balanced(text, "{[")):
+    fenced = re.search(r"```(?:json)?\s*(.*?)\s*```", text, re.DOTALL | re.IGNORECASE)
+    for part in (text.strip(), fenced[1] if fenced else _outermost(text)):
         for _ in range(9 if part else 0):
             try:
                 return json.dumps(json.loads(part), sort_keys=True, ensure_ascii=False)
             except json.JSONDecodeError as error:
-                if "delimiter" not in error.msg or error.pos >= len(part):
+                if error.msg != "Expecting ',' delimiter" or not 0 < error.pos < len(part):
                     break
                 part = part[: error.pos] + "," + part[error.pos :]
     return None
@@ -58,7 +64,7 @@ def _all_parsed(texts: pd.Series) -> pd.Series:
 
 
 def first_object(c: Column) -> Column:
-    """The first balanced JSON object of a text; null if there is none."""
+    """The first balanced JSON object of a text, or its first flat one; null if there is none."""
     return F.pandas_udf(_first_objects, "string")(c)
 
 
@@ -70,3 +76,8 @@ def tolerant_json(c: Column) -> Column:
 def without_thoughts(c: Column) -> Column:
     """Without <think> blocks."""
     return F.regexp_replace(c, r"(?s)<think>.*?</think>", "")
+
+
+def without_fences(c: Column) -> Column:
+    """Without the lines that open and close Markdown fences."""
+    return F.trim(F.regexp_replace(c, r"(?m)^\s*```[A-Za-z]*\s*$\n?", ""))

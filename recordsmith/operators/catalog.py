@@ -28,9 +28,11 @@ def best(runs: DataFrame, metric: str = "f1") -> DataFrame:
 
 
 def compared(runs: DataFrame, metric: str = "f1") -> DataFrame:
-    """With ``place`` by the metric (missing: 0), stable in ``pos``, within each task."""
-    w = Window.partitionBy("task").orderBy(F.desc(F.coalesce(metric, F.lit(0.0))), "pos")
-    return runs.withColumn("place", F.row_number().over(w))
+    """With ``place`` within each task: by the metric (missing: 0), stable in ``pos``, if the task's first run has the
+    metric; else by ``pos``."""
+    first = F.first(metric).over(Window.partitionBy("task").orderBy("pos"))
+    w = Window.partitionBy("task").orderBy(F.desc(F.when(F.col("_first").isNotNull(), F.coalesce(metric, F.lit(0.0)))), "pos")
+    return runs.withColumn("_first", first).withColumn("place", F.row_number().over(w)).drop("_first")
 
 
 def versioned(runs: DataFrame) -> DataFrame:

@@ -9,7 +9,31 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import value_match
+from ..functions.text import is_close, normal_text, number
+
+
+_NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")
+
+
+def _ready(df: DataFrame, fields: Mapping[str, bool]) -> Column:
+    """Each field's number, normal text and presence, made once for a record and not for each pair of records."""
+    kinds, columns = dict(df.dtypes), []
+    for name, numeric in fields.items():
+        c = F.col(name)
+        if numeric and kinds[name].startswith(_NUMERIC):
+            n = F.nanvl(c.cast("double"), F.lit(None).cast("double"))
+            columns.append(F.struct(n.alias("n"), F.when(F.isnan(c), "NaN").alias("t"), c.isNotNull().alias("has")).alias(name))
+        else:
+            t = c.cast("string")
+            columns.append(F.struct((number(t) if numeric else F.lit(None).cast("double")).alias("n"), normal_text(t).alias("t"), t.isNotNull().alias("has")).alias(name))
+    return F.struct(*columns)
+
+
+def _same(a: Column, b: Column, numeric: bool) -> Column:
+    """Whether two present values match; false where one is absent."""
+    text = a["t"] == b["t"]
+    both = F.when(a["n"].isNotNull() & b["n"].isNotNull(), is_close(a["n"], b["n"])).otherwise(text) if numeric else text
+    return F.coalesce(a["has"] & b["has"] & both, F.lit(False))
 
 
 def pair_outcomes(found: DataFrame, gold: DataFrame, keys: Sequence[str], fields: Mapping[str, bool]) -> DataFrame:
@@ -18,14 +42,13 @@ def pair_outcomes(found: DataFrame, gold: DataFrame, keys: Sequence[str], fields
     ``fields`` says of each field whether it is numeric.  Both null: no outcome.  A wrong value is a false positive and
     a false negative; so is a value on one side only, of its own kind.
     """
-    p = found.select(*keys, F.struct(*fields).alias("p"))
-    g = gold.select(*keys, F.struct(*fields).alias("g"))
+    p = found.select(*keys, _ready(found, fields).alias("p"))
+    g = gold.select(*keys, _ready(gold, fields).alias("g"))
     both = p.join(g, list(keys), "full")
     rows = []
     for name, numeric in fields.items():
-        a, b = F.col(f"p.{name}").cast("string"), F.col(f"g.{name}").cast("string")
-        hit = F.col("p").isNotNull() & F.col("g").isNotNull() & a.isNotNull() & b.isNotNull() & value_match(a, b, numeric)
-        rows.append(F.struct(F.lit(name).alias("field"), hit.alias("hit"), a.isNotNull().alias("has_p"), b.isNotNull().alias("has_g")))
+        a, b = F.col(f"p.{name}"), F.col(f"g.{name}")
+        rows.append(F.struct(F.lit(name).alias("field"), _same(a, b, numeric).alias("hit"), F.coalesce(a["has"], F.lit(False)).alias("has_p"), F.coalesce(b["has"], F.lit(False)).alias("has_g")))
     flat = both.select(*keys, F.inline(F.array(*rows)))
     one = lambda c: c.cast("long")
     return flat.select(
@@ -62,9 +85,9 @@ def similarities(found: DataFrame, gold: DataFrame, doc: str, pos: str, fields:
 
     Null against null counts as a match.  A document's records are few; documents are dealt by key.
     """
-    p = found.select(doc, F.col(pos).alias("found_pos"), F.struct(*fields).alias("p"))
-    g = gold.select(doc, F.col(pos).alias("gold_pos"), F.struct(*fields).alias("g"))
-    hits = [value_match(F.col(f"p.{f}").cast("string"), F.col(f"g.{f}").cast("string"), numeric).cast("long") for f, numeric in fields.items()]
+    p = found.select(doc, F.col(pos).alias("found_pos"), _ready(found, fields).alias("p"))
+    g = gold.select(doc, F.col(pos).alias("gold_pos"), _ready(gold, fields).alias("g"))
+    hits = [(_same(F.col(f"p.{f}"), F.col(f"g.{f}"), numeric) | (~F.col(f"p.{f}.has") & ~F.col(f"g.{f}.has"))).cast("long") for f, numeric in fields.items()]
     return p.join(g, doc).select(doc, "found_pos", "gold_pos", sum(hits[1:], hits[0]).alias("matches"))
 
 

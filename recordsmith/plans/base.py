@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,3 +27,11 @@ def plain(sql: str) -> str:
 
 def rounded(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(*[F.round(c, 6).alias(c) if c in columns else F.col(c) for c in df.columns])
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the cluster's shared checkpoint folder; a temporary one only where none is named (tests)."""
+    context = spark.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="ckpt-"))
+    return f"{context._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"

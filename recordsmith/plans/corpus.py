@@ -14,9 +14,10 @@ SELECT p_partkey AS id, CASE WHEN p_partkey % 6 = 0 THEN '' WHEN p_partkey % 10
   p_type AS activity, CASE p_partkey % 3 WHEN 0 THEN 'TRUE' WHEN 1 THEN '1' ELSE 'no' END AS checked
 FROM {{part}}
 """
+ACTIVITIES = ("ECONOMY", "SMALL", "STANDARD")
 TASK = ops.Task("parts", (
     ops.Field("formula", required=True, columns=("formula", "material")), ops.Field("length", "float", columns=("length", "size_nm"), low=0, high=60),
-    ops.Field("count", "int", columns=("size_nm",)), ops.Field("activity", choices=("STEEL", "BRASS", "COPPER", "TIN")), ops.Field("checked", "bool"),
+    ops.Field("count", "int", columns=("size_nm",)), ops.Field("activity", choices=ACTIVITIES), ops.Field("checked", "bool"),
 ))
 
 
@@ -112,7 +113,7 @@ WITH raw AS ({plain(_RAW)}), typed AS (
     CASE WHEN regexp_matches(size_nm, '^[0-9]+$') THEN try_cast(size_nm AS BIGINT) END AS count, activity, lower(checked) IN ('true', '1', 'yes') AS checked FROM raw
 ), judged AS (
   SELECT *, CASE WHEN formula IS NULL THEN 'formula: missing' WHEN length < 0 OR length > 60 THEN 'length: out of range'
-    WHEN activity NOT IN ('STEEL', 'BRASS', 'COPPER', 'TIN') THEN 'activity: not a choice' END AS problem FROM typed
+    WHEN activity NOT IN {ACTIVITIES} THEN 'activity: not a choice' END AS problem FROM typed
 )
 """
 _COUNTS = "SELECT l_orderkey AS doc, count(*) AS {} FROM lineitem WHERE l_partkey % {} <> 0 GROUP BY 1"

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import corpus, evaluation, figures, runs
+from . import corpus, evaluation, figures, reports, runs
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for _module in (evaluation, corpus, figures, runs):
+for _module in (evaluation, corpus, figures, runs, reports):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES

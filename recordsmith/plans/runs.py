@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..functions.json_text import first_object, tolerant_json
 from ..operators import catalog, rules
 from ..streaming import protection
-from .base import fixture, plain, rounded, table
+from .base import fixture, plain, rounded, shared_folder, table
 
 _SEEN = """
 SELECT p_brand AS scope, p_type AS field, p_partkey AS pos, p_partkey % 50 AS doc, CASE WHEN p_size % 10 = 0 THEN concat('Keep  ', p_type) WHEN p_size % 10 = 1 AND p_brand > 'Brand#3' THEN 'Drop it' ELSE concat('keep ', lower(p_type)) END AS text
@@ -104,15 +102,19 @@ def q51_tolerant_json(spark, sf_dir):
 
 
 def q53_stream_tumbling(spark, sf_dir):
-    """The events as a stream of files, one batch, all windows; the sink holds a row for each window and type."""
+    """The events as a stream of files, one batch, all windows, through files in the shared folder."""
     path = f"{sf_dir}/events.parquet"
     schema = spark.read.parquet(path).schema
     whole = spark.read.parquet(path).inputFiles()[0].rstrip("/")
     source = path if not whole.endswith("/events.parquet") else sf_dir
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet" if source == path else "events.parquet").parquet(source)
-    name = f"windows_{uuid.uuid4().hex}"
-    protection.tumbling(stream, "6 hours").writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start().awaitTermination()
-    return rounded(spark.table(name), "total")
+    folder = shared_folder(spark, "windows")
+
+    def written(batch, number):
+        batch.write.mode("overwrite").parquet(f"{folder}/rows")
+
+    protection.tumbling(stream, "6 hours").writeStream.outputMode("complete").option("checkpointLocation", f"{folder}/state").foreachBatch(written).trigger(availableNow=True).start().awaitTermination()
+    return rounded(spark.read.parquet(f"{folder}/rows"), "total")
 
 
 def q54_sessions(spark, sf_dir):
@@ -143,7 +145,7 @@ SELECT 'rule_resolved_' || id AS id, rule_text, CAST(CASE WHEN taken = 'custom'
 SELECT * FROM k UNION ALL SELECT * FROM n WHERE id NOT IN (SELECT id FROM k)""",
     "q44_latest_run": _RUN + "SELECT task, name, created FROM r QUALIFY row_number() OVER (PARTITION BY task ORDER BY created DESC, name) = 1",
     "q45_best_run": _RUN + "SELECT task, name, f1 FROM r WHERE f1 IS NOT NULL QUALIFY row_number() OVER (PARTITION BY task ORDER BY f1 DESC, created DESC, name) = 1",
-    "q46_compared_runs": _RUN + "SELECT task, name, row_number() OVER (PARTITION BY task ORDER BY coalesce(f1, 0) DESC, pos) AS place FROM r",
+    "q46_compared_runs": _RUN + "SELECT task, name, row_number() OVER (PARTITION BY task ORDER BY CASE WHEN head IS NOT NULL THEN coalesce(f1, 0) END DESC, pos) AS place FROM (SELECT *, first_value(f1) OVER (PARTITION BY task ORDER BY pos) AS head FROM r)",
     "q46b_versions": _RUN + "SELECT task, name, row_number() OVER (PARTITION BY task ORDER BY created, name) AS version FROM r",
     "q48_rate_limit": f"""WITH c AS (SELECT *, coalesce(sum(duration) OVER (PARTITION BY key ORDER BY "at", seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + (row_number() OVER (PARTITION BY key ORDER BY "at", seq) - 1) * 10.0 AS base FROM ({plain(_TIMED)}))
 SELECT key, seq, round(base + max("at" - base) OVER (PARTITION BY key ORDER BY "at", seq ROWS UNBOUNDED PRECEDING), 6) AS "start" FROM c""",

@@ -144,12 +144,12 @@ def test_rate_limit_fold(spark):
     assert {r.seq: r.start for r in got.collect()} == want
 
 
-@pytest.mark.parametrize("text, found", [("x {\"a\": \"}\"} y", '{"a": "}"}'), ("{{}", None), ("none", None), ('{"a": {"b": 1}} {}', '{"a": {"b": 1}}'), ('{"a": "\\"}"}', '{"a": "\\"}"}')])
+@pytest.mark.parametrize("text, found", [("x {\"a\": \"}\"} y", '{"a": "}"}'), ("{{}", "{}"), ('{ {"a": 1} and on', '{"a": 1}'), ("none", None), ('{"a": {"b": 1}} {}', '{"a": {"b": 1}}'), ('{"a": "\\"}"}', '{"a": "\\"}"}')])
 def test_first_object(text, found):
     assert _balanced(text) == found
 
 
-@pytest.mark.parametrize("text, found", [('{"a": 1 "b": 2}', {"a": 1, "b": 2}), ("say ```json\n[1, 2]\n``` ok", [1, 2]), ("so {\"a\": [1]} it is", {"a": [1]}), ("no", None)])
+@pytest.mark.parametrize("text, found", [('{"a": 1 "b": 2}', {"a": 1, "b": 2}), ("say ```json\n[1, 2]\n``` ok", [1, 2]), ("so {\"a\": [1]} it is", {"a": [1]}), ("```JSON\n{\"a\": 2}\n```", {"a": 2}), ("x [1, {\"b\": 2}] y", [1, {"b": 2}]), ("two {} {}", None), ("no", None)])
 def test_tolerant_json(text, found):
     got = _parsed(text)
     assert (None if got is None else json.loads(got)) == found
@@ -190,3 +190,40 @@ def test_files(spark, tmp_path):
 def test_rule_review(spark):
     rows = spark.createDataFrame([(1, "A", "B", 5, 0.6, "majority", None), (2, "A", "B", 5, 0.4, "b", None), (3, "A", "B", 5, 0.5, "custom", " "), (4, "A", "B", 5, 0.5, "custom", "own")], "id int, text string, other_text string, evidence int, ratio double, action string, custom string")
     assert {(r.id, r.rule_text, r.evidence) for r in rules.reviewed(rows).collect()} == {("rule_resolved_1", "A", 3), ("rule_resolved_2", "B", 3), ("rule_resolved_4", "own", 1)}
+
+
+def test_sinks(spark, tmp_path):
+    from recordsmith.sources import sinks
+
+    docs = spark.createDataFrame([("a", "# one\ntwo"), ("b", None)], "key string, text string")
+    sinks.write_markdown(docs, f"{tmp_path}/md")
+    got = {r.key: r.value for r in spark.read.text(f"{tmp_path}/md", wholetext=True).collect()}
+    assert got["a"].rstrip("\n") == "# one\ntwo" and got["b"].strip() == ""
+    sinks.write_artefact(docs, f"{tmp_path}/stage", errors=["none"])
+    assert spark.read.json(f"{tmp_path}/stage/validation").first().status == "failed" and spark.read.json(f"{tmp_path}/stage/data").count() == 2
+    sinks.write_report(docs, docs.groupBy().count(), f"{tmp_path}/report", ["key"])
+    assert spark.read.option("header", True).option("multiLine", True).csv(f"{tmp_path}/report/csv").count() == 2 and spark.read.json(f"{tmp_path}/report/summary").first()["count"] == 2
+    assert "| b |  |" in {r.value for r in spark.read.text(f"{tmp_path}/report/markdown").collect()}
+    old = spark.createDataFrame([("t", "x", 1, 1), ("t", "y", 2, 2)], "task string, name string, created int, version int")
+    new = spark.createDataFrame([("t", "z", 3), ("u", "z", 1)], "task string, name string, created int")
+    assert {(r.task, r.name, r.version) for r in sinks.saved_run(old, new).collect()} == {("t", "x", 1), ("t", "y", 2), ("t", "z", 3), ("u", "z", 1)}
+    assert [r.name for r in sinks.without_runs(old, new.withColumn("name", F.lit("x"))).collect()] == ["y"]
+
+
+def test_findings_of_small_splits(spark):
+    from recordsmith.operators import reports
+
+    splits = spark.createDataFrame([("train", 1), ("val", 1), ("val", 2), ("other", 9)], "split string, id int")
+    gold = spark.createDataFrame([(1,), (2,), (3,)], "id int")
+    got = {(r.severity, r.rule, r.subject, r.n) for r in reports.split_findings(splits, gold, "id").collect()}
+    assert got == {("error", "overlap", "val", 1), ("error", "not_in_gold", "other", 1), ("warning", "small_split", "val", 2), ("warning", "unused_gold", "gold", 1)}
+    none = reports.split_findings(splits.limit(0), gold, "id").collect()
+    assert {(r.rule, r.subject) for r in none} == {("empty_split", "train"), ("empty_split", "val"), ("unused_gold", "gold")}
+
+
+def test_compared_without_metric_of_the_first(spark):
+    from recordsmith.operators import catalog
+
+    runs = spark.createDataFrame([("t", "a", 1, None), ("t", "b", 2, 0.9), ("u", "a", 1, 0.1), ("u", "b", 2, None), ("u", "c", 3, 0.5)], "task string, name string, pos int, f1 double")
+    got = {(r.task, r.name): r.place for r in catalog.compared(runs).collect()}
+    assert got == {("t", "a"): 1, ("t", "b"): 2, ("u", "c"): 1, ("u", "a"): 2, ("u", "b"): 3}
