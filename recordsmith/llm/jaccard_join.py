@@ -10,8 +10,8 @@ documents, so it needs no table of all shingles.
 Copies with equal sets are one node from the start.  A key's members are not paired with each other: each node is
 compared with the pivot that it shares most keys with, then with another, and only members that are still in different
 components are paired at last, if as many prefix elements are shared as a link needs; so a group of near copies costs a
-multiple of its size, and no link between components is lost.  These last pairs are found by the keys of the shortest
-lists, of which a link must share one.
+multiple of its size, and no link between components is lost.  Pairs are rows only if the parities of both sets, 256
+bits each, differ in no more bits than similar sets differ in elements.
 """
 
 from __future__ import annotations
@@ -32,6 +32,8 @@ PIECES = 64
 #: Cost of one more partner on a list, in units of the cost of emitting and shuffling one key; it is small because a
 #: member is compared with its list's pivot, not with every partner.
 PAIR_COST = 1 / 64
+#: Columns with the parities of how many elements of a set fall to each of 256 bits.
+BITS = ("bits0", "bits1", "bits2", "bits3")
 #: Times that keys are left out on which no other member can be similar.
 PRUNED = 3
 #: Times that members are compared with a pivot before what is left is paired.
@@ -114,9 +116,12 @@ def _prefixes(batches: Iterator[pa.RecordBatch], k: int, percent: int, sketch: n
             partners.append(float(np.maximum(freq[order[: spare + 1]] - usual, 0).sum()))
         ends = np.cumsum([0, *map(len, prefixes)])
         lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(prefixes)))
+        size = np.array([len(s) for s in sets], np.int64)
+        place = np.repeat(np.arange(len(sets)), size) * 256 + (mix(np.concatenate(sets) + np.uint64(1)) & np.uint64(255)).astype(np.int64)
+        parity = np.packbits((np.bincount(place, minlength=256 * len(sets)) & 1).astype(np.uint8).reshape(len(sets), 256), axis=1, bitorder="little").view(np.int64)
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), lists, pa.array(partners)],
-            ["doc_id", "n_shingles", "sig1", "sig2", "prefix", "partners"],
+            [batch.column("doc_id"), pa.array(size), pa.array(one, pa.int64()), pa.array(two, pa.int64()), lists, pa.array(partners), *[pa.array(np.ascontiguousarray(parity[:, i])) for i in range(4)]],
+            ["doc_id", "n_shingles", "sig1", "sig2", "prefix", "partners", *BITS],
         )
 
 
@@ -175,7 +180,7 @@ def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame
     spark = docs.sparkSession
     docs = no_clash(docs, "doc_id", "text").where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketch = spark.sparkContext.broadcast(frequency_sketch(docs, k))
-    schema = "doc_id long, n_shingles long, sig1 long, sig2 long, prefix array<long>, partners double"
+    schema = "doc_id long, n_shingles long, sig1 long, sig2 long, prefix array<long>, partners double, " + ", ".join(f"{b} long" for b in BITS)
     made = cut(docs.mapInArrow(lambda it: _prefixes(it, k, percent, sketch.value), schema))
     postings = F.size("prefix") - 1
     stats = (
@@ -185,8 +190,8 @@ def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame
     boundary = cheapest_boundary([tuple(r) for r in stats]) if stats else 0
 
     signature = ["n_shingles", "sig1", "sig2"]
-    nodes = made.where("n_shingles > 0").groupBy(*signature).agg(F.min(F.struct("doc_id", "prefix")).alias("least"))
-    nodes = cut(nodes.select(*signature, F.col("least.doc_id").alias("node"), F.col("least.prefix").alias("prefix")))
+    nodes = made.where("n_shingles > 0").groupBy(*signature).agg(F.min(F.struct("doc_id", "prefix", *BITS)).alias("least"))
+    nodes = cut(nodes.select(*signature, F.col("least.doc_id").alias("node"), *[F.col(f"least.{c}").alias(c) for c in ("prefix", *BITS)]))
 
     postings = nodes.select("node", F.col("n_shingles").alias("size"), "prefix").mapInArrow(lambda it: _keyed(it, percent, boundary), "node long, size long, key long")
     postings = postings.withColumn("single", F.lit(1 << 40)).withColumn("double", F.lit(1 << 40))
@@ -195,19 +200,22 @@ def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame
         postings = cut(_viable(postings, percent))
         release(old)
         old = postings
-    members = postings.select(F.col("node").alias("doc_id")).distinct()
-    texts = cut(docs.join(members, "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "text"))
+    # an id of several texts has no bits of its own
+    bits = nodes.groupBy("node").agg(*[F.when(F.count(F.lit(1)) == 1, F.min(c)).alias(c) for c in BITS])
+    postings = cut(postings.join(bits, "node"))
+    release(old)
+    texts = cut(docs.join(postings.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "text"))
 
-    links, label = None, None
+    links, label, members = None, None, ("node", "size", "single", "double", "component", *BITS)
     at = postings.withColumn("component", F.col("node"))
     for turn in range(ROUNDS):
         # first the member that shares the largest part of its prefix, most often the text that the others are copies of
         order = (-(F.col("single") + F.sqrt("double")) / F.col("size"), F.col("node")) if turn == 0 else (F.xxhash64("node", F.lit(turn)), F.col("node"))
         pivot = at.groupBy("key").agg(
-            F.min(F.struct(*order, *[F.col(c).alias(f"b_{c}") for c in ("node", "size", "single", "double", "component")])).alias("p"),
+            F.min(F.struct(*order, *[F.col(c).alias(f"b_{c}") for c in members])).alias("p"),
             F.min("component").alias("low"), F.max("component").alias("high"),
-        ).where("low < high").select("key", *[f"p.b_{c}" for c in ("node", "size", "single", "double", "component")])
-        near = at.join(pivot, "key").where((F.col("component") != F.col("b_component")) & _may_link(percent))
+        ).where("low < high").select("key", *[f"p.b_{c}" for c in members])
+        near = at.join(pivot, "key").where((F.col("component") != F.col("b_component")) & _may_link(percent) & _near(percent))
         best = near.groupBy("node", "b_node").agg(F.count(F.lit(1)).alias("n")).groupBy("node").agg(F.max(F.struct("n", "b_node")).alias("best"))
         found = cut(_verified(best.select(F.col("node").alias("a"), F.col("best.b_node").alias("b")), texts, k, percent))
         if turn and found.isEmpty():
@@ -216,8 +224,14 @@ def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame
         old, label = label, components(links)
         release(old)
         at = _labelled(postings, label)
-    sharing = _still_apart(at, percent)
-    found = cut(_verified(sharing, texts, k, percent))
+    rest = at.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
+    left = at.join(rest, "key")
+    right = left.select("key", *[F.col(c).alias(f"b_{c}") for c in members])
+    sharing = left.join(right, "key").where((F.col("node") < F.col("b_node")) & (F.col("component") != F.col("b_component")) & _may_link(percent) & _near(percent))
+    sharing = sharing.groupBy("node", F.col("b_node").alias("b"), "size", "b_size").agg(*[F.count_if(F.col("key") % 2 == odd).alias(c) for odd, c in ((0, "single"), (1, "double"))])
+    sharing = sharing.select("*", F.col("single").alias("b_single"), F.col("double").alias("b_double"), F.when(F.col("single") > 0, 0).otherwise(1).alias("key"))
+    sharing = sharing.where(_may_link(percent) & ((F.col("double") == 0) | _may_link(percent, F.lit(1))))
+    found = cut(_verified(sharing.select(F.col("node").alias("a"), "b"), texts, k, percent))
     if not found.isEmpty():
         old, label = label, components(links.unionByName(found))
         release(old)
@@ -228,31 +242,6 @@ def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame
     return joined.unionByName(made.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
-def _still_apart(at: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of members of different components that share as many keys as a link needs.
-
-    A link needs a number of shared keys by the set's size, so that one of a node's first keys, all but that number less
-    one, is shared; keys of the shortest lists come first, and a long list is left out by most of its members.  Whether a
-    pair shares enough is decided from both lists of keys where they meet; only such pairs are rows.
-    """
-    lists = at.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("low"), F.max("component").alias("high"))
-    apart = at.join(lists, "key").withColumn("odd", F.col("key") % 2 != 0)
-    own = apart.groupBy("node", "size", "component", "odd").agg(F.array_sort(F.collect_list(F.struct("n", "key", F.expr("low < high").alias("apart")))).alias("keys"))
-    least = F.ceil(F.col("size") * percent / F.lit(100.0) - F.lit(1e-9))
-    most = F.floor(F.col("size") * 100 / F.lit(float(percent)) + F.lit(1e-9))
-    slack = F.greatest(_slack(percent, F.col("size"), least), *[_slack(percent, F.col("size"), F.greatest(least, most - d)) for d in range(_steps(percent) + 1)])
-    shared = F.when(F.col("odd"), F.greatest(2 - slack, F.lit(2)) * (F.greatest(2 - slack, F.lit(2)) - 1) / 2).otherwise(F.greatest(1 - slack, F.lit(1))).cast("int")
-    first = own.withColumn("shared", shared).where(F.size("keys") >= F.col("shared")).where(F.exists("keys", lambda x: x["apart"]))
-    first = first.select("node", "size", "component", "odd", F.col("keys.key").alias("keys"), F.explode(F.slice("keys", 1, F.size("keys") - F.col("shared") + 1)).alias("one")).where("one.apart")
-    left = first.withColumn("key", F.col("one.key")).drop("one")
-    right = left.select("key", *[F.col(c).alias(f"b_{c}") for c in ("node", "size", "component", "keys")])
-    both = F.size(F.array_intersect("keys", "b_keys"))
-    fits = 100 * F.least("size", "b_size") >= percent * F.greatest("size", "b_size")
-    enough = _enough(F.col("odd"), both, both, _slack(percent, F.col("size"), F.col("b_size")))
-    pairs = left.join(right, "key").where((F.col("node") < F.col("b_node")) & (F.col("component") != F.col("b_component")) & fits & enough)
-    return pairs.select(F.col("node").alias("a"), F.col("b_node").alias("b")).distinct()
-
-
 def _viable(postings: DataFrame, percent: int) -> DataFrame:
     """Keys of a node on which some other member can be similar to it; and how many of them the node has, by kind.
 
@@ -285,6 +274,12 @@ def _may_link(percent: int, key: Column | None = None) -> Column:
     return enough & (100 * F.least(F.col("size"), b_size) >= percent * F.greatest(F.col("size"), b_size))
 
 
+def _near(percent: int) -> Column:
+    """Whether sets can be similar by their bits, of which each element that only one of them has changes one."""
+    apart = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"b_{c}"))) for c in BITS[1:]), F.bit_count(F.col(BITS[0]).bitwiseXOR(F.col(f"b_{BITS[0]}"))))
+    return F.coalesce((100 + percent) * apart <= (100 - percent) * (F.col("size") + F.col("b_size")), F.lit(True))
+
+
 def _slack(percent: int, a: Column, b: Column) -> Column:
     """The greater of two sets' least overlaps, less the elements that both must share to be similar."""
     least = lambda c: F.ceil(c * percent / F.lit(100.0) - F.lit(1e-9))
