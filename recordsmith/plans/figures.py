@@ -192,4 +192,8 @@ SELECT doc, md5(t) AS text_md5, CAST(length(t) AS BIGINT) AS n FROM i""",
 SELECT doc, count(*) AS boxes, CAST(sum(round_even(x1 * width, 0) - round_even(x0 * width, 0)) AS BIGINT) AS widths, round(sum((x1 - x0) * (y1 - y0)), 6) AS share, round(sum(least(y1 + (y1 - y0) * 0.05, 1)), 6) AS bottoms,
   CAST(sum(((x1 - x0) * (y1 - y0) < 0.01)::INT + ((x1 - x0) * (y1 - y0) > 0.95)::INT + (x0 <= 0 OR y0 <= 0 OR x1 >= 1 OR y1 >= 1)::INT) AS BIGINT) AS warnings FROM b GROUP BY doc""",
     "q39_image_tokens": f"SELECT width, height, CAST(max(CASE WHEN width <= 384 AND height <= 384 THEN 258 ELSE ceil(width / 768) * ceil(height / 768) * 258 END) AS BIGINT) AS tokens FROM ({plain(_BOXES)}) GROUP BY width, height",
+    "q52_panel_filter": """WITH l AS (SELECT l_orderkey AS doc, CASE WHEN l_linenumber % 3 = 0 THEN '' ELSE 'p' || (l_linenumber % 3) END AS own, l_partkey % 2 = 0 AS numeric_, CASE WHEN l_partkey % 4 = 0 THEN '' ELSE 'p' || (l_partkey % 4) END AS k FROM lineitem),
+a AS (SELECT doc, coalesce(list(DISTINCT own) FILTER (numeric_), []) AS allowed FROM l GROUP BY doc), t AS (SELECT doc, allowed, CASE WHEN len(allowed) = 1 AND k = '' THEN allowed[1] ELSE k END AS k FROM l JOIN a USING (doc)),
+d AS (SELECT doc, any_value(allowed) AS allowed, count(*) FILTER (len(allowed) = 0 OR list_contains(allowed, k)) AS kept, list(DISTINCT k) AS ks FROM t GROUP BY doc), m AS (SELECT *, list_sort(list_filter(allowed, lambda x: NOT list_contains(ks, x))) AS missing FROM d)
+SELECT doc, CASE WHEN len(allowed) = 0 THEN 'success' WHEN kept = 0 THEN 'no_extractable_chart' WHEN len(missing) > 0 THEN 'partial' ELSE 'success' END AS status, kept, array_to_string(missing, ',') AS missing FROM m""",
 }
