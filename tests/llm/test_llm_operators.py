@@ -370,7 +370,7 @@ def test_substring_dedup(spark, hard, none):
 
 
 def test_substring_dedup_recall(spark):
-    """Planted passages, copied with up to a tenth of their words edited, in pairs and groups, some beside a line that all
+    """Planted passages, copied with up to three of a hundred words edited, in pairs and groups, some beside a line that all
     hold; held to the brute-force similarity of each plant."""
     rng, rows, plants = np.random.default_rng(8), [], []
     line = prose(77, 40)
