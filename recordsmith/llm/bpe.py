@@ -27,11 +27,11 @@ from pyspark.sql import functions as F
 from .common import no_clash, slices
 
 #: Words that a Python worker keeps; beyond that the half met last stays.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 400_000
 #: Words of one recursive query, and their bytes; longer words than LONG bytes go by themselves.
 QUERY_WORDS, QUERY_BYTES, LONG = 32_000, 500_000, 128
 #: Bytes of text that are put together at a time.
-STEP = 3 << 20
+STEP = 2 << 20
 
 #: A row's key is its word's number times PLACES plus its position; a pair's key is likewise made of two ids.
 PLACES = 1 << 28
@@ -256,7 +256,7 @@ def _encoded(batches: Iterator[pa.RecordBatch], ranks: bytes, pattern: str, full
         columns = [batch.column("doc_id"), pa.array(total[bounds[1:]] - total[bounds[:-1]], pa.int64()), *[pa.array([hashlib.sha256(x).hexdigest() for x in column]) for column in (ids, decoded)]]
         names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
         if full:
-            columns.append(pa.array([list(map(int, bytes(x).split())) for x in ids], pa.list_(pa.int32())))
+            columns.append(pa.array([np.array(bytes(x).split(), "S").astype(np.int32) for x in ids], pa.list_(pa.int32())))
             columns.append(pa.array([bytes(x).decode(errors="replace") for x in decoded]))
             names += ["ids", "decoded"]
         yield pa.RecordBatch.from_arrays(columns, names)
