@@ -9,6 +9,7 @@ ORACLES: dict = {}
 for _name in (
     "queries_lm", "queries_jaccard", "queries_decontamination", "queries_bpe", "queries_suffix",
     "queries_nearest", "queries_classifiers", "queries_fixity", "queries_substring",
+    "queries_topk", "queries_collocations", "queries_alignment",
 ):
     _module = import_module(f".{_name}", __package__)
     QUERIES |= _module.QUERIES
