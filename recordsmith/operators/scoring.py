@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Mapping, Sequence
+from itertools import groupby
+from operator import itemgetter
 
-import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import is_close, normal_text, number
+from .assignment import pairing
 
 
 _NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")
@@ -91,66 +93,60 @@ def similarities(found: DataFrame, gold: DataFrame, doc: str, pos: str, fields:
     return p.join(g, doc).select(doc, "found_pos", "gold_pos", sum(hits[1:], hits[0]).alias("matches"))
 
 
-def assign(matches: np.ndarray) -> list[int]:
-    """Column of each row (-1: none) with the largest sum, by shortest augmenting paths (rows in order)."""
-    rows, columns = matches.shape
-    n = max(rows, columns)
-    cost = np.zeros((n + 1, n + 1))
-    cost[1 : rows + 1, 1 : columns + 1] = -matches
-    u, v, owner, way = np.zeros(n + 1), np.zeros(n + 1), np.zeros(n + 1, int), np.zeros(n + 1, int)
-    for row in range(1, n + 1):
-        owner[0], column = row, 0
-        least, used = np.full(n + 1, np.inf), np.zeros(n + 1, bool)
-        while owner[column]:
-            used[column] = True
-            now = cost[owner[column]] - u[owner[column]] - v
-            better = ~used & (now < least)
-            least[better], way[better] = now[better], column
-            step = np.where(used, np.inf, least)
-            nearest = int(np.argmin(step))
-            delta = step[nearest]
-            u[owner[used]] += delta
-            v[used] -= delta
-            least[~used] -= delta
-            column = nearest
-        while column:
-            owner[column] = owner[way[column]]
-            column = way[column]
-    out = [-1] * rows
-    for column in range(1, columns + 1):
-        if 1 <= owner[column] <= rows:
-            out[owner[column] - 1] = column - 1
-    return out
-
-
-def align(found: DataFrame, gold: DataFrame, doc: str, pos: str, fields: Mapping[str, bool]) -> DataFrame:
+def align(found: DataFrame, gold: DataFrame, doc: str, pos: str, fields: Mapping[str, bool], rel: float = 1e-9) -> DataFrame:
     """(doc, found_pos, gold_pos, matches): the one-to-one pairing of each document with the most matching fields.
 
-    Records without partner stand with null on the other side.  Ties go to what the assignment meets first, with found
-    and gold records in the order of their positions.
+    Of pairings with equally many matching fields (null against null counts) one with the most fields that match by a value
+    is taken, so that a document's true positives are the same in all of them.  Records without partner stand with null
+    on the other side; so do all records without document.  Equal records are dealt in the order of their positions.
+    The rows of a document meet in one task as classes of equal records, never as pairs.
     """
-    pairs = similarities(found, gold, doc, pos, fields)
-    kind = dict(found.dtypes)
-
-    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for key, own in zip(batch[doc], batch["own"]):
-                left, right = sorted({r["found_pos"] for r in own}), sorted({r["gold_pos"] for r in own})
-                row, column = {p: i for i, p in enumerate(left)}, {g: j for j, g in enumerate(right)}
-                matches = np.zeros((len(left), len(right)))
-                for r in own:
-                    matches[row[r["found_pos"]], column[r["gold_pos"]]] = r["matches"]
-                out += [(key, left[i], right[j], int(matches[i, j])) for i, j in enumerate(assign(matches)) if j >= 0]
-            yield pd.DataFrame(out, columns=[doc, "found_pos", "gold_pos", "matches"])
-
-    schema = f"{doc} {kind[doc]}, found_pos {kind[pos]}, gold_pos {kind[pos]}, matches long"
-    grouped = pairs.groupBy(doc).agg(F.collect_list(F.struct("found_pos", "gold_pos", "matches")).alias("own"))
-    paired = grouped.mapInPandas(solve, schema)
-    every = found.select(doc, F.col(pos).alias("found_pos"))
-    left = paired.join(every, [doc, "found_pos"], "right")
-    rest = gold.select(doc, F.col(pos).alias("gold_pos")).join(paired, [doc, "gold_pos"], "left_anti")
-    return left.select(doc, "found_pos", "gold_pos", "matches").unionByName(rest, allowMissingColumns=True)
+
+    def side(df: DataFrame, name: str) -> DataFrame:
+        ready = _ready(df, fields)
+        own = df.select(F.col(doc).alias("doc"), F.lit(name).alias("side"), F.col(pos).alias("pos"), ready.alias("r"))
+        text = lambda f: F.when(F.col(f"r.{f}.n").isNull() & F.col(f"r.{f}.has"), F.col(f"r.{f}.t"))
+        return own.select("doc", "side", "pos", *[x for i, f in enumerate(fields) for x in (F.col(f"r.{f}.n").alias(f"n{i}"), text(f).alias(f"t{i}"))])
+
+    rows = side(found, "found").unionByName(side(gold, "gold")).repartition(F.col("doc"), F.when(F.col("doc").isNull(), F.xxhash64("pos")))
+    kinds = dict(rows.dtypes)
+    rows = rows.sortWithinPartitions(*rows.columns)
+    schema = f"doc {kinds['doc']}, found_pos {kinds['pos']}, gold_pos {kinds['pos']}, matches long"
+    width = len(fields)
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types: list[pa.DataType] = []
+
+        def stream() -> Iterator[tuple]:
+            for batch in batches:
+                types[:] = [batch.schema.field("doc").type, batch.schema.field("pos").type, batch.schema.field("pos").type, pa.int64()]
+                yield from zip(*(c.to_pylist() for c in batch.columns))
+
+        out: list[tuple] = []
+        for key, own in groupby(stream(), key=itemgetter(0)):
+            places, records = {"found": [], "gold": []}, {"found": [], "gold": []}
+            for r in own:
+                places[r[1]].append(r[2])
+                records[r[1]].append(tuple(r[3 + 2 * i] if r[3 + 2 * i] is not None else r[4 + 2 * i] for i in range(width)))
+            pairs = pairing(records["found"], records["gold"], rel) if key is not None else []
+            out += [(key, places["found"][a], places["gold"][b], n) for a, b, n in pairs]
+            used = {a for a, _, _ in pairs}, {b for _, b, _ in pairs}
+            out += [(key, p, None, None) for a, p in enumerate(places["found"]) if a not in used[0]]
+            out += [(key, None, p, None) for b, p in enumerate(places["gold"]) if b not in used[1]]
+            while len(out) >= _ROWS:
+                yield _batch(out[:_ROWS], types)
+                del out[:_ROWS]
+        if out:
+            yield _batch(out, types)
+
+    return rows.mapInArrow(solve, schema).withColumnRenamed("doc", doc)
+
+
+_ROWS = 8192
+
+
+def _batch(rows: list[tuple], types: list[pa.DataType]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], ["doc", "found_pos", "gold_pos", "matches"])
 
 
 def aligned_outcomes(found: DataFrame, gold: DataFrame, doc: str, pos: str, fields: Mapping[str, bool]) -> DataFrame:

@@ -137,6 +137,20 @@ QUERIES = {f.__name__: f for f in (
     q08_alignment_scores, q09_normal_text, q10_value_match, q11_is_close, q12_document_keys,
 )}
 _NULLS = " + ".join(f"(CASE WHEN p.{f} IS NULL THEN g.{f} IS NULL WHEN g.{f} IS NULL THEN false ELSE {_hit(f)} END)::INT" for f in FIELDS)
+_VALUES_SAME = " + ".join(f"coalesce({_hit(f)}, false)::INT" for f in FIELDS)
+_PRESENT = " + ".join(f"count({f})" for f in FIELDS)
+#: Largest gain of each document by dynamic programming over its found records and the sets of gold ones used: matching fields, times 1000, plus those that match by a value.
+_BEST = f"""WITH RECURSIVE g AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY pos) - 1 AS i FROM ({plain(GOLD)})), p AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY pos) - 1 AS i FROM ({plain(FOUND)})),
+n AS (SELECT coalesce(a.doc, b.doc) AS doc, coalesce(np, 0) AS np, coalesce(ng, 0) AS ng FROM (SELECT doc, count(*) AS np FROM p GROUP BY doc) a FULL JOIN (SELECT doc, count(*) AS ng FROM g GROUP BY doc) b ON a.doc = b.doc),
+m AS (SELECT p.doc, p.i, g.i AS j, 1000 * ({_NULLS}) + {_VALUES_SAME} AS matches FROM p JOIN g ON p.doc = g.doc),
+best AS (
+  SELECT doc, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS used, CAST(0 AS BIGINT) AS total FROM n
+  UNION ALL SELECT doc, i, used, max(total) AS total FROM (
+    SELECT b.doc, b.i + 1 AS i, b.used, b.total FROM best b JOIN n ON n.doc = b.doc WHERE b.i < n.np
+    UNION ALL SELECT b.doc, b.i + 1, b.used | (CAST(1 AS BIGINT) << m.j), b.total + m.matches FROM best b JOIN m ON m.doc = b.doc AND m.i = b.i WHERE (b.used >> m.j) & 1 = 0
+  ) GROUP BY doc, i, used
+)
+"""
 ORACLES = {
     "q01_field_confusion": OUTCOMES + "SELECT field, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS fp, CAST(sum(fn) AS BIGINT) AS fn, CAST(sum(total) AS BIGINT) AS total, CAST(sum(tp) AS BIGINT) AS correct FROM o GROUP BY field",
     "q02_micro_prf": OUTCOMES + f"SELECT {_PRF} FROM o",
@@ -148,18 +162,12 @@ SELECT f.field, CAST(coalesce(total, 0) AS BIGINT) AS total, CAST(coalesce(corre
 FROM (SELECT unnest(['flag', 'status', 'quantity', 'discount', 'shipped', 'never_seen']) AS field) f LEFT JOIN s USING (field)""",
     "q06_similarity_pairs": f"""WITH g AS ({plain(GOLD)}), p AS ({plain(FOUND)}), m AS (SELECT p.doc, p.pos AS found_pos, {_NULLS} AS matches FROM p JOIN g ON p.doc = g.doc)
 SELECT doc, found_pos, count(*) AS gold_records, CAST(sum(matches) AS BIGINT) AS matches, CAST(max(matches) AS BIGINT) AS best FROM m GROUP BY doc, found_pos""",
-    "q07_alignment_total": f"""WITH RECURSIVE g AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY pos) - 1 AS i FROM ({plain(GOLD)})), p AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY pos) - 1 AS i FROM ({plain(FOUND)})),
-n AS (SELECT coalesce(a.doc, b.doc) AS doc, coalesce(np, 0) AS np, coalesce(ng, 0) AS ng FROM (SELECT doc, count(*) AS np FROM p GROUP BY doc) a FULL JOIN (SELECT doc, count(*) AS ng FROM g GROUP BY doc) b ON a.doc = b.doc),
-m AS (SELECT p.doc, p.i, g.i AS j, {_NULLS} AS matches FROM p JOIN g ON p.doc = g.doc),
-best AS (
-  SELECT doc, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS used, CAST(0 AS BIGINT) AS total FROM n
-  UNION ALL SELECT doc, i, used, max(total) AS total FROM (
-    SELECT b.doc, b.i + 1 AS i, b.used, b.total FROM best b JOIN n ON n.doc = b.doc WHERE b.i < n.np
-    UNION ALL SELECT b.doc, b.i + 1, b.used | (CAST(1 AS BIGINT) << m.j), b.total + m.matches FROM best b JOIN m ON m.doc = b.doc AND m.i = b.i WHERE (b.used >> m.j) & 1 = 0
-  ) GROUP BY doc, i, used
-)
-SELECT doc, least(np, ng) AS pairs, CAST(total AS BIGINT) AS total, np - least(np, ng) AS found_alone, ng - least(np, ng) AS gold_alone
+    "q07_alignment_total": _BEST + """SELECT doc, least(np, ng) AS pairs, CAST(total // 1000 AS BIGINT) AS total, np - least(np, ng) AS found_alone, ng - least(np, ng) AS gold_alone
 FROM (SELECT doc, max(total) AS total FROM best GROUP BY doc) JOIN n USING (doc)""",
+    "q08_alignment_scores": _BEST + f""", has_p AS (SELECT doc, {_PRESENT} AS n FROM p GROUP BY doc), has_g AS (SELECT doc, {_PRESENT} AS n FROM g GROUP BY doc),
+s AS (SELECT doc, total % 1000 AS tp, coalesce(has_p.n, 0) - total % 1000 AS fp, coalesce(has_g.n, 0) - total % 1000 AS fn
+  FROM (SELECT doc, max(total) AS total FROM best GROUP BY doc) LEFT JOIN has_p USING (doc) LEFT JOIN has_g USING (doc))
+SELECT doc, {_PRF} FROM s GROUP BY doc""",
     "q09_normal_text": f"SELECT doc_id, regexp_replace(translate(raw, '−–—', '---'), '\\s+', '', 'g') AS normal, CAST(length(regexp_replace(translate(text, '−–—', '---'), '\\s+', '', 'g')) AS BIGINT) AS n FROM ({plain(_TEXTS)})",
     "q10_value_match": f"""WITH v AS ({plain(_VALUES)}), m AS (SELECT part % 105 AS kind, CASE WHEN gold IS NULL THEN found IS NULL WHEN found IS NULL THEN false ELSE found = gold END AS as_text,
   CASE WHEN gold IS NULL THEN found IS NULL WHEN found IS NULL THEN false WHEN try_cast(found AS DOUBLE) IS NOT NULL THEN try_cast(found AS DOUBLE) = try_cast(gold AS DOUBLE) ELSE found = gold END AS as_number FROM v)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import json
+import random
 
 import numpy as np
 import pytest
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from recordsmith.functions import text as T
 from recordsmith.functions.json_text import _balanced, _parsed
 from recordsmith.operators import corpus, external, rules, scoring, visual
+from recordsmith.operators.assignment import close, pairing
 from recordsmith.sources import files
 from recordsmith.streaming.protection import Breaker, rate_limited, replayed, streamed_breaker
 
@@ -36,15 +38,42 @@ def test_keys(spark, f, raw, key):
     assert one(spark, f(F.lit(raw))) == key
 
 
-def test_assignment_is_optimal():
-    rng = np.random.default_rng(3)
-    for _ in range(300):
-        m = rng.integers(0, 4, (rng.integers(1, 6), rng.integers(1, 6)))
-        got = scoring.assign(m)
-        total = sum(m[i, j] for i, j in enumerate(got) if j >= 0)
-        wide = m if m.shape[0] <= m.shape[1] else m.T
-        best = max(sum(wide[i, p[i]] for i in range(len(wide))) for p in itertools.permutations(range(wide.shape[1]), len(wide)))
-        assert total == best and len({j for j in got if j >= 0}) == min(m.shape)
+def _gain(found, gold, rel):
+    same = [a == b or (isinstance(a, float) and isinstance(b, float) and close(a, b, rel)) for a, b in zip(found, gold)]
+    return np.array([sum(same), sum(x for x, a in zip(same, found) if a is not None)])
+
+
+@pytest.mark.parametrize("rel", [1e-9, 0.3])  # with 0.3, matching is not transitive
+def test_pairing_is_optimal(rel):
+    pick = random.Random(7)
+    for _ in range(600):
+        width = pick.randint(1, 4)
+        record = lambda: tuple(pick.choice([None, "a", "b", "c", 1.0, 1.2, 1.5, -2.0, 0.0]) for _ in range(width))  # noqa: B023, E731
+        pool = [record() for _ in range(pick.randint(1, 4))]
+        found, gold = ([pick.choice(pool) if pick.random() < 0.6 else record() for _ in range(pick.randint(0, n))] for n in (5, 6))
+        got = pairing(found, gold, rel)
+        assert len(got) == min(len(found), len(gold)) == len({a for a, _, _ in got}) == len({b for _, b, _ in got})
+        short, long = sorted((found, gold), key=len)
+        best = max((tuple(sum((_gain(s, long[j], rel) for s, j in zip(short, p)), np.zeros(2))) for p in itertools.permutations(range(len(long)), len(short))))
+        assert tuple(sum((_gain(found[a], gold[b], rel) for a, b, _ in got), np.zeros(2))) == best
+        assert all(n == _gain(found[a], gold[b], rel)[0] for a, b, n in got)
+
+
+def test_alignment_of_one_large_document(spark):
+    """Two lists of 100,000 records of one document, the second in another order and a tenth of it damaged."""
+    n = 100_000
+    gold = spark.range(n).selectExpr("'d' doc", "id pos", "cast(id % 40 as double) x", "concat('s', id % 9) y", "case when id % 5 > 0 then concat('t', id % 7) end z")
+    found = gold.selectExpr("doc", f"(pos * 7919 + 11) % {n} pos", "case when pos % 10 = 0 then x + 100 else x end x", "y", "z")
+    rows = scoring.align(found, gold, "doc", "pos", {"x": True, "y": False, "z": False})
+    got = rows.agg(F.count("matches").alias("pairs"), F.sum("matches").alias("n"), F.countDistinct("found_pos").alias("f"), F.countDistinct("gold_pos").alias("g")).first()
+    assert (got.pairs, got.f, got.g, got.n) == (n, n, n, 3 * n - n // 10)
+
+
+def test_alignment_without_partners(spark):
+    gold = spark.createDataFrame([(None, 1, "a"), ("d", 1, "a"), ("d", 2, None), ("e", None, "b")], "doc string, pos int, name string")
+    found = spark.createDataFrame([(None, 1, "a"), ("d", 5, None), ("f", 1, "a")], gold.schema)
+    got = {tuple(r) for r in scoring.align(found, gold, "doc", "pos", {"name": False}).collect()}
+    assert got == {(None, 1, None, None), (None, None, 1, None), ("d", 5, 2, 1), ("d", None, 1, None), ("e", None, None, None), ("f", 1, None, None)}
 
 
 def test_scores_swap(spark):
