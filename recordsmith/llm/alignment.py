@@ -1,11 +1,12 @@
 """Cross-tokenizer alignment: byte offsets where tokens of two tokenizers both end, and the tokens that overlap.
 
-Texts are cut into segments where neither tokenizer can join what stands before and after: at a single space between two
-letters, digits or punctuation marks, provided that the first splits words off at spaces and no piece of the second goes on past a space
-(otherwise a text is one segment).  The tokens of a text are those of its segments, so each distinct segment of the
-corpus is tokenised and aligned once, as relations: tokens by posexplode, ends by a windowed sum of lengths, both
-tokenizers' tokens brought together by segment and end, groups by a running count of the ends they share, and for each
-end the tokens of either side that cover the byte before it: these are all overlaps, each once, in linear time.
+Texts are cut into segments where neither tokenizer can join what stands before and after: before a single space or line
+feed between two letters, digits or signs, and between a letter and a punctuation mark, provided that the first splits
+texts there and no piece of the second goes on past such a place (otherwise a text is one segment).  The tokens of a
+text are those of its segments, so each distinct segment of the corpus is tokenised and aligned once, as relations: tokens by
+posexplode, ends by a windowed sum of lengths, both tokenizers' tokens brought together by segment and end, groups by a
+running count of the ends they share, and for each end the tokens of either side that cover the byte before it: these
+are all overlaps, each once, in linear time.
 
 Documents then gather what is known of their segments.  Frequent segments, a bounded number, are known to all tasks; the
 others are joined.  An id pair's documents are counted on the pairs that differ within a document.
@@ -16,8 +17,8 @@ from __future__ import annotations
 import hashlib
 import json
 import os
-import re
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -28,10 +29,11 @@ from pyspark.sql import functions as F
 from .common import cut, no_clash, release, slices
 
 #: Segments that all tasks know: the most frequent ones, of no more bytes than this.
-HEAD, HEAD_BYTES = 1 << 16, 48
+HEAD, HEAD_BYTES = 1 << 18, 48
 STEP_BYTES = 1 << 18
 PAIRS_HELD = 1 << 20
-GAP = r"(?<=[\p{L}\p{N}\p{P}]) (?=[\p{L}\p{N}\p{P}])"
+_SIGN = r"[\p{L}\p{N}\p{P}$+<=>^`|~]"
+GAP = rf"(?<={_SIGN})(?=[ \n]{_SIGN})|(?<=\p{{L}})(?=[.,;:!?])"
 
 
 class Tokenizers:
@@ -53,9 +55,12 @@ class Tokenizers:
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(map(self.b.id_to_piece, range(self.b.vocab_size())))]
         self.a_sizes, self.b_sizes = (np.array([len(t) for t in x]) for x in (self.a_bytes, self.b_bytes))
 
-    def encode(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
+    def encode(self, segments: list[str]) -> tuple[list[list[int]], list[list[int]]]:
+        """Of segments with their leading space; B adds one itself.  Before others a line feed is put, which stands alone."""
         run = getattr(self.a, "encode_batch_fast", self.a.encode_batch)
-        return [e.ids for e in run([" " + t for t in texts], add_special_tokens=False)], self.b.encode(texts, num_threads=1)
+        a = [e.ids for e in run(segments, add_special_tokens=False)]
+        b = self.b.encode([t[1:] if t.startswith(" ") else "\n" + t for t in segments], num_threads=1)
+        return a, [x if t.startswith(" ") else x[2:] for x, t in zip(b, segments)]
 
 
 _loaded: dict[tuple[str, str], Tokenizers] = {}
@@ -68,7 +73,7 @@ def tokenizers(a_path: str, b_path: str) -> Tokenizers:
 
 
 def separable(a_path: str, b_path: str) -> bool:
-    """Whether tokens of either side never go on past a single space between two letters, digits or punctuation marks."""
+    """Whether tokens of either side never go on past the places where texts are cut."""
     with open(a_path) as f:
         first = json.load(f)
     own, both = first["pre_tokenizer"] or {}, tokenizers(a_path, b_path)
@@ -80,17 +85,17 @@ def separable(a_path: str, b_path: str) -> bool:
     model.ParseFromString(both.b.serialized_model_proto())
     rule = model.normalizer_spec
     plain = rule.add_dummy_prefix and rule.escape_whitespaces and not rule.precompiled_charsmap
-    return plain and not any(p.type == p.USER_DEFINED or re.search("[^▁]▁", p.piece) for p in model.pieces)
+    past = lambda p: "\n" in p or any((y == "▁" and x != "▁") or (y in ".,;:!?" and x.isalpha()) for x, y in pairwise(p))
+    return plain and both.b.encode("\n") == [both.b.piece_to_id("▁"), both.b.piece_to_id("<0x0A>")] and not any(p.type == p.USER_DEFINED or past(p.piece) for p in model.pieces)
 
 
 def _tokenised(batches: Iterator[pa.RecordBatch], a_path: str, b_path: str) -> Iterator[pa.RecordBatch]:
-    """(id, segment) -> (id, ok, n_a, tok, size): A's tokens, then B's; not ok: the bytes differ from space and segment."""
+    """(id, segment) -> (id, ok, n_a, tok, size): A's tokens, then B's; not ok: the bytes differ from the segment's."""
     both = tokenizers(a_path, b_path)
     for batch in slices(batches, "segment", STEP_BYTES):
         texts = batch.column("segment").to_pylist()
         a, b = both.encode(texts)
-        joined = [" " + t for t in texts]
-        same = [b"".join(map(both.a_bytes.__getitem__, x)) == (want := j.encode()) == b"".join(map(both.b_bytes.__getitem__, y)) for x, y, j in zip(a, b, joined)]
+        same = [b"".join(map(both.a_bytes.__getitem__, x)) == t.encode() == b"".join(map(both.b_bytes.__getitem__, y)) for x, y, t in zip(a, b, texts)]
         tok = [np.array(x + y if ok else [], np.int32) for x, y, ok in zip(a, b, same)]
         n_a = np.array([len(x) if ok else 0 for x, ok in zip(a, same)], np.int32)
         ends = np.cumsum([0, *map(len, tok)]).astype(np.int32)
@@ -115,29 +120,41 @@ def aligned(tokens: DataFrame) -> DataFrame:
     met = ends.groupBy("id", "end").agg(F.max(F.when(~F.col("side"), F.col("tok"))).alias("a"), F.max(F.when(F.col("side"), F.col("tok"))).alias("b"))
     back = Window.partitionBy("id").orderBy(F.desc("end")).rowsBetween(Window.unboundedPreceding, 0)
     shared = F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), 1)
-    links = met.select("id", "end", "a", "b", F.last("a", True).over(back).alias("of_a"), F.last("b", True).over(back).alias("of_b"), F.count(shared).over(back).alias("from_end"))
-    part = links.groupBy("id", "from_end").agg(
-        F.count("a").alias("n_a"), F.count("b").alias("n_b"), F.count(F.lit(1)).alias("n_links"), F.array_sort(F.collect_list(F.struct("end", "a", "b"))).alias("own"),
+    links = met.select("id", F.col("a").isNotNull().cast("int").alias("has_a"), F.col("b").isNotNull().cast("int").alias("has_b"), F.struct("end", "a", "b").alias("own"), F.last("a", True).over(back).alias("of_a"), F.last("b", True).over(back).alias("of_b"), F.count(shared).over(back).alias("group"))
+    rows = links.groupBy("id").agg(
+        F.sum("has_a").alias("n_a"), F.sum("has_b").alias("n_b"), F.max("group").alias("n_groups"), F.count(F.lit(1)).alias("n_links"), F.array_sort(F.collect_list("own")).alias("own"),
         F.collect_list(F.shiftleft(F.col("of_a").cast("long"), 32) + F.col("of_b")).alias("pairs"),
     )
-    ids = lambda c: F.array_join(F.col(f"own.{c}"), ",")  # noqa: E731  (array_join leaves nulls out)
-    part = part.select("id", "from_end", "n_a", "n_b", "n_links", F.concat(ids("a"), F.lit("|"), ids("b")).alias("text"), "pairs")
-    in_order = F.reverse(F.array_sort(F.collect_list(F.struct("from_end", "text"))))
-    return part.groupBy("id").agg(
-        F.sum("n_a").alias("n_a"), F.sum("n_b").alias("n_b"), F.count(F.lit(1)).alias("n_groups"), F.sum("n_links").alias("n_links"), in_order.alias("groups"), F.flatten(F.collect_list("pairs")).alias("pairs")
-    ).withColumn("groups", F.array_join(F.col("groups.text"), ";"))
+
+    def lists(side: str, other: str) -> Column:
+        """A side's ids of each group; a group's last end is the other side's too."""
+        ids = F.transform(F.filter("own", lambda x: x[side].isNotNull()), lambda x: F.concat(x[side].cast("string"), F.when(x[other].isNotNull(), ";").otherwise(",")))
+        return F.split(F.rtrim(F.array_join(ids, ""), F.lit(";")), ";")
+
+    groups = F.array_join(F.zip_with(lists("a", "b"), lists("b", "a"), lambda x, y: F.concat(x, F.lit("|"), y)), ";")
+    return rows.select("id", "n_a", "n_b", "n_groups", "n_links", groups.alias("groups"), "pairs")
 
 
 FACTS = ["ok", "n_a", "n_b", "n_groups", "n_links", "groups", "pairs"]
 GATHERED = "row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, good boolean, pair long, docs long"
 
 
-def _known(table: pa.Table) -> dict[str, tuple]:
-    columns = [table.column(c).to_pylist() for c in ("segment", *FACTS[:-1])]
-    return {s: (*rest, np.array(pairs, np.int64)) for (s, *rest), pairs in zip(zip(*columns), table.column("pairs").to_pylist())}
+class Known:
+    """What is known of segments, in arrays; counts are ok, n_a, n_b, n_groups, n_links."""
+
+    def __init__(self, table: pa.Table):
+        of = lambda c: table.column(c).combine_chunks()
+        self.place = {s: i for i, s in enumerate(of("segment").to_pylist())}
+        self.counts = np.array([of(c).cast(pa.int64()).to_numpy(zero_copy_only=False) for c in FACTS[:5]], np.int64).T.reshape(-1, 5)
+        self.groups = of("groups").cast(pa.binary()).to_pylist()
+        pairs = of("pairs")
+        self.pairs, self.ends = pairs.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(pairs.value_lengths().to_numpy(zero_copy_only=False))])
+
+    def of_pairs(self, places: list[int]) -> list[np.ndarray]:
+        return [self.pairs[self.ends[i] : self.ends[i + 1]] for i in places]
 
 
-_head: dict[bytes, dict[str, tuple]] = {}
+_head: dict[bytes, Known] = {}
 
 
 def _gathered(batches: Iterator[pa.RecordBatch], head: bytes) -> Iterator[pa.RecordBatch]:
@@ -145,7 +162,7 @@ def _gathered(batches: Iterator[pa.RecordBatch], head: bytes) -> Iterator[pa.Rec
     mark = hashlib.blake2b(head, digest_size=16).digest()
     if mark not in _head:
         _head.clear()
-        _head[mark] = _known(pa.ipc.open_stream(head).read_all())
+        _head[mark] = Known(pa.ipc.open_stream(head).read_all())
     known, held = _head[mark], []
     names = [f.split()[0] for f in GATHERED.split(", ")]
     kinds = [pa.int64()] * 6 + [pa.string(), pa.bool_(), pa.int64(), pa.int64()]
@@ -156,26 +173,28 @@ def _gathered(batches: Iterator[pa.RecordBatch], head: bytes) -> Iterator[pa.Rec
         none = pa.nulls(len(pair))
         return pa.RecordBatch.from_arrays([*[none.cast(k) for k in kinds[:-2]], pa.array(pair), pa.array(docs)], names)
 
-    for batch in batches:
+    for batch in slices(batches, "text"):
         out: list[tuple] = []
         for row, doc_id, segments, own in zip(*(batch.column(c) for c in ("row", "doc_id", "segments", "own"))):
-            facts, good = [], segments.is_valid
+            good = segments.is_valid
             if good:
-                mine = {}
-                if own.is_valid:
-                    for x in own.as_py():
-                        mine[x["segment"]] = (*[x[c] for c in FACTS[:-1]], np.array(x["pairs"], np.int64))
                 texts = segments.values.to_pylist()
-                facts = [known[s] if s in known else mine[s] for s in texts]
-                good = all(f[0] for f in facts)
+                at = [known.place.get(s, -1) for s in texts]
+                of_known = [i for i in at if i >= 0]
+                counts, rare, pairs = known.counts[of_known].sum(0), {}, known.of_pairs(list(set(of_known)))
+                good = counts[0] == len(of_known)
+                if len(of_known) < len(texts):
+                    mine = Known(pa.Table.from_struct_array(own.values))
+                    rare = mine.place
+                    other = [rare[s] for s, i in zip(texts, at) if i < 0]
+                    counts, pairs = counts + mine.counts[other].sum(0), pairs + mine.of_pairs(list(set(other)))
+                    good = good and counts[0] == len(texts)
             if not good:
                 out.append((row.as_py(), doc_id.as_py(), 0, 0, 0, 0, "", False, None, None))
                 continue
-            sums = np.array([f[1:5] for f in facts], np.int64).reshape(-1, 4).sum(0).tolist()
-            digest = hashlib.sha256(";".join([f[5] for f in facts]).encode()).hexdigest()
-            out.append((row.as_py(), doc_id.as_py(), *sums, digest, True, None, None))
-            different = {s: f[6] for s, f in zip(texts, facts)}
-            held.append((np.unique(np.concatenate(list(different.values()))), None))
+            digest = hashlib.sha256(b";".join([known.groups[i] if i >= 0 else mine.groups[rare[s]] for s, i in zip(texts, at)])).hexdigest()
+            out.append((row.as_py(), doc_id.as_py(), *counts[1:].tolist(), digest, True, None, None))
+            held.append((np.unique(np.concatenate(pairs)), None))
             if len(held) > 512:
                 held[:] = [_pair_sums(held)]
                 if len(held[0][0]) > PAIRS_HELD:
@@ -220,9 +239,9 @@ def align(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     spark = docs.sparkSession
     docs = no_clash(docs, "doc_id", "text").select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     docs = cut(docs)
-    text = F.when(F.col("text") != "", F.col("text"))
-    pieces = F.split(text, GAP, -1) if separable(a_path, b_path) else F.when(text.isNotNull(), F.array("text"))
-    docs = docs.select("row", "doc_id", pieces.alias("segments"))
+    text = F.concat(F.lit(" "), F.when(F.col("text") != "", F.col("text")))
+    pieces = F.split(text, GAP, -1) if separable(a_path, b_path) else F.when(text.isNotNull(), F.array(text))
+    docs = docs.select("row", "doc_id", "text", pieces.alias("segments"))
     each = docs.select("row", F.explode("segments").alias("segment"))
     found = cut(each.groupBy("segment").agg(F.count(F.lit(1)).alias("n")).withColumn("id", F.monotonically_increasing_id()))
     tokens = cut(found.select("id", "segment").mapInArrow(lambda it: _tokenised(it, a_path, b_path), "id long, ok boolean, n_a int, tok array<int>, size array<int>"))
@@ -239,8 +258,9 @@ def align(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     del table, sink
     known = F.broadcast(head.select("segment"))
     rare = each.join(known, "segment", "left_anti").groupBy("row", "segment").agg(F.count(F.lit(1)).alias("times"))
-    rare = cut(rare.join(facts.where("not head").drop("n", "head"), "segment"))
-    own = rare.groupBy("row").agg(F.collect_list(F.struct("segment", *FACTS)).alias("own"))
+    rare = rare.join(facts.where("not head").drop("n", "head"), "segment")
+    own = rare.groupBy("row").agg(F.collect_list(F.struct("segment", "id", "times", *FACTS)).alias("own"))
+    own = cut(own)
     gathered = cut(docs.join(own, "row", "left").mapInArrow(lambda it: _gathered(it, shared.value), GATHERED))
     pairs = cut(gathered.where("pair is not null").groupBy("pair").agg(F.sum("docs").alias("docs")))
     a_id = F.shiftright("pair", 32)
@@ -249,11 +269,12 @@ def align(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     worth = facts.where("ok").select("id", F.explode("pairs").alias("pair")).join(counts, "pair").groupBy("id").agg(F.sum("docs").alias("count_sum"), F.sum("is_best").alias("n_best"))
     worth = cut(facts.select("id", "segment", "head").join(worth, "id"))
     frequent = each.join(F.broadcast(worth.where("head").select("segment", "count_sum", "n_best")), "segment").select("row", "count_sum", "n_best")
-    others = rare.select("row", "id", "times").join(worth.where("not head").select("id", "count_sum", "n_best"), "id").select("row", F.col("count_sum") * F.col("times"), F.col("n_best") * F.col("times"))
+    rare = own.select("row", F.explode(F.transform("own", lambda x: F.struct(x["id"].alias("id"), x["times"].alias("times")))).alias("x")).select("row", "x.id", "x.times")
+    others = rare.join(worth.where("not head").select("id", "count_sum", "n_best"), "id").select("row", F.col("count_sum") * F.col("times"), F.col("n_best") * F.col("times"))
     sums = frequent.groupBy("row").agg(F.sum("count_sum").alias("count_sum"), F.sum("n_best").alias("n_best")).union(others.groupBy("row").agg(F.sum(others[1]), F.sum(others[2])))
     sums = sums.groupBy("row").agg(F.sum("count_sum").alias("count_sum"), F.sum("n_best").alias("n_best"))
     rows = gathered.where("row is not null").join(sums, "row", "left")
     of = lambda c: F.when(F.col("good"), F.coalesce(c, F.lit(0))).otherwise(0).alias(c)
     out = cut(rows.select("doc_id", "n_a", "n_b", "n_groups", "n_links", of("n_best"), of("count_sum"), "groups_sha256"))
-    release(facts, rare, gathered, pairs, worth)
+    release(facts, own, gathered, pairs, worth)
     return out
