@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -106,8 +105,9 @@ def truthy(c: Column) -> Column:
 
 
 def page_list(c: Column) -> Column:
-    """Array of texts -> sorted distinct page numbers; what is no number goes."""
-    return F.array_sort(F.array_distinct(F.transform(F.filter(F.coalesce(c, F.array()), lambda x: x.rlike(r"^\d+$")), lambda x: x.cast("int"))))
+    """Array of texts -> sorted distinct page numbers; what is no number, or none of 18 digits at most, goes."""
+    numbers = F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda x: F.when(x.rlike(r"^\d{1,18}$"), x.try_cast("long")))
+    return F.array_sort(F.array_distinct(F.array_compact(numbers)))
 
 
 def cell(c: Column) -> Column:
@@ -119,10 +119,11 @@ def column_title(name: Column, unit: Column) -> Column:
     return F.when(F.coalesce(cell(unit), F.lit("")) == "", cell(name)).otherwise(F.concat(cell(name), F.lit(" ("), cell(unit), F.lit(")")))
 
 
-def panel_key(c: Column, depth: int = 3) -> Column:
-    """Lower case, without up to ``depth`` pairs of brackets around it."""
-    out = F.lower(stripped(F.coalesce(c, F.lit(""))))
-    return reduce(lambda x, _: F.when(x.rlike(r"^\(.*\)$"), stripped(F.substring(x, F.lit(2), F.length(x) - 2))).otherwise(x), range(depth), out)
+def panel_key(c: Column) -> Column:
+    """Lower case, without the pairs of brackets around it, however many."""
+    bare = F.lower(stripped(F.coalesce(c, F.lit(""))))
+    inner = lambda x, _: F.when(x.startswith("(") & x.endswith(")") & (F.length(x) > 2), stripped(F.substring(x, F.lit(2), F.length(x) - 2))).otherwise(x)
+    return F.aggregate(F.sequence(F.lit(0), F.length(F.regexp_replace(bare, r"[^(]", ""))), bare, inner)
 
 
 def digest12(c: Column) -> Column:
@@ -133,26 +134,61 @@ def digest8(c: Column) -> Column:
     return F.substring(F.md5(c), 1, 8)
 
 
-#: Fixed values, in the order of their application: what a figure's label is freed of or turned into.
-_SLUG_STEPS = (
-    (r"[.:]+$", ""), (r"\b(supplementary|supplemental|supp)\b\.?", ""), (r"\bfigures?\b\.?", "fig"), (r"\bextended\s+data\s+fig\b\.?", "extended_data_fig"), (r"\s+", " "),
-    (r"\bfig\s+([0-9]+)\s*\(?[a-z]\)?\b", "fig $1"), (r"\bfig\s+(s[0-9]+)\s*\(?[a-z]\)?\b", "fig $1"), (r"[^a-z0-9]+", "_"), (r"^_+|_+$", ""),
-)
+#: Words that say that a figure is a supplementary one, and words for figure.
+EXTRA_WORDS = ("supplementary", "supplemental", "supp")
+FIGURE_WORDS = ("figure", "figures")
 
 
 def figure_slug(c: Column) -> Column:
-    """A figure's label as a name: fig_3 of Fig. 3(b), supp_fig_s1 of Supplementary Figure S1; blank or null: empty."""
-    low = F.lower(F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " ")))
-    slug = low
-    for pattern, put in _SLUG_STEPS:
-        slug = F.regexp_replace(F.trim(slug) if pattern.startswith(r"\bfig\s+([0") else slug, pattern, put)
-    extra = low.rlike(r"\b(supplementary|supplemental|supp)\b")
-    return F.when(extra & slug.startswith("fig_"), F.concat(F.lit("supp_"), slug)).otherwise(slug)
+    """A figure's label as a name: fig_3 of Figure 3(b), supp_fig_s1 of Supplementary Figure S1; blank or null: empty.
+
+    The label is read as words and signs.  A number right after the word for figure loses its panel letter, be it part of
+    the number, bracketed or alone, unless the words before are extended data.  A full stop after a spelt-out word belongs to it.
+    """
+    one_of = lambda names: lambda w: F.coalesce(F.rtrim(w, F.lit(".")).isin(*names), F.lit(False))
+    extra, figure = one_of(EXTRA_WORDS), one_of(FIGURE_WORDS)
+    read = F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(r"[\p{L}\p{N}_]+\.?|[^\p{L}\p{N}_\s]"), F.lit(0))
+    near = lambda words, i, by: F.get(words, i - by)  # noqa: E731  (null outside)
+    tidy = lambda words: F.filter(words, lambda w: ~extra(w))
+    named = lambda words: F.transform(words, lambda w: F.when(figure(w), "fig").otherwise(w))
+
+    def numbered(words: Column, i: Column, pattern: str) -> Column:
+        """Whether a word is the number of a figure whose panels do not count."""
+        extended = (near(words, i, 2) == "data") & (near(words, i, 3) == "extended")
+        return F.coalesce(F.get(words, i).rlike(pattern) & (near(words, i, 1) == "fig") & ~F.coalesce(extended, F.lit(False)), F.lit(False))
+
+    def part(words: Column, w: Column, i: Column) -> Column:
+        whole = lambda by: numbered(words, i - by, "^s?[0-9]+$")
+        letter = F.coalesce(w.rlike("^[a-z]\\.?$") & (whole(1) | (whole(2) & (near(words, i, 1) == "("))), F.lit(False))
+        return F.when(letter, "").when(numbered(words, i, "^s?[0-9]+[a-z]\\.?$"), F.regexp_replace(w, "[a-z]\\.?$", "")).otherwise(w)
+
+    each = lambda words: F.transform(words, lambda w, i: part(words, w, i))
+    once = lambda value, use: F.transform(F.array(value), use)[0]  # noqa: E731  (so that a value is made once)
+    parts = once(read, lambda r: once(tidy(r), lambda t: once(named(t), each)))
+    slug = F.regexp_replace(F.regexp_replace(F.array_join(parts, " "), "[^a-z0-9]+", "_"), "^_|_$", "")
+    return F.when(F.exists(read, extra) & slug.startswith("fig_"), F.concat(F.lit("supp_"), slug)).otherwise(slug)
+
+
+def float_text(d: Column) -> Column:
+    """The shortest text of a double: whole ones without a point (their digits up to 2**63), others with an exponent below 1e-4 only."""
+    read = lambda g: F.regexp_extract(d.cast("string"), r"^(-?)(\d+)\.(\d+)(?:E(-?\d+))?$", g)
+    power = F.coalesce(F.nullif(read(4), F.lit("")).cast("int"), F.lit(0))
+    digits = F.concat(read(2), F.when(read(3) == "0", "").otherwise(read(3)))
+    point = F.length(read(2)) + power  # digits before the point, counted from the first digit
+    bare = F.ltrim(digits, F.lit("0"))
+    lead = point - (F.length(digits) - F.length(bare))  # the same from the first one that is not zero
+    small = F.concat(F.substring(bare, 1, 1), F.when(F.length(bare) > 1, F.concat(F.lit("."), F.substring(bare, F.lit(2), F.length(bare)))).otherwise(""), F.lit("e-"), F.lpad((1 - lead).cast("string"), 2, "0"))
+    zeros = F.concat(F.lit("0."), F.repeat(F.lit("0"), -lead), bare)
+    plain = F.concat(F.substring(bare, F.lit(1), lead), F.lit("."), F.substring(bare, lead + 1, F.length(bare)))
+    whole = F.when(F.abs(d) < 2.0**63, d.try_cast("long").cast("string")).otherwise(d.try_cast("decimal(38,0)").cast("string"))
+    text = F.when(lead <= -4, small).when(lead <= 0, zeros).otherwise(plain)
+    return F.when(d.isNull() | F.isnan(d), F.when(F.isnan(d), "nan")).when(F.abs(d) == float("inf"), F.when(d > 0, "inf").otherwise("-inf")).when(d % 1 == 0, whole).otherwise(F.concat(read(1), text))
 
 
 def scalar_text(c: Column) -> Column:
-    """Text of a JSON scalar: strings without quotes, true and false, whole floats without a point and other numbers
-    without zeros at their end; null for null.  Numbers with an exponent stay as written."""
-    number = F.regexp_replace(F.regexp_replace(c, r"(\.\d*?)0+$", "$1"), r"\.$", "")
+    """Text of a JSON scalar: strings without quotes, true and false, whole floats without a point and others as short as can be; null for null."""
     text = F.from_json(F.concat(F.lit('{"v":'), c, F.lit("}")), "v string")["v"]
-    return F.when(c.rlike(r"^(null|\s*)$"), None).when(c.rlike(r"^-?\d+\.\d+$"), number).when(c.rlike(r"^-?\d+(\.\d+)?([eE][-+]?\d+)?$") | c.isin("true", "false"), c).otherwise(text)
+    return (
+        F.when(c.rlike(r"^(null|\s*)$"), None).when(c.rlike(r"^-?\d+$") | c.isin("true", "false"), c)
+        .when(c.rlike(r"^-?\d+(\.\d+)?([eE][-+]?\d+)?$"), float_text(c.try_cast("double"))).otherwise(text)
+    )

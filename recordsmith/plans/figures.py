@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import geometry as geo
-from ..functions.text import canonical_ref
+from ..functions.text import canonical_ref, page_list
 from ..operators import visual as ops
 from .base import fixture, plain, rounded, table
 
@@ -20,8 +20,7 @@ COMMENT = r"<!-- ad (\d+) -->"
 
 def manifest(spark, sf_dir):
     rows = fixture(spark, sf_dir, _FIGURES).withColumnRenamed("numeric_", "numeric")
-    pages = F.array_sort(F.array_distinct(F.transform(F.filter(F.array("page1", "page2", F.lit("x")), lambda x: x.rlike(r"^\d+$")), lambda x: x.cast("int"))))
-    return ops.merged_manifest(rows.withColumn("pages", pages))
+    return ops.merged_manifest(rows.withColumn("pages", page_list(F.array("page1", "page2", F.lit("x")))))
 
 
 def anchors(spark, sf_dir):

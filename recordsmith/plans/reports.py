@@ -49,7 +49,7 @@ def q58b_merged_findings(spark, sf_dir):
 
 
 _SCALARS = """
-SELECT CASE l_partkey % 7 WHEN 0 THEN 'true' WHEN 1 THEN 'false' WHEN 2 THEN CAST(l_suppkey AS VARCHAR(20)) WHEN 3 THEN concat(CAST(l_suppkey AS VARCHAR(20)), '.0')
+SELECT CASE l_partkey % 10 WHEN 7 THEN concat(CAST(l_suppkey AS VARCHAR(20)), 'e', CAST(l_linenumber AS VARCHAR(5))) WHEN 8 THEN concat('-', CAST(l_linenumber AS VARCHAR(5)), '.25E-', CAST(l_linenumber + 4 AS VARCHAR(5))) WHEN 9 THEN '-0.0' WHEN 0 THEN 'true' WHEN 1 THEN 'false' WHEN 2 THEN CAST(l_suppkey AS VARCHAR(20)) WHEN 3 THEN concat(CAST(l_suppkey AS VARCHAR(20)), '.0')
   WHEN 4 THEN concat('-0.', CAST(l_suppkey + 1 AS VARCHAR(20)), '5') WHEN 5 THEN 'null' ELSE concat('"', l_returnflag, ' ', CAST(l_suppkey AS VARCHAR(20)), '"') END AS raw
 FROM {{lineitem}}
 """
@@ -62,7 +62,7 @@ def q59_scalar_text(spark, sf_dir):
 
 _LABELS = """
 SELECT p_partkey AS id, concat(CASE p_partkey % 4 WHEN 0 THEN ' Supplementary ' WHEN 1 THEN 'Supp. ' WHEN 2 THEN 'Extended  Data ' ELSE '' END, CASE p_partkey % 3 WHEN 0 THEN 'Figure ' WHEN 1 THEN 'Fig. ' ELSE 'Figures  ' END,
-  CASE p_partkey % 5 WHEN 0 THEN 'S' ELSE '' END, CAST(p_size AS VARCHAR(5)), CASE p_partkey % 6 WHEN 0 THEN '(b)' WHEN 1 THEN ' C' WHEN 2 THEN 'a:' WHEN 3 THEN '.' ELSE '' END) AS label
+  CASE p_partkey % 5 WHEN 0 THEN 'S' ELSE '' END, CAST(p_size AS VARCHAR(5)), CASE p_partkey % 6 WHEN 0 THEN '(b)' WHEN 1 THEN ' C' WHEN 2 THEN 'a:' WHEN 3 THEN '.' WHEN 4 THEN ' (d) and' ELSE '' END) AS label
 FROM {{part}}
 """
 
@@ -193,9 +193,9 @@ FROM w LEFT JOIN t USING (doc_id) LEFT JOIN r USING (doc_id) GROUP BY 1""",
 SELECT batch, count(*) FILTER (outcome = 'success') AS success, count(*) FILTER (outcome = 'failed') AS failed, count(*) FILTER (outcome = 'skipped') AS skipped, count(*) FILTER (outcome = 'stopped') AS stopped, count(*) AS total FROM o GROUP BY batch""",
     "q58_split_findings": _FINDINGS + "SELECT * FROM f",
     "q58b_merged_findings": _FINDINGS + "SELECT count(*) FILTER (severity = 'error') = 0 AS success, count(*) FILTER (severity = 'error') AS errors, count(*) FILTER (severity = 'warning') AS warnings FROM (SELECT * FROM f UNION ALL SELECT * FROM f WHERE rule = 'unused_gold')",
-    "q59_scalar_text": f"SELECT raw, CASE WHEN raw = 'null' THEN NULL WHEN raw[1] = '\"' THEN raw[2:-2] WHEN raw LIKE '%.0' THEN raw[:-3] ELSE raw END AS text, count(*) AS n FROM ({plain(_SCALARS)}) GROUP BY 1, 2",
+    "q59_scalar_text": f"SELECT raw, CASE WHEN raw = 'null' THEN NULL WHEN raw = '-0.0' THEN '0' WHEN raw LIKE '-%E-%' THEN replace(raw, 'E-', CASE WHEN raw LIKE '%E-__' THEN 'e-' ELSE 'e-0' END) WHEN raw SIMILAR TO '[0-9]+e[0-9]+' THEN CAST(CAST(CAST(raw AS DOUBLE) AS BIGINT) AS VARCHAR) WHEN raw[1] = '\"' THEN raw[2:-2] WHEN raw LIKE '%.0' THEN raw[:-3] ELSE raw END AS text, count(*) AS n FROM ({plain(_SCALARS)}) GROUP BY 1, 2",
     "q60_figure_slug": f"""WITH n AS (SELECT p_partkey AS id, p_partkey % 4 AS kind, p_partkey % 4 = 2 OR p_partkey % 3 = 1 AS keeps, lower((CASE WHEN p_partkey % 5 = 0 THEN 's' ELSE '' END) || p_size) AS number, p_partkey % 6 AS tail FROM part)
-SELECT id, CASE WHEN kind < 2 THEN 'supp_fig_' WHEN kind = 2 THEN 'extended_data_fig_' ELSE 'fig_' END || number || CASE WHEN keeps THEN CASE tail WHEN 0 THEN '_b' WHEN 1 THEN '_c' WHEN 2 THEN 'a' ELSE '' END ELSE '' END AS slug FROM n""",
+SELECT id, CASE WHEN kind < 2 THEN 'supp_fig_' WHEN kind = 2 THEN 'extended_data_fig_' ELSE 'fig_' END || number || CASE WHEN keeps THEN CASE tail WHEN 0 THEN '_b' WHEN 1 THEN '_c' WHEN 2 THEN 'a' WHEN 4 THEN '_d' ELSE '' END ELSE '' END || CASE WHEN tail = 4 THEN '_and' ELSE '' END AS slug FROM n""",
     "q61_crop_composites": f"SELECT target, count(*) AS parts, max(width) AS width, CAST(sum(height) + 40 * (count(*) - 1) AS BIGINT) AS height, round(sum(share), 6) AS share FROM ({plain(_PARTS)}) GROUP BY target",
     "q62_part_numbers": f"SELECT 'part_' || lpad(CAST(pos AS VARCHAR), 4, '0') AS part, count(*) AS n, CAST(sum(width) AS BIGINT) AS width FROM ({plain(_PARTS)}) GROUP BY 1",
     "q63_result_index": _NAMED + "SELECT * FROM i",

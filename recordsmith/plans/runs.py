@@ -88,7 +88,8 @@ def q49_ring_history(spark, sf_dir):
 
 
 _SAID = """
-SELECT event_id, CASE event_id % 4 WHEN 0 THEN concat('Result: ', props, ' done') WHEN 1 THEN concat('```json ', props, ' ```') WHEN 2 THEN props ELSE event_type END AS said FROM {{events}}
+SELECT event_id, CASE event_id % 7 WHEN 0 THEN concat('Result: ', props, ' done') WHEN 1 THEN concat('```json ', props, ' ```') WHEN 2 THEN props WHEN 4 THEN concat('open ', chr(123), ' and "', chr(123), '" then ', props)
+  WHEN 5 THEN concat('[', props, ' ', props, ']') WHEN 6 THEN concat(chr(123), '"in": "', chr(125), chr(123), '", "of": ', props, chr(125), ' tail ', chr(125)) ELSE event_type END AS said FROM {{events}}
 """
 
 
@@ -97,7 +98,8 @@ def q50_first_object(spark, sf_dir):
 
 
 def q51_tolerant_json(spark, sf_dir):
-    got = F.get_json_object(tolerant_json(F.col("said")), "$.k")
+    read = tolerant_json(F.col("said"))
+    got = F.coalesce(F.get_json_object(read, "$.k"), F.get_json_object(read, "$[1].k"))
     return fixture(spark, sf_dir, _SAID).select("event_id", got.cast("long").alias("k"))
 
 
@@ -150,8 +152,8 @@ SELECT * FROM k UNION ALL SELECT * FROM n WHERE id NOT IN (SELECT id FROM k)""",
     "q48_rate_limit": f"""WITH c AS (SELECT *, coalesce(sum(duration) OVER (PARTITION BY key ORDER BY "at", seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + (row_number() OVER (PARTITION BY key ORDER BY "at", seq) - 1) * 10.0 AS base FROM ({plain(_TIMED)}))
 SELECT key, seq, round(base + max("at" - base) OVER (PARTITION BY key ORDER BY "at", seq ROWS UNBOUNDED PRECEDING), 6) AS "start" FROM c""",
     "q49_ring_history": "SELECT user_id AS key, event_id AS seq, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS age FROM events QUALIFY age <= 20",
-    "q50_first_object": f"SELECT event_id, nullif(regexp_extract(said, '\\{{[^}}]*\\}}'), '') AS found FROM ({plain(_SAID)})",
-    "q51_tolerant_json": f"SELECT event_id, CAST(nullif(regexp_extract(said, '\"k\": *([0-9]+)', 1), '') AS BIGINT) AS k FROM ({plain(_SAID)})",
+    "q50_first_object": f"SELECT event_id, CASE event_id % 7 WHEN 6 THEN said[:-8] ELSE nullif(regexp_extract(said, '\\{{[^{{}}]*\\}}'), '') END AS found FROM ({plain(_SAID)})",
+    "q51_tolerant_json": f"SELECT event_id, CASE WHEN event_id % 7 NOT IN (4, 6) THEN CAST(nullif(regexp_extract(said, '\"k\": *([0-9]+)', 1), '') AS BIGINT) END AS k FROM ({plain(_SAID)})",
     "q53_stream_tumbling": "SELECT time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') AS \"start\", event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2",
     "q54_sessions": """WITH s AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 12 HOUR THEN 0 ELSE 1 END AS fresh FROM events),
 g AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM s) SELECT user_id, min(ts) AS "start", count(*) AS n FROM g GROUP BY user_id, k""",

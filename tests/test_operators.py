@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from recordsmith.functions import text as T
-from recordsmith.functions.json_text import _balanced, _parsed
+from recordsmith.functions.json_text import first_value, value_of
 from recordsmith.operators import corpus, external, rules, scoring, visual
 from recordsmith.operators.assignment import close, pairing
 from recordsmith.sources import files
@@ -32,7 +32,7 @@ def test_value_match(spark, found, gold, numeric, same):
 
 @pytest.mark.parametrize("f, raw, key", [
     (T.document_key, " Paper2.PDF\t", "paper2"), (T.document_key, "a.pdf.txt", "a.pdf"), (T.stem_key, "Doc_parsed", "doc"), (T.extraction_key, "Doc_Result", "doc_result"),
-    (T.extraction_key, "Doc_extractions", "doc"), (T.split_key, "X.JSON ", "x.json"), (T.split_key, "X.JSON", "x"), (T.panel_key, " ((B)) ", "b"), (T.canonical_ref, " Fig  1 ", "fig 1"),
+    (T.extraction_key, "Doc_extractions", "doc"), (T.split_key, "X.JSON ", "x.json"), (T.split_key, "X.JSON", "x"), (T.panel_key, " ((B)) ", "b"), (T.panel_key, "((( (A) )))", "a"), (T.panel_key, "()", "()"), (T.panel_key, "((a)", "(a"), (T.canonical_ref, " Fig  1 ", "fig 1"),
 ])
 def test_keys(spark, f, raw, key):
     assert one(spark, f(F.lit(raw))) == key
@@ -173,17 +173,42 @@ def test_rate_limit_fold(spark):
     assert {r.seq: r.start for r in got.collect()} == want
 
 
-@pytest.mark.parametrize("text, found", [("x {\"a\": \"}\"} y", '{"a": "}"}'), ("{{}", "{}"), ('{ {"a": 1} and on', '{"a": 1}'), ("none", None), ('{"a": {"b": 1}} {}', '{"a": {"b": 1}}'), ('{"a": "\\"}"}', '{"a": "\\"}"}')])
+@pytest.mark.parametrize("text, found", [("x {\"a\": \"}\"} y", '{"a": "}"}'), ("{{}", "{}"), ('{ {"a": 1} and on', '{"a": 1}'), ("none", None), ('{"a": {"b": 1}} {}', '{"a": {"b": 1}}'), ('{"a": "\\"}"}', '{"a": "\\"}"}'), ('{"open {x{y}} z', "{y}"), ('["]", 1] [2]', None)])
 def test_first_object(text, found):
-    assert _balanced(text) == found
+    assert first_value(text) == found
 
 
-@pytest.mark.parametrize("text, found", [('{"a": 1 "b": 2}', {"a": 1, "b": 2}), ("say ```json\n[1, 2]\n``` ok", [1, 2]), ("so {\"a\": [1]} it is", {"a": [1]}), ("```JSON\n{\"a\": 2}\n```", {"a": 2}), ("x [1, {\"b\": 2}] y", [1, {"b": 2}]), ("two {} {}", None), ("no", None)])
+@pytest.mark.parametrize("text, found", [('{"a": 1 "b": 2}', {"a": 1, "b": 2}), ("say ```json\n[1, 2]\n``` ok", [1, 2]), ("so {\"a\": [1]} it is", {"a": [1]}), ("```JSON\n{\"a\": 2}\n```", {"a": 2}), ("x [1, {\"b\": 2}] y", [1, {"b": 2}]), ("two {} {}", None), ("no", None), ('[1 2 3 4 5 6 7 8]', [1, 2, 3, 4, 5, 6, 7, 8]), ('[1 2 3 4 5 6 7 8 9]', None), ('{"a" 1}', None), ('{"a": [1 {"b": "x y" "c": null}]}', {"a": [1, {"b": "x y", "c": None}]}), ("```\nno\n``` {}", None)])
 def test_tolerant_json(text, found):
-    got = _parsed(text)
+    got = value_of(text)
     assert (None if got is None else json.loads(got)) == found
 
 
+def test_first_array_or_object():
+    assert first_value('so ["]", {"a": 1}] and {"b": 2}', "{[") == '["]", {"a": 1}]' and first_value("[1, {\"a\": 2}", "{[") == '{"a": 2}' and first_value("[1, 2", "[") is None
+
+
+@pytest.mark.parametrize("raw, slug", [
+    ("Figure 3(b).", "fig_3"), ("Fig. 3(b)", "fig_3_b"), ("figures 12 c", "fig_12"), ("Supplementary Figure S1 (b", "supp_fig_s1"), ("Extended Data Figure 3b", "extended_data_fig_3b"), ("Supp. fig", "fig"),
+    ("fig 3bc", "fig_3bc"), ("supp_fig_s1", "supp_fig_s1"), (" ", ""), (None, ""), ("Figure 1a and Figure 2 (c)", "fig_1_and_fig_2"), ("Scheme 2", "scheme_2"),
+])
+def test_figure_slug(spark, raw, slug):
+    assert one(spark, T.figure_slug(F.lit(raw).cast("string"))) == slug
+
+
+@pytest.mark.parametrize("raw, text", [
+    ("1e3", "1000"), ("-0.0", "0"), ("1E-7", "1e-07"), ("1.5e-07", "1.5e-07"), ("12.0", "12"), ("1.50", "1.5"), ("0.0001", "0.0001"), ("12345678.5", "12345678.5"), ("1e20", "100000000000000000000"), ("12345678901234567890", "12345678901234567890"),
+    ("true", "true"), ("null", None), ('"10-15"', "10-15"), ('"a\\"b"', 'a"b'), (None, None),
+])
+def test_scalar_text(spark, raw, text):
+    assert one(spark, T.scalar_text(F.lit(raw).cast("string"))) == text
+
+
+def test_page_list(spark):
+    pages = F.array(*map(F.lit, ("12345678901", "3", "3", "x", "", "9" * 25)), F.lit(None))
+    assert one(spark, T.page_list(pages)) == [3, 12345678901] and one(spark, T.page_list(F.lit(None).cast("array<string>"))) == []
+
+
 def test_judge_sees_differences_only(spark):
     seen = spark.sparkContext.accumulator(0)
 
