@@ -33,7 +33,7 @@ HEAD, HEAD_BYTES = 1 << 18, 48
 STEP_BYTES = 1 << 18
 PAIRS_HELD = 1 << 20
 _SIGN = r"[\p{L}\p{N}\p{P}$+<=>^`|~]"
-GAP = rf"(?<={_SIGN})(?=[ \n]{_SIGN})|(?<=\p{{L}})(?=[.,;:!?])"
+GAP = rf"(?=[ \n.,;:!?])(?:(?<=\p{{L}})(?=[.,;:!?])|(?<={_SIGN})(?=[ \n]{_SIGN}))"
 
 
 class Tokenizers:
@@ -173,7 +173,7 @@ def _gathered(batches: Iterator[pa.RecordBatch], head: bytes) -> Iterator[pa.Rec
         none = pa.nulls(len(pair))
         return pa.RecordBatch.from_arrays([*[none.cast(k) for k in kinds[:-2]], pa.array(pair), pa.array(docs)], names)
 
-    for batch in slices(batches, "text"):
+    for batch in batches:
         out: list[tuple] = []
         for row, doc_id, segments, own in zip(*(batch.column(c) for c in ("row", "doc_id", "segments", "own"))):
             good = segments.is_valid
@@ -241,8 +241,7 @@ def align(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     docs = cut(docs)
     text = F.concat(F.lit(" "), F.when(F.col("text") != "", F.col("text")))
     pieces = F.split(text, GAP, -1) if separable(a_path, b_path) else F.when(text.isNotNull(), F.array(text))
-    docs = docs.select("row", "doc_id", "text", pieces.alias("segments"))
-    each = docs.select("row", F.explode("segments").alias("segment"))
+    each = docs.select("row", F.explode(pieces).alias("segment"))
     found = cut(each.groupBy("segment").agg(F.count(F.lit(1)).alias("n")).withColumn("id", F.monotonically_increasing_id()))
     tokens = cut(found.select("id", "segment").mapInArrow(lambda it: _tokenised(it, a_path, b_path), "id long, ok boolean, n_a int, tok array<int>, size array<int>"))
     facts = aligned(tokens.where("ok").drop("ok"))
@@ -259,9 +258,8 @@ def align(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     known = F.broadcast(head.select("segment"))
     rare = each.join(known, "segment", "left_anti").groupBy("row", "segment").agg(F.count(F.lit(1)).alias("times"))
     rare = rare.join(facts.where("not head").drop("n", "head"), "segment")
-    own = rare.groupBy("row").agg(F.collect_list(F.struct("segment", "id", "times", *FACTS)).alias("own"))
-    own = cut(own)
-    gathered = cut(docs.join(own, "row", "left").mapInArrow(lambda it: _gathered(it, shared.value), GATHERED))
+    own = cut(rare.groupBy("row").agg(F.collect_list(F.struct("segment", "id", "times", *FACTS)).alias("own")))
+    gathered = cut(docs.join(own, "row", "left").select("row", "doc_id", pieces.alias("segments"), "own").mapInArrow(lambda it: _gathered(it, shared.value), GATHERED))
     pairs = cut(gathered.where("pair is not null").groupBy("pair").agg(F.sum("docs").alias("docs")))
     a_id = F.shiftright("pair", 32)
     best = pairs.groupBy(a_id.alias("a")).agg(F.max("docs").alias("best"))  # a row for each id of A's vocabulary at most
