@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import re
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.lineage import shared_checkpoints
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -17,7 +18,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def fixture(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """Runs SQL that both engines read, over the tables it names in double braces."""
     names = set(re.findall(r"\{\{(\w+)\}\}", sql))
-    return spark.sql(re.sub(r"\{\{(\w+)\}\}", r"{\1}", sql), **{n: table(spark, sf_dir, n) for n in names})
+    escaped = "".join(f"{{{part}}}" if i % 2 else part.replace("{", "{{").replace("}", "}}") for i, part in enumerate(re.split(r"\{\{(\w+)\}\}", sql)))
+    return spark.sql(escaped, **{n: table(spark, sf_dir, n) for n in names})
 
 
 def plain(sql: str) -> str:
@@ -30,8 +32,5 @@ def rounded(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below the cluster's shared checkpoint folder; a temporary one only where none is named (tests)."""
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="ckpt-"))
-    return f"{context._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+    """A new folder below the cluster's shared checkpoint folder."""
+    return f"{shared_checkpoints(spark)}/{name}-{uuid.uuid4().hex}"
