@@ -8,8 +8,8 @@ posexplode, ends by a windowed sum of lengths, both tokenizers' tokens brought t
 running count of the ends they share, and for each end the tokens of either side that cover the byte before it: these
 are all overlaps, each once, in linear time.
 
-Documents then gather what is known of their segments.  Frequent segments, a bounded number, are known to all tasks; the
-others are joined.  An id pair's documents are counted on the pairs that differ within a document.
+Documents then gather what is known of their segments, in Arrow batches.  Frequent segments, a bounded number, are known
+to all tasks; the others are joined.  An id pair's documents are counted on the pairs that differ within a document.
 """
 
 from __future__ import annotations
@@ -17,12 +17,14 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+from collections import Counter
 from collections.abc import Iterator
 from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -136,6 +138,7 @@ def aligned(tokens: DataFrame) -> DataFrame:
 
 
 FACTS = ["ok", "n_a", "n_b", "n_groups", "n_links", "groups", "pairs"]
+CODED = "row long, doc_id long, places binary, rare array<struct<segment string, times long>>"
 GATHERED = "row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, good boolean, pair long, docs long"
 
 
@@ -144,26 +147,56 @@ class Known:
 
     def __init__(self, table: pa.Table):
         of = lambda c: table.column(c).combine_chunks()
-        self.place = {s: i for i, s in enumerate(of("segment").to_pylist())}
+        self.segments = of("segment").to_pylist()
         self.counts = np.array([of(c).cast(pa.int64()).to_numpy(zero_copy_only=False) for c in FACTS[:5]], np.int64).T.reshape(-1, 5)
         self.groups = of("groups").cast(pa.binary()).to_pylist()
         pairs = of("pairs")
         self.pairs, self.ends = pairs.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(pairs.value_lengths().to_numpy(zero_copy_only=False))])
 
-    def of_pairs(self, places: list[int]) -> list[np.ndarray]:
-        return [self.pairs[self.ends[i] : self.ends[i + 1]] for i in places]
+    def of_pairs(self, places: np.ndarray) -> list[np.ndarray]:
+        return [self.pairs[a:b] for a, b in zip(self.ends[places].tolist(), self.ends[places + 1].tolist())]
 
 
-_head: dict[bytes, Known] = {}
+_head: dict[bytes, tuple[Known, dict[str, int]]] = {}
 
 
-def _gathered(batches: Iterator[pa.RecordBatch], head: bytes) -> Iterator[pa.RecordBatch]:
-    """A row for each document, and rows (pair, docs) for the pairs of the documents seen."""
+def _of_head(head: bytes) -> tuple[Known, dict[str, int]]:
+    """The frequent segments and their places, read once by a worker."""
     mark = hashlib.blake2b(head, digest_size=16).digest()
     if mark not in _head:
         _head.clear()
-        _head[mark] = Known(pa.ipc.open_stream(head).read_all())
-    known, held = _head[mark], []
+        known = Known(pa.ipc.open_stream(head).read_all())
+        _head[mark] = known, {s: i for i, s in enumerate(known.segments)}
+    return _head[mark]
+
+
+def _coded(batches: Iterator[pa.RecordBatch], head: bytes) -> Iterator[pa.RecordBatch]:
+    """Segments as places in the head; the others, in order, as -1, -2, ... with how often they occur."""
+    place = _of_head(head)[1]
+    squeeze = zstandard.ZstdCompressor(level=1).compress
+    kind = pa.list_(pa.struct([("segment", pa.string()), ("times", pa.int64())]))
+    for batch in batches:
+        blobs, rare = [], []
+        for segments in batch.column("segments"):
+            if not segments.is_valid:
+                blobs.append(None)
+                rare.append(None)
+                continue
+            texts = segments.values.to_pylist()
+            at = np.array([place.get(s, -1) for s in texts], np.int32)
+            other = [texts[i] for i in np.flatnonzero(at < 0).tolist()]
+            times = Counter(other)
+            order = {s: -1 - i for i, s in enumerate(sorted(times))}
+            at[at < 0] = [order[s] for s in other]
+            blobs.append(squeeze(at.tobytes()))
+            rare.append([{"segment": s, "times": times[s]} for s in order])
+        yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), pa.array(blobs, pa.binary()), pa.array(rare, kind)], ["row", "doc_id", "places", "rare"])
+
+
+def _gathered(batches: Iterator[pa.RecordBatch], head: bytes) -> Iterator[pa.RecordBatch]:
+    """A row for each document, and rows (pair, docs) for the pairs of the documents seen."""
+    known, held = _of_head(head)[0], []
+    expand = zstandard.ZstdDecompressor().decompress
     names = [f.split()[0] for f in GATHERED.split(", ")]
     kinds = [pa.int64()] * 6 + [pa.string(), pa.bool_(), pa.int64(), pa.int64()]
 
@@ -175,26 +208,24 @@ def _gathered(batches: Iterator[pa.RecordBatch], head: bytes) -> Iterator[pa.Rec
 
     for batch in batches:
         out: list[tuple] = []
-        for row, doc_id, segments, own in zip(*(batch.column(c) for c in ("row", "doc_id", "segments", "own"))):
-            good = segments.is_valid
+        own = batch.column("own")
+        others = Known(pa.Table.from_struct_array(own.flatten()))
+        first = np.concatenate([[0], np.cumsum(pc.fill_null(own.value_lengths(), 0).to_numpy(zero_copy_only=False))]).tolist()
+        for i, (row, doc_id, blob) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("row", "doc_id", "places")))):
+            good = blob is not None
             if good:
-                texts = segments.values.to_pylist()
-                at = [known.place.get(s, -1) for s in texts]
-                of_known = [i for i in at if i >= 0]
-                counts, rare, pairs = known.counts[of_known].sum(0), {}, known.of_pairs(list(set(of_known)))
-                good = counts[0] == len(of_known)
-                if len(of_known) < len(texts):
-                    mine = Known(pa.Table.from_struct_array(own.values))
-                    rare = mine.place
-                    other = [rare[s] for s, i in zip(texts, at) if i < 0]
-                    counts, pairs = counts + mine.counts[other].sum(0), pairs + mine.of_pairs(list(set(other)))
-                    good = good and counts[0] == len(texts)
+                at = np.frombuffer(expand(blob), np.int32).astype(np.int64)
+                mine = np.array(sorted(range(first[i], first[i + 1]), key=others.segments.__getitem__), np.int64)
+                common, rest = at[at >= 0], mine[-1 - at[at < 0]] if len(mine) else at[:0]
+                counts = known.counts[common].sum(0) + others.counts[rest].sum(0)
+                good = counts[0] == len(at)
             if not good:
-                out.append((row.as_py(), doc_id.as_py(), 0, 0, 0, 0, "", False, None, None))
+                out.append((row, doc_id, 0, 0, 0, 0, "", False, None, None))
                 continue
-            digest = hashlib.sha256(b";".join([known.groups[i] if i >= 0 else mine.groups[rare[s]] for s, i in zip(texts, at)])).hexdigest()
-            out.append((row.as_py(), doc_id.as_py(), *counts[1:].tolist(), digest, True, None, None))
-            held.append((np.unique(np.concatenate(pairs)), None))
+            mine = mine.tolist()
+            digest = hashlib.sha256(b";".join([known.groups[k] if k >= 0 else others.groups[mine[-1 - k]] for k in at.tolist()])).hexdigest()
+            out.append((row, doc_id, *counts[1:].tolist(), digest, True, None, None))
+            held.append((np.unique(np.concatenate(known.of_pairs(np.unique(common)) + others.of_pairs(np.unique(rest)))), None))
             if len(held) > 512:
                 held[:] = [_pair_sums(held)]
                 if len(held[0][0]) > PAIRS_HELD:
@@ -205,6 +236,18 @@ def _gathered(batches: Iterator[pa.RecordBatch], head: bytes) -> Iterator[pa.Rec
         yield counted()
 
 
+def _worth(batches: Iterator[pa.RecordBatch], worth: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(row, count_sum, n_best) of a document's frequent segments; ``worth`` has a row for each place."""
+    expand = zstandard.ZstdDecompressor().decompress
+    for batch in batches:
+        sums = np.zeros((batch.num_rows, 2), np.int64)
+        for i, blob in enumerate(batch.column("places").to_pylist()):
+            if blob is not None:
+                at = np.frombuffer(expand(blob), np.int32)
+                sums[i] = worth[at[at >= 0]].sum(0)
+        yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(sums[:, 0].copy()), pa.array(sums[:, 1].copy())], ["row", "count_sum", "n_best"])
+
+
 def _pair_sums(held: list[tuple[np.ndarray, np.ndarray | None]]) -> tuple[np.ndarray, np.ndarray]:
     pair = np.concatenate([p for p, _ in held])
     n = np.concatenate([np.ones(len(p), np.int64) if c is None else c for p, c in held])
@@ -237,42 +280,48 @@ def align(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     their own.  Other columns are ignored.  An empty table gives no rows.
     """
     spark = docs.sparkSession
-    docs = no_clash(docs, "doc_id", "text").select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    docs = cut(docs)
+    docs = no_clash(docs, "doc_id", "text")
     text = F.concat(F.lit(" "), F.when(F.col("text") != "", F.col("text")))
-    pieces = F.split(text, GAP, -1) if separable(a_path, b_path) else F.when(text.isNotNull(), F.array(text))
-    each = docs.select("row", F.explode(pieces).alias("segment"))
-    found = cut(each.groupBy("segment").agg(F.count(F.lit(1)).alias("n")).withColumn("id", F.monotonically_increasing_id()))
-    tokens = cut(found.select("id", "segment").mapInArrow(lambda it: _tokenised(it, a_path, b_path), "id long, ok boolean, n_a int, tok array<int>, size array<int>"))
+    segments = F.split(text, GAP, -1) if separable(a_path, b_path) else F.when(text.isNotNull(), F.array(text))
+    found = docs.select(F.explode(segments).alias("segment")).groupBy("segment").agg(F.count(F.lit(1)).alias("n"))
+    found = cut(found.withColumn("id", F.monotonically_increasing_id()))
+    tokens = found.select("id", "segment").mapInArrow(lambda it: _tokenised(it, a_path, b_path), "id long, ok boolean, n_a int, tok array<int>, size array<int>")
     facts = aligned(tokens.where("ok").drop("ok"))
     zero = [F.coalesce(c, F.lit(0)).alias(c) for c in FACTS[1:5]]
-    facts = cut(found.join(facts, "id", "left").select("id", "segment", "n", F.col("groups").isNotNull().alias("ok"), *zero, F.coalesce("groups", F.lit("")).alias("groups"), F.coalesce("pairs", F.expr("cast(array() as array<bigint>)")).alias("pairs")).withColumn("head", _frequent(found)))
-    release(tokens, found)
-    head = facts.where("head")  # HEAD rows at most
-    table = head.select("segment", *FACTS).toArrow()
+    facts = found.join(facts, "id", "left").select("id", "segment", "n", F.col("groups").isNotNull().alias("ok"), *zero, F.coalesce("groups", F.lit("")).alias("groups"), F.coalesce("pairs", F.expr("cast(array() as array<bigint>)")).alias("pairs"))
+    facts = cut(facts.withColumn("head", _frequent(found)))
+    release(found)
+    table = facts.where("head").select("id", "segment", *FACTS).toArrow()  # HEAD rows at most
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, table.schema) as writer:
         writer.write_table(table)
+    head_ids = table.column("id").to_numpy()
     shared = spark.sparkContext.broadcast(sink.getvalue().to_pybytes())
     del table, sink
-    known = F.broadcast(head.select("segment"))
-    rare = each.join(known, "segment", "left_anti").groupBy("row", "segment").agg(F.count(F.lit(1)).alias("times"))
-    rare = rare.join(facts.where("not head").drop("n", "head"), "segment")
+
+    coded = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), segments.alias("segments"))
+    coded = cut(coded.mapInArrow(lambda it: _coded(it, shared.value), CODED))
+    rare = coded.select("row", F.inline("rare")).join(facts.where("not head").drop("n", "head"), "segment")
     own = cut(rare.groupBy("row").agg(F.collect_list(F.struct("segment", "id", "times", *FACTS)).alias("own")))
-    gathered = cut(docs.join(own, "row", "left").select("row", "doc_id", pieces.alias("segments"), "own").mapInArrow(lambda it: _gathered(it, shared.value), GATHERED))
+    gathered = cut(coded.drop("rare").join(own, "row", "left").mapInArrow(lambda it: _gathered(it, shared.value), GATHERED))
+
     pairs = cut(gathered.where("pair is not null").groupBy("pair").agg(F.sum("docs").alias("docs")))
     a_id = F.shiftright("pair", 32)
     best = pairs.groupBy(a_id.alias("a")).agg(F.max("docs").alias("best"))  # a row for each id of A's vocabulary at most
     counts = pairs.withColumn("a", a_id).join(F.broadcast(best), "a").select("pair", "docs", (F.col("docs") == F.col("best")).cast("long").alias("is_best"))
-    worth = facts.where("ok").select("id", F.explode("pairs").alias("pair")).join(counts, "pair").groupBy("id").agg(F.sum("docs").alias("count_sum"), F.sum("is_best").alias("n_best"))
-    worth = cut(facts.select("id", "segment", "head").join(worth, "id"))
-    frequent = each.join(F.broadcast(worth.where("head").select("segment", "count_sum", "n_best")), "segment").select("row", "count_sum", "n_best")
-    rare = own.select("row", F.explode(F.transform("own", lambda x: F.struct(x["id"].alias("id"), x["times"].alias("times")))).alias("x")).select("row", "x.id", "x.times")
-    others = rare.join(worth.where("not head").select("id", "count_sum", "n_best"), "id").select("row", F.col("count_sum") * F.col("times"), F.col("n_best") * F.col("times"))
-    sums = frequent.groupBy("row").agg(F.sum("count_sum").alias("count_sum"), F.sum("n_best").alias("n_best")).union(others.groupBy("row").agg(F.sum(others[1]), F.sum(others[2])))
-    sums = sums.groupBy("row").agg(F.sum("count_sum").alias("count_sum"), F.sum("n_best").alias("n_best"))
+    worth = facts.where("ok").select("id", "head", F.explode("pairs").alias("pair")).join(counts, "pair").groupBy("id", "head").agg(F.sum("docs").alias("count_sum"), F.sum("is_best").alias("n_best"))
+    worth = cut(worth)
+    of_head = worth.where("head").select("id", "count_sum", "n_best").toArrow()
+    by_place = np.zeros((len(head_ids), 2), np.int64)
+    order = np.argsort(head_ids)
+    by_place[order[np.searchsorted(head_ids[order], of_head.column("id").to_numpy())]] = np.stack([of_head.column(c).to_numpy() for c in ("count_sum", "n_best")], 1) if len(of_head) else by_place[:0]
+    placed = spark.sparkContext.broadcast(by_place)
+    frequent = coded.select("row", "places").mapInArrow(lambda it: _worth(it, placed.value), "row long, count_sum long, n_best long")
+    others = own.select("row", F.explode(F.transform("own", lambda x: F.struct(x["id"].alias("id"), x["times"].alias("times")))).alias("x")).select("row", "x.id", "x.times")
+    others = others.join(worth.where("not head"), "id").select("row", (F.col("count_sum") * F.col("times")).alias("count_sum"), (F.col("n_best") * F.col("times")).alias("n_best"))
+    sums = frequent.union(others).groupBy("row").agg(F.sum("count_sum").alias("count_sum"), F.sum("n_best").alias("n_best"))
     rows = gathered.where("row is not null").join(sums, "row", "left")
     of = lambda c: F.when(F.col("good"), F.coalesce(c, F.lit(0))).otherwise(0).alias(c)
     out = cut(rows.select("doc_id", "n_a", "n_b", "n_groups", "n_links", of("n_best"), of("count_sum"), "groups_sha256"))
-    release(facts, own, gathered, pairs, worth)
+    release(facts, coded, own, gathered, pairs, worth)
     return out

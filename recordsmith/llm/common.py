@@ -21,21 +21,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_checkpoints(spark: SparkSession) -> None:
-    """Use the cluster's shared checkpoint folder; a temporary one only where none is named (tests)."""
+    """Use the cluster's shared checkpoint folder, by spark.checkpoint.dir; where none is named, a temporary one in a local session and an error on a cluster."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="ckpt-"))
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder and not context.master.startswith("local[") and context.master != "local":
+            raise RuntimeError("spark.checkpoint.dir names no folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="ckpt-"))
+
+
+#: Spark's setting by which an execution deletes its shuffle files when it ends.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Written to the shared folder and read again, so that a lost executor costs no recomputation of what stands before.
 
-    A table takes a fraction of the room of a checkpoint of the same rows.  release() deletes it.
+    A table takes a fraction of the room of a checkpoint of the same rows, and the shuffles that made it are deleted.
+    release() deletes the table.
     """
     spark = df.sparkSession
     shared_checkpoints(spark)
     folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(folder)
+    before = spark.conf.get(SHUFFLE_CLEANUP)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(folder)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(folder)
     out._folder = folder
     return out
