@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_checkpoints(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder, by spark.checkpoint.dir; an error where none is named."""
+    """The cluster's shared checkpoint folder, by spark.checkpoint.dir; where none is named, a temporary one in a local session and an error on a cluster."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         folder = context.getConf().get("spark.checkpoint.dir")
-        if not folder:
+        if not folder and not context.master.startswith("local[") and context.master != "local":
             raise RuntimeError("spark.checkpoint.dir names no folder that all executors share")
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="ckpt-"))
     return context._jsc.sc().getCheckpointDir().get()
 
 
