@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -166,6 +166,12 @@ def no_clash(docs: DataFrame, *need: str) -> DataFrame:
     return docs.select(*[F.col(f"`{c}`") for c in need])
 
 
+def filtered_batches(docs: DataFrame, kept: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """mapInArrow of a filter over all columns, be their names such that Spark would take them apart; doc_id and text keep theirs."""
+    inner = docs.toDF(*[c if c in ("doc_id", "text") else f"column{i}" for i, c in enumerate(docs.columns)])
+    return inner.mapInArrow(kept, inner.schema).toDF(*docs.columns)
+
+
 def first_in_order(df: DataFrame, n: int, *order: Column) -> DataFrame:
     """The first n rows of a total order, with no task or driver seeing n rows of every partition: rows are dealt by
     range and sorted, and counts by partition tell which rows are first.  The result is materialised."""

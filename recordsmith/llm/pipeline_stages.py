@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +19,11 @@ from .suffix_dedup import remove_repeats
 WORDS, PERCENT = 5, 80
 
 
+def _private(name: str) -> str:
+    """A column name that no table of a user has."""
+    return f"{name}_{uuid.uuid4().hex}"
+
+
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that the toxicity model, fitted on the corpus's labels, rejects go.
 
@@ -35,10 +42,12 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """
     groups = near_duplicates(docs, WORDS, PERCENT)
     gone = groups.where("component_id <> doc_id").select("doc_id").distinct()
-    kept = docs.where("doc_id is not null").join(gone, "doc_id", "left_anti").select(*docs.columns)
+    own, place = [F.col(f"`{c}`") for c in docs.columns], _private("place")
+    kept = docs.where("doc_id is not null").join(gone, "doc_id", "left_anti").select(*own)
     if not docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
-        order = Window.partitionBy("doc_id").orderBy("text", *[c for c in docs.columns if c not in ("doc_id", "text")])
-        kept = kept.withColumn("_place", F.row_number().over(order)).where("_place = 1").drop("_place")
+        others = [c for c, name in zip(own, docs.columns) if name not in ("doc_id", "text")]
+        order = Window.partitionBy("doc_id").orderBy("text", *([F.to_json(F.struct(*others))] if others else []))  # maps have no order of their own
+        kept = kept.withColumn(place, F.row_number().over(order)).where(F.col(place) == 1).select(*own)
     return kept.unionByName(docs.where("doc_id is null"))
 
 
@@ -48,11 +57,13 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows without doc_id, null texts, and texts that lose nothing are as they were.  Different texts under one doc_id each
     lose their own bytes.
     """
-    cut_texts = remove_repeats(docs, as_text=True).where("n_removed > 0").select("doc_id", "text_hash", "kept_text").dropDuplicates(["doc_id", "text_hash"])
-    joined = docs.withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit("")))).join(cut_texts, ["doc_id", "text_hash"], "left")
-    text = F.coalesce("kept_text", "text")
-    new = {"text": text, "n_chars": F.when(F.col("kept_text").isNotNull(), F.length("kept_text").cast("long")).otherwise(F.col("n_chars"))}
-    return joined.select(*[new.get(c, F.col(c)).alias(c) for c in docs.columns])
+    digest, kept = _private("digest"), _private("kept")
+    cut_texts = remove_repeats(docs, as_text=True).where("n_removed > 0").select("doc_id", F.col("text_hash").alias(digest), F.col("kept_text").alias(kept)).dropDuplicates(["doc_id", digest])
+    joined = docs.withColumn(digest, F.xxhash64(F.coalesce("text", F.lit("")))).join(cut_texts, ["doc_id", digest], "left")
+    new = {"text": F.coalesce(kept, "text")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(F.col(kept).isNotNull(), F.length(kept).cast("long")).otherwise(F.col("n_chars"))
+    return joined.select(*[new.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _LOWER, joined_bytes, mix, no_clash, prefix_hash, slices
+from .common import _LOWER, filtered_batches, joined_bytes, mix, no_clash, prefix_hash, slices
 from .labelled import collected, held_out, training_sample
 
 BUCKET_BITS = 18
@@ -217,4 +217,4 @@ def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
         for batch in slices(batches, "text"):
             yield batch.filter(pa.array(score_texts(batch.column("text"), sent.value) < THRESHOLD))
 
-    return docs.mapInArrow(kept, docs.schema)
+    return filtered_batches(docs, kept)

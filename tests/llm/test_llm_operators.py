@@ -452,3 +452,19 @@ def test_pipeline_stages(spark, sf_dir, hard, none):
         assert stage(spark, none.select(columns), sf_dir).columns == columns
     result = corpus_pipeline.run(spark, sf_dir)
     assert result.count() > 0 and set(result.columns) >= {"doc_id", "n_tokens"}
+
+
+def test_pipeline_stages_with_clashing_columns(spark, sf_dir, hard):
+    """Columns with names that stages use inside, a map, and a name with a dot keep their values; so do rows that repeat an id."""
+    from recordsmith.llm import pipeline_stages as stages
+
+    more = {"text_hash": F.lit("mine"), "kept_text": F.lit("own"), "_place": F.lit(7), "score": F.lit(1.5), "component_id": F.col("doc_id"), "tags": F.create_map(F.lit("k"), F.col("doc_id")), "a.b": F.lit("dot"), "n_removed": F.lit(-1)}
+    plain = hard.select("doc_id", "text", "lang", "source", "n_chars")
+    docs = plain.select("*", *[c.alias(name) for name, c in more.items()])
+    for stage in (stages.reject_toxic, stages.one_of_each_group, stages.cut_repeats, stages.drop_contaminated):
+        got = stage(spark, docs, sf_dir)
+        assert got.columns == docs.columns
+        rows = got.collect()
+        assert rows and all((r.text_hash, r.kept_text, r._place, r.score, r["a.b"], r.n_removed) == ("mine", "own", 7, 1.5, "dot", -1) and r.component_id == r.doc_id == (r.tags or {}).get("k") for r in rows)
+        as_text = lambda rows: sorted(str(tuple(r)[:5]) for r in rows)
+        assert as_text(rows) == as_text(stage(spark, plain, sf_dir).collect())
