@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-from recordsmith.llm.common import shared_checkpoints, table
+from recordsmith.llm.common import cut, release, table
 from recordsmith.llm.pipeline_stages import cut_repeats, drop_contaminated, one_of_each_group, reject_toxic, tokenise
 
 STAGES = [
@@ -22,11 +20,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; between stages the rows are in the shared checkpoint folder."""
-    shared_checkpoints(spark)
-    folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/stages-{uuid.uuid4().hex}"
-    docs = table(spark, sf_dir, "documents")
-    for number, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{number}-{name}")
-        docs = spark.read.parquet(f"{folder}/{number}-{name}")
+    """All stages over ``documents``; between stages the rows are in the shared checkpoint folder, until the next stage is written."""
+    docs, before = table(spark, sf_dir, "documents"), None
+    for _, stage in STAGES:
+        docs = cut(stage(spark, docs, sf_dir))
+        release(before)
+        before = docs
     return docs
