@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.json_text import value_of
 from ..functions.text import normal_text
+from .lineage import settled
 
 #: (task texts) -> answers; runs in the tasks, so it must be importable or a closure.
 Backend = Callable[[list[str]], list[str]]
@@ -59,3 +63,50 @@ def judged(pairs: DataFrame, backend: Backend = offline) -> DataFrame:
 def incremental(wanted: DataFrame, done: DataFrame, key: str, work: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """What is done, and the work on what is not."""
     return done.join(wanted.select(key), key, "left_semi").unionByName(work(wanted.join(done, key, "left_anti")))
+
+
+#: (prompts, budget of output tokens) -> (answer, reason why it is not finished, or null) for each; runs in the tasks.
+Generator = Callable[[list[str], int | None], list[tuple[str, str | None]]]
+#: What the trail says of an attempt: not finished, no JSON, and an answer after others.
+UNFINISHED, UNREAD, RECOVERED = "model_json_generation_retry:{}:finish_reason={}", "model_json_parse_retry:{}:{}", "model_json_recovered_after_retry:{}"
+
+
+def _json_problem(text: str) -> str:
+    try:
+        json.loads(text.strip())
+    except json.JSONDecodeError as error:
+        return error.msg
+    return "no JSON value"
+
+
+def parsed_answers(rows: DataFrame, prompt: str, generator: Generator, budget: int | None = None, retries: int = 2) -> DataFrame:
+    """(..., prompt) -> (..., raw, parsed, attempts, warnings, status): answers as canonical JSON, asked for again where there is none.
+
+    Each round asks for the rows that are still open, with twice the budget of the round before, and is kept before the
+    next one, so that no row is asked again once it has an answer.  An answer that is not finished, or that holds no JSON,
+    leaves its row open and a line in ``warnings``.  After 1 + retries rounds open rows have the status ``failed``, their
+    last raw answer and no parsed one; the others ``ok``.  A null prompt is asked as an empty text.  No rows: no rounds.
+    """
+    open_ = rows.withColumns({"raw": F.lit(None).cast("string"), "parsed": F.lit(None).cast("string"), "warnings": F.array().cast("array<string>")})
+    ended = []
+    for attempt in range(1, 2 + max(0, retries)):
+
+        def run(batches: Iterator[pd.DataFrame], attempt: int = attempt, now: int | None = budget) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                raw, parsed, warnings = [], [], []
+                for (text, unfinished), before in zip(generator(batch[prompt].fillna("").tolist(), now), batch["warnings"]):
+                    value = None if unfinished is not None else value_of(text)
+                    note = UNFINISHED.format(attempt, unfinished) if unfinished is not None else UNREAD.format(attempt, _json_problem(text)) if value is None else RECOVERED.format(attempt) if attempt > 1 else None
+                    raw.append(text)
+                    parsed.append(value)
+                    warnings.append([*before, *([note] if note else [])])
+                yield batch.assign(raw=raw, parsed=parsed, warnings=warnings)
+
+        asked = settled(open_.mapInPandas(run, open_.schema)).withColumn("attempts", F.lit(attempt))
+        ended.append(asked.where("parsed is not null").withColumn("status", F.lit("ok")))
+        open_ = asked.where("parsed is null").drop("attempts")
+        budget = budget * 2 if budget and budget > 0 else budget
+        if open_.isEmpty():
+            break
+    ended.append(open_.withColumn("attempts", F.lit(attempt)).withColumn("status", F.lit("failed")))
+    return reduce(DataFrame.unionByName, ended).select(*rows.columns, "raw", "parsed", "attempts", "warnings", "status")

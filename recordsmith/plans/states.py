@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import artefacts, states
+from ..operators import artefacts, migration, states
+from ..operators.external import parsed_answers
 from .base import fixture, plain
 
 _STATES = """
@@ -59,7 +60,70 @@ def q73_artefact_verdicts(spark, sf_dir):
     return artefacts.verdicts(rows, artefacts.broken_rules(rows, "id", "artefact", "anchors"), "id")
 
 
-QUERIES = {f.__name__: f for f in (q70_state_layouts, q71_clean_history, q72_artefact_errors, q73_artefact_verdicts)}
+_ASKED = """SELECT event_id AS id, concat('{"k": ', CAST(event_id AS VARCHAR(20)), ', "pad": "', repeat('x', CAST(event_id % 40 AS INT)), '"}') AS prompt FROM {{events}}"""
+
+
+def _cut_short(prompts: list[str], budget: int | None) -> list[tuple[str, str | None]]:
+    """A model that repeats the prompt up to its budget; every second answer says why it ends."""
+    return [(p[:budget], "MAX_TOKENS" if len(p) > budget and len(p) % 2 == 0 else None) for p in prompts]
+
+
+def q74_retried_answers(spark, sf_dir):
+    rows = parsed_answers(fixture(spark, sf_dir, _ASKED), "prompt", _cut_short, budget=16)
+    kinds = F.array_join(F.transform("warnings", lambda w: F.array_join(F.slice(F.split(w, ":"), 1, 2), ":")), ",")
+    return rows.select("id", F.get_json_object("parsed", "$.k").cast("long").alias("k"), F.col("attempts").cast("long").alias("attempts"), "status", kinds.alias("trail"), F.length("raw").cast("long").alias("n"))
+
+
+_VERSIONS = """
+SELECT id, CASE id % 8 WHEN 0 THEN concat('{"version": "0.8", "model": "m', k, '", "score": ', k, '}') WHEN 1 THEN concat('{"version": "0.9", "lm": {"model": "m', k, '"}, "score": ', k, '}') WHEN 2 THEN concat('{"version": "1.0", "a": ', k, '}')
+  WHEN 3 THEN concat('{"dspy": {}, "a": ', k, '}') WHEN 4 THEN concat('{"version": "0.5", "a": ', k, '}') WHEN 5 THEN concat('{"a": ', k, '}') WHEN 6 THEN concat('[', k, ']') ELSE concat('{"version": "0.7", "score": ', k, '}') END AS state
+FROM (SELECT o_orderkey AS id, CAST(o_custkey AS VARCHAR(20)) AS k FROM {{orders}}) o
+"""
+
+
+def _text(value: str):
+    return F.lit(value).cast("variant")
+
+
+def _get(path: str):
+    return F.try_variant_get("state", path, "variant")
+
+
+def _object(key: str, value):
+    return F.to_variant_object(F.create_map(F.lit(key), value))
+
+
+#: Version -> step: a model's name becomes an object; a score becomes a metric, and the version goes; the oldest goes to the one before last.
+STEPS = {
+    "0.7": lambda rows: rows.withColumn("state", migration.with_keys(F.col("state"), model=_text("none"), version=_text("0.8"))),
+    "0.8": lambda rows: rows.withColumn("state", migration.with_keys(F.col("state"), ["model"], lm=_object("model", _get("$.model")), version=_text("0.9"))),
+    "0.9": lambda rows: rows.withColumn("state", migration.with_keys(F.col("state"), ["score", "version"], metrics=_object("f1", _get("$.score")))),
+}
+
+
+def q75_migrated_states(spark, sf_dir):
+    done = migration.migrated_states(fixture(spark, sf_dir, _VERSIONS), STEPS)
+    return done.select("id", F.to_json("state").alias("state"), "from_version", "to_version", F.array_join("trail", ">").alias("trail"), "outcome")
+
+
+def q76_migration_report(spark, sf_dir):
+    rows = fixture(spark, sf_dir, _VERSIONS)
+    both = [migration.migration_report(rows, "id", STEPS, dry_run=d).withColumn("dry_run", F.lit(d)) for d in (True, False)]
+    return both[0].unionByName(both[1]).groupBy("dry_run", "action", "status", "from_version", "to_version", "steps").agg(F.count(F.lit(1)).alias("n"))
+
+
+_HEADERS = """
+SELECT id, concat('name', CASE WHEN id % 2 = 0 THEN ',size' ELSE '' END, CASE WHEN id % 3 = 0 THEN ',unit' ELSE '' END, CASE WHEN id % 5 = 0 THEN ',value,note' ELSE '' END, CASE WHEN id % 7 = 0 THEN ',key,text' ELSE '' END) AS header
+FROM (SELECT p_partkey AS id FROM {{part}}) p
+"""
+_FORMATS = {"sizes": ["name", "size", "unit"], "values": ["name", "value", "note", "unit"], "texts": ["key", "text"]}
+
+
+def q77_format_report(spark, sf_dir):
+    return migration.format_report(fixture(spark, sf_dir, _HEADERS).withColumn("columns", F.split("header", ",")), "id", _FORMATS)
+
+
+QUERIES = {f.__name__: f for f in (q70_state_layouts, q71_clean_history, q72_artefact_errors, q73_artefact_verdicts, q74_retried_answers, q75_migrated_states, q76_migration_report, q77_format_report)}
 ORACLES = {
     "q70_state_layouts": f"""
 WITH s AS (SELECT id, CASE WHEN json_valid(state) THEN state::JSON END AS j FROM ({plain(_STATES)})),
@@ -84,4 +148,24 @@ UNION ALL SELECT id, '$', 'error', CASE WHEN j IS NULL THEN 'no_json' ELSE 'not_
     "q73_artefact_verdicts": """
 WITH n AS (SELECT o_orderkey AS id, (o_orderkey % 3 = 0)::BIGINT + (o_orderkey % 4 = 0)::BIGINT + (o_orderkey % 5 = 0)::BIGINT AS errors, (o_orderkey % 2 <> 0)::BIGINT + (o_orderkey % 7 = 0)::BIGINT AS warnings FROM orders)
 SELECT id, CASE WHEN errors > 0 THEN 'fail' ELSE 'ok' END AS status, errors, warnings FROM n""",
+    "q74_retried_answers": f"""
+WITH a AS (SELECT id, prompt, length(prompt) AS n, CASE WHEN length(prompt) <= 16 THEN 1 WHEN length(prompt) <= 32 THEN 2 WHEN length(prompt) <= 64 THEN 3 END AS tries FROM ({plain(_ASKED)})),
+f AS (SELECT *, CASE WHEN n % 2 = 0 THEN 'model_json_generation_retry' ELSE 'model_json_parse_retry' END AS failed, coalesce(tries, 4) - 1 AS misses FROM a)
+SELECT id, CASE WHEN tries IS NOT NULL THEN CAST(prompt::JSON ->> '$.k' AS BIGINT) END AS k, CAST(coalesce(tries, 3) AS BIGINT) AS attempts, CASE WHEN tries IS NULL THEN 'failed' ELSE 'ok' END AS status,
+  array_to_string(list_concat(list_transform(range(1, misses + 1), lambda i: failed || ':' || i), CASE WHEN tries > 1 THEN ['model_json_recovered_after_retry:' || tries] ELSE [] END), ',') AS trail, least(n, 64) AS n FROM f""",
+    "q75_migrated_states": """
+SELECT id, CASE id % 8 WHEN 0 THEN '{"lm":{"model":"m' || k || '"},"metrics":{"f1":' || k || '},"version":"1.0"}' WHEN 1 THEN '{"lm":{"model":"m' || k || '"},"metrics":{"f1":' || k || '},"version":"1.0"}' WHEN 2 THEN '{"a":' || k || ',"version":"1.0"}' WHEN 3 THEN '{"a":' || k || ',"dspy":{}}'
+  WHEN 4 THEN '{"a":' || k || ',"version":"0.5"}' WHEN 5 THEN '{"a":' || k || '}' WHEN 7 THEN '{"lm":{"model":"none"},"metrics":{"f1":' || k || '},"version":"1.0"}' END AS state, v AS from_version, CASE WHEN v IN ('0.7', '0.8', '0.9') THEN '1.0' ELSE v END AS to_version,
+  CASE v WHEN '0.7' THEN '0.7>0.8>0.9>1.0' WHEN '0.8' THEN '0.8>0.9>1.0' WHEN '0.9' THEN '0.9>1.0' ELSE coalesce(v, '') END AS trail, ['migrated', 'migrated', 'up_to_date', 'up_to_date', 'no_path', 'no_version', 'invalid', 'migrated'][id % 8 + 1] AS outcome
+FROM (SELECT o_orderkey AS id, CAST(o_custkey AS VARCHAR) AS k, ['0.8', '0.9', '1.0', '1.0', '0.5', NULL, NULL, '0.7'][o_orderkey % 8 + 1] AS v FROM orders)""",
+    "q76_migration_report": """
+WITH o AS (SELECT o_orderkey % 8 AS kind, ['0.8', '0.9', '1.0', '1.0', '0.5', NULL, NULL, '0.7'][o_orderkey % 8 + 1] AS v FROM orders),
+r AS (SELECT true AS dry_run, CASE WHEN v = '1.0' THEN 'skip' ELSE 'would_migrate' END AS action, CASE WHEN v = '1.0' THEN 'up_to_date' ELSE 'success' END AS status, v AS from_version, v AS to_version, 0::BIGINT AS steps FROM o
+  UNION ALL SELECT false, CASE WHEN v = '1.0' THEN 'skip' ELSE 'migrated' END, CASE WHEN v = '1.0' THEN 'up_to_date' WHEN kind = 6 THEN 'failed' ELSE 'success' END, v, CASE WHEN v IN ('0.7', '0.8', '0.9') THEN '1.0' ELSE v END, CASE v WHEN '0.7' THEN 3 WHEN '0.8' THEN 2 WHEN '0.9' THEN 1 ELSE 0 END FROM o)
+SELECT *, count(*) AS n FROM r GROUP BY ALL""",
+    "q77_format_report": f"""
+WITH h AS (SELECT id, string_split(header, ',') AS c FROM ({plain(_HEADERS)})), f(place, task, names) AS (VALUES {', '.join(f"({i}, '{t}', {names})" for i, (t, names) in enumerate(_FORMATS.items()))}),
+m AS (SELECT id, place, task, list_filter(names, lambda x: NOT list_contains(c, x)) AS missing, len(names) AS n FROM h, f),
+b AS (SELECT * FROM m WHERE len(missing) < n * 0.5 QUALIFY row_number() OVER (PARTITION BY id ORDER BY len(missing) > 0, place) = 1)
+SELECT h.id, task, CASE WHEN task IS NULL THEN 'skip' ELSE 'would_migrate' END AS action, CASE WHEN task IS NULL THEN 'unknown_format' ELSE 'success' END AS status, array_to_string(missing, ',') AS missing FROM h LEFT JOIN b ON b.id = h.id""",
 }
