@@ -109,10 +109,11 @@ def _tokenised(batches: Iterator[pa.RecordBatch], a_path: str, b_path: str) -> I
 
 
 def aligned(tokens: DataFrame) -> DataFrame:
-    """(id, n_a, tok, size) -> (id, n_a, n_b, n_groups, n_links, groups, pairs): each id's alignment.
+    """(id, n_a, tok, size) -> (id, n_a, n_groups, groups, pairs): each id's alignment.
 
     tok holds A's tokens and then B's, size their bytes.  groups is ``a1,a2|b1;a3|b2,b3``; pairs holds every link as
-    a * 2**32 + b.
+    a * 2**32 + b.  Tokens of B are as many as links and groups less tokens of A: where a token ends, a link ends, and
+    where tokens of both end, a group.
     """
     rows = tokens.repartition("id").select("id", "n_a", F.posexplode(F.arrays_zip("tok", "size")).alias("pos", "t"))
     rows = rows.select("id", (F.col("pos") >= F.col("n_a")).alias("side"), "pos", "t.tok", "t.size")
@@ -122,9 +123,9 @@ def aligned(tokens: DataFrame) -> DataFrame:
     met = ends.groupBy("id", "end").agg(F.max(F.when(~F.col("side"), F.col("tok"))).alias("a"), F.max(F.when(F.col("side"), F.col("tok"))).alias("b"))
     back = Window.partitionBy("id").orderBy(F.desc("end")).rowsBetween(Window.unboundedPreceding, 0)
     shared = F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), 1)
-    links = met.select("id", F.col("a").isNotNull().cast("int").alias("has_a"), F.col("b").isNotNull().cast("int").alias("has_b"), F.struct("end", "a", "b").alias("own"), F.last("a", True).over(back).alias("of_a"), F.last("b", True).over(back).alias("of_b"), F.count(shared).over(back).alias("group"))
+    links = met.select("id", F.col("a").isNotNull().cast("int").alias("has_a"), "end", "a", "b", F.last("a", True).over(back).alias("of_a"), F.last("b", True).over(back).alias("of_b"), F.count(shared).over(back).alias("group"))
     rows = links.groupBy("id").agg(
-        F.sum("has_a").alias("n_a"), F.sum("has_b").alias("n_b"), F.max("group").alias("n_groups"), F.count(F.lit(1)).alias("n_links"), F.array_sort(F.collect_list("own")).alias("own"),
+        F.sum("has_a").alias("n_a"), F.max("group").alias("n_groups"), F.array_sort(F.collect_list(F.struct("end", "a", "b"))).alias("own"),
         F.collect_list(F.shiftleft(F.col("of_a").cast("long"), 32) + F.col("of_b")).alias("pairs"),
     )
 
@@ -134,106 +135,146 @@ def aligned(tokens: DataFrame) -> DataFrame:
         return F.split(F.rtrim(F.array_join(ids, ""), F.lit(";")), ";")
 
     groups = F.array_join(F.zip_with(lists("a", "b"), lists("b", "a"), lambda x, y: F.concat(x, F.lit("|"), y)), ";")
-    return rows.select("id", "n_a", "n_b", "n_groups", "n_links", groups.alias("groups"), "pairs")
+    return rows.select("id", "n_a", "n_groups", groups.alias("groups"), "pairs")
 
 
-FACTS = ["ok", "n_a", "n_b", "n_groups", "n_links", "groups", "pairs"]
 CODED = "row long, doc_id long, places binary, rare array<struct<segment string, times long>>"
 GATHERED = "row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, good boolean, pair long, docs long"
+#: Segments whose facts are looked at in one step; a longer document is a step of its own.
+STEP_SEGMENTS = 1 << 20
 
 
 class Known:
-    """What is known of segments, in arrays; counts are ok, n_a, n_b, n_groups, n_links."""
+    """What is known of segments, in arrays: counts are n_a, n_b, n_groups, n_links; no links: not ok."""
+
+    def __init__(self, table: pa.Table | pa.RecordBatch):
+        of = lambda c: column.combine_chunks() if isinstance(column := table.column(c), pa.ChunkedArray) else column
+        self.groups, pairs = pc.binary_join_element_wise(of("groups").cast(pa.large_string()), pa.scalar("", pa.large_string()), pa.scalar(";", pa.large_string())), of("pairs")
+        n_links = pairs.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        n_a, n_groups = (of(c).to_numpy(zero_copy_only=False) for c in ("n_a", "n_groups"))
+        self.counts = np.stack([n_a, n_links + n_groups - n_a, n_groups, n_links], 1).astype(np.int64)  # a link ends where a token of either side ends
+        self.pairs, self.ends = pairs.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(n_links)])
+
+    def places_of_pairs(self, places: np.ndarray) -> np.ndarray:
+        n = self.ends[places + 1] - self.ends[places]
+        return np.repeat(self.ends[places] - np.cumsum(n) + n, n) + np.arange(n.sum())
 
-    def __init__(self, table: pa.Table):
-        of = lambda c: table.column(c).combine_chunks()
-        self.segments = of("segment").to_pylist()
-        self.counts = np.array([of(c).cast(pa.int64()).to_numpy(zero_copy_only=False) for c in FACTS[:5]], np.int64).T.reshape(-1, 5)
-        self.groups = of("groups").cast(pa.binary()).to_pylist()
-        pairs = of("pairs")
-        self.pairs, self.ends = pairs.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(pairs.value_lengths().to_numpy(zero_copy_only=False))])
 
-    def of_pairs(self, places: np.ndarray) -> list[np.ndarray]:
-        return [self.pairs[a:b] for a, b in zip(self.ends[places].tolist(), self.ends[places + 1].tolist())]
+class Head(Known):
+    """The frequent segments; their different pairs have numbers."""
+
+    def __init__(self, table: pa.Table):
+        super().__init__(table)
+        self.segments = table.column("segment").combine_chunks()
+        self.names, self.number = np.unique(self.pairs, return_inverse=True)
 
 
-_head: dict[bytes, tuple[Known, dict[str, int]]] = {}
+_head: dict[bytes, Head] = {}
 
 
-def _of_head(head: bytes) -> tuple[Known, dict[str, int]]:
-    """The frequent segments and their places, read once by a worker."""
+def _of_head(head: bytes) -> Head:
+    """Read once by a worker."""
     mark = hashlib.blake2b(head, digest_size=16).digest()
     if mark not in _head:
         _head.clear()
-        known = Known(pa.ipc.open_stream(head).read_all())
-        _head[mark] = known, {s: i for i, s in enumerate(known.segments)}
+        _head[mark] = Head(pa.ipc.open_stream(head).read_all())
     return _head[mark]
 
 
 def _coded(batches: Iterator[pa.RecordBatch], head: bytes) -> Iterator[pa.RecordBatch]:
     """Segments as places in the head; the others, in order, as -1, -2, ... with how often they occur."""
-    place = _of_head(head)[1]
+    known = _of_head(head).segments
     squeeze = zstandard.ZstdCompressor(level=1).compress
     kind = pa.list_(pa.struct([("segment", pa.string()), ("times", pa.int64())]))
     for batch in batches:
+        column = batch.column("segments")
+        flat = column.flatten()
+        at = pc.fill_null(pc.index_in(flat, known), -1).to_numpy(zero_copy_only=False).copy()
+        ends = np.concatenate([[0], np.cumsum(pc.fill_null(column.value_lengths(), 0).to_numpy(zero_copy_only=False))])
+        free = np.flatnonzero(at < 0)
+        other, first = flat.take(pa.array(free)).to_pylist(), np.searchsorted(free, ends).tolist()
         blobs, rare = [], []
-        for segments in batch.column("segments"):
-            if not segments.is_valid:
-                blobs.append(None)
-                rare.append(None)
-                continue
-            texts = segments.values.to_pylist()
-            at = np.array([place.get(s, -1) for s in texts], np.int32)
-            other = [texts[i] for i in np.flatnonzero(at < 0).tolist()]
-            times = Counter(other)
-            order = {s: -1 - i for i, s in enumerate(sorted(times))}
-            at[at < 0] = [order[s] for s in other]
-            blobs.append(squeeze(at.tobytes()))
+        for i, valid in enumerate(column.is_valid().to_pylist()):
+            mine = other[first[i] : first[i + 1]]
+            times = Counter(mine)
+            order = {s: -1 - k for k, s in enumerate(sorted(times))}
+            at[free[first[i] : first[i + 1]]] = [order[s] for s in mine]
+            blobs.append(squeeze(at[ends[i] : ends[i + 1]].tobytes()) if valid else None)
             rare.append([{"segment": s, "times": times[s]} for s in order])
         yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), pa.array(blobs, pa.binary()), pa.array(rare, kind)], ["row", "doc_id", "places", "rare"])
 
 
 def _gathered(batches: Iterator[pa.RecordBatch], head: bytes) -> Iterator[pa.RecordBatch]:
     """A row for each document, and rows (pair, docs) for the pairs of the documents seen."""
-    known, held = _of_head(head)[0], []
+    known, held = _of_head(head), []
+    docs_of = np.zeros(len(known.names), np.int64)  # by number of a pair of the head
     expand = zstandard.ZstdDecompressor().decompress
     names = [f.split()[0] for f in GATHERED.split(", ")]
     kinds = [pa.int64()] * 6 + [pa.string(), pa.bool_(), pa.int64(), pa.int64()]
+    size = len(known.counts)
 
-    def counted() -> pa.RecordBatch:
-        pair, docs = _pair_sums(held)
-        held.clear()
+    def counted(pair: np.ndarray, docs: np.ndarray) -> pa.RecordBatch:
         none = pa.nulls(len(pair))
         return pa.RecordBatch.from_arrays([*[none.cast(k) for k in kinds[:-2]], pa.array(pair), pa.array(docs)], names)
 
+    def step(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        """Rows (row, doc_id, places in the head and, behind it, in the others, or null)."""
+        at = np.concatenate([r[2] for r in rows if r[2] is not None] or [np.zeros(0, np.int64)])
+        text = groups.take(pa.array(at))
+        bounds = np.frombuffer(text.buffers()[1], np.int64, len(at) + 1, 8 * text.offset) if len(at) else np.zeros(1, np.int64)
+        data, own_counts, out, start = memoryview(text.buffers()[2] or b""), counts[at], [], 0
+        for row, doc_id, places in rows:
+            if places is not None:
+                stop = start + len(places)
+                here = own_counts[start:stop]
+                good = bool((here[:, 3] > 0).all())
+                digest = hashlib.sha256(data[bounds[start] : bounds[stop] - 1]).hexdigest() if good else ""
+                start = stop
+            if places is None or not good:
+                out.append((row, doc_id, 0, 0, 0, 0, "", False, None, None))
+                continue
+            out.append((row, doc_id, *here.sum(0).tolist(), digest, True, None, None))
+            some = np.unique(places)
+            rest = others.places_of_pairs(some[some >= size] - size)
+            number = numbers[rest]
+            docs_of[np.unique(np.concatenate([known.number[known.places_of_pairs(some[some < size])], number[number >= 0]]))] += 1
+            if (number < 0).any():
+                held.append((np.unique(others.pairs[rest[number < 0]]), None))
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
+        if sum(len(p) for p, _ in held) > PAIRS_HELD:
+            held[:] = [_pair_sums(held)]
+            if len(held[0][0]) > PAIRS_HELD // 2:
+                yield counted(*held.pop())
+
     for batch in batches:
-        out: list[tuple] = []
         own = batch.column("own")
         others = Known(pa.Table.from_struct_array(own.flatten()))
+        groups, counts = pa.concat_arrays([known.groups, others.groups]), np.concatenate([known.counts, others.counts])
+        at = np.minimum(np.searchsorted(known.names, others.pairs), max(len(known.names) - 1, 0))
+        numbers = np.where(known.names[at] == others.pairs, at, -1) if len(known.names) else np.full(len(others.pairs), -1)
+        rank = own.flatten().field("rank").to_numpy(zero_copy_only=False)
         first = np.concatenate([[0], np.cumsum(pc.fill_null(own.value_lengths(), 0).to_numpy(zero_copy_only=False))]).tolist()
+        rows, held_segments = [], 0
         for i, (row, doc_id, blob) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("row", "doc_id", "places")))):
-            good = blob is not None
-            if good:
-                at = np.frombuffer(expand(blob), np.int32).astype(np.int64)
-                mine = np.array(sorted(range(first[i], first[i + 1]), key=others.segments.__getitem__), np.int64)
-                common, rest = at[at >= 0], mine[-1 - at[at < 0]] if len(mine) else at[:0]
-                counts = known.counts[common].sum(0) + others.counts[rest].sum(0)
-                good = counts[0] == len(at)
-            if not good:
-                out.append((row, doc_id, 0, 0, 0, 0, "", False, None, None))
-                continue
-            mine = mine.tolist()
-            digest = hashlib.sha256(b";".join([known.groups[k] if k >= 0 else others.groups[mine[-1 - k]] for k in at.tolist()])).hexdigest()
-            out.append((row, doc_id, *counts[1:].tolist(), digest, True, None, None))
-            held.append((np.unique(np.concatenate(known.of_pairs(np.unique(common)) + others.of_pairs(np.unique(rest)))), None))
-            if len(held) > 512:
-                held[:] = [_pair_sums(held)]
-                if len(held[0][0]) > PAIRS_HELD:
-                    yield counted()
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
+            places = None
+            if blob is not None:
+                places = np.frombuffer(expand(blob), np.int32).astype(np.int64)
+                if first[i] < first[i + 1]:
+                    mine = np.empty(first[i + 1] - first[i], np.int64)
+                    mine[rank[first[i] : first[i + 1]]] = np.arange(size + first[i], size + first[i + 1])
+                    places[places < 0] = mine[-1 - places[places < 0]]
+                held_segments += len(places)
+            rows.append((row, doc_id, places))
+            if held_segments > STEP_SEGMENTS:
+                yield from step(rows)
+                rows, held_segments = [], 0
+        if rows:
+            yield from step(rows)
+    some = np.flatnonzero(docs_of)
+    if len(some):
+        yield counted(known.names[some], docs_of[some])
     if held:
-        yield counted()
+        yield counted(*_pair_sums(held))
 
 
 def _worth(batches: Iterator[pa.RecordBatch], worth: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -287,11 +328,11 @@ def align(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     found = cut(found.withColumn("id", F.monotonically_increasing_id()))
     tokens = found.select("id", "segment").mapInArrow(lambda it: _tokenised(it, a_path, b_path), "id long, ok boolean, n_a int, tok array<int>, size array<int>")
     facts = aligned(tokens.where("ok").drop("ok"))
-    zero = [F.coalesce(c, F.lit(0)).alias(c) for c in FACTS[1:5]]
-    facts = found.join(facts, "id", "left").select("id", "segment", "n", F.col("groups").isNotNull().alias("ok"), *zero, F.coalesce("groups", F.lit("")).alias("groups"), F.coalesce("pairs", F.expr("cast(array() as array<bigint>)")).alias("pairs"))
+    none = F.expr("cast(array() as array<bigint>)")
+    facts = found.join(facts, "id", "left").select("id", "segment", "n", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_a", "n_groups")], F.coalesce("groups", F.lit("")).alias("groups"), F.coalesce("pairs", none).alias("pairs"))
     facts = cut(facts.withColumn("head", _frequent(found)))
     release(found)
-    table = facts.where("head").select("id", "segment", *FACTS).toArrow()  # HEAD rows at most
+    table = facts.where("head").select("id", "segment", "n_a", "n_groups", "groups", "pairs").toArrow()  # HEAD rows at most
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, table.schema) as writer:
         writer.write_table(table)
@@ -301,15 +342,16 @@ def align(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
 
     coded = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), segments.alias("segments"))
     coded = cut(coded.mapInArrow(lambda it: _coded(it, shared.value), CODED))
-    rare = coded.select("row", F.inline("rare")).join(facts.where("not head").drop("n", "head"), "segment")
-    own = cut(rare.groupBy("row").agg(F.collect_list(F.struct("segment", "id", "times", *FACTS)).alias("own")))
+    rare = coded.select("row", F.posexplode("rare").alias("rank", "r")).select("row", "rank", "r.segment", "r.times")
+    rare = rare.join(facts.where("not head").select("segment", "id", "n_a", "n_groups", "groups", "pairs"), "segment")
+    own = cut(rare.groupBy("row").agg(F.collect_list(F.struct("rank", "id", "times", "n_a", "n_groups", "groups", "pairs")).alias("own")))
     gathered = cut(coded.drop("rare").join(own, "row", "left").mapInArrow(lambda it: _gathered(it, shared.value), GATHERED))
 
     pairs = cut(gathered.where("pair is not null").groupBy("pair").agg(F.sum("docs").alias("docs")))
     a_id = F.shiftright("pair", 32)
     best = pairs.groupBy(a_id.alias("a")).agg(F.max("docs").alias("best"))  # a row for each id of A's vocabulary at most
     counts = pairs.withColumn("a", a_id).join(F.broadcast(best), "a").select("pair", "docs", (F.col("docs") == F.col("best")).cast("long").alias("is_best"))
-    worth = facts.where("ok").select("id", "head", F.explode("pairs").alias("pair")).join(counts, "pair").groupBy("id", "head").agg(F.sum("docs").alias("count_sum"), F.sum("is_best").alias("n_best"))
+    worth = facts.select("id", "head", F.explode("pairs").alias("pair")).join(counts, "pair").groupBy("id", "head").agg(F.sum("docs").alias("count_sum"), F.sum("is_best").alias("n_best"))
     worth = cut(worth)
     of_head = worth.where("head").select("id", "count_sum", "n_best").toArrow()
     by_place = np.zeros((len(head_ids), 2), np.int64)
