@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordering import ranked
+
 
 def listed(runs: DataFrame, task: str | None = None, by: str = "created", limit: int = 0) -> DataFrame:
     """Newest first, or by name; limit 0 is none."""
@@ -30,14 +32,14 @@ def best(runs: DataFrame, metric: str = "f1") -> DataFrame:
 def compared(runs: DataFrame, metric: str = "f1") -> DataFrame:
     """With ``place`` within each task: by the metric (missing: 0), stable in ``pos``, if the task's first run has the
     metric; else by ``pos``."""
-    first = F.first(metric).over(Window.partitionBy("task").orderBy("pos"))
-    w = Window.partitionBy("task").orderBy(F.desc(F.when(F.col("_first").isNotNull(), F.coalesce(metric, F.lit(0.0)))), "pos")
-    return runs.withColumn("_first", first).withColumn("place", F.row_number().over(w)).drop("_first")
+    first = runs.groupBy("task").agg(F.min_by(F.struct(F.col(metric).alias("m")), "pos")["m"].isNotNull().alias("_by_metric"))
+    known = runs.join(first, "task").withColumn("_metric", F.when(F.col("_by_metric"), F.coalesce(metric, F.lit(0.0))))
+    return ranked(known, ["task"], [F.desc("_metric"), F.col("pos")], "place").drop("_by_metric", "_metric")
 
 
 def versioned(runs: DataFrame) -> DataFrame:
     """With the run's version within its task, from 1 in the order of creation."""
-    return runs.withColumn("version", F.row_number().over(Window.partitionBy("task").orderBy("created", "name")))
+    return ranked(runs, ["task"], [F.col("created"), F.col("name")], "version")
 
 
 def migrated(rows: DataFrame, names: Mapping[str, str], wanted: Sequence[str]) -> DataFrame:

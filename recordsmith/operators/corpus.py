@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import as_type, first_filled
+from .ordering import chunked, ranked, selected
 
 
 @dataclass(frozen=True)
@@ -89,6 +90,13 @@ def grouped_last_wins(rows: DataFrame, raw_id: str, key: Column, pos: str, recor
     return groups.select("key", raw_id, "n", F.transform("r", lambda x: x["record"]).alias("records"))
 
 
+def grouped_in_chunks(rows: DataFrame, raw_id: str, key: Column, pos: str, record: Column, size: int = 1000) -> DataFrame:
+    """(key, raw_id, chunk, first, n, chunks, total, values): as grouped_last_wins, with records in chunks, for groups of any size."""
+    some = rows.where(F.col(raw_id).isNotNull()).select(key.alias("key"), F.col(raw_id).alias("raw_id"), F.col(pos).alias("pos"), record.alias("record"))
+    last = some.groupBy("key").agg(F.max("raw_id").alias("raw_id"))
+    return chunked(some.join(last, ["key", "raw_id"], "left_semi"), ["key", "raw_id"], [F.col("pos"), F.col("record")], F.col("record"), size)
+
+
 def coverage(wanted: DataFrame, have: DataFrame, key: str) -> DataFrame:
     """(covered, missing, extra, percentage): how many wanted keys there are, and how many there are besides."""
     w, h = wanted.select(key).distinct().withColumn("w", F.lit(True)), have.select(key).distinct().withColumn("h", F.lit(True))
@@ -119,22 +127,24 @@ def split_overlap(splits: DataFrame, key: str, main: Sequence[str] = ("train", "
 def exact_split(documents: DataFrame, key: str, ratio: float, seed: int) -> DataFrame:
     """(key, split): the floor of n * ratio documents are train, by the order of their seeded hashes.
 
-    The order is a range-partitioned sort; ranks come from counts by hash bucket, so no task sees all rows.
+    No task sees all rows.
     """
     if not 0 <= ratio <= 1:
         raise ValueError("ratio must be between 0 and 1")
-    hashed = documents.select(key).distinct().withColumn("hash", F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(str(seed))))).withColumn("bucket", F.substring("hash", 1, 2))
-    sizes = hashed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
-    order = Window.orderBy("bucket")  # 256 rows
-    before = sizes.select("bucket", (F.sum("n").over(order) - F.col("n")).alias("before"), F.sum("n").over(Window.partitionBy(F.lit(0))).alias("all"))
-    rank = F.row_number().over(Window.partitionBy("bucket").orderBy("hash", key)) + F.col("before")
-    return hashed.join(F.broadcast(before), "bucket").select(key, F.when(rank <= F.floor(F.col("all") * ratio), "train").otherwise("test").alias("split"))
+    hashed = documents.select(key).distinct().withColumn("_hash", F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(str(seed)))))
+    placed = ranked(hashed, [], [F.col("_hash"), F.col(key)], "_rank")
+    train = int(placed.count() * ratio)
+    return placed.select(key, F.when(F.col("_rank") <= train, "train").otherwise("test").alias("split"))
 
 
 def numeric_profile(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(column, n, low, high, median) of each column that has values."""
+    """(column, n, low, high, median) of each column that has values; the median exact, by selection over all tasks."""
     long = rows.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns]))).where("value is not null")
-    return long.groupBy("column").agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("low"), F.max("value").alias("high"), F.median("value").alias("median"))
+    sums = long.groupBy("column").agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("low"), F.max("value").alias("high")).collect()  # a row for each column
+    middle = {r.column: ((r.n - 1) // 2, r.n // 2) for r in sums}
+    at = selected(long, sorted({(c, k) for c, ks in middle.items() for k in ks}))
+    out = [(r.column, r.n, r.low, r.high, (at[r.column, middle[r.column][0]] + at[r.column, middle[r.column][1]]) / 2) for r in sums]
+    return rows.sparkSession.createDataFrame(out, "column string, n long, low double, high double, median double")
 
 
 def top_values(rows: DataFrame, column: str, k: int) -> DataFrame:

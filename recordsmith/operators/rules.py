@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import normal_text
+from .ordering import ranked
 
 EXAMPLES, DOCUMENTS = 3, 5
 
@@ -16,22 +17,28 @@ def consensus(observations: DataFrame, *by: str) -> DataFrame:
     ``evidence`` counts texts; a rule takes the first formulation and the first examples, a discrepancy the first two
     variants and the first distinct documents.  The offline judge stands in for a model's opinion.
     """
-    normal = F.lower(normal_text(F.col("text")))
-    first = lambda n, c: F.transform(F.slice(F.array_sort(F.col("all")), 1, n), lambda x: x[c])
-    g = observations.groupBy(*by).agg(F.count(F.lit(1)).alias("evidence"), F.count_distinct(normal).alias("variants"), F.min("pos").alias("pos"), F.array_sort(F.collect_list(F.struct("pos", "doc", "text", normal.alias("normal")))).alias("all"))
-    one = F.col("variants") == 1
-    other = F.try_element_at(F.filter("all", lambda x: x["normal"] != F.col("all")[0]["normal"]), F.lit(1))
+    rows = observations.select(*by, F.struct("pos", "doc", "text").alias("o"), "doc", F.lower(normal_text(F.col("text"))).alias("normal"))
+    variants = rows.groupBy(*by, "normal").agg(F.count(F.lit(1)).alias("n"), F.min("o").alias("o"))
+    groups = variants.groupBy(*by).agg(F.sum("n").alias("evidence"), F.count("normal").alias("variants"), F.min(F.struct("o", "normal")).alias("first"))
+    same = list(by)
+    others = variants.join(groups.select(*same, F.col("first.normal").alias("_first")), same).where(F.col("normal") != F.col("_first")).groupBy(*same).agg(F.min("o").alias("other"))
+    # of each group, every task passes on the first few rows only
+    top = lambda df, order, n: df.withColumn("_place", F.row_number().over(Window.partitionBy(*same).orderBy(order))).where(F.col("_place") <= n)
+    listed = lambda df, c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_place", F.col(c).cast("string").alias("v")))), lambda x: x["v"]), df)
+    examples = top(rows.withColumn("text", F.col("o.text")), "o", EXAMPLES).groupBy(*same).agg(listed(" / ", "text").alias("examples"))
+    documents = top(rows.groupBy(*same, "doc").agg(F.min("o").alias("o")), "o", DOCUMENTS).groupBy(*same).agg(listed(",", "doc").alias("documents"))
+    g = groups.join(others, same, "left").join(examples, same).join(documents, same)
     return g.select(
-        *by, "pos", "evidence", F.when(one, "rule").otherwise("discrepancy").alias("kind"), F.col("all")[0]["text"].alias("text"), other["text"].alias("other_text"),
-        F.array_join(first(EXAMPLES, "text"), " / ").alias("examples"), F.array_join(F.slice(F.array_distinct(F.transform("all", lambda x: x["doc"].cast("string"))), 1, DOCUMENTS), ",").alias("documents"),
+        *by, F.col("first.o.pos").alias("pos"), "evidence", F.when(F.col("variants") == 1, "rule").otherwise("discrepancy").alias("kind"), F.col("first.o.text").alias("text"), F.col("other.text").alias("other_text"),
+        "examples", "documents",
     )
 
 
 def numbered(groups: DataFrame, scope: str) -> DataFrame:
     """Running ids in the order of ``pos``, rules and discrepancies counted apart, from 0 in each scope."""
-    w = Window.partitionBy(scope, "kind").orderBy("pos")
-    number = (F.row_number().over(w) - 1).cast("string")
-    return groups.withColumn("id", F.concat(F.col(scope).cast("string"), F.when(F.col("kind") == "rule", "_").otherwise("_disc_"), number))
+    number = (F.col("_rank") - 1).cast("string")
+    placed = ranked(groups, [scope, "kind"], [F.col("pos")], "_rank")
+    return placed.withColumn("id", F.concat(F.col(scope).cast("string"), F.when(F.col("kind") == "rule", "_").otherwise("_disc_"), number)).drop("_rank")
 
 
 def reviewed(discrepancies: DataFrame) -> DataFrame:

@@ -37,12 +37,22 @@ def q14_reject_report(spark, sf_dir):
 _FILES = "SELECT doc_id, concat(source, CASE doc_id % 3 WHEN 0 THEN '.pdf' WHEN 1 THEN '.PDF' ELSE '.txt' END) AS raw, lang FROM {{documents}}"
 
 
+_HOT = "SELECT doc_id, lang, CASE WHEN doc_id % 3 = 0 THEN 'Hot.pdf' WHEN doc_id % 3 = 1 THEN concat(source, '.txt') ELSE source END AS raw FROM {{documents}}"
+
+
 def q15_group_last_wins(spark, sf_dir):
     rows = fixture(spark, sf_dir, _FILES)
     got = ops.grouped_last_wins(rows, "raw", document_key(F.col("raw")), "doc_id", F.concat_ws(":", F.col("doc_id").cast("string"), "lang"))
     return got.select("key", "raw", "n", F.array_join("records", ",").alias("records"))
 
 
+def q15b_group_chunks(spark, sf_dir):
+    """One key holds a third of all rows."""
+    rows = fixture(spark, sf_dir, _HOT)
+    got = ops.grouped_in_chunks(rows, "raw", document_key(F.col("raw")), "doc_id", F.col("lang"), 50)
+    return got.select("key", "raw_id", "chunk", "first", "n", "chunks", "total", F.array_join("values", ",").alias("records"))
+
+
 def q16_coverage(spark, sf_dir):
     return rounded(ops.coverage(table(spark, sf_dir, "labels"), table(spark, sf_dir, "documents").where("n_chars > 1000"), "doc_id"), "percentage")
 
@@ -104,7 +114,7 @@ def q25b_seeded_limit(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    q13_row_convert, q14_reject_report, q15_group_last_wins, q16_coverage, q17_compared_counts, q18_split_validation, q19_split_overlap, q20_unused_documents,
+    q13_row_convert, q14_reject_report, q15_group_last_wins, q15b_group_chunks, q16_coverage, q17_compared_counts, q18_split_validation, q19_split_overlap, q20_unused_documents,
     q21_exact_split, q22_numeric_profile, q23_top_values, q23b_value_tail, q24_dataset_statistics, q25_gold_statistics, q25b_seeded_limit,
 )}
 _CONVERTED = f"""
@@ -122,6 +132,9 @@ ORACLES = {
     "q14_reject_report": _CONVERTED + "SELECT problem, count(*) AS n FROM judged WHERE problem IS NOT NULL GROUP BY problem",
     "q15_group_last_wins": f"""WITH r AS (SELECT *, regexp_replace(lower(trim(raw)), '\\.(pdf|txt|doc)$', '') AS key FROM ({plain(_FILES)})), l AS (SELECT key, max(raw) AS raw FROM r GROUP BY key)
 SELECT key, raw, count(*) AS n, string_agg(CAST(doc_id AS VARCHAR) || ':' || lang, ',' ORDER BY doc_id) AS records FROM r JOIN l USING (key, raw) GROUP BY key, raw""",
+    "q15b_group_chunks": f"""WITH r AS (SELECT *, regexp_replace(lower(trim(raw)), '\\.(pdf|txt|doc)$', '') AS key FROM ({plain(_HOT)})), l AS (SELECT key, max(raw) AS raw FROM r GROUP BY key),
+p AS (SELECT key, raw, doc_id, lang, row_number() OVER w AS i, count(*) OVER (PARTITION BY key) AS total FROM r JOIN l USING (key, raw) WINDOW w AS (PARTITION BY key ORDER BY doc_id, lang))
+SELECT key, raw AS raw_id, (i - 1) // 50 AS chunk, (i - 1) // 50 * 50 + 1 AS first, count(*) AS n, (total + 49) // 50 AS chunks, total, string_agg(lang, ',' ORDER BY i) AS records FROM p GROUP BY key, raw, (i - 1) // 50, total""",
     "q16_coverage": """WITH w AS (SELECT DISTINCT doc_id FROM labels), h AS (SELECT DISTINCT doc_id FROM documents WHERE n_chars > 1000)
 SELECT count(*) FILTER (w.doc_id IS NOT NULL AND h.doc_id IS NOT NULL) AS covered, count(*) FILTER (h.doc_id IS NULL) AS missing, count(*) FILTER (w.doc_id IS NULL) AS extra,
   round(coalesce(100.0 * count(*) FILTER (w.doc_id IS NOT NULL AND h.doc_id IS NOT NULL) / nullif(count(*) FILTER (w.doc_id IS NOT NULL), 0), 0), 6) AS percentage FROM w FULL JOIN h ON w.doc_id = h.doc_id""",
