@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import document_key
 from ..operators import corpus as ops
+from ..operators.tasks import Registry
 from .base import fixture, plain, rounded, table
 
 _RAW = """
@@ -30,6 +31,14 @@ def q13_row_convert(spark, sf_dir):
     return rows.where("problem is null").drop("problem")
 
 
+def q13b_sql_conversion(spark, sf_dir):
+    """The same by the SQL functions that a registered task gives the session."""
+    registry = Registry(spark)
+    registry.register(TASK)
+    rows = registry.converted(_spark_raw(spark, sf_dir), TASK.name, ["id"])
+    return rows.where("problem is null").drop("problem")
+
+
 def q14_reject_report(spark, sf_dir):
     return ops.converted(_spark_raw(spark, sf_dir), TASK, ["id"]).where("problem is not null").groupBy("problem").agg(F.count(F.lit(1)).alias("n"))
 
@@ -114,7 +123,7 @@ def q25b_seeded_limit(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    q13_row_convert, q14_reject_report, q15_group_last_wins, q15b_group_chunks, q16_coverage, q17_compared_counts, q18_split_validation, q19_split_overlap, q20_unused_documents,
+    q13_row_convert, q13b_sql_conversion, q14_reject_report, q15_group_last_wins, q15b_group_chunks, q16_coverage, q17_compared_counts, q18_split_validation, q19_split_overlap, q20_unused_documents,
     q21_exact_split, q22_numeric_profile, q23_top_values, q23b_value_tail, q24_dataset_statistics, q25_gold_statistics, q25b_seeded_limit,
 )}
 _CONVERTED = f"""
@@ -129,6 +138,7 @@ WITH raw AS ({plain(_RAW)}), typed AS (
 _COUNTS = "SELECT l_orderkey AS doc, count(*) AS {} FROM lineitem WHERE l_partkey % {} <> 0 GROUP BY 1"
 ORACLES = {
     "q13_row_convert": _CONVERTED + "SELECT id, formula, length, count, activity, checked FROM judged WHERE problem IS NULL",
+    "q13b_sql_conversion": _CONVERTED + "SELECT id, formula, length, count, activity, checked FROM judged WHERE problem IS NULL",
     "q14_reject_report": _CONVERTED + "SELECT problem, count(*) AS n FROM judged WHERE problem IS NOT NULL GROUP BY problem",
     "q15_group_last_wins": f"""WITH r AS (SELECT *, regexp_replace(lower(trim(raw)), '\\.(pdf|txt|doc)$', '') AS key FROM ({plain(_FILES)})), l AS (SELECT key, max(raw) AS raw FROM r GROUP BY key)
 SELECT key, raw, count(*) AS n, string_agg(CAST(doc_id AS VARCHAR) || ':' || lang, ',' ORDER BY doc_id) AS records FROM r JOIN l USING (key, raw) GROUP BY key, raw""",

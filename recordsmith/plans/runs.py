@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions.json_text import first_object, tolerant_json
 from ..operators import catalog, rules
-from ..streaming import protection
+from ..sources import extraction_source
+from ..sources.cache import Cache
+from ..streaming import history, protection
 from .base import fixture, plain, rounded, shared_folder, table
 
 _SEEN = """
@@ -119,13 +121,59 @@ def q53_stream_tumbling(spark, sf_dir):
     return rounded(spark.read.parquet(f"{folder}/rows"), "total")
 
 
+def q49b_streamed_ring(spark, sf_dir):
+    """The events as a stream of three batches, in the order of their ids; the rings after the last one."""
+    folder, before = shared_folder(spark, "rings"), spark.conf.get(history.STORE)
+    calls = table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), F.col("ts").alias("at"))
+    calls.repartitionByRange(3, "seq").write.parquet(f"{folder}/calls")
+
+    def written(batch, number):
+        batch.write.parquet(f"{folder}/rows/batch={number}")
+
+    history.store_for(spark)
+    try:
+        stream = spark.readStream.schema(calls.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/calls")
+        rings = history.streamed_ring(stream, 20, idle_ms=10**13, late="36500 days")
+        rings.writeStream.outputMode("update").option("checkpointLocation", f"{folder}/state").foreachBatch(written).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(history.STORE, before)
+    return history.current_rings(spark.read.parquet(f"{folder}/rows")).select(F.col("key").cast("long").alias("key"), "seq", "age")
+
+
+_LOOKED_UP = "SELECT o_orderkey AS id, o_custkey % 10 AS part, o_totalprice AS price FROM {{orders}}"
+
+
+def q78_cached_rows(spark, sf_dir):
+    """Half of the orders are worked on, then all: those that the cache has keep their first round."""
+    cache, rows = Cache(spark, shared_folder(spark, "cache"), "id", "v1"), fixture(spark, sf_dir, _LOOKED_UP)
+    work = lambda number: lambda df: df.select("id", F.lit(number).cast("long").alias("round"), F.round(F.col("price") * 2, 2).alias("twice"))
+    cache.through(rows.where("part < 5"), work(1))
+    return rounded(cache.through(rows, work(2)), "twice")
+
+
+_WRITTEN = """
+SELECT id, CASE id % 5 WHEN 0 THEN concat('{"extraction": {"experiments": [{"formula": "F', k, '", "ph": "', k, '.5"}, {"formula": null, "ph": 7}]}}') WHEN 1 THEN concat('{"experiments": [{"formula": "G", "ph": "acid', k, '"}, ', k, ']}')
+  WHEN 2 THEN concat('[{"formula": ', k, '}]') WHEN 3 THEN '{"other": []}' ELSE concat('{"extracted_data": {"experiments": [') END AS value
+FROM (SELECT o_orderkey AS id, CAST(o_custkey AS VARCHAR(20)) AS k FROM {{orders}}) o
+"""
+
+
+def q79_extraction_source(spark, sf_dir):
+    """Extractions written as lines to the shared folder and read by the library's data source."""
+    folder = shared_folder(spark, "extractions")
+    fixture(spark, sf_dir, _WRITTEN).select("value").write.text(folder)
+    extraction_source.register(spark)
+    rows = spark.read.format("extractions").option("fields", '{"formula": "str!", "ph": "float"}').option("suffix", ".txt").option("lines", "true").load(folder)
+    return rows.groupBy("pos", "formula", "ph", F.col("_problem").alias("problem")).agg(F.count(F.lit(1)).alias("n"), F.count("_corrupt").alias("corrupt"))
+
+
 def q54_sessions(spark, sf_dir):
     return protection.sessions(table(spark, sf_dir, "events"), "12 hours")
 
 
 QUERIES = {f.__name__: f for f in (
     q40_rule_groups, q41_rule_ids, q42_review_policy, q43_rule_merge, q44_latest_run, q45_best_run, q46_compared_runs, q46b_versions, q47_circuit_breaker,
-    q48_rate_limit, q49_ring_history, q50_first_object, q51_tolerant_json, q53_stream_tumbling, q54_sessions,
+    q48_rate_limit, q49_ring_history, q50_first_object, q51_tolerant_json, q53_stream_tumbling, q54_sessions, q49b_streamed_ring, q78_cached_rows, q79_extraction_source,
 )}
 _CONSENSUS = f"""
 WITH s AS (SELECT *, lower(regexp_replace(text, '\\s+', '', 'g')) AS nt FROM ({plain(_SEEN)})), g AS (
@@ -151,6 +199,13 @@ SELECT * FROM k UNION ALL SELECT * FROM n WHERE id NOT IN (SELECT id FROM k)""",
     "q46b_versions": _RUN + "SELECT task, name, row_number() OVER (PARTITION BY task ORDER BY created, name) AS version FROM r",
     "q48_rate_limit": f"""WITH c AS (SELECT *, coalesce(sum(duration) OVER (PARTITION BY key ORDER BY "at", seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + (row_number() OVER (PARTITION BY key ORDER BY "at", seq) - 1) * 10.0 AS base FROM ({plain(_TIMED)}))
 SELECT key, seq, round(base + max("at" - base) OVER (PARTITION BY key ORDER BY "at", seq ROWS UNBOUNDED PRECEDING), 6) AS "start" FROM c""",
+    "q49b_streamed_ring": "SELECT user_id AS key, event_id AS seq, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS age FROM events QUALIFY age <= 20",
+    "q78_cached_rows": f"SELECT id, CASE WHEN part < 5 THEN 1 ELSE 2 END::BIGINT AS round, round(price * 2, 2) AS twice FROM ({plain(_LOOKED_UP)})",
+    "q79_extraction_source": """WITH o AS (SELECT o_orderkey % 5 AS kind, CAST(o_custkey AS VARCHAR) AS k FROM orders), r(pos, formula, ph, problem, corrupt) AS (
+  SELECT 0, 'F' || k, CAST(k || '.5' AS DOUBLE), NULL, 0 FROM o WHERE kind = 0 UNION ALL SELECT 1, NULL, 7, 'formula: missing', 1 FROM o WHERE kind = 0
+  UNION ALL SELECT 0, 'G', NULL, 'ph: no float', 1 FROM o WHERE kind = 1 UNION ALL SELECT 1, NULL, NULL, 'record: not an object', 1 FROM o WHERE kind = 1 UNION ALL SELECT 0, k, NULL, NULL, 0 FROM o WHERE kind = 2
+  UNION ALL SELECT NULL, NULL, NULL, 'file: ValueError', 1 FROM o WHERE kind = 3 UNION ALL SELECT NULL, NULL, NULL, 'file: JSONDecodeError', 1 FROM o WHERE kind = 4)
+SELECT CAST(pos AS BIGINT) AS pos, formula, ph, problem, count(*) AS n, CAST(sum(corrupt) AS BIGINT) AS corrupt FROM r GROUP BY ALL""",
     "q49_ring_history": "SELECT user_id AS key, event_id AS seq, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS age FROM events QUALIFY age <= 20",
     "q50_first_object": f"SELECT event_id, CASE event_id % 7 WHEN 6 THEN said[:-8] ELSE nullif(regexp_extract(said, '\\{{[^{{}}]*\\}}'), '') END AS found FROM ({plain(_SAID)})",
     "q51_tolerant_json": f"SELECT event_id, CASE WHEN event_id % 7 NOT IN (4, 6) THEN CAST(nullif(regexp_extract(said, '\"k\": *([0-9]+)', 1), '') AS BIGINT) END AS k FROM ({plain(_SAID)})",
