@@ -6,7 +6,7 @@ gives a row for each rule that an element breaks, with the element's path.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 from functools import reduce
 
@@ -129,3 +129,34 @@ def verdicts(artefacts: DataFrame, broken: DataFrame, by: str) -> DataFrame:
     rows = artefacts.select(by).join(sums, by, "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     return rows.select(by, F.when(F.coalesce("errors", F.lit(0)) > 0, "fail").otherwise("ok").alias("status"), zero("errors"), zero("warnings"))
+
+
+#: What a crop's result holds where it says nothing.
+CROP_DEFAULTS = {"schema_version": '"aee.figure_crop.v2"', "target_id": '""', "crop_path": '""', "pages": "[]", "parts": "[]", "crop_width_px": "0", "crop_height_px": "0", "crop_area_ratio": "0", "warnings": "[]"}
+_MAP = "map<string,variant>"
+
+
+def with_defaults(v: Column, defaults: Mapping[str, str]) -> Column:
+    """A VARIANT object with the JSON given for keys that it does not have; null keys are had."""
+    own = F.try_variant_get(v, "$", _MAP)
+    empty = F.create_map(*[x for k, text in defaults.items() for x in (F.lit(k), F.parse_json(F.lit(text)))])
+    return F.to_variant_object(F.map_concat(F.map_filter(empty, lambda k, _: ~F.array_contains(F.map_keys(own), k)), own))
+
+
+def normal_crop(v: Column) -> Column:
+    """A crop's result with all its keys; without a status it is ``fail`` if it says failed, else ``ok``, and failed goes."""
+    full = with_defaults(v, CROP_DEFAULTS)
+    own = F.try_variant_get(full, "$", _MAP)
+    status = F.when(filled(_at(v, "failed")), "fail").otherwise("ok").cast("variant")
+    own = F.when(F.array_contains(F.map_keys(own), "status"), own).otherwise(F.map_concat(own, F.create_map(F.lit("status"), status)))
+    return F.to_variant_object(F.map_filter(own, lambda k, _: k != "failed"))
+
+
+def normal_boxes(v: Column) -> Column:
+    """(target, parts) of a result with boxes -> target_id and parts."""
+    return F.to_variant_object(F.create_map(F.lit("target_id"), _at(v, "target.target_id"), F.lit("parts"), _at(v, "parts")))
+
+
+def normal_pages(v: Column) -> Column:
+    """dpi as a whole number, and pages, none if not said."""
+    return F.to_variant_object(F.create_map(F.lit("dpi"), F.floor(_at(v, "dpi", "double")).cast("long").cast("variant"), F.lit("pages"), F.coalesce(_at(v, "pages"), F.parse_json(F.lit("[]")))))

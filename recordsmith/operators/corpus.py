@@ -112,6 +112,22 @@ def compared_counts(found: DataFrame, gold: DataFrame, key: str) -> DataFrame:
     return f.join(g, key, "full").select(key, zero("found").alias("found"), zero("gold").alias("gold"), (zero("found") - zero("gold")).alias("difference"), status.alias("status"))
 
 
+def check_build(documents: DataFrame, gold: DataFrame, limit: int | None, seed: int) -> None:
+    """An error that names all that is wrong with the inputs of a data set's build."""
+    faults = [f"{name} cannot be empty" for name, df in (("documents", documents), ("gold", gold)) if df.isEmpty()]
+    if limit is not None and (not isinstance(limit, int) or isinstance(limit, bool) or limit < 1):
+        faults.append("limit must be a positive integer or None")
+    if not isinstance(seed, int) or isinstance(seed, bool):
+        faults.append("seed must be an integer")
+    if faults:
+        raise ValueError("; ".join(faults))
+
+
+def with_gold(documents: DataFrame, gold: DataFrame, key: str) -> DataFrame:
+    """The documents of which there are gold records."""
+    return documents.join(gold.select(key).distinct(), key, "left_semi")
+
+
 def split_report(splits: DataFrame, documents: DataFrame, key: str) -> DataFrame:
     """(split, n, missing, valid): keys of each split, and those without a document."""
     have = documents.select(key).distinct().withColumn("have", F.lit(True))

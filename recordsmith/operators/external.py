@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.json_text import value_of
@@ -65,6 +65,15 @@ def incremental(wanted: DataFrame, done: DataFrame, key: str, work: Callable[[Da
     return done.join(wanted.select(key), key, "left_semi").unionByName(work(wanted.join(done, key, "left_anti")))
 
 
+#: What an error's text says if the call may be made again.
+RETRYABLE = ("disconnected", "connection", "timeout", "network", "503", "504")
+
+
+def retryable(error: Column) -> Column:
+    """Whether an error's text says that the call may be made again; null does not."""
+    return F.coalesce(F.lower(error).rlike("|".join(RETRYABLE)), F.lit(False))
+
+
 #: (prompts, budget of output tokens) -> (answer, reason why it is not finished, or null) for each; runs in the tasks.
 Generator = Callable[[list[str], int | None], list[tuple[str, str | None]]]
 #: What the trail says of an attempt: not finished, no JSON, and an answer after others.

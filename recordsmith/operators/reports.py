@@ -78,6 +78,12 @@ def merged_findings(*findings: DataFrame) -> DataFrame:
     return every.agg((F.count_if(F.col("severity") == "error") == 0).alias("success"), F.count_if(F.col("severity") == "error").alias("errors"), F.count_if(F.col("severity") == "warning").alias("warnings"))
 
 
+def merged_statistics(*statistics: DataFrame) -> DataFrame:
+    """(name, value) of several reports; of a name that several have, the last one's value."""
+    every = [df.select("name", "value", F.lit(i).alias("_place")) for i, df in enumerate(statistics)]
+    return reduce(DataFrame.unionByName, every).groupBy("name").agg(F.max_by("value", "_place").alias("value"))
+
+
 def crop_composites(parts: DataFrame) -> DataFrame:
     """(target, pos, width, height, share) -> (target, parts, width, height, share): parts stand below each other."""
     height = F.sum("height") + GAP_PIXELS * (F.count(F.lit(1)) - 1)

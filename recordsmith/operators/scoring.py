@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import is_close, normal_text, number
 from .assignment import pairing
+from .states import is_kind
 
 
 _NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")
@@ -157,6 +158,22 @@ def aligned_outcomes(found: DataFrame, gold: DataFrame, doc: str, pos: str, fiel
     return pair_outcomes(p, g, [doc, "pair"], fields)
 
 
+def document_metric(rows: DataFrame, by: str, found: str, gold: str, fields: Mapping[str, bool]) -> DataFrame:
+    """(by, found JSON, gold JSON) -> (by, f1) of each row's records under ``experiments``, paired as align() does.
+
+    A text that is no JSON object, has no list of records, or holds records that are no objects counts as having none,
+    and a document without score has 0.  ``by`` names each row.
+    """
+
+    def records(text: str) -> DataFrame:
+        lists = rows.select(F.col(by).alias("by"), F.try_variant_get(F.try_parse_json(text), "$.experiments", "variant").alias("list")).where(is_kind(F.col("list"), "ARRAY"))
+        each = rows.sparkSession.sql("SELECT t.by, e.pos, e.value FROM {t} t, LATERAL variant_explode(t.list) e", t=lists).where(is_kind(F.col("value"), "OBJECT"))
+        return each.select("by", "pos", *[F.try_variant_get("value", f"$['{f}']", "string").alias(f) for f in fields])
+
+    scores = precision_recall(aligned_outcomes(records(found), records(gold), "by", "pos", fields), ["by"])
+    return rows.join(scores.select(F.col("by").alias(by), "f1"), by, "left").select(by, F.coalesce("f1", F.lit(0.0)).alias("f1"))
+
+
 def macro_f1(scores: DataFrame, documents: DataFrame, doc: str) -> DataFrame:
     """Mean F1 over all documents; one that has no score counts as 0."""
     return documents.select(doc).distinct().join(scores, doc, "left").agg(F.count(F.lit(1)).alias("documents"), F.coalesce(F.avg(F.coalesce("f1", F.lit(0.0))), F.lit(0.0)).alias("mean_f1"))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import canonical_ref, cell, column_title, panel_key, shortened
+from .states import filled, is_kind
 
 #: Relevance from weak to strong.
 RELEVANCE = ("unlikely", "possible", "likely")
@@ -128,6 +129,48 @@ def ragged(columns: Column, rows: Column) -> Column:
     return F.size(F.filter(rows, lambda r: F.size(r) != F.size(columns)))
 
 
+def result_blocks(results: DataFrame) -> DataFrame:
+    """(..., label, result JSON) -> (..., block, warnings): Markdown of a result's tables under its figure's name, else its label.
+
+    Each table stands under its panel or, if there are several, as that of the whole figure.  Tables that are no objects or
+    have no columns, rows that are no list, and rows of another width give a warning; a row that is no list is one cell.
+    A result without a table to show has an empty block.  The result's own warnings stand last.
+    """
+    get = lambda v, path, kind="variant": F.try_variant_get(v, f"$.{path}", kind)
+    many = lambda v: F.when(is_kind(v, "ARRAY"), F.try_variant_get(v, "$", "array<variant>"))
+    plain = lambda v: cell(F.when(is_kind(v, "BOOLEAN"), F.initcap(F.to_json(v))).when(is_kind(v, "OBJECT", "ARRAY"), F.to_json(v)).otherwise(F.try_variant_get(v, "$", "string")))
+    line = lambda cells: F.concat(F.lit("| "), F.array_join(cells, " | "), F.lit(" |"))
+    v, target = F.col("_v"), F.coalesce(get(F.col("_v"), "target_id", "string"), F.lit("result"))
+    tables = F.coalesce(many(get(v, "tables")), F.array().cast("array<variant>"))
+
+    def header(column: Column) -> Column:
+        named = F.when(plain(get(column, "unit")) == "", plain(get(column, "name"))).otherwise(F.concat(plain(get(column, "name")), F.lit(" ("), plain(get(column, "unit")), F.lit(")")))
+        return F.when(is_kind(column, "OBJECT"), named).otherwise(plain(column))
+
+    def one(table: Column) -> Column:
+        columns, given = many(get(table, "columns")), get(table, "rows")
+        has = F.coalesce(F.size(columns) > 0, F.lit(False))
+        width, rows = F.size(columns), F.coalesce(many(given), F.array().cast("array<variant>"))
+        cells = lambda r: F.coalesce(many(r), F.array(r))
+        body = F.transform(rows, lambda r: line(F.slice(F.concat(F.transform(cells(r), plain), F.array_repeat(F.lit(""), width)), 1, width)))
+        text = F.array_join(F.concat(F.array(line(F.transform(columns, header)), line(F.array_repeat(F.lit("---"), width))), body), "\n")
+        panel = F.when(filled(get(table, "panel")), F.concat(F.lit("#### Panel "), get(table, "panel", "string"))).when(F.size(tables) > 1, "#### Whole figure")
+        uneven = F.array_compact(F.transform(rows, lambda r, i: F.when(F.size(cells(r)) != width, F.concat(target, F.lit(":row_"), (i + 1).cast("string"), F.lit("_column_count_mismatch")))))
+        no_list = F.when(given.isNotNull() & ~is_kind(given, "ARRAY"), F.concat(target, F.lit(":table_rows_not_list")))
+        notes = F.when(has, F.concat(F.array_compact(F.array(no_list)), uneven)).otherwise(F.array(F.concat(target, F.lit(":table_missing_columns"))))
+        shown = F.concat_ws("\n\n", panel, F.when(has, text))
+        bare = F.struct(F.lit("").alias("text"), F.array(F.concat(target, F.lit(":table_not_object"))).alias("notes"))
+        return F.when(is_kind(table, "OBJECT"), F.struct(shown.alias("text"), notes.alias("notes"))).otherwise(bare)
+
+    made = results.withColumn("_v", F.try_parse_json("result")).withColumn("_tables", F.transform(tables, one)).withColumn("_own", many(get(v, "warnings")))
+    shown = F.filter(F.col("_tables.text"), lambda t: t != "")
+    figure = F.when(filled(get(v, "figure")), get(v, "figure", "string")).otherwise(F.col("label"))
+    title = F.concat(F.when(F.size("_tables") == 1, "### Extracted table from ").otherwise("### Extracted tables from "), figure)
+    own = F.when(F.size("_own") > 0, F.concat(F.lit("\n\n\n_Extraction warnings:_\n"), F.array_join(F.transform("_own", lambda w: F.concat(F.lit("- "), plain(w))), "\n"))).otherwise("")
+    block = F.when(F.size(shown) > 0, F.regexp_replace(F.concat(title, F.lit("\n\n"), F.array_join(shown, "\n\n"), own), r"\s+$", "")).otherwise("")
+    return made.withColumn("block", block).withColumn("warnings", F.flatten(F.col("_tables.notes"))).drop("_v", "_tables", "_own")
+
+
 def inserted(docs: DataFrame, places: DataFrame) -> DataFrame:
     """(doc, text) and (doc, content_start, content_end, body), disjoint -> text with each content replaced by its body."""
     own = places.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("content_start", "content_end", "body"))).alias("p"))

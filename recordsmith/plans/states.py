@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import artefacts, migration, states
 from ..operators.external import parsed_answers
+from ..operators.visual import result_blocks
 from .base import fixture, plain
 
 _STATES = """
@@ -123,7 +124,28 @@ def q77_format_report(spark, sf_dir):
     return migration.format_report(fixture(spark, sf_dir, _HEADERS).withColumn("columns", F.split("header", ",")), "id", _FORMATS)
 
 
-QUERIES = {f.__name__: f for f in (q70_state_layouts, q71_clean_history, q72_artefact_errors, q73_artefact_verdicts, q74_retried_answers, q75_migrated_states, q76_migration_report, q77_format_report)}
+_BLOCKS = """
+SELECT id, concat('Label ', k) AS label, concat('{"target_id": "t', k, '", ', CASE WHEN id % 2 = 0 THEN concat('"figure": "Fig ', k, '", ') ELSE '' END, '"tables": ', CASE id % 6 WHEN 0 THEN '[]' WHEN 1 THEN 'null' WHEN 2 THEN concat('[{"columns": ["a|b", {"name": "x ", "unit": "mM"}], "rows": [[1, true], [', k, '], "s"]}]')
+  WHEN 3 THEN '[{"panel": "a", "columns": ["c"], "rows": [[null], [" p  q "]]}, {"columns": ["d"], "rows": 5}, 7]' WHEN 4 THEN '[{"panel": "z", "columns": []}]' ELSE '[{"columns": []}, 1]' END, ', "warnings": ', CASE WHEN id % 5 = 0 THEN '["w|1", 2.5]' ELSE '[]' END, '}') AS result
+FROM (SELECT o_orderkey AS id, CAST(o_custkey AS VARCHAR(20)) AS k FROM {{orders}}) o
+"""
+
+
+def q80_result_blocks(spark, sf_dir):
+    return result_blocks(fixture(spark, sf_dir, _BLOCKS)).select("id", "block", F.array_join("warnings", ",").alias("warnings"))
+
+
+_CROPS = """
+SELECT id, concat('{"target_id": "t', k, '"', CASE id % 3 WHEN 0 THEN ', "failed": true' WHEN 1 THEN ', "failed": false' ELSE '' END, CASE WHEN id % 4 = 0 THEN ', "status": "old"' ELSE '' END, CASE WHEN id % 5 = 0 THEN concat(', "crop_width_px": ', k, ', "pages": null') ELSE '' END, '}') AS crop
+FROM (SELECT o_orderkey AS id, CAST(o_custkey AS VARCHAR(20)) AS k FROM {{orders}}) o
+"""
+
+
+def q81_normal_crops(spark, sf_dir):
+    return fixture(spark, sf_dir, _CROPS).select("id", F.to_json(artefacts.normal_crop(F.parse_json("crop"))).alias("crop"))
+
+
+QUERIES = {f.__name__: f for f in (q70_state_layouts, q71_clean_history, q72_artefact_errors, q73_artefact_verdicts, q74_retried_answers, q75_migrated_states, q76_migration_report, q77_format_report, q80_result_blocks, q81_normal_crops)}
 ORACLES = {
     "q70_state_layouts": f"""
 WITH s AS (SELECT id, CASE WHEN json_valid(state) THEN state::JSON END AS j FROM ({plain(_STATES)})),
@@ -168,4 +190,15 @@ WITH h AS (SELECT id, string_split(header, ',') AS c FROM ({plain(_HEADERS)})),
 m AS (SELECT id, place, task, list_filter(names, lambda x: NOT list_contains(c, x)) AS missing, len(names) AS n FROM h, f),
 b AS (SELECT * FROM m WHERE len(missing) < n * 0.5 QUALIFY row_number() OVER (PARTITION BY id ORDER BY len(missing) > 0, place) = 1)
 SELECT h.id, task, CASE WHEN task IS NULL THEN 'skip' ELSE 'would_migrate' END AS action, CASE WHEN task IS NULL THEN 'unknown_format' ELSE 'success' END AS status, array_to_string(missing, ',') AS missing FROM h LEFT JOIN b ON b.id = h.id""",
+    "q80_result_blocks": """
+WITH o AS (SELECT o_orderkey AS id, CAST(o_custkey AS VARCHAR) AS k FROM orders), n AS (SELECT *, CASE WHEN id % 2 = 0 THEN 'Fig ' || k ELSE 'Label ' || k END AS name, chr(10) AS nl FROM o),
+b AS (SELECT *, CASE id % 6 WHEN 2 THEN '### Extracted table from ' || name || nl || nl || '| a\\|b | x (mM) |' || nl || '| --- | --- |' || nl || '| 1 | True |' || nl || '| ' || k || ' |  |' || nl || '| s |  |'
+  WHEN 3 THEN '### Extracted tables from ' || name || nl || nl || '#### Panel a' || nl || nl || '| c |' || nl || '| --- |' || nl || '|  |' || nl || '| p q |' || nl || nl || '#### Whole figure' || nl || nl || '| d |' || nl || '| --- |'
+  WHEN 4 THEN '### Extracted table from ' || name || nl || nl || '#### Panel z' WHEN 5 THEN '### Extracted tables from ' || name || nl || nl || '#### Whole figure' ELSE '' END AS body FROM n)
+SELECT id, CASE WHEN body = '' THEN '' WHEN id % 5 = 0 THEN body || nl || nl || nl || '_Extraction warnings:_' || nl || '- w\\|1' || nl || '- 2.5' ELSE body END AS block,
+  CASE id % 6 WHEN 2 THEN 't' || k || ':row_2_column_count_mismatch,t' || k || ':row_3_column_count_mismatch' WHEN 3 THEN 't' || k || ':table_rows_not_list,t' || k || ':table_not_object' WHEN 4 THEN 't' || k || ':table_missing_columns'
+  WHEN 5 THEN 't' || k || ':table_missing_columns,t' || k || ':table_not_object' ELSE '' END AS warnings FROM b""".replace("\\\\", "\\"),
+    "q81_normal_crops": """
+SELECT id, '{"crop_area_ratio":0,"crop_height_px":0,"crop_path":"","crop_width_px":' || CASE WHEN id % 5 = 0 THEN k ELSE '0' END || ',"pages":' || CASE WHEN id % 5 = 0 THEN 'null' ELSE '[]' END || ',"parts":[],"schema_version":"aee.figure_crop.v2","status":"'
+  || CASE WHEN id % 4 = 0 THEN 'old' WHEN id % 3 = 0 THEN 'fail' ELSE 'ok' END || '","target_id":"t' || k || '","warnings":[]}' AS crop FROM (SELECT o_orderkey AS id, CAST(o_custkey AS VARCHAR) AS k FROM orders)""",
 }

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import warnings
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -44,6 +45,22 @@ def looked_up(files: DataFrame, keys: DataFrame) -> DataFrame:
     return exact.unionByName(loose).groupBy("doc_key").agg(F.min_by("text", "place").alias("text"))
 
 
+def document(spark: SparkSession, folder: str, key: str, pattern: str = "*.md") -> str:
+    """The text of one document; an error if there is none."""
+    rows = documents(spark, folder, pattern).where(F.col("doc_key") == stem_key(F.lit(key))).select("text").head(1)
+    if not rows:
+        raise FileNotFoundError(f"no document {key} in {folder}")
+    return rows[0].text
+
+
+def existing(files: DataFrame, keys: DataFrame) -> DataFrame:
+    """(stem) and (doc_key) -> (doc_key, exists): whether some file's stem is the key with one of the endings, case mattering."""
+    wanted = keys.select("doc_key").distinct()
+    stems = wanted.select("doc_key", F.explode(F.array(*[F.concat("doc_key", F.lit(e)) for e in DOCUMENT_ENDINGS])).alias("stem"))
+    have = stems.join(files.select("stem"), "stem", "left_semi").select("doc_key").distinct().withColumn("exists", F.lit(True))
+    return wanted.join(have, "doc_key", "left").select("doc_key", F.coalesce("exists", F.lit(False)).alias("exists"))
+
+
 def ground_truth(spark: SparkSession, path: str) -> DataFrame:
     """A CSV table as texts (no type is guessed), header names in lower case without blanks around."""
     rows = spark.read.csv(path, header=True, inferSchema=False, multiLine=True, escape='"')
@@ -70,6 +87,16 @@ def splits(spark: SparkSession, path: str, normalise: bool = True) -> DataFrame:
     return rows.select("split", F.explode("ids").alias("id")).select("split", key.alias("doc_key")).distinct()
 
 
+def split(spark: SparkSession, path: str, name: str, normalise: bool = True) -> DataFrame:
+    """(doc_key) of one split; an unknown one has none, and a warning says which there are."""
+    every = splits(spark, path, normalise)
+    rows = every.where(F.col("split") == name).select("doc_key")
+    names = spark.read.text(path, wholetext=True).select(F.explode(F.map_keys(F.from_json("value", "map<string,array<string>>"))).alias("split")).distinct()
+    if names.where(F.col("split") == name).isEmpty():
+        warnings.warn(f"no split {name} in {path}; there are {', '.join(sorted(r.split for r in names.collect()))}", stacklevel=2)  # a few names
+    return rows
+
+
 def write_splits(rows: DataFrame, path: str) -> None:
     """One JSON object with sorted arrays; a row of arrays holds a split's keys."""
     each = rows.groupBy("split").agg(F.array_sort(F.collect_set("doc_key")).alias("ids"))
@@ -145,6 +172,36 @@ def task_from(declared: dict) -> Task:
     return Task(declared.get("name", "task"), tuple(made), tuple(declared.get("compare_fields") or ()))
 
 
+def declaration(task: Task) -> dict:
+    """What task_from() reads: a task's declaration with all that its fields must meet."""
+    kinds = {"str": "string", "int": "integer", "float": "number", "bool": "boolean"}
+    parts = lambda f: {"type": kinds[f.kind], "required": f.required, "choices": list(f.choices), "min_value": f.low, "max_value": f.high, "pattern": f.pattern, "default": f.default}
+    fields = {f.name: {k: v for k, v in parts(f).items() if v not in (None, [], False)} for f in task.fields}
+    return {"name": task.name, "fields": fields, "row_converter": {f.name: list(f.columns) for f in task.fields if f.columns}, "compare_fields": list(task.compare)}
+
+
+def write_declaration(task: Task, path: str) -> None:
+    with open(path, "w", encoding="utf-8") as file:
+        json.dump(declaration(task), file, ensure_ascii=False, indent=2)
+
+
+#: First parts of model names, which are no paths.
+MODEL_MAKERS = (
+    "gemini/", "openai/", "anthropic/", "huggingface/", "ollama/", "openrouter/", "meta-llama/", "google/", "mistral/", "cohere/", "together/", "anyscale/", "deepseek/", "qwen/", "yi/", "baichuan/",
+    "01-ai/", "teknium/", "nousresearch/", "lmsys/", "upstage/",
+)
+
+
+def resolved_paths(config: object, base: str) -> object:
+    """Relative paths in a configuration, at any depth, below a folder; addresses and model names are none."""
+    if isinstance(config, dict):
+        return {k: resolved_paths(v, base) for k, v in config.items()}
+    if isinstance(config, list):
+        return [resolved_paths(v, base) if isinstance(v, str) else v for v in config]
+    is_path = isinstance(config, str) and "/" in config and not config.startswith(("http://", "https://", "/")) and not config.lower().startswith(MODEL_MAKERS)
+    return os.path.join(base, config) if is_path else config
+
+
 def merged_config(*parts: dict) -> dict:
     """Nested mappings merged, later ones winning."""
     out: dict = {}
