@@ -176,7 +176,7 @@ def declaration(task: Task) -> dict:
     """What task_from() reads: a task's declaration with all that its fields must meet."""
     kinds = {"str": "string", "int": "integer", "float": "number", "bool": "boolean"}
     parts = lambda f: {"type": kinds[f.kind], "required": f.required, "choices": list(f.choices), "min_value": f.low, "max_value": f.high, "pattern": f.pattern, "default": f.default}
-    fields = {f.name: {k: v for k, v in parts(f).items() if v not in (None, [], False)} for f in task.fields}
+    fields = {f.name: {k: v for k, v in parts(f).items() if not (v is None or v is False or v == [])} for f in task.fields}
     return {"name": task.name, "fields": fields, "row_converter": {f.name: list(f.columns) for f in task.fields if f.columns}, "compare_fields": list(task.compare)}
 
 

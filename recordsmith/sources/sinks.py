@@ -48,10 +48,14 @@ def without_runs(catalogue: DataFrame, gone: DataFrame) -> DataFrame:
 def write_whole(rows: DataFrame, path: str, form: str = "json") -> None:
     """Rows as a folder that is either the old one or the whole new one: written beside it, then put in its place."""
     spark, new = rows.sparkSession, f"{path.rstrip('/')}.new-{uuid.uuid4().hex}"
-    rows.write.format(form).save(new)
     context = spark.sparkContext
     at = context._jvm.org.apache.hadoop.fs.Path
     store, old = at(path).getFileSystem(context._jsc.hadoopConfiguration()), at(f"{path.rstrip('/')}.old-{uuid.uuid4().hex}")
+    try:
+        rows.write.format(form).save(new)
+    except Exception:
+        store.delete(at(new), True)
+        raise
     had = store.exists(at(path))
     if had:
         store.rename(at(path), old)
