@@ -2,8 +2,9 @@
 
 A document is a bag of passages.  Every passage is encoded from its bytes and words; gated attention weighs the encoded
 passages, their weighted sum is the document's representation, and a logistic unit scores it.  Encoder, attention and
-unit are trained together from document labels, in numpy, on a bounded sample, of whose very long texts FIT_PASSAGES evenly
-spread passages are used; scores are of all passages.  Tasks encode the sample, so that the driver holds no texts.
+unit are trained together from document labels, in numpy, on all passages of a bounded sample of documents: of each
+class, in the order of their hashed ids, as many as have FIT_PASSAGES passages together.  Tasks encode the sample, so that the
+driver holds no texts.
 """
 
 from __future__ import annotations
@@ -12,15 +13,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import joined_bytes, no_clash, slices, words
 from .labelled import collected, held_out, training_sample
 
 PASSAGE_WORDS = 64
-#: Passages of one text that take part in fitting, at most.
-FIT_PASSAGES = 512
+#: Passages of a class after which no further document joins the sample.
+FIT_PASSAGES = 60_000
 PAIRS = 64
 HIDDEN, GATES = 24, 16
 EPOCHS, BATCH, RATE, DECAY = 30, 32, 0.01, 1e-4
@@ -118,8 +119,7 @@ def fit_bags(bags: list[np.ndarray], labels: list[int], seed: int = 11) -> dict[
 
 def _bags(texts: pa.Array) -> list[np.ndarray]:
     x, each = passages(*joined_bytes(texts))
-    own = np.split(x, np.cumsum(each)[:-1])
-    return [b if len(b) <= FIT_PASSAGES else b[np.linspace(0, len(b) - 1, FIT_PASSAGES).astype(np.int64)] for b in own]
+    return np.split(x, np.cumsum(each)[:-1])
 
 
 def fit(texts: pa.Array, labels: list[int], seed: int = 11) -> dict[str, np.ndarray] | None:
@@ -141,8 +141,11 @@ def score_texts(texts: pa.Array, model: dict[str, np.ndarray] | None) -> np.ndar
 
 
 def train(docs: DataFrame, labels: DataFrame) -> dict[str, np.ndarray] | None:
-    """The driver gets the encoded passages of the sampled texts: FIT_PASSAGES of each at most."""
-    y, bags = collected(training_sample(docs, labels, "quality").mapInArrow(_bagged, "doc_id long, y int, bag binary"), "bag")
+    """The driver gets the encoded passages of the sampled texts: of each class FIT_PASSAGES and those of one more text."""
+    sample = training_sample(docs, labels, "quality").withColumn("n", F.ceil(F.size(F.split("text", r"\s+")) / PASSAGE_WORDS))
+    before = F.sum("n").over(Window.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, -1))  # a bounded sample
+    sample = sample.withColumn("before", before).where(F.coalesce("before", F.lit(0)) < FIT_PASSAGES).select("doc_id", "text", "y")
+    y, bags = collected(sample.mapInArrow(_bagged, "doc_id long, y int, bag binary"), "bag")
     return fit_bags([b.view(np.float32).reshape(-1, FEATURES).astype(float) for b in bags], y)
 
 

@@ -161,3 +161,54 @@ def test_scores_past_64_bits(spark):
     a, n, left, right = 4 * 10**11, 9 * 10**15, 5 * 10**11, 7 * 10**11
     got = spark.range(1).select(collocations._score(F.lit(a), F.lit(n), F.lit(left), F.lit(right)).alias("s")).first().s
     assert got == 1000 * a * n // (left * right)
+
+
+# 7, 9, 10: what the other tests leave out --------------------------------------------------------------------------
+
+
+def test_substring_dedup_of_two_texts_under_one_id(spark):
+    from recordsmith.llm import substring_dedup
+
+    shared, other = prose(50, 60), prose(51, 70)
+    rows = [(1, prose(52, 30) + " " + shared), (1, other), (2, shared + " " + prose(53, 20)), (3, prose(54, 10) + " " + other), (4, prose(55, 90))]
+    got = substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.partner_id) for r in got} == {(2, 1), (3, 1)}
+    grams = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    for r in got:
+        mine, theirs = ([grams(t.split()[a:b]) for d, t in rows if d == i] for i, a, b in ((r.doc_id, r.start_word, r.end_word), (r.partner_id, r.partner_start, r.partner_end)))
+        assert max(len(x & y) / max(len(x | y), 1) for x in mine for y in theirs) >= 0.8
+
+
+def test_quality_fit_separates_bags():
+    """Bags that differ in their mean are told apart after the fit."""
+    from recordsmith.llm import quality
+
+    rng = np.random.default_rng(3)
+    bags = [rng.normal(size=(rng.integers(1, 6), quality.FEATURES)) + y * 0.5 for y in (0, 1) * 20]
+    model = quality.fit_bags(bags, [0, 1] * 20)
+    each = np.array([len(b) for b in bags])
+    z = quality._forward((np.concatenate(bags) - model["mean"]) / model["spread"], each, model)[5]
+    assert (z[1::2] > 0).mean() > 0.9 and (z[::2] < 0).mean() > 0.9
+
+
+def test_quality_sample_is_bounded_by_passages(spark, monkeypatch):
+    from recordsmith.llm import quality
+
+    docs = spark.createDataFrame([(i, f"{'good fine' if i % 2 else 'bad ###'} " * (2000 if i == 7 else 40)) for i in range(60)], "doc_id long, text string")
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"))
+    seen, plain = [], quality.fit_bags
+    monkeypatch.setattr(quality, "fit_bags", lambda bags, y: seen.append((len(bags), max(map(len, bags)))) or plain(bags, y))
+    quality.train(docs, labels)
+    monkeypatch.setattr(quality, "FIT_PASSAGES", 8)
+    quality.train(docs, labels)
+    assert seen[0][0] > 30 and seen[1][0] < seen[0][0] and seen[1][0] >= 2
+
+
+def test_long_texts(spark):
+    """Texts of megabytes with and without blanks."""
+    long = [(1, prose(60, 200_000)), (2, "x" * 300_000), (3, "ab " * 500_000), (4, "short one")]
+    df = spark.createDataFrame([(d, t, "en") for d, t in long], "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in alignment.align(df, *vocabularies()).collect()}
+    assert got[3].n_groups == 500_001 and got[2].n_links >= got[2].n_a > 0 and all(len(got[i].groups_sha256) == 64 for i in range(1, 5))
+    top = {r.phrase: r.a for r in collocations.collocations(df).collect()}
+    assert top["ab ab ab ab ab"] == 500_000 - 4
