@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,18 +55,20 @@ def panel_rollup(rows: DataFrame) -> DataFrame:
 
 
 def spans(docs: DataFrame, pattern: str) -> DataFrame:
-    """(doc, text) -> (doc, pos, start, end, groups): every match of a pattern, offsets in characters from 0."""
-    import regex
+    """(doc, text) -> (doc, pos, start, end, groups): every match of a pattern, offsets in characters from 0.
 
-    kind = dict(docs.dtypes)["doc"]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        find = regex.compile(pattern, regex.DOTALL).finditer
-        for batch in batches:
-            out = [(d, i, m.start(), m.end(), [g or "" for g in m.groups()]) for d, t in zip(batch["doc"], batch["text"]) for i, m in enumerate(find(t or ""))]
-            yield pd.DataFrame(out, columns=["doc", "pos", "start", "end", "groups"])
-
-    return docs.select("doc", "text").mapInPandas(run, f"doc {kind}, pos int, start int, end int, groups array<string>")
+    What stands between the matches says where they are, so nothing but the pattern is looked for.  The pattern matches no
+    empty text; groups that take no part are empty.
+    """
+    dotall, n = f"(?s){pattern}", re.compile(pattern).groups
+    found = F.transform(F.split("text", dotall, -1), F.length)
+    every = lambda g: F.regexp_extract_all("text", F.lit(f"(?s)({pattern})" if g == 0 else dotall), F.lit(1 if g == 0 else g))
+    columns = docs.select("doc", found.alias("between"), every(0).alias("whole"), F.array(*[every(g + 1) for g in range(n)]).alias("parts")).where(F.size("whole") > 0)
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
+    place = lambda acc, x: F.struct((acc["at"] + x["b"] + F.length(x["m"])).alias("at"), F.array_append(acc["starts"], acc["at"] + x["b"]).alias("starts"))
+    pairs = F.zip_with(F.slice("between", F.lit(1), F.size("whole")), "whole", lambda b, m: F.struct(b.alias("b"), m.alias("m")))
+    rows = columns.select("doc", F.posexplode(F.arrays_zip(F.aggregate(pairs, start, place, lambda acc: acc["starts"]).alias("start"), F.col("whole").alias("m"))).alias("pos", "x"), "parts")
+    return rows.select("doc", "pos", F.col("x.start").alias("start"), (F.col("x.start") + F.length("x.m")).alias("end"), F.transform("parts", lambda p: p[F.col("pos")]).alias("groups"))
 
 
 def paired_blocks(marks: DataFrame) -> DataFrame:

@@ -102,11 +102,11 @@ def q08b_document_metric(spark, sf_dir):
     return rounded(scoring.document_metric(rows, "doc", "found", "gold", FIELDS), "f1")
 
 
-_TEXTS = "SELECT doc_id, concat(substr(text, 1, 40), ' – ', lang, ' — ', source, ' − ') AS raw, text FROM {{documents}}"
+_TEXTS = "SELECT doc_id, concat(text, ' – ', lang, ' — ', source, ' − ') AS raw, text FROM {{documents}}"
 
 
 def q09_normal_text(spark, sf_dir):
-    return fixture(spark, sf_dir, _TEXTS).select("doc_id", normal_text(F.col("raw")).alias("normal"), F.length(normal_text(F.col("text"))).cast("long").alias("n"))
+    return fixture(spark, sf_dir, _TEXTS).select("doc_id", F.md5(normal_text(F.col("raw"))).alias("normal_md5"), F.length(normal_text(F.col("text"))).cast("long").alias("n"))
 
 
 _VALUES = """
@@ -178,7 +178,7 @@ s AS (SELECT doc, total % 1000 AS tp, coalesce(has_p.n, 0) - total % 1000 AS fp,
 SELECT doc, {_PRF} FROM s GROUP BY doc""",
     "q08b_document_metric": _BEST + """, tp AS (SELECT doc, CASE WHEN doc % 17 = 0 THEN 0 ELSE max(total) % 1000 END AS tp FROM best GROUP BY doc), has_p AS (SELECT doc, PRESENT AS n FROM p GROUP BY doc), has_g AS (SELECT doc, PRESENT AS n FROM g GROUP BY doc)
 SELECT has_g.doc, round(coalesce(2 * tp / nullif(coalesce(has_p.n, 0) + has_g.n, 0), 0), 6) AS f1 FROM has_g LEFT JOIN tp USING (doc) LEFT JOIN has_p USING (doc)""".replace("PRESENT", _PRESENT),
-    "q09_normal_text": f"SELECT doc_id, regexp_replace(translate(raw, '−–—', '---'), '\\s+', '', 'g') AS normal, CAST(length(regexp_replace(translate(text, '−–—', '---'), '\\s+', '', 'g')) AS BIGINT) AS n FROM ({plain(_TEXTS)})",
+    "q09_normal_text": f"SELECT doc_id, md5(regexp_replace(translate(raw, '−–—', '---'), '\\s+', '', 'g')) AS normal_md5, CAST(length(regexp_replace(translate(text, '−–—', '---'), '\\s+', '', 'g')) AS BIGINT) AS n FROM ({plain(_TEXTS)})",
     "q10_value_match": f"""WITH v AS ({plain(_VALUES)}), m AS (SELECT part % 105 AS kind, CASE WHEN gold IS NULL THEN found IS NULL WHEN found IS NULL THEN false ELSE found = gold END AS as_text,
   CASE WHEN gold IS NULL THEN found IS NULL WHEN found IS NULL THEN false WHEN try_cast(found AS DOUBLE) IS NOT NULL THEN try_cast(found AS DOUBLE) = try_cast(gold AS DOUBLE) ELSE found = gold END AS as_number FROM v)
 SELECT kind, count(*) AS n, count(*) FILTER (as_number) AS as_number, count(*) FILTER (as_text) AS as_text FROM m GROUP BY kind""",

@@ -53,6 +53,12 @@ def q29_anchor_scan(spark, sf_dir):
     return _comments(spark, sf_dir).select("doc", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.col("groups")[0].alias("label"))
 
 
+def q29b_several_anchors(spark, sf_dir):
+    """Each page once more behind two marks of its own, one of them over several lines."""
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc"), F.concat(F.lit("<b k=1\nj='é'><b>"), F.regexp_replace("html", "[<>]", "|"), F.lit("<b k=22>")).alias("text"))
+    return ops.spans(pages, r"<b( k=(\d+))?.*?>").select("doc", F.col("pos").cast("long").alias("pos"), F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.array_join("groups", "/").alias("groups"))
+
+
 _MARKS = """
 SELECT user_id AS doc, event_id AS pos, CASE WHEN event_id % 3 = 0 THEN 'END' ELSE 'BEGIN' END AS kind, CASE WHEN event_id % 5 = 0 THEN ' ' ELSE concat('Fig ', CAST(CAST(floor(event_id / 4) AS BIGINT) % 3 AS VARCHAR(5))) END AS label,
   event_id * 10 AS start_, event_id * 10 + 5 AS end_ FROM {{events}}
@@ -142,7 +148,7 @@ def q52_panel_filter(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    q26_manifest_merge, q27_panel_rollup, q28_route, q29_anchor_scan, q30_block_pairing, q31_anchor_duplicates, q32_targets, q33_gate_report, q34_table_render,
+    q26_manifest_merge, q27_panel_rollup, q28_route, q29_anchor_scan, q29b_several_anchors, q30_block_pairing, q31_anchor_duplicates, q32_targets, q33_gate_report, q34_table_render,
     q35_insert_tables, q36_visual_report, q37_report_summary, q38_bbox_geometry, q39_image_tokens, q52_panel_filter,
 )}
 _RANK = "CASE lower(trim({0})) WHEN 'unlikely' THEN 1 WHEN 'possible' THEN 2 WHEN 'likely' THEN 3 ELSE 0 END"
@@ -176,6 +182,8 @@ ORACLES = {
 SELECT doc, own OR high AS numeric, {_NAME.format('rank')} AS relevance, high AND NOT own AS raised_numeric, rank > 2 AS raised_relevance FROM g""",
     "q29_anchor_scan": """WITH h AS (SELECT page_id AS doc, html, regexp_extract(html, '<!-- ad [0-9]+ -->') AS hit, regexp_extract(html, '<!-- ad ([0-9]+) -->', 1) AS label FROM pages)
 SELECT doc, CAST(instr(html, hit) - 1 AS BIGINT) AS "start", CAST(instr(html, hit) - 1 + length(hit) AS BIGINT) AS "end", label FROM h WHERE hit <> ''""",
+    "q29b_several_anchors": """WITH p AS (SELECT page_id AS doc, length(html) AS n FROM pages)
+SELECT doc, 0 AS pos, 0 AS "start", 13 AS "end", ' k=1/1' AS groups FROM p UNION ALL SELECT doc, 1, 13, 16, '/' FROM p UNION ALL SELECT doc, 2, 16 + n, 24 + n, ' k=22/22' FROM p""",
     "q30_block_pairing": _PAIRED + "SELECT * FROM b",
     "q31_anchor_duplicates": _PAIRED + "SELECT occurrences, CAST(sum(occurrences) AS BIGINT) AS anchors FROM (SELECT doc, ref, count(*) AS occurrences FROM b WHERE outcome = 'block' GROUP BY doc, ref) GROUP BY occurrences",
     "q32_targets": _M + "SELECT * FROM t",
