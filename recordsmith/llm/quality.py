@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import joined_bytes, no_clash, slices, words
-from .labelled import collected, held_out, training_sample
+from .labelled import collected, give_back, held_out, training_sample
 
 PASSAGE_WORDS = 64
 #: Passages of a class after which no further document joins the sample.
@@ -146,7 +146,10 @@ def train(docs: DataFrame, labels: DataFrame) -> dict[str, np.ndarray] | None:
     before = F.sum("n").over(Window.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, -1))  # a bounded sample
     sample = sample.withColumn("before", before).where(F.coalesce("before", F.lit(0)) < FIT_PASSAGES).select("doc_id", "text", "y")
     y, bags = collected(sample.mapInArrow(_bagged, "doc_id long, y int, bag binary"), "bag")
-    return fit_bags([b.view(np.float32).reshape(-1, FEATURES).astype(float) for b in bags], y)
+    model = fit_bags([b.view(np.float32).reshape(-1, FEATURES).astype(float) for b in bags], y)
+    del bags
+    give_back()
+    return model
 
 
 def score_documents(docs: DataFrame, model: dict[str, np.ndarray] | None) -> DataFrame:

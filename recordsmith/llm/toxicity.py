@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import _LOWER, filtered_batches, joined_bytes, mix, no_clash, prefix_hash, slices
-from .labelled import collected, held_out, training_sample
+from .labelled import collected, give_back, held_out, training_sample
 
 BUCKET_BITS = 18
 SIZES = (3, 4, 5)
@@ -195,7 +195,10 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     """The driver gets the bags of the sampled texts: 2**BUCKET_BITS entries of eight bytes for each text at most."""
     rows = training_sample(docs, labels, "toxic").mapInArrow(_bagged, "doc_id long, y int, buckets binary, shares binary")
     y, buckets, shares = collected(rows, "buckets", "shares")
-    return fit_bags([(b.view(np.int32), s.view(np.float32)) for b, s in zip(buckets, shares)], y)
+    model = fit_bags([(b.view(np.int32), s.view(np.float32)) for b, s in zip(buckets, shares)], y)
+    del buckets, shares
+    give_back()
+    return model
 
 
 def score_documents(docs: DataFrame, model: Model) -> DataFrame:
