@@ -55,3 +55,22 @@ def grown_pixels(box: Column, width: Column, height: Column, margin: float) -> C
     px = to_pixels(box, width, height)
     grown = F.transform(px, lambda x, i: (x + F.when(i < 2, -1).otherwise(1) * F.bround(F.when(i % 2 == 0, width).otherwise(height) * margin)).cast("int"))
     return clipped_pixels(grown, width.cast("int"), height.cast("int"))
+
+
+#: Tokens of an image by resolution class, for models that count so.
+TOKENS_BY_CLASS = {"unspecified": 1120, "low": 280, "medium": 560, "high": 1120, "ultra_high": 2240}
+_CLASS_NAMES = {"": "unspecified", "default": "unspecified", "ultrahigh": "ultra_high", "ultra-high": "ultra_high"}
+
+
+def resolution_class(c: Column) -> Column:
+    """The class that a name means; null where it is none.  Null and blank are unspecified."""
+    name = F.lower(F.trim(F.coalesce(c, F.lit(""))))
+    known = F.create_map(*[F.lit(x) for k, v in (_CLASS_NAMES | {k: k for k in TOKENS_BY_CLASS}).items() for x in (k, v)])
+    return known[name]
+
+
+def model_image_tokens(width: Column, height: Column, by_class: Column, resolution: Column) -> Column:
+    """Tokens of an image: by its class where the model counts so, else by tiles; null for an unknown class."""
+    table = F.create_map(*[F.lit(x) for k, v in TOKENS_BY_CLASS.items() for x in (k, v)])
+    name = resolution_class(resolution)
+    return F.when(name.isNotNull(), F.when(by_class, table[name].cast("long")).otherwise(image_tokens(width, height)))

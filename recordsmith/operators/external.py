@@ -119,3 +119,21 @@ def parsed_answers(rows: DataFrame, prompt: str, generator: Generator, budget: i
             break
     ended.append(open_.withColumn("attempts", F.lit(attempt)).withColumn("status", F.lit("failed")))
     return reduce(DataFrame.unionByName, ended).select(*rows.columns, "raw", "parsed", "attempts", "warnings", "status")
+
+
+def batch_extraction(requested: DataFrame, documents: DataFrame, key: str, generator: Generator, budget: int | None = None, retries: int = 0) -> DataFrame:
+    """(key) and (key, text) -> (key, parsed, attempts, warnings, status): an answer for each requested document.
+
+    ``missing``: there is no such document, and no call for it; ``failed``: no answer could be read; else ``ok``.  A key that is
+    requested more than once is asked once; of several texts under one key the least is taken.
+    """
+    texts = documents.groupBy(key).agg(F.min("text").alias("_text"))
+    wanted = requested.select(key).distinct().join(texts, key, "left")
+    asked = parsed_answers(wanted.where("_text is not null"), "_text", generator, budget, retries).select(key, "parsed", "attempts", "warnings", "status")
+    none = wanted.where("_text is null").select(key, F.lit(None).cast("string").alias("parsed"), F.lit(0).alias("attempts"), F.array().cast("array<string>").alias("warnings"), F.lit("missing").alias("status"))
+    return asked.unionByName(none)
+
+
+def batch_counters(done: DataFrame) -> DataFrame:
+    """One row (total, success, failed) of a batch extraction."""
+    return done.agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("status") == "ok").alias("success"), F.count_if(F.col("status") != "ok").alias("failed"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import normal_text
+from ..sources.cache import Cache
 from .ordering import ranked
 
 EXAMPLES, DOCUMENTS = 3, 5
@@ -63,3 +64,31 @@ def merged_rules(rules: DataFrame, resolved: DataFrame) -> DataFrame:
 def undecided(discrepancies: DataFrame, decisions: DataFrame) -> DataFrame:
     """What a resumed review still has to decide."""
     return discrepancies.join(decisions.select("id"), "id", "left_anti")
+
+
+class Review:
+    """A review that can be taken up again: each decision is committed to a cache at once, whole or not at all.
+
+    A session that cannot be read starts anew, as the cache's readers go back to the last whole commit.
+    """
+
+    ACTIONS = ("a", "b", "custom", "majority", "skip")
+
+    def __init__(self, cache: Cache):
+        self.cache = cache
+
+    def decide(self, id: str, action: str, custom: str | None = None) -> None:  # noqa: A002
+        """A later decision on the same id replaces the earlier one."""
+        if action not in self.ACTIONS:
+            raise ValueError(f"no such action: {action}")
+        new = self.cache.spark.createDataFrame([(id, action, custom)], "id string, action string, custom string")
+        old = self.cache.rows()
+        self.cache.put(new if old is None else old.where(F.col("id") != id).unionByName(new))
+
+    def decisions(self) -> DataFrame:
+        """(id, action, custom) so far."""
+        rows = self.cache.rows()
+        return self.cache.spark.createDataFrame([], "id string, action string, custom string") if rows is None else rows
+
+    def open(self, discrepancies: DataFrame) -> DataFrame:
+        return undecided(discrepancies, self.decisions())

@@ -60,6 +60,27 @@ def pair_outcomes(found: DataFrame, gold: DataFrame, keys: Sequence[str], fields
     )
 
 
+def field_comparison(found: DataFrame, gold: DataFrame, keys: Sequence[str], fields: Mapping[str, bool], verdicts: DataFrame | None = None) -> DataFrame:
+    """(keys, field, found, gold, strict, judge): a row for each field of a pair of records that has a value on a side.
+
+    ``strict`` says whether the values match.  ``judge`` is the verdict on those that do not, from (keys, field, verdict):
+    YES only if it says so but for case and blanks, else NO; null for strict matches.
+    """
+    text = lambda df, name: df.select(*keys, F.struct(*[F.col(f).cast("string").alias(f) for f in fields]).alias(f"{name}_text"), _ready(df, fields).alias(name))
+    both = text(found, "p").join(text(gold, "g"), list(keys), "full")
+    rows = [
+        F.struct(F.lit(f).alias("field"), F.col(f"p_text.{f}").alias("found"), F.col(f"g_text.{f}").alias("gold"), _same(F.col(f"p.{f}"), F.col(f"g.{f}"), numeric).alias("strict"))
+        for f, numeric in fields.items()
+    ]
+    flat = both.select(*keys, F.inline(F.array(*rows))).where(F.col("found").isNotNull() | F.col("gold").isNotNull())
+    if verdicts is None:
+        flat = flat.withColumn("verdict", F.lit(None).cast("string"))
+    else:
+        own = verdicts.groupBy(*keys, "field").agg(F.max(F.upper(F.trim("verdict")) == "YES").alias("yes"))
+        flat = flat.join(own, [*keys, "field"], "left").withColumn("verdict", F.when(F.col("yes"), "YES"))
+    return flat.select(*keys, "field", "found", "gold", "strict", F.when(~F.col("strict"), F.coalesce("verdict", F.lit("NO"))).alias("judge"))
+
+
 def _ratio(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(a.cast("double"), b), F.lit(0.0))
 

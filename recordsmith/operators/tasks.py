@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType, LongType, StringType, StructField, StructType
 
 from ..functions.text import NUMBER
 from .corpus import Field, Task
@@ -58,6 +60,23 @@ def _faults(f: Field, value: str) -> list[str]:
     return out
 
 
+def record_type(task: Task) -> StructType:
+    """The type of a task's records; what a field must meet stands in its metadata."""
+    kinds = {"str": StringType(), "int": LongType(), "float": DoubleType(), "bool": BooleanType()}
+    bounds = lambda f: {k: v for k, v in (("choices", list(f.choices)), ("low", f.low), ("high", f.high), ("pattern", f.pattern)) if v not in (None, [])}
+    return StructType([StructField(f.name, kinds[f.kind], not f.required, bounds(f)) for f in task.fields])
+
+
+def output_type(task: Task) -> StructType:
+    """The type of a document's extraction: a list of records under ``experiments``."""
+    return StructType([StructField("experiments", ArrayType(record_type(task)))])
+
+
+def parsed_output(rows: DataFrame, text: str, task: Task) -> DataFrame:
+    """(..., JSON) -> (..., experiments): records as the task's type; null for what is no such JSON, and null fields where values do not fit."""
+    return rows.withColumn("experiments", F.from_json(text, output_type(task))["experiments"])
+
+
 class Registry:
     """Tasks by name; each gives the session the temporary SQL functions
 

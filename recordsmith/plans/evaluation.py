@@ -47,6 +47,9 @@ _EACH = " UNION ALL ".join(
     f"SELECT coalesce(p.doc, g.doc) AS doc, '{f}' AS field, p.{f} IS NOT NULL AS has_p, g.{f} IS NOT NULL AS has_g, coalesce({_hit(f)}, false) AS hit FROM p FULL JOIN g ON p.doc = g.doc AND p.pos = g.pos"
     for f in FIELDS
 )
+_COMPARED = " UNION ALL ".join(
+    f"SELECT coalesce(p.doc, g.doc) AS doc, '{f}' AS field, CAST(p.{f} AS VARCHAR) AS a, CAST(g.{f} AS VARCHAR) AS b, coalesce({_hit(f)}, false) AS hit FROM p FULL JOIN g ON p.doc = g.doc AND p.pos = g.pos" for f in FIELDS
+)
 OUTCOMES = f"""
 WITH g AS ({plain(GOLD)}), p AS ({plain(FOUND)}), e AS ({_EACH}), o AS (
   SELECT doc, field, hit::INT AS tp, (has_p AND NOT hit)::INT AS fp, (has_g AND NOT hit)::INT AS fn, (has_p OR has_g)::INT AS total FROM e
@@ -102,6 +105,14 @@ def q08b_document_metric(spark, sf_dir):
     return rounded(scoring.document_metric(rows, "doc", "found", "gold", FIELDS), "f1")
 
 
+def q82_field_comparison(spark, sf_dir):
+    """The differences of each pair of records; a judge agrees to every third of them."""
+    pairs = scoring.field_comparison(found(spark, sf_dir), gold(spark, sf_dir), ["doc", "pos"], FIELDS)
+    verdicts = pairs.where("not strict").select("doc", "pos", "field", F.when(F.col("doc") % 3 == 0, " yes ").when(F.col("doc") % 3 == 1, "no").alias("verdict"))
+    judged = scoring.field_comparison(found(spark, sf_dir), gold(spark, sf_dir), ["doc", "pos"], FIELDS, verdicts)
+    return judged.groupBy("field", "strict", "judge").agg(F.count(F.lit(1)).alias("n"), F.count("found").alias("n_found"), F.count("gold").alias("n_gold"), F.count_if(F.col("found") == F.col("gold")).alias("same_text"))
+
+
 _TEXTS = "SELECT doc_id, concat(text, ' – ', lang, ' — ', source, ' − ') AS raw, text FROM {{documents}}"
 
 
@@ -142,7 +153,7 @@ def q12_document_keys(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     q01_field_confusion, q02_micro_prf, q03_doc_f1, q04_macro_f1, q05_field_accuracy, q06_similarity_pairs, q07_alignment_total,
-    q08_alignment_scores, q08b_document_metric, q09_normal_text, q10_value_match, q11_is_close, q12_document_keys,
+    q08_alignment_scores, q08b_document_metric, q82_field_comparison, q09_normal_text, q10_value_match, q11_is_close, q12_document_keys,
 )}
 _NULLS = " + ".join(f"(CASE WHEN p.{f} IS NULL THEN g.{f} IS NULL WHEN g.{f} IS NULL THEN false ELSE {_hit(f)} END)::INT" for f in FIELDS)
 _VALUES_SAME = " + ".join(f"coalesce({_hit(f)}, false)::INT" for f in FIELDS)
@@ -178,6 +189,8 @@ s AS (SELECT doc, total % 1000 AS tp, coalesce(has_p.n, 0) - total % 1000 AS fp,
 SELECT doc, {_PRF} FROM s GROUP BY doc""",
     "q08b_document_metric": _BEST + """, tp AS (SELECT doc, CASE WHEN doc % 17 = 0 THEN 0 ELSE max(total) % 1000 END AS tp FROM best GROUP BY doc), has_p AS (SELECT doc, PRESENT AS n FROM p GROUP BY doc), has_g AS (SELECT doc, PRESENT AS n FROM g GROUP BY doc)
 SELECT has_g.doc, round(coalesce(2 * tp / nullif(coalesce(has_p.n, 0) + has_g.n, 0), 0), 6) AS f1 FROM has_g LEFT JOIN tp USING (doc) LEFT JOIN has_p USING (doc)""".replace("PRESENT", _PRESENT),
+    "q82_field_comparison": f"""WITH g AS ({plain(GOLD)}), p AS ({plain(FOUND)}), e AS ({_COMPARED})
+SELECT field, hit AS strict, CASE WHEN NOT hit THEN CASE WHEN doc % 3 = 0 THEN 'YES' ELSE 'NO' END END AS judge, count(*) AS n, count(a) AS n_found, count(b) AS n_gold, count(*) FILTER (a = b) AS same_text FROM e WHERE a IS NOT NULL OR b IS NOT NULL GROUP BY 1, 2, 3""",
     "q09_normal_text": f"SELECT doc_id, md5(regexp_replace(translate(raw, '−–—', '---'), '\\s+', '', 'g')) AS normal_md5, CAST(length(regexp_replace(translate(text, '−–—', '---'), '\\s+', '', 'g')) AS BIGINT) AS n FROM ({plain(_TEXTS)})",
     "q10_value_match": f"""WITH v AS ({plain(_VALUES)}), m AS (SELECT part % 105 AS kind, CASE WHEN gold IS NULL THEN found IS NULL WHEN found IS NULL THEN false ELSE found = gold END AS as_text,
   CASE WHEN gold IS NULL THEN found IS NULL WHEN found IS NULL THEN false WHEN try_cast(found AS DOUBLE) IS NOT NULL THEN try_cast(found AS DOUBLE) = try_cast(gold AS DOUBLE) ELSE found = gold END AS as_number FROM v)

@@ -136,6 +136,12 @@ def q39_image_tokens(spark, sf_dir):
     return fixture(spark, sf_dir, _BOXES).groupBy("width", "height").agg(F.max(geo.image_tokens(F.col("width"), F.col("height"))).alias("tokens"))
 
 
+def q84_model_image_tokens(spark, sf_dir):
+    rows = fixture(spark, sf_dir, _BOXES).withColumn("class", F.element_at(F.array(*[F.lit(x) for x in (" LOW", "ultra-high", "default", "medium", None, "tiny", "High")]), (F.col("part") % 7 + 1).cast("int")))
+    tokens = geo.model_image_tokens(F.col("width"), F.col("height"), F.col("supp") % 2 == 0, F.col("class"))
+    return rows.withColumn("tokens", tokens).groupBy("class").agg(F.count(F.lit(1)).alias("n"), F.sum("tokens").alias("tokens"), F.count("tokens").alias("known"))
+
+
 def q52_panel_filter(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem")
     name = lambda n: F.when(n == 0, "").otherwise(F.concat(F.lit("(P"), n.cast("string"), F.lit(")")))
@@ -149,7 +155,7 @@ def q52_panel_filter(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     q26_manifest_merge, q27_panel_rollup, q28_route, q29_anchor_scan, q29b_several_anchors, q30_block_pairing, q31_anchor_duplicates, q32_targets, q33_gate_report, q34_table_render,
-    q35_insert_tables, q36_visual_report, q37_report_summary, q38_bbox_geometry, q39_image_tokens, q52_panel_filter,
+    q35_insert_tables, q36_visual_report, q37_report_summary, q38_bbox_geometry, q39_image_tokens, q52_panel_filter, q84_model_image_tokens,
 )}
 _RANK = "CASE lower(trim({0})) WHEN 'unlikely' THEN 1 WHEN 'possible' THEN 2 WHEN 'likely' THEN 3 ELSE 0 END"
 _NAME = "CASE {0} WHEN 1 THEN 'unlikely' WHEN 2 THEN 'possible' WHEN 3 THEN 'likely' ELSE '' END"
@@ -198,6 +204,9 @@ SELECT doc, md5(t) AS text_md5, CAST(length(t) AS BIGINT) AS n FROM i""",
     "q38_bbox_geometry": f"""WITH b AS (SELECT * FROM ({plain(_BOXES)}) WHERE x0 >= 0 AND x0 < x1 AND x1 <= 1 AND y0 >= 0 AND y0 < y1 AND y1 <= 1)
 SELECT doc, count(*) AS boxes, CAST(sum(round_even(x1 * width, 0) - round_even(x0 * width, 0)) AS BIGINT) AS widths, round(sum((x1 - x0) * (y1 - y0)), 6) AS share, round(sum(least(y1 + (y1 - y0) * 0.05, 1)), 6) AS bottoms,
   CAST(sum(((x1 - x0) * (y1 - y0) < 0.01)::INT + ((x1 - x0) * (y1 - y0) > 0.95)::INT + (x0 <= 0 OR y0 <= 0 OR x1 >= 1 OR y1 >= 1)::INT) AS BIGINT) AS warnings FROM b GROUP BY doc""",
+    "q84_model_image_tokens": f"""WITH b AS (SELECT *, [' LOW', 'ultra-high', 'default', 'medium', NULL, 'tiny', 'High'][part % 7 + 1] AS class FROM ({plain(_BOXES)})),
+t AS (SELECT *, CASE WHEN part % 7 = 5 THEN NULL WHEN supp % 2 = 0 THEN [280, 2240, 1120, 560, 1120, NULL, 1120][part % 7 + 1] WHEN width <= 384 AND height <= 384 THEN 258 ELSE ceil(width / 768) * ceil(height / 768) * 258 END AS tokens FROM b)
+SELECT class, count(*) AS n, CAST(sum(tokens) AS BIGINT) AS tokens, count(tokens) AS known FROM t GROUP BY class""",
     "q39_image_tokens": f"SELECT width, height, CAST(max(CASE WHEN width <= 384 AND height <= 384 THEN 258 ELSE ceil(width / 768) * ceil(height / 768) * 258 END) AS BIGINT) AS tokens FROM ({plain(_BOXES)}) GROUP BY width, height",
     "q52_panel_filter": """WITH l AS (SELECT l_orderkey AS doc, CASE WHEN l_linenumber % 3 = 0 THEN '' ELSE 'p' || (l_linenumber % 3) END AS own, l_partkey % 2 = 0 AS numeric_, CASE WHEN l_partkey % 4 = 0 THEN '' ELSE 'p' || (l_partkey % 4) END AS k FROM lineitem),
 a AS (SELECT doc, coalesce(list(DISTINCT own) FILTER (numeric_), []) AS allowed FROM l GROUP BY doc), t AS (SELECT doc, allowed, CASE WHEN len(allowed) = 1 AND k = '' THEN allowed[1] ELSE k END AS k FROM l JOIN a USING (doc)),

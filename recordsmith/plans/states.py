@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import artefacts, migration, states
-from ..operators.external import parsed_answers
+from ..operators.external import batch_extraction, parsed_answers
 from ..operators.visual import result_blocks
 from .base import fixture, plain
 
@@ -75,6 +75,13 @@ def q74_retried_answers(spark, sf_dir):
     return rows.select("id", F.get_json_object("parsed", "$.k").cast("long").alias("k"), F.col("attempts").cast("long").alias("attempts"), "status", kinds.alias("trail"), F.length("raw").cast("long").alias("n"))
 
 
+def q83_batch_extraction(spark, sf_dir):
+    """Conversations asked for by number, some of which there are not; a turn is a document, and long ones get no whole answer."""
+    documents = fixture(spark, sf_dir, "SELECT conv_id AS id, concat('{\"n\": ', CAST(length(text) AS VARCHAR(20)), ', \"text\": \"', repeat('y', CAST(length(text) % 30 AS INT)), '\"}') AS text FROM {{conversations}} WHERE turn = 0")
+    wanted = fixture(spark, sf_dir, "SELECT o_orderkey % 2000 AS id FROM {{orders}}")
+    return batch_extraction(wanted, documents, "id", _cut_short, 40).select("id", F.get_json_object("parsed", "$.n").cast("long").alias("n"), "status")
+
+
 _VERSIONS = """
 SELECT id, CASE id % 8 WHEN 0 THEN concat('{"version": "0.8", "model": "m', k, '", "score": ', k, '}') WHEN 1 THEN concat('{"version": "0.9", "lm": {"model": "m', k, '"}, "score": ', k, '}') WHEN 2 THEN concat('{"version": "1.0", "a": ', k, '}')
   WHEN 3 THEN concat('{"dspy": {}, "a": ', k, '}') WHEN 4 THEN concat('{"version": "0.5", "a": ', k, '}') WHEN 5 THEN concat('{"a": ', k, '}') WHEN 6 THEN concat('[', k, ']') ELSE concat('{"version": "0.7", "score": ', k, '}') END AS state
@@ -145,7 +152,7 @@ def q81_normal_crops(spark, sf_dir):
     return fixture(spark, sf_dir, _CROPS).select("id", F.to_json(artefacts.normal_crop(F.parse_json("crop"))).alias("crop"))
 
 
-QUERIES = {f.__name__: f for f in (q70_state_layouts, q71_clean_history, q72_artefact_errors, q73_artefact_verdicts, q74_retried_answers, q75_migrated_states, q76_migration_report, q77_format_report, q80_result_blocks, q81_normal_crops)}
+QUERIES = {f.__name__: f for f in (q70_state_layouts, q71_clean_history, q72_artefact_errors, q73_artefact_verdicts, q74_retried_answers, q75_migrated_states, q76_migration_report, q77_format_report, q80_result_blocks, q81_normal_crops, q83_batch_extraction)}
 ORACLES = {
     "q70_state_layouts": f"""
 WITH s AS (SELECT id, CASE WHEN json_valid(state) THEN state::JSON END AS j FROM ({plain(_STATES)})),
@@ -201,4 +208,7 @@ SELECT id, CASE WHEN body = '' THEN '' WHEN id % 5 = 0 THEN body || nl || nl ||
     "q81_normal_crops": """
 SELECT id, '{"crop_area_ratio":0,"crop_height_px":0,"crop_path":"","crop_width_px":' || CASE WHEN id % 5 = 0 THEN k ELSE '0' END || ',"pages":' || CASE WHEN id % 5 = 0 THEN 'null' ELSE '[]' END || ',"parts":[],"schema_version":"aee.figure_crop.v2","status":"'
   || CASE WHEN id % 4 = 0 THEN 'old' WHEN id % 3 = 0 THEN 'fail' ELSE 'ok' END || '","target_id":"t' || k || '","warnings":[]}' AS crop FROM (SELECT o_orderkey AS id, CAST(o_custkey AS VARCHAR) AS k FROM orders)""",
+    "q83_batch_extraction": """
+WITH d AS (SELECT conv_id AS id, min('{"n": ' || length(text) || ', "text": "' || repeat('y', length(text) % 30) || '"}') AS text FROM conversations WHERE turn = 0 AND text IS NOT NULL GROUP BY 1), w AS (SELECT DISTINCT o_orderkey % 2000 AS id FROM orders)
+SELECT w.id, CASE WHEN length(text) <= 40 THEN CAST(text::JSON ->> '$.n' AS BIGINT) END AS n, CASE WHEN text IS NULL THEN 'missing' WHEN length(text) <= 40 THEN 'ok' ELSE 'failed' END AS status FROM w LEFT JOIN d ON d.id = w.id""",
 }

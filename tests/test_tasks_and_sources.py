@@ -111,3 +111,46 @@ def test_rings_of_several_batches(spark, tmp_path):
     assert sorted((r.key, r.seq, r.age) for r in history.current_rings(out).collect()) == [("c", 1, 2), ("c", 2, 1)]
     closed = sorted((r.key, r.seq) for r in out.where("closed").collect())
     assert closed == [("a", 2), ("a", 3), ("a", 4), ("b", 1)]
+
+
+def test_types_of_records(spark):
+    from recordsmith.operators import tasks
+
+    made = tasks.record_type(TASK)
+    assert [f.name for f in made] == [f.name for f in TASK.fields] and not made["formula"].nullable and made["ph"].metadata == {"low": 0, "high": 14} and made["kind"].metadata == {"choices": ["a'b", "c\\d"]}
+    rows = spark.createDataFrame([(1, '{"experiments": [{"formula": "x", "ph": 7, "n": 2, "ok": true}, {"ph": "high"}]}'), (2, "no"), (3, "{}"), (4, None)], "id int, text string")
+    got = {r.id: r.experiments for r in tasks.parsed_output(rows, "text", TASK).collect()}
+    assert (got[1][0].formula, got[1][0].ph, got[1][0].n, got[1][0].ok) == ("x", 7.0, 2, True) and len(got[1]) == 2 and got[1][1].ph is None and got[2] is None and got[3] is None and got[4] is None
+
+
+def test_review_goes_on_where_it_was(spark, tmp_path):
+    from recordsmith.operators import rules
+
+    apart = spark.createDataFrame([("d1",), ("d2",), ("d3",)], "id string")
+    review = rules.Review(Cache(spark, str(tmp_path / "review"), "id", "1"))
+    assert review.decisions().count() == 0 and review.open(apart).count() == 3
+    review.decide("d1", "a")
+    review.decide("d2", "custom", "so")
+    review.decide("d1", "b")
+    with pytest.raises(ValueError, match="no such action"):
+        review.decide("d3", "maybe")
+    (tmp_path / "review" / "manifests" / "000000000077.json").write_text("{")
+    again = rules.Review(Cache(spark, str(tmp_path / "review"), "id", "1"))
+    assert {tuple(r) for r in again.decisions().collect()} == {("d1", "b", None), ("d2", "custom", "so")} and [r.id for r in again.open(apart).collect()] == ["d3"]
+
+
+def test_batches_ask_once_for_what_is_there(spark):
+    from recordsmith.operators import external
+
+    asked = spark.sparkContext.accumulator(0)
+
+    def generator(prompts, budget):
+        asked.add(len(prompts))
+        return [(p, None) for p in prompts]
+
+    wanted = spark.createDataFrame([("a",), ("a",), ("b",), ("gone",), (None,)], "k string")
+    documents = spark.createDataFrame([("a", "{}", 1), ("a", "[1]", 1), ("b", "no", 1), ("c", "{}", 1)], "k string, text string, parsed int")
+    done = external.batch_extraction(wanted, documents, "k", generator)
+    got = {r.k: (r.status, r.parsed) for r in done.collect()}
+    assert got == {"a": ("ok", "[1]"), "b": ("failed", None), "gone": ("missing", None), None: ("missing", None)}
+    assert tuple(external.batch_counters(done).first()) == (4, 1, 3) and asked.value == 2
