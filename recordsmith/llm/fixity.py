@@ -1,9 +1,9 @@
 """Fixity audit of WARC replicas by Merkle trees.
 
-A record's leaf hashes its bytes' digest with its length; FANOUT neighbours, in the order of their offsets, hash into a
-node with the range they span, and so on up to one root for all files.  Two replicas compare their roots, then only the
-children of nodes that differ, down to the records.  A record's slot follows from its number, so a lost record leaves
-a hole and does not shift others.  Everything is joins and groupings of small rows; a node has FANOUT children at most.
+A record's leaf hashes its bytes' digest with its length; FANOUT neighbours hash into a node, each with the range of
+offsets that it takes in the node, in the order of these, and so on up to one root for all files.  Two replicas compare their
+roots, then only the children of nodes that differ, down to the records.  A record's slot follows from its number and
+ranges count from a node's start, so a lost record changes the nodes above it and no others.  Everything is joins and groupings of small rows; a node has FANOUT children at most.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import cut, no_clash
+from .common import cut, no_clash, release
 
 FANOUT = 16
 #: Records of one file; a power of FANOUT, so that a file is a subtree.
@@ -44,9 +44,11 @@ def tree(leaf: DataFrame, depth: int) -> list[DataFrame]:
     level = leaf.select("slot", F.col("slot").alias("first"), F.col("slot").alias("last"), "n_bytes", "hash")
     out = [level]
     for _ in range(depth):
-        children = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("slot", "hash"))), lambda x: F.concat_ws("=", x["slot"], x["hash"])), "|")
+        kids = F.array_sort(F.collect_list(F.struct("slot", "n_bytes", "hash")))
+        begin = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("ranges"))
+        place = lambda acc, x: F.struct((acc["at"] + x["n_bytes"]).alias("at"), F.array_append(acc["ranges"], F.concat_ws("=", x["slot"], acc["at"], acc["at"] + x["n_bytes"], x["hash"])).alias("ranges"))
         level = level.groupBy(F.floor(F.col("slot") / FANOUT).alias("slot")).agg(
-            F.min("first").alias("first"), F.max("last").alias("last"), F.sum("n_bytes").alias("n_bytes"), children.alias("children")
+            F.min("first").alias("first"), F.max("last").alias("last"), F.sum("n_bytes").alias("n_bytes"), F.aggregate(kids, begin, place, lambda acc: F.array_join(acc["ranges"], "|")).alias("children")
         )
         level = level.select("slot", "first", "last", "n_bytes", F.sha2(F.concat_ws(":", F.lit("node"), "first", "last", "n_bytes", "children"), 256).alias("hash"))
         if len(out) == 1:  # the levels above are a fraction of this one
@@ -73,16 +75,20 @@ def audit(primary: DataFrame, replica: DataFrame) -> DataFrame:
     a, b = cut(leaves(primary)), cut(leaves(replica))
     depth = depth_for(a, b)
     mine, theirs = tree(a, depth), tree(b, depth)
-    bad = None
+    bad, seen = None, []
     for x, y in zip(mine[::-1], theirs[::-1]):
         if bad is not None:  # of either replica, only the children of nodes that differ are looked at
             x, y = (side.join(bad.select(F.col("slot").alias("parent")), F.floor(side["slot"] / FANOUT) == F.col("parent"), "left_semi") for side in (x, y))
         both = x.select("slot", F.col("hash").alias("expected")).join(y.select("slot", F.col("hash").alias("found")), "slot", "full")
         bad = cut(both.where(~F.col("expected").eqNullSafe(F.col("found"))).select("slot"))
+        seen.append(bad)
     file_id = F.floor(F.col("page_id") / FILE_RECORDS)
     ends = F.sum("n_bytes").over(Window.partitionBy("file_id").orderBy("page_id"))
-    placed = a.withColumn("file_id", file_id).withColumn("end_offset", ends).select("slot", (F.col("end_offset") - F.col("n_bytes")).alias("start_offset"), "end_offset", F.col("digest").alias("expected_sha256"))
+    files = bad.select(F.floor(F.col("slot") / FILE_RECORDS).alias("file_id")).distinct()  # offsets are only needed in these
+    placed = a.withColumn("file_id", file_id).join(files, "file_id", "left_semi").withColumn("end_offset", ends).select("slot", (F.col("end_offset") - F.col("n_bytes")).alias("start_offset"), "end_offset", F.col("digest").alias("expected_sha256"))
     found = b.select("slot", F.col("digest").alias("found_sha256"))
     status = F.when(F.col("found_sha256").isNull(), "lost").when(F.col("expected_sha256").isNull(), "extra").otherwise("changed")
     located = bad.join(placed, "slot", "left").join(found, "slot", "left").withColumn("page_id", F.col("slot"))
-    return located.select(file_id.alias("file_id"), "page_id", status.alias("status"), "start_offset", "end_offset", "expected_sha256", "found_sha256")
+    out = cut(located.select(file_id.alias("file_id"), "page_id", status.alias("status"), "start_offset", "end_offset", "expected_sha256", "found_sha256"))
+    release(a, b, mine[1], theirs[1], *seen)
+    return out

@@ -212,3 +212,17 @@ def test_long_texts(spark):
     assert got[3].n_groups == 500_001 and got[2].n_links >= got[2].n_a > 0 and all(len(got[i].groups_sha256) == 64 for i in range(1, 5))
     top = {r.phrase: r.a for r in collocations.collocations(df).collect()}
     assert top["ab ab ab ab ab"] == 500_000 - 4
+
+
+def test_fixity_of_long_records_and_clashing_columns(spark):
+    """Ranges in nodes: a lost record changes the nodes above it only; records of a megabyte; columns with names of the audit's own."""
+    from recordsmith.llm import fixity
+
+    rows = spark.range(600).select((F.col("id") * 3).alias("page_id"), F.concat(F.lit("r"), F.col("id")).alias("record"), F.lit(1).alias("slot"), F.lit("h").alias("hash"), F.lit("d").alias("digest"))
+    rows = rows.withColumn("record", F.when(F.col("page_id") == 30, F.repeat(F.lit("z"), 1_000_000)).otherwise(F.col("record")))
+    other = rows.where("page_id <> 9").withColumn("record", F.when(F.col("page_id") == 30, F.concat(F.repeat(F.lit("z"), 999_999), F.lit("y"))).otherwise(F.col("record")))
+    got = {r.page_id: r for r in fixity.audit(rows, other).collect()}
+    assert {k: r.status for k, r in got.items()} == {9: "lost", 30: "changed"} and got[30].end_offset - got[30].start_offset == 1_000_000
+    mine, theirs = (fixity.tree(fixity.leaves(r), 3) for r in (rows, other))
+    changed = [x.select("slot", F.col("hash").alias("a")).join(y.select("slot", F.col("hash").alias("b")), "slot").where("a <> b").count() for x, y in zip(mine, theirs)]
+    assert changed == [1, 2, 1, 1]
