@@ -181,6 +181,15 @@ def _of_head(head: bytes) -> Head:
     return _head[mark]
 
 
+def _planes(places: np.ndarray) -> bytes:
+    """Bytes of 32-bit numbers, all first bytes before all second ones and so on: of small numbers most are alike."""
+    return places.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _places(blob: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(4, -1).T).view("<i4").ravel()
+
+
 def _coded(batches: Iterator[pa.RecordBatch], head: bytes) -> Iterator[pa.RecordBatch]:
     """Segments as places in the head; the others, in order, as -1, -2, ... with how often they occur."""
     known = _of_head(head).segments
@@ -199,7 +208,7 @@ def _coded(batches: Iterator[pa.RecordBatch], head: bytes) -> Iterator[pa.Record
             times = Counter(mine)
             order = {s: -1 - k for k, s in enumerate(sorted(times))}
             at[free[first[i] : first[i + 1]]] = [order[s] for s in mine]
-            blobs.append(squeeze(at[ends[i] : ends[i + 1]].tobytes()) if valid else None)
+            blobs.append(squeeze(_planes(at[ends[i] : ends[i + 1]])) if valid else None)
             rare.append([{"segment": s, "times": times[s]} for s in order])
         yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), pa.array(blobs, pa.binary()), pa.array(rare, kind)], ["row", "doc_id", "places", "rare"])
 
@@ -258,7 +267,7 @@ def _gathered(batches: Iterator[pa.RecordBatch], head: bytes) -> Iterator[pa.Rec
         for i, (row, doc_id, blob) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("row", "doc_id", "places")))):
             places = None
             if blob is not None:
-                places = np.frombuffer(expand(blob), np.int32).astype(np.int64)
+                places = _places(expand(blob)).astype(np.int64)
                 if first[i] < first[i + 1]:
                     mine = np.empty(first[i + 1] - first[i], np.int64)
                     mine[rank[first[i] : first[i + 1]]] = np.arange(size + first[i], size + first[i + 1])
@@ -284,7 +293,7 @@ def _worth(batches: Iterator[pa.RecordBatch], worth: np.ndarray) -> Iterator[pa.
         sums = np.zeros((batch.num_rows, 2), np.int64)
         for i, blob in enumerate(batch.column("places").to_pylist()):
             if blob is not None:
-                at = np.frombuffer(expand(blob), np.int32)
+                at = _places(expand(blob))
                 sums[i] = worth[at[at >= 0]].sum(0)
         yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(sums[:, 0].copy()), pa.array(sums[:, 1].copy())], ["row", "count_sum", "n_best"])
 
@@ -332,7 +341,8 @@ def align(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     facts = found.join(facts, "id", "left").select("id", "segment", "n", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_a", "n_groups")], F.coalesce("groups", F.lit("")).alias("groups"), F.coalesce("pairs", none).alias("pairs"))
     facts = cut(facts.withColumn("head", _frequent(found)))
     release(found)
-    table = facts.where("head").select("id", "segment", "n_a", "n_groups", "groups", "pairs").toArrow()  # HEAD rows at most
+    table = facts.where("head").select("n", "id", "segment", "n_a", "n_groups", "groups", "pairs").toArrow()  # HEAD rows at most
+    table = table.sort_by([("n", "descending"), ("id", "ascending")]).drop_columns(["n"])  # frequent ones have small places
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, table.schema) as writer:
         writer.write_table(table)
