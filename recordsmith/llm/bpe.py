@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import no_clash, slices
+from .common import give_back, no_clash, slices
 
 #: Words that a Python worker keeps; beyond that the half met last stays.
 CACHE_WORDS = 400_000
@@ -260,6 +260,7 @@ def _encoded(batches: Iterator[pa.RecordBatch], ranks: bytes, pattern: str, full
             columns.append(pa.array([bytes(x).decode(errors="replace") for x in decoded]))
             names += ["ids", "decoded"]
         yield pa.RecordBatch.from_arrays(columns, names)
+    give_back()
 
 
 def encode(docs: DataFrame, path: str, pattern: str, full: bool = False) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import filtered_batches, joined_bytes, mix, no_clash, slices, words
+from .common import filtered_batches, give_back, joined_bytes, mix, no_clash, slices, words
 
 #: Allowed edits of an item, in hundredths of its words.
 EDITS_PERCENT = 20
@@ -351,6 +351,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, percent: int = EDITS_PERCENT) -
                 keep = np.ones(batch.num_rows, bool)
                 keep[[r[0] for r in rows]] = False
                 yield batch.filter(pa.array(keep))
+            give_back()
 
         docs = filtered_batches(docs, kept)
     return docs

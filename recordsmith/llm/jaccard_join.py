@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, joined_bytes, mix, no_clash, release, shingles, slices, words
+from .common import cut, give_back, joined_bytes, mix, no_clash, release, shingles, slices, words
 from .graph import components
 
 SKETCH_BITS = 18
@@ -55,6 +55,7 @@ def _sketch(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatc
     if counts.any():
         for i, piece in enumerate(np.split(counts, PIECES)):
             yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([piece.tobytes()])], ["piece", "counts"])
+    give_back()
 
 
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,6 +124,7 @@ def _prefixes(batches: Iterator[pa.RecordBatch], k: int, percent: int, sketch: n
             [batch.column("doc_id"), pa.array(size), pa.array(one, pa.int64()), pa.array(two, pa.int64()), lists, pa.array(partners), *[pa.array(np.ascontiguousarray(parity[:, i])) for i in range(4)]],
             ["doc_id", "n_shingles", "sig1", "sig2", "prefix", "partners", *BITS],
         )
+    give_back()
 
 
 def _keyed(batches: Iterator[pa.RecordBatch], percent: int, boundary: int) -> Iterator[pa.RecordBatch]:
@@ -160,6 +162,7 @@ def _similar(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterato
                 both = len(np.intersect1d(x, at["y"][i], assume_unique=True))
                 keep.append(100 * both >= percent * (len(x) + len(at["y"][i]) - both))
             yield part.select(["a", "b"]).filter(pa.array(keep))
+    give_back()
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:

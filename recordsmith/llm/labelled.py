@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import contextlib
-import ctypes
-
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,12 +31,6 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     return rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("y").alias("y"))
 
 
-def give_back() -> None:
-    """Memory that a fit has freed goes back to the system; glibc would keep it in the driver."""
-    with contextlib.suppress(OSError, AttributeError):  # another C library
-        ctypes.CDLL("libc.so.6").malloc_trim(0)
-
-
 def collected(rows: DataFrame, *columns: str) -> tuple[list[int], *tuple[list[np.ndarray], ...]]:
     """Labels, and bytes of each column, of few rows (doc_id, y, columns...) in the order of their ids, without copies."""
     table = rows.toArrow()

@@ -16,8 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import joined_bytes, no_clash, slices, words
-from .labelled import collected, give_back, held_out, training_sample
+from .common import give_back, joined_bytes, no_clash, slices, words
+from .labelled import collected, held_out, training_sample
 
 PASSAGE_WORDS = 64
 #: Passages of a class after which no further document joins the sample.

@@ -19,8 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _LOWER, filtered_batches, joined_bytes, mix, no_clash, prefix_hash, slices
-from .labelled import collected, give_back, held_out, training_sample
+from .common import _LOWER, filtered_batches, give_back, joined_bytes, mix, no_clash, prefix_hash, slices
+from .labelled import collected, held_out, training_sample
 
 BUCKET_BITS = 18
 SIZES = (3, 4, 5)
@@ -219,5 +219,6 @@ def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             yield batch.filter(pa.array(score_texts(batch.column("text"), sent.value) < THRESHOLD))
+        give_back()
 
     return filtered_batches(docs, kept)
