@@ -18,12 +18,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import _LOWER, _SPACE, cut, joined_bytes, mix, no_clash, partitions, prefix_hash, release, slices
+from .common import _LOWER, cut, joined_bytes, mix, no_clash, partitions, prefix_hash, release, slices
 
 #: Buckets of the pair table: one for each eight bytes of text, within these bounds.
 LEAST_BITS, MOST_BITS, BYTES_PER_BUCKET = 16, 26, 8
