@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, joined_bytes, mix, no_clash, partitions, prefix_hash, slices
+from .common import cut, give_back, joined_bytes, mix, no_clash, partitions, prefix_hash, slices
 
 GRAM = 20
 POSITION_BITS = 31  # of a text that Spark can hold
@@ -88,6 +88,7 @@ def _anchors(batches: Iterator[pa.RecordBatch], length: int, pieces: int) -> Ite
             held, size = [], 0
     if held:
         yield packed()
+    give_back()
 
 
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,6 +110,7 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if more.any():
             marked = np.where(count > HOT, -1 - places, places)[more]  # below zero: hot
             yield pa.RecordBatch.from_arrays([pa.array(texts[more].view(np.int64)), pa.array(marked.astype(np.int32))], ["text_hash", "place"])
+    give_back()
 
 
 def _starts(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[tuple[int, int, bytes, list[tuple[int, int, int]]]]:
@@ -178,6 +180,7 @@ def _contexts(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Rec
             yield from flush()
             size = 0
     yield from flush()
+    give_back()
 
 
 def sorted_suffixes(data: np.ndarray, depth: int) -> np.ndarray:
@@ -296,6 +299,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Recor
                 held[key, context] = min(place, have)
                 known.append(max(place, have))
     yield from solved()
+    give_back()
 
 
 def _cover(starts: list[int], counts: list[int], n: int, length: int, whole_characters: bytes | None) -> list[tuple[int, int]]:
@@ -335,6 +339,7 @@ def _results(batches: Iterator[pa.RecordBatch], length: int, as_text: bool) -> I
             [batch.column("doc_id"), batch.column("text_hash"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(digest), pa.array(kept, pa.string())],
             ["doc_id", "text_hash", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"],
         )
+    give_back()
 
 
 def remove_repeats(docs: DataFrame, length: int = 100, as_text: bool = False) -> DataFrame:
