@@ -181,10 +181,11 @@ def seeded_limit(rows: DataFrame, key: str, limit: int, seed: int) -> DataFrame:
     return rows.orderBy(F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(str(seed)))), key).limit(limit)
 
 
-def dataset_statistics(examples: DataFrame, text: str, records: Column) -> DataFrame:
-    """(examples, average_length, average_records); zeros for none."""
+def dataset_statistics(examples: DataFrame, text: str, records: Column, **others: Column) -> DataFrame:
+    """(examples, average_length, average_records, and ``average_`` of each of the others); zeros for none."""
     zero = lambda c: F.coalesce(c, F.lit(0.0))
-    return examples.agg(F.count(F.lit(1)).alias("examples"), zero(F.avg(F.length(text))).alias("average_length"), zero(F.avg(records)).alias("average_records"))
+    means = {"length": F.length(text), "records": records, **others}
+    return examples.agg(F.count(F.lit(1)).alias("examples"), *[zero(F.avg(c)).alias(f"average_{name}") for name, c in means.items()])
 
 
 def gold_statistics(documents: DataFrame, gold: DataFrame, key: str) -> DataFrame:

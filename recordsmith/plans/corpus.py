@@ -109,9 +109,11 @@ def q23b_value_tail(spark, sf_dir):
 
 
 def q24_dataset_statistics(spark, sf_dir):
-    """Each turn is an example, its records are its sentences."""
-    turns = table(spark, sf_dir, "conversations")
-    return rounded(ops.dataset_statistics(turns, "text", F.size(F.split("text", r"\."))), "average_length", "average_records")
+    """Each conversation is an example with the text of all its turns, which are its records; sentences are counted besides."""
+    said = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), "")
+    whole = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.when(F.count("text") > 0, said).alias("text"), F.count(F.lit(1)).alias("records"))
+    statistics = ops.dataset_statistics(whole, "text", F.col("records"), sentences=F.size(F.split("text", r"\.")))
+    return rounded(statistics, "average_length", "average_records", "average_sentences")
 
 
 def q25_gold_statistics(spark, sf_dir):
@@ -162,7 +164,8 @@ FROM (SELECT DISTINCT doc_id FROM documents)""",
     "q23_top_values": "SELECT row_number() OVER (ORDER BY n DESC, value) AS rank, value, n FROM (SELECT p_brand AS value, count(*) AS n FROM part GROUP BY 1 ORDER BY n DESC, value LIMIT 10)",
     "q23b_value_tail": """WITH c AS (SELECT p_brand AS value, count(*) AS n FROM part GROUP BY 1), t AS (SELECT value FROM c ORDER BY n DESC, value LIMIT 10)
 SELECT value, n FROM c WHERE value NOT IN (SELECT value FROM t) ORDER BY md5(value || '|7'), value LIMIT 5""",
-    "q24_dataset_statistics": "SELECT count(*) AS examples, round(avg(length(text)), 6) AS average_length, round(avg(len(string_split(text, '.'))), 6) AS average_records FROM conversations",
+    "q24_dataset_statistics": """SELECT count(*) AS examples, round(avg(length(text)), 6) AS average_length, round(avg(records), 6) AS average_records, round(avg(len(string_split(text, '.'))), 6) AS average_sentences
+FROM (SELECT conv_id, string_agg(text, '' ORDER BY turn) AS text, count(*) AS records FROM conversations GROUP BY conv_id)""",
     "q25_gold_statistics": """SELECT count(*) AS documents, count(*) FILTER (coalesce(n, 0) = 0) AS empty_documents, CAST(sum(coalesce(n, 0)) AS BIGINT) AS records, round(avg(coalesce(n, 0)), 6) AS average
 FROM (SELECT DISTINCT o_orderkey AS doc FROM orders) LEFT JOIN (SELECT l_orderkey AS doc, count(*) AS n FROM lineitem GROUP BY 1) USING (doc)""",
     "q25b_seeded_limit": "SELECT doc_id, lang FROM documents ORDER BY md5(CAST(doc_id AS VARCHAR) || '|42'), doc_id LIMIT 50",
