@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from recordsmith.functions import text as T
 from recordsmith.functions.json_text import first_value, value_of
 from recordsmith.operators import corpus, external, rules, scoring, visual
-from recordsmith.operators.assignment import close, pairing
+from recordsmith.operators.assignment import aligned_rows, close, pairing
 from recordsmith.sources import files
 from recordsmith.streaming.protection import Breaker, rate_limited, replayed, streamed_breaker
 
@@ -59,6 +59,42 @@ def test_pairing_is_optimal(rel):
         assert all(n == _gain(found[a], gold[b], rel)[0] for a, b, n in got)
 
 
+@pytest.mark.parametrize("rel", [1e-9, 0.3])
+def test_aligned_rows_of_many_documents(rel):
+    """Many documents at a time reach what each reaches alone; equal records are dealt in order; rows without name stay alone."""
+    pick = random.Random(11)
+    docs, sides, records = [], [], []
+    for d in range(400):
+        pool = [tuple(pick.choice([None, "a", "b", 1.0, 1.2, -2.0, 0.0]) for _ in range(3)) for _ in range(5)]
+        for side in (True, False):
+            n = pick.randint(0, 30 if d % 50 == 0 else 7)
+            docs, sides, records = docs + [d] * n, sides + [side] * n, records + [pick.choice(pool) for _ in range(n)]
+    kinds: dict = {None: -1}
+    codes = np.array([[kinds.setdefault(r[f], len(kinds)) for r in records] for f in range(3)])
+    numbers = np.array([[r[f] if isinstance(r[f], float) else np.nan for r in records] for f in range(3)])
+    doc, found = np.array(docs), np.array(sides)
+    a, b, matches = aligned_rows(doc, found, doc == 7, codes, numbers, rel)
+    both = (a >= 0) & (b >= 0)
+    assert sorted([*a[a >= 0], *b[b >= 0]]) == list(range(len(doc))) and not (doc[a[both]] == 7).any()
+    assert found[a[a >= 0]].all() and not found[b[b >= 0]].any() and (doc[a[both]] == doc[b[both]]).all() and ((matches >= 0) == both).all()
+    gain: dict = {}
+    for i, j, n in zip(a[both].tolist(), b[both].tolist(), matches[both].tolist()):
+        own = _gain(records[i], records[j], rel)
+        assert n == own[0]
+        gain[docs[i]] = gain.get(docs[i], np.zeros(2)) + own
+    for d in set(docs) - {7}:
+        one, two = ([records[i] for i in np.flatnonzero((doc == d) & (found == x))] for x in (True, False))
+        wanted = sum((_gain(one[i], two[j], rel) for i, j, _ in pairing(one, two, rel)), np.zeros(2))
+        assert tuple(gain.get(d, np.zeros(2))) == tuple(wanted)
+    if rel < 0.1:  # of equal records of a side, those that come first have the partners
+        for side, own in ((True, a), (False, b)):
+            for d in set(docs) - {7}:
+                for r in {records[i] for i in np.flatnonzero((doc == d) & (found == side))}:
+                    same = [i for i in np.flatnonzero((doc == d) & (found == side)) if records[i] == r]
+                    has = [i in set(own[both].tolist()) for i in same]
+                    assert has == sorted(has, reverse=True)
+
+
 def test_alignment_of_one_large_document(spark):
     """Two lists of 100,000 records of one document, the second in another order and a tenth of it damaged."""
     n = 100_000
