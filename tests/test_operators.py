@@ -112,6 +112,20 @@ def test_alignment_without_partners(spark):
     assert got == {(None, 1, None, None), (None, None, 1, None), ("d", 5, 2, 1), ("d", None, 1, None), ("e", None, None, None), ("f", 1, None, None)}
 
 
+def test_records_are_shuffled_as_they_are(spark, sf_dir):
+    """What a join by keys sorts and shuffles are the fields, not their numbers and normal texts; verdicts join by pairs of records."""
+    from recordsmith.plans.queries import QUERIES
+
+    plan = QUERIES["q82_field_comparison"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning(doc" in line]
+    assert dealt and not any("field" in line for line in dealt)
+    gold = spark.createDataFrame([("d", 1, "a", 1.0), ("d", 2, "b", None), ("e", 1, None, 2.0)], "doc string, pos int, name string, x double")
+    found = spark.createDataFrame([("d", 1, "a ", 2.0), ("d", 2, "c", None)], gold.schema)
+    verdicts = spark.createDataFrame([("d", 1, "x", "no"), ("d", 1, "x", " yes"), ("d", 2, "name", "maybe")], "doc string, pos int, field string, verdict string")
+    got = {tuple(r) for r in scoring.field_comparison(found, gold, ["doc", "pos"], {"name": False, "x": True}, verdicts).collect()}
+    assert got == {("d", 1, "name", "a ", "a", True, None), ("d", 1, "x", "2.0", "1.0", False, "YES"), ("d", 2, "name", "c", "b", False, "NO"), ("e", 1, "x", None, "2.0", False, "NO")}
+
+
 def test_scores_swap(spark):
     gold = spark.createDataFrame([("d", 1, "a", 1.0), ("d", 2, "b", None)], "doc string, pos int, name string, x double")
     found = spark.createDataFrame([("d", 1, "a", 1.0)], gold.schema)
