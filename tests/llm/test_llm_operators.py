@@ -369,6 +369,25 @@ def test_substring_dedup(spark, hard, none):
     assert {8, 9, 10, 12, 16} <= found and not found & {None, 1, 2, 3, 4, 7, 11, 17, 18, 20}
 
 
+def test_pairs_of_classes():
+    """Under a key every two documents meet by their classes: as equals of one's first document, or their classes do."""
+    rng = np.random.default_rng(12)
+    for _ in range(40):
+        rows = np.unique(np.stack([rng.integers(0, 3, 60), rng.integers(0, 6, 60), rng.integers(0, 9, 60)], axis=1), axis=0)
+        key, content, doc = rows[:, 0].astype(np.uint64), rows[:, 1].astype(np.uint64), rows[:, 2].astype(np.int64)
+        met, own = set(), {}
+        for later, earlier in substring_dedup.pairs_of_classes(key, doc, content):
+            assert (key[later] == key[earlier]).all() and (doc[later] != doc[earlier]).all()
+            met |= {(int(key[i]), frozenset([(int(content[i]), int(doc[i])), (int(content[j]), int(doc[j]))])) for i, j in zip(later, earlier)}
+        for k, c, d in rows.tolist():
+            own.setdefault((k, c), []).append(d)
+        for (k, c), docs in own.items():
+            assert all((k, frozenset([(c, min(docs)), (c, d)])) in met for d in docs if d != min(docs))
+            for (k2, c2), others in own.items():
+                if k2 == k and c2 != c and set(docs) | set(others) != {docs[0]}:
+                    assert any((k, frozenset([(c, x), (c2, y)])) in met for x in docs for y in others)
+
+
 def test_substring_dedup_recall(spark):
     """Planted passages, copied with up to three of a hundred words edited, in pairs and groups, some beside a line that all
     hold; held to the brute-force similarity of each plant."""
