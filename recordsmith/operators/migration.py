@@ -41,7 +41,9 @@ def migrated_states(rows: DataFrame, steps: Mapping[str, Step], text: str = "sta
     """
     v = F.try_parse_json(text)
     rows = rows.withColumn(text, F.when(is_kind(v, "OBJECT"), v)).withColumn("from_version", version_of(F.col(text)))
-    todo = rows.withColumn("to_version", F.col("from_version")).withColumn("trail", F.when(F.col("from_version").isNotNull(), F.array("from_version")).otherwise(F.array().cast("array<string>")))
+    # texts are parsed once, not for each step and each column that names them
+    todo = settled(rows.withColumn("to_version", F.col("from_version")).withColumn("trail", F.when(F.col("from_version").isNotNull(), F.array("from_version")).otherwise(F.array().cast("array<string>"))))
+    n = max(todo.rdd.getNumPartitions(), rows.sparkSession.sparkContext.defaultParallelism)
     old = [s for s in steps if s != current]
     going = F.coalesce(F.col("to_version").isin(*old), F.lit(False)) if old else F.lit(False)
     ended = [todo.where(~going)]
@@ -52,7 +54,7 @@ def migrated_states(rows: DataFrame, steps: Mapping[str, Step], text: str = "sta
         moved = [steps[s](open_.where(F.col("to_version") == s)).select(*todo.columns) for s in old]
         now = F.coalesce(version_of(F.col(text)), F.lit(current))
         state = F.when(version_of(F.col(text)).isNull(), with_keys(F.col(text), version=F.lit(current).cast("variant"))).otherwise(F.col(text))
-        moved = settled(reduce(DataFrame.unionByName, moved).withColumn("to_version", now).withColumn(text, state).withColumn("trail", F.concat("trail", F.array("to_version"))))
+        moved = settled(reduce(DataFrame.unionByName, moved).coalesce(n).withColumn("to_version", now).withColumn(text, state).withColumn("trail", F.concat("trail", F.array("to_version"))))
         ended.append(moved.where(~going))
         open_ = moved.where(going)
     if old and not open_.isEmpty():

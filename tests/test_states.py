@@ -104,3 +104,14 @@ def test_checkpoints_need_a_shared_folder():
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         lineage.shared_checkpoints(type("Session", (), {"sparkContext": Context()})())
+
+
+def test_migration_parses_once_and_keeps_partitions(spark, monkeypatch):
+    """States are kept before the first step, and rounds do not multiply partitions."""
+    kept = []
+    monkeypatch.setattr(migration, "settled", lambda df: kept.append(lineage.settled(df)) or kept[-1])
+    texts = spark.range(40, numPartitions=2).selectExpr("id", "concat('{\"version\": \"', id % 3, '\"}') state")
+    steps = {str(v): (lambda w: lambda rows: rows.withColumn("state", migration.with_keys(F.col("state"), version=F.lit(w).cast("variant"))))(str(v + 1) if v < 2 else "1.0") for v in (0, 1, 2)}
+    got = migration.migrated_states(texts, steps)
+    assert got.where("outcome = 'migrated' and to_version = '1.0'").count() == 40
+    assert kept[0].count() == 40 and all(df.rdd.getNumPartitions() <= max(2, spark.sparkContext.defaultParallelism) for df in kept)
