@@ -416,6 +416,40 @@ def test_substring_dedup_recall(spark):
     assert np.mean(found) >= 0.95 and not any(cover[clean + i].any() for i in range(60))
 
 
+def _pairs_met(texts: list[str], common: int) -> set[tuple[int, int]]:
+    grams, bounds = substring_dedup._grams(pa.array(texts))
+    values, counts = np.unique(grams, return_counts=True)
+    rows = [np.concatenate(x) for x in zip(*substring_dedup.keyed(grams, bounds, 46, 80, np.isin(grams, values[counts > common])))]
+    doc = np.searchsorted(bounds, rows[1], "right") - 1
+    order = np.lexsort((rows[1], doc, rows[2], rows[0]))
+    met = substring_dedup.pairs_of_classes(rows[0][order], doc[order], rows[2][order])
+    return {(int(a), int(b)) for later, earlier in met for a, b in zip(doc[order][later], doc[order][earlier])}
+
+
+def test_substring_dedup_common_lines(spark):
+    """Texts that share a line or a passage, word for word, meet the first of them and no others, but those that go on alike do;
+    the classes of linked texts are those of all pairs."""
+    line, passage, texts = prose(91, 18), prose(92, 70), []
+    for i in range(300):
+        texts.append(f"{prose(5000 + i, 70)} {line} {prose(9000 + i % 290, 60)} {passage if i % 2 else ''} {prose(7000 + i, 70)}")
+    for i in range(40):
+        w = passage.split()
+        w[i] = f"own{i}"
+        texts.append(f"{prose(11_000 + i, 50)} {' '.join(w)} {prose(12_000 + i, 50)}")
+    met = _pairs_met(texts, 32)
+    assert len(met) < 2500 < 20_000 < len(_pairs_met(texts, 1 << 40)) and {(290 + i, i) for i in range(10)} <= met
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+
+    def classes(common: int) -> list[int]:
+        of = list(range(len(texts)))
+        for r in substring_dedup.repeated_passages(docs, common=common).select("doc_id", "partner_id").distinct().collect():
+            x, y = sorted((of[r.doc_id], of[r.partner_id]))
+            of = [x if c == y else c for c in of]
+        return of
+
+    assert classes(32) == classes(1 << 40)
+
+
 def test_similar_passages_repeated_lines():
     """The passage's opening, its closing or both stand elsewhere in the partner too."""
     rng = np.random.default_rng(3)
