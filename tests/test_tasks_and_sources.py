@@ -113,6 +113,37 @@ def test_rings_of_several_batches(spark, tmp_path):
     assert closed == [("a", 2), ("a", 3), ("a", 4), ("b", 1)]
 
 
+def test_ring_calls_of_the_store():
+    """A key costs one reading and one writing of its state in a batch, and a timer in its first only; the timer moves on when it expires."""
+    import pandas as pd
+
+    class Store:
+        def __init__(self):
+            self.calls, self.value, self.timers, self.watermark = [], None, [], 0
+
+        def __getattr__(self, name):
+            def called(*args):
+                self.calls.append(name)
+                if name in ("update", "clear"):
+                    self.value = args[0] if args else None
+                elif name == "registerTimer":
+                    self.timers.append(args[0])
+                return {"get": self.value, "getValueState": self, "getListState": self, "getCurrentWatermarkInMs": self.watermark}.get(name)
+
+            return called
+
+    store, ring = Store(), history.Ring(2, 1000)
+    ring.init(store)
+    store.calls.clear()
+    for ms, seqs in ((100, [1, 2]), (900, [3])):
+        out = pd.concat(ring.handleInputRows(("a",), iter([pd.DataFrame({"seq": seqs, "ms": [ms] * len(seqs)})]), store))
+    assert store.calls == ["get", "update", "registerTimer", "get", "update"] and out.values.tolist() == [["a", 3, 1, 2, False], ["a", 2, 2, 2, False]]
+    store.watermark = 1200
+    assert not list(ring.handleExpiredTimer(("a",), store, None)) and store.timers == [1100, 1900]
+    store.watermark = 1900
+    assert pd.concat(ring.handleExpiredTimer(("a",), store, None)).values.tolist() == [["a", 3, 1, 3, True], ["a", 2, 2, 3, True]] and store.value is None
+
+
 def test_types_of_records(spark):
     from recordsmith.operators import tasks
 
