@@ -416,6 +416,79 @@ def test_substring_dedup_recall(spark):
     assert np.mean(found) >= 0.95 and not any(cover[clean + i].any() for i in range(60))
 
 
+def test_pairs_with_pivots():
+    """Under a key each class meets that of most documents and that of the earliest one; the pairs left over are those of which
+    the later window is not covered or the groups differ."""
+    rng = np.random.default_rng(13)
+    for _ in range(40):
+        rows = np.unique(np.stack([rng.integers(0, 3, 90), rng.integers(0, 12, 90) ** 2 // 12, rng.integers(0, 15, 90)], axis=1), axis=0)
+        key, content, doc = rows[:, 0].astype(np.uint64), rows[:, 1].astype(np.uint64), rows[:, 2].astype(np.int64)
+        named = lambda i, j: (int(key[i]), int(content[i]), int(doc[i]), int(content[j]), int(doc[j]))
+        met = {named(i, j) for x, y in substring_dedup.pairs_with_pivots(key, doc, content) for i, j in zip(x, y)}
+        every = {named(i, j) for x, y in substring_dedup.pairs_of_classes(key, doc, content) for i, j in zip(x, y)}
+        classes = {k: {c: sorted(doc[(key == k) & (content == c)].tolist()) for c in set(content[key == k].tolist())} for k in set(key.tolist())}
+        for k, own in classes.items():
+            most = max(own, key=lambda c: (len(own[c]), -own[c][0]))
+            for p in (most, min(own, key=lambda c: own[c][0])):
+                for c, docs in own.items():
+                    assert all((k, c, d, c, docs[0]) in met for d in docs[1:])
+                    if c != p and set(docs) | set(own[p]) != {docs[0]}:
+                        assert any((k, *x) in met for d in docs for e in own[p] for x in ((c, d, p, e), (p, e, c, d)))
+        assert all(d > e for _, _, d, _, e in met) and len(met) <= 3 * len(rows)
+        covered, group = rng.random(len(key)) < 0.7, rng.integers(0, 2, 15)[doc]
+        left = {named(i, j) for x, y in substring_dedup.pairs_of_classes(key, doc, content, covered, group) for i, j in zip(x, y)}
+        of = {(int(k), int(c), int(d)): (bool(v), int(g)) for k, c, d, v, g in zip(key, content, doc, covered, group)}
+        apart = {(k, c, d, c2, e) for k, c, d, c2, e in every if c != c2 and (not of[k, c, d][0] or of[k, c, d][1] != of[k, c2, e][1])}
+        assert apart <= left and all(not of[k, c, d][0] or of[k, c, d][1] != of[k, c2, e][1] for k, c, d, c2, e in left)
+
+
+def test_substring_dedup_edited_copies(spark):
+    """Copies of a passage, each edited otherwise, make rows in proportion to their number; pairs that share their own edits
+    and are similar to no others are linked."""
+    passage, rows = prose(95, 150).split(), []
+    for i in range(160):
+        w = list(passage)
+        w[(i * 37) % 150] = f"own{i}"
+        rows.append((i, f"{prose(21_000 + i, 40)} {' '.join(w)} {prose(22_000 + i, 40)}"))
+    for i in range(160, 180):
+        w = list(passage)
+        for p in range(i // 2 % 10, 150, 11):
+            w[p] = f"pair{i // 2}x{p}"
+        w[75 + i % 2] = f"own{i}"
+        rows.append((i, f"{prose(21_000 + i, 40)} {' '.join(w)} {prose(22_000 + i, 40)}"))
+    got = substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) < 12 * len(rows)
+    cover, of = np.zeros((180, 230), bool), list(range(180))
+    for r in got:
+        cover[r.doc_id, r.start_word : r.end_word] = True
+        x, y = sorted((of[r.doc_id], of[r.partner_id]))
+        of = [x if c == y else c for c in of]
+    assert cover[1:160, 40:190].mean(axis=1).min() >= 0.8 and set(of[:160]) == {0}
+    assert [of[i] for i in range(160, 180)] == [i // 2 * 2 for i in range(160, 180)]
+
+
+def test_possible_candidates():
+    """What is left out before the comparison has no similar part there."""
+    rng = np.random.default_rng(14)
+    for most in (40, 400):
+        text = rng.integers(0, most, 900).astype(np.uint32)
+        mine, low, high = [], [], []
+        for i in range(120):
+            a = int(rng.integers(0, 800))
+            low.append(a)
+            high.append(int(rng.integers(a + 1, 901)))
+            part = np.concatenate([text[a : a + int(rng.integers(1, 150))], rng.integers(0, most, int(rng.integers(0, 40))).astype(np.uint32)])
+            mine.append(np.where(rng.random(len(part)) < rng.random() * 0.3, rng.integers(0, 1 << 31, len(part)), part).astype(np.uint32))
+        own = np.concatenate([[0], np.cumsum([len(x) for x in mine])])
+        low, high = np.array(low), np.array(high)
+        table = np.sort(text.astype(np.uint64) << np.uint64(32) | np.arange(len(text), dtype=np.uint64))
+        keep = substring_dedup.possible(np.concatenate(mine), own, low, high, table, 46, 80)
+        partner = np.concatenate([[0], np.cumsum(high - low)])
+        wholes, rest = substring_dedup.compared(np.concatenate(mine), own, np.concatenate([text[a:b] for a, b in zip(low, high)]), partner, 46, 80)
+        found = set(wholes[:, 0].tolist()) | set(rest.tolist())
+        assert found <= set(np.flatnonzero(keep).tolist()) and 0 < len(found) and not keep.all()
+
+
 def _pairs_met(texts: list[str], common: int) -> set[tuple[int, int]]:
     grams, bounds = substring_dedup._grams(pa.array(texts))
     values, counts = np.unique(grams, return_counts=True)
