@@ -280,6 +280,36 @@ def test_nearest_cases(spark):
     assert sorted((r.query_id, r["rank"], r.vec_id) for r in few) == [(6000, 1, 6001), (6000, 2, 6002)]
 
 
+def test_nearest_copies_no_query(spark, monkeypatch):
+    """Where queries visit many leaves, nothing that is written has a row for each leaf that a query visits."""
+    rng = np.random.default_rng(7)
+    rows = [(i, rng.normal(0, 1, 16).tolist()) for i in range(3000)]
+    written, cut = [], nearest.cut
+    monkeypatch.setattr(nearest, "cut", lambda df: written.append(cut(df)) or written[-1])
+    monkeypatch.setattr(nearest, "release", lambda *tables: None, raising=False)
+    assert nearest.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.lit(True)).count() == 30_000
+    assert max(df.count() for df in written) <= 30_000
+
+
+def test_nearest_best():
+    """Against brute force: ties, ids that repeat, own ids, far and near vectors, squares that pass a double, tiles in any order."""
+    rng = np.random.default_rng(8)
+    points = np.concatenate([rng.normal(0, 1, (300, 5)).round(1), rng.normal(0, 1, (40, 5)) * 1e-200, 1e8 + rng.normal(0, 1e-6, (40, 5)), rng.normal(0, 1, (20, 5)) * 1e160, rng.normal(0, 1, (20, 5)) * 1e100])
+    points, ids = np.concatenate([points, points[:100]]), rng.integers(0, 400, 520)
+    best = nearest.Best(ids[::3], points[::3], 7)
+    for at in np.array_split(rng.permutation(520), 9):
+        some = rng.permutation(len(best.ids))
+        for which in np.array_split(some, 2):
+            best.meet(ids[at], points[at], 4, which)
+    query, found, far, notes = best.rows()
+    assert (notes == 4).all()
+    with np.errstate(over="ignore"):
+        for i, (own, point) in enumerate(zip(ids[::3], points[::3])):
+            away = np.sqrt(((points - point) ** 2).sum(1))
+            want = sorted((d, v) for d, v in zip(away, ids) if v != own and np.isfinite(d))[:7]
+            assert list(zip(far[query == i], found[query == i])) == want
+
+
 # 7, 9 ------------------------------------------------------------------------------------------------------------
 
 
